@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import ship
-from . import media, mixing, pii, repetition
+from . import media, mixing, packing, pii, repetition, secret_scan, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query
+def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 @query
 def op3_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.rules(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
@@ -36,6 +41,22 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+@query
+def op5_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.summaries(documents(spark, sf_dir))
+
+
+ORACLES["op5_trigram_secrets"] = secret_scan.ORACLE
+
+
+@query
+def op7_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(documents(spark, sf_dir))
+
+
+ORACLES["op7_extendible_shards"] = sharding.ORACLE
+
+
 @query
 def op8_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summaries(documents(spark, sf_dir))
