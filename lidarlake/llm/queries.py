@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import ship
-from . import media, mixing, packing, pii, repetition, secret_scan, sharding
+from . import language_id, media, mixing, packing, pii, repetition, secret_scan, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,9 @@ def op8_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(documents(spark, sf_dir))
+
+
+@query
+def op10_byte_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language_id.predict(docs, language_id.fit(docs))
