@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import ship
-from . import language_id, media, mixing, packing, pii, quality, repetition, secret_scan, sharding
+from . import jaccard, language_id, media, mixing, packing, pii, quality, repetition, secret_scan, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,6 +55,14 @@ def op5_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op5_trigram_secrets"] = secret_scan.ORACLE
 
 
+@query
+def op6_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(documents(spark, sf_dir)).drop("n_links")
+
+
+ORACLES["op6_jaccard_components"] = jaccard.ORACLE
+
+
 @query
 def op7_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(documents(spark, sf_dir))
