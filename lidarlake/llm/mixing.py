@@ -20,11 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import cut
-from .common import batch_of, narrow, pieces
+from .common import batch_of, col, narrow, pieces
 
 WEIGHTS, TOTAL_SHARE, CAP = (3, 1, 2), 1.5, 2.0
 BUCKET_ROWS, FAN_IN = 16384, 64
@@ -169,3 +169,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         draw = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "source"), F.lit(1 << 20)) / float(1 << 20)
         whole, part = whole + F.when((p > 0) & (p < 1) & (draw < p), 1).otherwise(0), F.lit(0).cast("long")
     return out.select("doc_id", "source", "size", "source_size", "target", whole.cast("long").alias("copies"), (whole * F.col("size") + part).cast("long").alias("taken"))
+
+
+def repeat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
+    """The rows of docs as often as the mix takes them, with all their columns.
+
+    Rows are matched by id and source. Rows that share both get the copies of their group dealt evenly.
+    """
+    names = docs.columns
+    taken = mix(docs, id_col, text_col, source_col, seed, root="round").groupBy("doc_id", "source").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    taken = cut(taken).withColumnsRenamed({"doc_id": "_id", "source": "_source"})
+    joined = docs.join(taken, docs[id_col].cast("long").eqNullSafe(F.col("_id")) & docs[source_col].cast("string").eqNullSafe(F.col("_source")))
+    single = joined.filter("_rows = 1").withColumn("_n", F.col("_copies"))
+    place = F.row_number().over(Window.partitionBy("_id", "_source").orderBy(text_col)) - 1
+    share = F.floor((F.col("_at") + 1) * F.col("_copies") / F.col("_rows")) - F.floor(F.col("_at") * F.col("_copies") / F.col("_rows"))
+    several = joined.filter("_rows > 1").withColumn("_at", place).withColumn("_n", share).drop("_at")
+    return single.unionByName(several).withColumn("_one", F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int")))).select(*(col(c) for c in names))
