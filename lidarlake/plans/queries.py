@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.missing import metric_set, nullify
 from ..operators import clip, extract, granules, grid, profiles, spatial, stats, waveform
-from ..runtime import shared_dir, ship
+from ..runtime import scratch, ship
 from ..sources import catalog, views
 from .products import CANOPY, CANOPY_DEFAULT, HEIGHT_COLUMNS, HEIGHTS, N_RH, PAI, PAVD, PROFILE_COLUMNS, WAVEFORM_GEO, profile_names
 
@@ -232,7 +231,7 @@ def clip_product_2b(spark, d):
 @query(f"SELECT beam, CAST(poly_id AS INTEGER) AS poly_id, shot_number, rx_sample_count FROM geo JOIN hits USING (shot_number) WHERE {_NEAR_BOTH}")
 def clip_product_split(spark, d):
     rows = granules.clip_granule_polygons(views.geolocation(spark, d), WAVEFORM_GEO, views.polygons(spark), "id")
-    path = f"{shared_dir(spark).rstrip('/')}/clip-{uuid.uuid4().hex}"
+    path = scratch(spark)
     granules.write_clip(rows, path)
     return spark.read.parquet(path).select("beam", "poly_id", "shot_number", "rx_sample_count")
 
