@@ -40,6 +40,8 @@ HOT = 100_000
 GROUP = 256
 #: Ids up to which the documents to verify are picked by a broadcast of their ids (16 MB); beyond, by a shuffled join.
 BROADCAST_IDS = 1_000_000
+#: Ids up to which a list of documents that go is broadcast.
+BROADCAST_ROWS = 500_000
 #: Documents whose prefixes travel together.
 CHUNK = 16_384
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -432,9 +434,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: i
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, one of each component: the one with the least id. Rows without an id stay."""
-    found = join(docs, id_col, text_col)
-    keepers = cut(found.filter("doc_id = component_id").select("doc_id").distinct())
-    named = docs.filter(F.col(id_col).isNotNull()).join(keepers.withColumnRenamed("doc_id", "_keeper"), F.col(id_col) == F.col("_keeper"), "left_semi")
+    found = cut(join(docs, id_col, text_col))
+    gone = cut(found.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("keeper")).filter("not keeper").select(F.col("doc_id").alias("_gone")))
+    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    named = docs.filter(F.col(id_col).isNotNull()).join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("_gone"), "left_anti")
     again = cut(found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
     if not again.isEmpty():  # an id that occurs more than once: one of its rows, by text
         single = named.join(again.withColumnRenamed("doc_id", "_again"), F.col(id_col) == F.col("_again"), "left_anti")
