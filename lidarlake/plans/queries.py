@@ -335,6 +335,16 @@ def grid_dense(spark, d):
     return grid.densify(grid.grid_stats(s.filter("k = 1"), "lon", "lat", _RES, {"n": F.count("*")}, grid=g), g).select("cell", "n")
 
 
+_BULK = ", bulk AS (SELECT CAST((l_partkey * 37) % 1009 AS DOUBLE) / 1024e0 AS lon, CAST((l_suppkey * 53) % 997 AS DOUBLE) / 1024e0 AS lat, l_quantity AS value, 0 AS k FROM lineitem)"
+
+
+@query(_BULK + _CELLS.replace("FROM shots", "FROM bulk") + "SELECT cell, row, col, x_center, y_center, min(value) AS min, max(value) AS max, round(avg(value), 9) AS mean, round(stddev_samp(value), 9) AS sd FROM cells GROUP BY ALL")
+def grid_bulk(spark, d):
+    lines = spark.read.parquet(f"{d}/lineitem.parquet")
+    lon, lat = ((F.col(c) * k % m).cast("double") / 1024.0 for c, k, m in (("l_partkey", 37, 1009), ("l_suppkey", 53, 997)))
+    return _rounded(grid.grid_stats(lines.select(lon.alias("lon"), lat.alias("lat"), F.col("l_quantity").alias("value")), "lon", "lat", _RES, column="value"))
+
+
 # --- waveforms ----------------------------------------------------------------------------------------------------
 
 

@@ -1,0 +1,5 @@
+"""Streams: the domain has none of its own (no windows, watermarks or state).
+
+Extraction, box clips and polygon joins are projections, filters and joins with a static layer, so they take a streaming
+DataFrame from `spark.readStream` as they are.
+"""
