@@ -15,7 +15,7 @@ merged by a heap, the long ones are probed by binary search, and those that occu
 The order's frequent shingles (at most HOT of them, counted over all documents) only steer which shingles are called
 rare; results do not depend on them. Null and empty texts have empty sets and link with nothing; their component is
 their own id. Fewer than five words are one shingle. Repeated rows and ids are fine: nodes are sets, a component's id is
-the least doc_id of its rows (null ids never are, unless there is no other). Empty tables give empty tables.
+the least doc_id of its rows. A set that only rows without an id have links with equal sets only. Empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -38,9 +38,8 @@ WORDS = 5
 HOT = 100_000
 #: Members of a query's index in one group of a verification.
 GROUP = 256
-#: Ids up to which the documents to verify are picked by a broadcast of their ids (16 MB); beyond, by a shuffled join.
-BROADCAST_IDS = 1_000_000
-#: Ids up to which a list of documents that go is broadcast.
+#: Up to so many rows (about 40 MB) the list of what sets are wanted for is broadcast to the documents; beyond, both
+#: are shuffled by id.
 BROADCAST_ROWS = 500_000
 #: Documents whose prefixes travel together.
 CHUNK = 16_384
@@ -348,13 +347,31 @@ def divide_skip(query: np.ndarray, candidates: list[np.ndarray]) -> list[int]:
     return out
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link. A query with many candidates is searched in several groups."""
+def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link. A query with many candidates is searched in several groups.
+
+    Sets are not kept: documents meet the list of what their set is wanted for, and each set goes straight to its groups.
+    """
     groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
-    dealt = pairs.join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("salt"))
-    members = dealt.join(sets.withColumnRenamed("key", "b"), "b").select("a", "salt", F.lit(1).alias("kind"), "b", "hashes")
-    queries = groups.select("a", F.explode(F.sequence(F.lit(0), (F.col("groups") - 1).cast("int"))).alias("salt")).join(sets.withColumnRenamed("key", "a"), "a").select("a", "salt", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("b"), "hashes")
-    rows = members.unionByName(queries)
+    dealt = pairs.join(groups, "a").select(F.col("b").alias("key"), "a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("salt"), F.lit(1).alias("kind"))
+    queries = groups.select(F.col("a").alias("key"), "a", F.explode(F.sequence(F.lit(0), (F.col("groups") - 1).cast("int"))).alias("salt"), F.lit(0).alias("kind"))
+    wanted = cut(dealt.unionByName(queries).join(nodes, "key").select(F.col("least").alias("doc_id"), "key", "a", "salt", "kind"))
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    placed = texts.join(F.broadcast(wanted) if few else wanted, "doc_id").select("text", "key", "a", "salt", "kind")
+    sent = pa.schema([("a", pa.binary()), ("salt", pa.int32()), ("kind", pa.int32()), ("b", pa.binary()), ("hashes", pa.binary())])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for b in pieces(batches):
+            texts = b.column("text").to_pylist()
+            once = list(dict.fromkeys(texts))
+            made = dict(zip(once, hasher.sets(once), strict=True))
+            names = {t: _key(x) for t, x in made.items()}
+            rows = [(a, salt, kind, key, made[t].tobytes()) for t, key, a, salt, kind in zip(texts, *(b.column(i).to_pylist() for i in range(1, 5)), strict=True) if names[t] == key]  # an id may have other texts
+            if rows:
+                yield batch_of(sent, [*zip(*rows, strict=True)])
+
+    rows = placed.mapInArrow(send, "a binary, salt int, kind int, b binary, hashes binary")
     schema = pa.schema([("u", pa.binary()), ("v", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,22 +400,6 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.repartition(partitions(spark), "a", "salt").sortWithinPartitions("a", "salt", "kind").mapInArrow(run, "u binary, v binary")
 
 
-def _sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """(key, hashes) of the documents with these ids. A repeated row may give its set more than once."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    chosen = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    schema = pa.schema([("key", pa.binary()), ("hashes", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        for b in pieces(batches):
-            sets = [s for s in hasher.sets(b.column("text").to_pylist()) if len(s)]
-            if sets:
-                yield batch_of(schema, [[_key(s) for s in sets], [s.tobytes() for s in sets]])
-
-    return chosen.mapInArrow(run, "key binary, hashes binary")
-
-
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links): n_links counts verified links of the document's set."""
     spark = docs.sparkSession
@@ -410,18 +411,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: i
     order = spark.sparkContext.broadcast(Order(np.array([r["hash"] for r in top], np.int64).view(np.uint64), np.array([r["times"] for r in top], np.int64)))
     found = cut(_lists(_prefixes(texts, order, shards)))
     stars = cut(found.filter("shard is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    nodes = base.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
-    # members of lists of three or more stand in stars too, unless no bound lets them
-    asked = stars.select(F.col("a").alias("key")).unionByName(stars.select(F.col("b").alias("key"))).distinct()
-    sets = cut(_sets_of(texts, cut(asked.join(nodes, "key").select(F.col("least").alias("doc_id")).distinct())))
-    links = cut(_verify(stars, sets))
+    nodes = cut(base.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least")))
+    links = cut(_verify(stars, nodes, texts))
     roots = components(links)
     more = cut(_across(found, roots).distinct().join(stars, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        late = more.select(F.col("a").alias("key")).unionByName(more.select(F.col("b").alias("key"))).distinct().join(asked, "key", "left_anti")
-        if not late.isEmpty():
-            sets = sets.unionByName(cut(_sets_of(texts, cut(late.join(nodes, "key").select(F.col("least").alias("doc_id")).distinct()))))
-        fresh = cut(_verify(more, sets))
+        fresh = cut(_verify(more, nodes, texts))
         links = links.unionByName(fresh)
         roots = components(roots.withColumnRenamed("root", "v").unionByName(fresh))
     degree = links.distinct().select(F.explode(F.array("u", "v")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
