@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Names of tables that operators registered in the session's catalogue; `release` drops them.
+TABLES: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -51,6 +53,8 @@ def scratch(spark: SparkSession) -> str:
 
 def release(spark: SparkSession) -> None:
     """Delete all that this application has cut; frames that were not written before can no longer be read."""
+    while TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {TABLES.pop()}")
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/cut-{spark.sparkContext.applicationId}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
