@@ -176,12 +176,14 @@ def repeat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
     Rows are matched by id and source. Rows that share both get the copies of their group dealt evenly.
     """
-    names = docs.columns
-    taken = mix(docs, id_col, text_col, source_col, seed, root="round").groupBy("doc_id", "source").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    taken = cut(taken).withColumnsRenamed({"doc_id": "_id", "source": "_source"})
-    joined = docs.join(taken, docs[id_col].cast("long").eqNullSafe(F.col("_id")) & docs[source_col].cast("string").eqNullSafe(F.col("_source")))
-    single = joined.filter("_rows = 1").withColumn("_n", F.col("_copies"))
-    place = F.row_number().over(Window.partitionBy("_id", "_source").orderBy(text_col)) - 1
-    share = F.floor((F.col("_at") + 1) * F.col("_copies") / F.col("_rows")) - F.floor(F.col("_at") * F.col("_copies") / F.col("_rows"))
-    several = joined.filter("_rows > 1").withColumn("_at", place).withColumn("_n", share).drop("_at")
-    return single.unionByName(several).withColumn("_one", F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int")))).select(*(col(c) for c in names))
+    taken = mix(docs, id_col, text_col, source_col, seed, root="round").groupBy("doc_id", "source").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    taken = cut(taken).withColumnsRenamed({"doc_id": "own_id", "source": "own_source"})
+    # whole rows in one column, so that no name of theirs meets one of these
+    held = docs.select(F.struct(*(col(c) for c in docs.columns)).alias("row"), col(id_col).cast("long").alias("id"), col(source_col).cast("string").alias("from"), col(text_col).alias("text"))
+    joined = held.join(taken, F.col("id").eqNullSafe(F.col("own_id")) & F.col("from").eqNullSafe(F.col("own_source"))).select("row", "id", "from", "text", "copies", "rows")
+    single = joined.filter("rows = 1").select("row", F.col("copies").alias("n"))
+    at = F.row_number().over(Window.partitionBy("id", "from").orderBy("text")) - 1
+    share = F.floor((F.col("at") + 1) * F.col("copies") / F.col("rows")) - F.floor(F.col("at") * F.col("copies") / F.col("rows"))
+    several = joined.filter("rows > 1").withColumn("at", at).select("row", share.alias("n"))
+    again = single.unionByName(several).select("row", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int"))))
+    return again.select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut, partitions, shared_dir
+from ..runtime import TABLES, cut, partitions, scratch
 from .common import PIECE_BYTES, batch_of, col, narrow
 
 ORDER = 5  # bytes of an n-gram; up to 7 fit a signed 64-bit number
@@ -78,7 +78,8 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFr
 
     name = f"blocks_{uuid.uuid4().hex}"
     writer = packed.mapInArrow(run, "block long, ids array<long>, blob binary").write.bucketBy(max(8, partitions(spark)), "block")
-    writer.option("path", f"{shared_dir(spark).rstrip('/')}/{name}").option("compression", "uncompressed").saveAsTable(name)
+    TABLES.append(name)
+    writer.option("path", scratch(spark)).option("compression", "uncompressed").saveAsTable(name)
     return spark.read.table(name)
 
 
