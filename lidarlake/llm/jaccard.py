@@ -7,7 +7,8 @@ Candidates come from prefix lists, losslessly: shingles are put in one global or
 linked sets share a shingle within the first a - ceil(3 a / 4) + 1 of the larger and the first b - ceil(6 b / 7) + 1 of
 the smaller. Lists are dealt to shards by hash. Each list links its members to its least one (a star, not all pairs);
 lists of two are then done. Components of the verified stars settle most lists; from those that still hold members of
-different components, only pairs across components are verified, under the size and position bounds.
+different components, only pairs across components are verified, under the size and position bounds. A star's centre
+is the member with most frequent shingles, which of a group of edited copies is the one with fewest edits.
 
 Verification is a DivideSkip search: a query's candidates are indexed by the query's shingles, the short lists are
 merged by a heap, the long ones are probed by binary search, and those that occur T times or more stay.
@@ -131,12 +132,14 @@ class Order:
         rank[np.lexsort((hashes, times))] = np.arange(1, len(hashes) + 1)
         self.rank = rank[by]
 
-    def sort(self, s: np.ndarray) -> np.ndarray:
+    def sort(self, s: np.ndarray) -> tuple[np.ndarray, int]:
+        """The set in this order, and the share of its shingles that are frequent, from 0 to 255."""
         if not len(self.hashes):
-            return s
+            return s, 0
         at = np.minimum(np.searchsorted(self.hashes, s), len(self.hashes) - 1)
         rank = np.where(self.hashes[at] == s, self.rank[at], 0)
-        return s[np.argsort(rank, kind="stable")] if rank.any() else s
+        often = np.count_nonzero(rank)
+        return (s[np.argsort(rank, kind="stable")], 255 * often // len(s)) if often else (s, 0)
 
 
 # --- prefix lists -------------------------------------------------------------------------------------------------
@@ -146,7 +149,8 @@ _PREFIX_SQL = "shard int, keys binary, sizes binary, hashes binary, docs binary,
 
 
 def _prefixes(texts: DataFrame, order, shards: int) -> DataFrame:
-    """Prefixes of distinct sets by shard: the sets' keys and sizes, then (hash, set, position) entries."""
+    """Prefixes of distinct sets by shard: the sets' keys and sizes (with the share of frequent shingles in the upper
+    byte), then (hash, set, position) entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, sorter = Hasher(), order.value
@@ -162,7 +166,7 @@ def _prefixes(texts: DataFrame, order, shards: int) -> DataFrame:
             shard = ((h >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
             by = np.argsort(shard, kind="stable")
             cuts = np.searchsorted(shard[by], np.arange(shards + 1))
-            keys, n = np.frombuffer(b"".join(seen), "V16"), np.array(sizes, np.uint32)
+            keys, n = np.frombuffer(b"".join(seen), "V16"), np.array(sizes, np.uint64)
             for s in range(shards):
                 part = by[cuts[s] : cuts[s + 1]]
                 if len(part):
@@ -174,8 +178,9 @@ def _prefixes(texts: DataFrame, order, shards: int) -> DataFrame:
                 k = _key(s)
                 if k and k not in seen:
                     seen[k] = len(seen)
-                    sizes.append(len(s))
-                    heads.append(sorter.sort(s)[: len(s) - -(-3 * len(s) // 4) + 1])
+                    ordered, often = sorter.sort(s)
+                    sizes.append(len(s) | often << 56)
+                    heads.append(ordered[: len(s) - -(-3 * len(s) // 4) + 1])
             if len(seen) >= CHUNK - 4096 or sum(map(len, heads[-64:])) * len(heads) > 64 << 22:
                 yield from out()
                 seen, heads, sizes = {}, [], []
@@ -209,15 +214,18 @@ def _lists(prefixes: DataFrame) -> DataFrame:
             for i, k in enumerate(keys[j : j + 16] for j in range(0, len(keys), 16)):
                 if k not in place:
                     place[k] = len(place)
-                    sizes.append(int.from_bytes(n[4 * i : 4 * i + 4], "little"))
+                    sizes.append(int.from_bytes(n[8 * i : 8 * i + 8], "little"))
                 local.append(place[k])
             h.append(np.frombuffer(hashes, np.uint64))
             d.append(np.array(local, np.int64)[np.frombuffer(docs, np.uint16)])
             at.append(np.frombuffer(pos, np.uint32).astype(np.int64))
-        names, n = list(place), np.array(sizes, np.int64)
-        # a set's members are in the order of its key, so that stars of many lists have one centre
+        names, packed = list(place), np.array(sizes, np.uint64)
+        n, often = (packed & np.uint64((1 << 56) - 1)).astype(np.int64), (packed >> np.uint64(56)).astype(np.int64)
+        # The centre of a list's star is the set with most frequent shingles: of a group of edited copies the one with
+        # fewest edits. Then keys decide, so that the stars of many lists have one centre.
+        both = np.array(names, "V16").view([("hi", ">u8"), ("lo", ">u8")])
         rank = np.empty(len(names), np.int64)
-        rank[np.argsort(np.array(names, "V16").view([("hi", ">u8"), ("lo", ">u8")]), order=("hi", "lo"))] = np.arange(len(names))
+        rank[np.lexsort((both["lo"], both["hi"], -often))] = np.arange(len(names))
         h, d, at = map(np.concatenate, (h, d, at))
         by = np.lexsort((rank[d], h))
         h, d, at = h[by], d[by], at[by]
@@ -290,9 +298,10 @@ def _across(found: DataFrame, roots: DataFrame) -> DataFrame:
                 some: list[np.ndarray] = []
                 for s, e in zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True):
                     m, p = d[s:e], at[s:e]
-                    indexed = np.flatnonzero(p < n[m] - -(-6 * n[m] // 7) + 1)
-                    for i in indexed.tolist():
-                        ok = np.flatnonzero((comp[m] != comp[m[i]]) & (n[m] >= n[m[i]]) & _compatible(n[m[i]], p[i], n[m], p))
+                    own = comp[m]
+                    # every pair across components has a member outside the list's largest one
+                    for i in np.flatnonzero(own != np.bincount(own).argmax()).tolist():
+                        ok = np.flatnonzero((own != own[i]) & _compatible(n[m[i]], p[i], n[m], p))
                         if len(ok):
                             some.append(np.stack((np.minimum(m[ok], m[i]), np.maximum(m[ok], m[i])), 1))
                     if len(some) > 10_000:
