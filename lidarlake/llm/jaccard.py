@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import cut, partitions
-from .common import batch_of, narrow, pieces
+from .common import batch_of, col, narrow, pieces
 from .components import components
 
 WORDS = 5
@@ -356,15 +356,32 @@ def divide_skip(query: np.ndarray, candidates: list[np.ndarray]) -> list[int]:
     return out
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link. A query with many candidates is searched in several groups.
+def _verify(pairs: DataFrame, roots: DataFrame | None, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, and maybe more links.
 
-    Sets are not kept: documents meet the list of what their set is wanted for, and each set goes straight to its groups.
+    One side of a pair is indexed, in chunks of its component so far, the other side searches the chunk; a set travels
+    once to a chunk, however many pairs it is in. Without roots the chunks are of the members of one centre a, which
+    searches them. Sets are not kept: documents meet the list of what their set is wanted for, and each set goes
+    straight to its chunk.
     """
-    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
-    dealt = pairs.join(groups, "a").select(F.col("b").alias("key"), "a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("salt"), F.lit(1).alias("kind"))
-    queries = groups.select(F.col("a").alias("key"), "a", F.explode(F.sequence(F.lit(0), (F.col("groups") - 1).cast("int"))).alias("salt"), F.lit(0).alias("kind"))
-    wanted = cut(dealt.unionByName(queries).join(nodes, "key").select(F.col("least").alias("doc_id"), "key", "a", "salt", "kind"))
+    if roots is None:
+        sides = pairs.select(F.col("b").alias("i"), F.col("a").alias("q"), F.col("a").alias("g"))
+        sizes = pairs.groupBy(F.col("a").alias("g")).agg(F.count("*").alias("size"))
+    else:
+        counted = roots.groupBy("root").agg((F.count("*") + 1).alias("size"))
+        known = roots.unionByName(roots.select(F.col("root").alias("u"), "root").distinct())
+        at = lambda c: known.select(F.col("u").alias(c), F.col("root").alias(f"{c}_root"))
+        placed = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").withColumns({c: F.coalesce(c, c[0]) for c in ("a_root", "b_root")}).filter("a_root <> b_root")
+        of = lambda c: counted.select(F.col("root").alias(f"{c}_root"), F.col("size").alias(f"{c}_size"))
+        placed = placed.join(of("a"), "a_root", "left").join(of("b"), "b_root", "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("a_size", "b_size")})
+        swap = (F.col("a_size") > F.col("b_size")) | ((F.col("a_size") == F.col("b_size")) & (F.col("a_root") > F.col("b_root")))
+        pick = lambda x, y: F.when(swap, F.col(x)).otherwise(F.col(y))
+        sides = cut(placed.select(pick("a", "b").alias("i"), pick("b", "a").alias("q"), pick("a_root", "b_root").alias("g"), pick("a_size", "b_size").alias("size")))
+        sizes = None
+    dealt = (sides if sizes is None else sides.join(sizes, "g")).select("i", "q", "g", F.pmod(F.xxhash64("i"), F.ceil(F.col("size") / GROUP)).cast("int").alias("salt"))
+    members = dealt.select(F.col("i").alias("key"), F.col("g").alias("a"), "salt", F.lit(0).alias("kind"))
+    queries = dealt.select(F.col("q").alias("key"), F.col("g").alias("a"), "salt", F.lit(1).alias("kind"))
+    wanted = cut(members.unionByName(queries).distinct().join(nodes, "key").select(F.col("least").alias("doc_id"), "key", "a", "salt", "kind"))
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     placed = texts.join(F.broadcast(wanted) if few else wanted, "doc_id").select("text", "key", "a", "salt", "kind")
     sent = pa.schema([("a", pa.binary()), ("salt", pa.int32()), ("kind", pa.int32()), ("b", pa.binary()), ("hashes", pa.binary())])
@@ -384,26 +401,17 @@ def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     schema = pa.schema([("u", pa.binary()), ("v", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, query, names, held = None, None, [], []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            if query is not None and names:
-                found = divide_skip(query, held)
-                if found:
-                    yield batch_of(schema, [[now[0]] * len(found), [names[i] for i in found]])
-
+        now, names, held = None, [], []
         for b in batches:
-            for a, salt, kind, other, blob in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            for a, salt, kind, key, blob in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 if (a, salt) != now:
-                    yield from out()
-                    now, query, names, held = (a, salt), None, [], []
+                    now, names, held = (a, salt), [], []
                 s = np.frombuffer(blob, np.uint64)
                 if kind == 0:
-                    query = s
-                else:
-                    names.append(other)
+                    names.append(key)
                     held.append(s)
-        yield from out()
+                elif held and (found := divide_skip(s, held)):
+                    yield batch_of(schema, [[key] * len(found), [names[i] for i in found]])
 
     spark = pairs.sparkSession
     return rows.repartition(partitions(spark), "a", "salt").sortWithinPartitions("a", "salt", "kind").mapInArrow(run, "u binary, v binary")
@@ -419,15 +427,19 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: i
     top = survey.filter("hash is not null").groupBy("hash").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "hash").limit(hot).collect()
     order = spark.sparkContext.broadcast(Order(np.array([r["hash"] for r in top], np.int64).view(np.uint64), np.array([r["times"] for r in top], np.int64)))
     found = cut(_lists(_prefixes(texts, order, shards)))
-    stars = cut(found.filter("shard is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    stars = cut(found.filter("shard is null").groupBy("a", "b").agg(F.count("*").alias("votes")))
     nodes = cut(base.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least")))
-    links = cut(_verify(stars, nodes, texts))
+    # each member first meets the centre that it shares most lists with; that settles most of the other pairs
+    first = cut(stars.groupBy("b").agg(F.max(F.struct("votes", "a")).alias("best")).select(F.col("best.a").alias("a"), "b"))
+    links = cut(_verify(first, None, nodes, texts))
     roots = components(links)
-    more = cut(_across(found, roots).distinct().join(stars, ["a", "b"], "left_anti"))
+    across = _across(found, roots).select("a", "b").unionByName(stars.join(first, ["a", "b"], "left_anti").select("a", "b"))
+    more = cut(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     if not more.isEmpty():
-        fresh = cut(_verify(more, nodes, texts))
+        fresh = cut(_verify(more, roots, nodes, texts))
         links = links.unionByName(fresh)
         roots = components(roots.withColumnRenamed("root", "v").unionByName(fresh))
+    links = links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     degree = links.distinct().select(F.explode(F.array("u", "v")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
     placed = nodes.join(roots.withColumnRenamed("u", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -439,17 +451,18 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: i
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, one of each component: the one with the least id. Rows without an id stay."""
     found = cut(join(docs, id_col, text_col))
-    gone = cut(found.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("keeper")).filter("not keeper").select(F.col("doc_id").alias("_gone")))
+    gone = cut(found.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("keeper")).filter("not keeper").select(F.col("doc_id").alias("gone_id")))
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    named = docs.filter(F.col(id_col).isNotNull()).join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    again = cut(found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    # whole rows in one column, so that no name of theirs meets one of these
+    held = docs.select(F.struct(*(col(c) for c in docs.columns)).alias("row"), col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"))
+    kept = held.filter("id is not null").join(F.broadcast(gone) if few else gone, F.col("id") == F.col("gone_id"), "left_anti")
+    again = cut(found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("again_id")))
     if not again.isEmpty():  # an id that occurs more than once: one of its rows, by text
-        single = named.join(again.withColumnRenamed("doc_id", "_again"), F.col(id_col) == F.col("_again"), "left_anti")
-        rest = named.join(again.withColumnRenamed("doc_id", "_again"), F.col(id_col) == F.col("_again"), "left_semi")
-        names = docs.columns
-        one = rest.groupBy(F.col(id_col).alias("_id")).agg(F.min_by(F.struct(*(F.col(c) for c in names)), F.xxhash64(text_col)).alias("_row")).select(*(F.col("_row")[c].alias(c) for c in names))
-        named = single.unionByName(one)
-    return named.unionByName(docs.filter(F.col(id_col).isNull()))
+        same = F.col("id") == F.col("again_id")
+        one = kept.join(again, same, "left_semi").groupBy("id").agg(F.min_by("row", F.xxhash64("text")).alias("row"))
+        kept = kept.join(again, same, "left_anti").select("row").unionByName(one.select("row"))
+    rows = kept.select("row").unionByName(held.filter("id is null").select("row"))
+    return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 ORACLE = r"""
