@@ -36,7 +36,8 @@ from .common import batch_of, col, narrow, pieces
 from .components import components
 
 WORDS = 5
-HOT = 100_000
+#: Most frequent shingles that the order knows; 16 bytes each on the driver and in every worker.
+HOT = 1_000_000
 #: Members of a query's index in one group of a verification.
 GROUP = 256
 #: Up to so many rows (about 40 MB) the list of what sets are wanted for is broadcast to the documents; beyond, both
@@ -99,7 +100,7 @@ _SEEN = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary(
 
 
 def _survey(texts: DataFrame) -> DataFrame:
-    """A row (doc_id, n, key) per document, and rows (hash, times) of shingles that several sets of a batch share."""
+    """A row (doc_id, n, key) per document, and rows (hash, times) of shingles that two or more sets of a batch share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -114,7 +115,7 @@ def _survey(texts: DataFrame) -> DataFrame:
                 values = np.sort(np.concatenate(list(held.values())))
                 starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
                 times = np.diff(np.append(starts, len(values)))
-                often = times >= 3
+                often = times >= 2
                 n = int(often.sum())
                 if n:
                     yield batch_of(_SEEN, [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), values[starts[often]].view(np.int64), times[often]])
@@ -142,6 +143,21 @@ class Order:
         return (s[np.argsort(rank, kind="stable")], 255 * often // len(s)) if often else (s, 0)
 
 
+def _frequent(survey: DataFrame, most: int) -> Order:
+    """The order by the most frequent shingles: as many whole levels of frequency as make up at most `most`."""
+    times = cut(survey.filter("hash is not null").groupBy("hash").agg(F.sum("times").alias("times")))
+    least, held = None, 0
+    for r in sorted(times.groupBy("times").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["times"]):
+        held += r["n"]
+        if held > most:
+            break
+        least = r["times"]
+    if least is None:
+        return Order(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    t = times.filter(F.col("times") >= least).toArrow()
+    return Order(t.column("hash").to_numpy().view(np.uint64), t.column("times").to_numpy())
+
+
 # --- prefix lists -------------------------------------------------------------------------------------------------
 
 _PREFIX = pa.schema([("shard", pa.int32()), ("keys", pa.binary()), ("sizes", pa.binary()), ("hashes", pa.binary()), ("docs", pa.binary()), ("at", pa.binary())])
@@ -424,8 +440,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: i
     shards = max(16, 2 * partitions(spark))
     survey = cut(_survey(texts))
     base = survey.filter("hash is null").select("doc_id", "n", "key")
-    top = survey.filter("hash is not null").groupBy("hash").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "hash").limit(hot).collect()
-    order = spark.sparkContext.broadcast(Order(np.array([r["hash"] for r in top], np.int64).view(np.uint64), np.array([r["times"] for r in top], np.int64)))
+    order = spark.sparkContext.broadcast(_frequent(survey, hot))
     found = cut(_lists(_prefixes(texts, order, shards)))
     stars = cut(found.filter("shard is null").groupBy("a", "b").agg(F.count("*").alias("votes")))
     nodes = cut(base.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least")))
