@@ -61,7 +61,7 @@ class Hasher:
 
     def _codes(self, words: list[bytes]) -> np.ndarray:
         known = self.words
-        if len(known) > 500_000:
+        if len(known) > 250_000:
             known.clear()
         for w in set(words).difference(known):
             known[w] = xxhash.xxh3_64_intdigest(w)
@@ -196,7 +196,7 @@ def _prefixes(texts: DataFrame, order, shards: int) -> DataFrame:
                     seen[k] = len(seen)
                     ordered, often = sorter.sort(s)
                     sizes.append(len(s) | often << 56)
-                    heads.append(ordered[: len(s) - -(-3 * len(s) // 4) + 1])
+                    heads.append(ordered[: len(s) - -(-3 * len(s) // 4) + 1].copy())  # not a view of the whole set
             if len(seen) >= CHUNK - 4096 or sum(map(len, heads[-64:])) * len(heads) > 64 << 22:
                 yield from out()
                 seen, heads, sizes = {}, [], []
