@@ -1,4 +1,4 @@
-"""Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text, over UTF-8 bytes.
+"""Quality classifier: interpolated modified Kneser-Ney n-gram models of trusted text, over words and over UTF-8 bytes.
 
 Documents are put into blocks, written once, that never move again. Each block asks for its distinct n-grams, and tells
 how often its trusted documents hold them; requests are dealt to shards by n-gram, so that a shard sums counts and later
@@ -6,9 +6,13 @@ answers. The model's tables (counts, continuation counts, context totals and bac
 DataFrames joined on n-grams, contexts and suffixes; nothing of the model is broadcast. Answers go back to the blocks,
 where a document's mean negative log-likelihood per byte is its loss, and exp(loss) its perplexity.
 
+The word model (`words`) takes trigrams of words, which grow with the corpus, and backs off to the byte model for the
+spelling of words. It gives a document's word loss, a mean per byte, and the loss of its worst passage.
+
 Four of five trusted documents, by a hash of their id, train the model; the fifth calibrates: a language's threshold is
 a quantile of its calibrating documents' losses, raised by a margin, and a document above its language's threshold is
-rejected. A language without calibrating documents (the null language is one of its own) takes the quantile of all.
+rejected. So is one above the threshold of its word loss or of its worst passage; those two are taken by language and
+length, where that class has LEAST calibrating documents. A language without calibrating documents (the null language is one of its own) takes the quantile of all.
 Without any trusted text there is no judgement, and every document with text is kept.
 
 Null and empty texts have no loss and are rejected. Repeated rows are judged alike; a repeated id is trusted in all its
@@ -28,11 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import TABLES, cut, partitions, scratch
+from . import words
 from .common import PIECE_BYTES, batch_of, col, narrow
 
 ORDER = 5  # bytes of an n-gram; up to 7 fit a signed 64-bit number
 QUANTILE, MARGIN = 0.98, 0.02
 CALIBRATE = 5
+#: Calibrating documents that a class of language and length has, to have thresholds of its own.
+LEAST = 50
 BLOCK_BYTES = 8 << 20
 
 
@@ -309,7 +316,8 @@ def probabilities(counted: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 class Judged:
-    """blocks: the documents; losses: (block, pos, doc_id, lang, n_bytes, loss, calibrates, kept)."""
+    """blocks: the documents; losses: (block, pos, doc_id, lang, n_bytes, loss, word_loss, worst, calibrates,
+    threshold, word_threshold, worst_threshold, kept)."""
 
     def __init__(self, docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN) -> None:
         spark = docs.sparkSession
@@ -323,34 +331,54 @@ class Judged:
         requests = cut(_requests(self.blocks, marks.select("block", "fit"), shards))
         counted = cut(_counted(requests))
         answers = _answers(requests, probabilities(counted), shards).groupBy("block").agg(F.collect_list(F.struct("shard", "values")).alias("answers"))
-        schema = pa.schema([("block", pa.int64()), ("pos", pa.int32()), ("doc_id", pa.int64()), ("lang", pa.string()), ("n_bytes", pa.int64()), ("loss", pa.float64()), ("calibrates", pa.bool_())])
+        model = words.Model(words.counted(self.blocks, marks.select("block", "fit"), _rows, _pieces), discounts)
+        first = model.first
+        spoken = words.answers(words.requests(self.blocks, shards, _rows, _pieces), model, shards).groupBy("block").agg(F.collect_list(F.struct("shard", "values")).alias("spoken"))
+        schema = pa.schema([("block", pa.int64()), ("pos", pa.int32()), ("doc_id", pa.int64()), ("lang", pa.string()), ("n_bytes", pa.int64()), ("loss", pa.float64()), ("word_loss", pa.float64()), ("worst", pa.float64()), ("calibrates", pa.bool_())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for block, blob, got, test in zip(b.column("block").to_pylist(), b.column("blob"), b.column("answers").to_pylist(), b.column("test").to_pylist(), strict=True):
+                for block, blob, got, said, test in zip(b.column("block").to_pylist(), b.column("blob"), b.column("answers").to_pylist(), b.column("spoken").to_pylist(), b.column("test").to_pylist(), strict=True):
                     t = _rows(blob.as_buffer())
                     texts = t.column("_text").to_pylist()
                     g, _, _ = _distinct(texts, set(), shards)
                     logp = np.concatenate([np.frombuffer(a["values"], np.float32) for a in sorted(got or (), key=lambda a: a["shard"])] or [np.zeros(0, np.float32)])
                     places, test = Places(g), set(test or ())
-                    counts, losses = [], []
+                    k, shard = words.distinct(texts, shards, _pieces)
+                    values, known, speaker = words.opened(k, shard, said or ()), Places(k), words.Words()
+                    counts, losses, means, worst = [], [], [], []
                     for _, part in _pieces(texts):
                         x, n = grams(part)
-                        total = np.concatenate(([0.0], np.cumsum(logp[places.of(x)], dtype=np.float64)))
+                        each = logp[places.of(x)]
+                        more, most = words.losses(speaker, part, n, each, known, values, first)
+                        means += more
+                        worst += most
+                        total = np.concatenate(([0.0], np.cumsum(each, dtype=np.float64)))
                         ends = np.cumsum(n)
                         counts += n.tolist()
                         losses += [(total[e - k] - total[e]) / k if k else None for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
-                    yield batch_of(schema, [np.full(len(texts), block), np.arange(len(texts), dtype=np.int32), t.column("_id").combine_chunks(), t.column("_lang").combine_chunks(), counts, losses, [i in test for i in range(len(texts))]])
+                    yield batch_of(schema, [np.full(len(texts), block), np.arange(len(texts), dtype=np.int32), t.column("_id").combine_chunks(), t.column("_lang").combine_chunks(), counts, losses, means, worst, [i in test for i in range(len(texts))]])
 
-        scored = self.blocks.select("block", "blob").join(answers, "block", "left").join(marks.select("block", "test"), "block", "left").select("block", "blob", "answers", "test").mapInArrow(run, "block long, pos int, doc_id long, lang string, n_bytes long, loss double, calibrates boolean")
+        scored = self.blocks.select("block", "blob").join(answers, "block", "left").join(spoken, "block", "left").join(marks.select("block", "test"), "block", "left").select("block", "blob", "answers", "spoken", "test").mapInArrow(run, "block long, pos int, doc_id long, lang string, n_bytes long, loss double, word_loss double, worst double, calibrates boolean")
         scored = cut(scored)
         sample = scored.filter("calibrates and loss is not null")
         per = sample.groupBy("lang").agg(F.percentile_approx("loss", quantile, 10_000).alias("q"))
         everything = sample.agg(F.percentile_approx("loss", quantile, 10_000).alias("q")).first()["q"]
         self.thresholds = cut(per.select(F.col("lang").alias("own"), (F.col("q") + margin).alias("q")))
         limit = F.coalesce("q", F.lit(everything + margin if everything is not None else float("inf")))
-        joined = scored.join(self.thresholds, F.col("lang").eqNullSafe(F.col("own")), "left")
-        self.losses = joined.select(*scored.columns, limit.alias("threshold"), F.coalesce(F.col("loss") <= limit, F.lit(False)).alias("kept"))
+        joined = scored.join(self.thresholds, F.col("lang").eqNullSafe(F.col("own")), "left").withColumn("threshold", limit).drop("own", "q")
+        # word loss and worst passage: by language and length (doublings of bytes), by language, or of all
+        length = F.floor(F.log2(F.greatest(F.col("n_bytes"), F.lit(1)))).cast("int")
+        both = lambda q: F.struct(*((F.percentile_approx(c, quantile, 10_000) + margin).alias(c) for c in ("word_loss", "worst"))).alias(q)
+        fine = cut(sample.groupBy(F.col("lang").alias("own"), length.alias("size")).agg(both("fine"), F.count("*").alias("n")).filter(F.col("n") >= LEAST).drop("n"))
+        coarse = cut(sample.groupBy(F.col("lang").alias("own")).agg(both("coarse")))
+        least = sample.agg(both("q")).first()["q"]
+        joined = joined.join(fine, F.col("lang").eqNullSafe(F.col("own")) & (length == F.col("size")), "left").drop("own", "size")
+        joined = joined.join(coarse, F.col("lang").eqNullSafe(F.col("own")), "left").drop("own")
+        for c, name in (("word_loss", "word_threshold"), ("worst", "worst_threshold")):
+            joined = joined.withColumn(name, F.coalesce(F.col("fine")[c], F.col("coarse")[c], F.lit(least[c] if least[c] is not None else float("inf"))))
+        kept = (F.col("loss") <= F.col("threshold")) & (F.col("word_loss") <= F.col("word_threshold")) & (F.col("worst") <= F.col("worst_threshold"))
+        self.losses = joined.select(*scored.columns, "threshold", "word_threshold", "worst_threshold", F.coalesce(kept, F.lit(False)).alias("kept"))
 
     def keep(self) -> DataFrame:
         """The rows that are kept, with all their columns."""
@@ -376,6 +404,7 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def classify(docs: DataFrame, trusted: DataFrame, **options) -> DataFrame:
-    """(doc_id, lang, n_bytes, loss, perplexity, threshold, kept) of every document."""
+    """(doc_id, lang, n_bytes, loss, perplexity, threshold, word_loss, word_threshold, worst, worst_threshold, kept) of
+    every document."""
     j = Judged(docs, trusted, **options)
-    return j.losses.select("doc_id", "lang", "n_bytes", "loss", F.exp("loss").alias("perplexity"), "threshold", "kept")
+    return j.losses.select("doc_id", "lang", "n_bytes", "loss", F.exp("loss").alias("perplexity"), "threshold", "word_loss", "word_threshold", "worst", "worst_threshold", "kept")

@@ -73,6 +73,71 @@ def test_losses_are_those_of_a_plain_model(spark):
     assert not kept[202] and not kept[203] and sum(kept[i] for i in range(100)) >= 95
 
 
+def word_kneser_ney(texts, spelling):
+    """Loss of a text's words by plain counts; spelling(text, begin, end) is the log-probability of a span of bytes."""
+
+    def grams(t):
+        w = [b"", b"", *t.encode().split()]
+        return [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+
+    counts = {3: Counter(g for t in texts for g in grams(t))}
+    for k in (2, 1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    discounts, totals, masses = {}, {}, {}
+    for k, c in counts.items():
+        of = Counter(c.values())
+        discounts[k] = quality.discounts(*(of[i] for i in (1, 2, 3, 4)))
+        totals[k], masses[k] = Counter(), Counter()
+        for g, n in c.items():
+            totals[k][g[:-1]] += n
+            masses[k][g[:-1]] += discounts[k][min(n, 3) - 1]
+
+    def p(g, base):
+        if not g:
+            return base
+        k, low = len(g), p(g[1:], base)
+        if not totals[k][g[:-1]]:
+            return low
+        n = counts[k][g]
+        return ((n - discounts[k][min(n, 3) - 1] if n else 0) + masses[k][g[:-1]] * low) / totals[k][g[:-1]]
+
+    def loss(t):
+        b, out = t.encode(), 0.0
+        for g, m in zip(grams(t), re.finditer(rb"\S+\s?", b), strict=True):
+            out -= math.log(p(g, math.exp(spelling(t, *m.span()))))
+        return out / len(b)
+
+    return loss
+
+
+def test_word_losses_are_those_of_a_plain_model(spark):
+    rnd = random.Random(4)
+    words = ["alphabet", "betatron", "gammaray", "déltawing", "of", "the"]
+    rows = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 40))), "en") for i in range(80)] + [(90, "unknown alphabet wordings of gammaray", "en"), (91, "", "en")]
+    trusted = spark.createDataFrame([(i,) for i in range(60)], "doc_id long")
+    calibrates = {r[0] for r in trusted.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(quality.CALIBRATE))).collect() if r[1] == 0}
+    fit = [t for i, t, _ in rows if i < 60 and i not in calibrates]
+    byte = kneser_ney(fit)
+    prefix = lambda t, n: -byte(t.encode()[:n].decode(errors="surrogateescape")) * n if n else 0.0
+    loss = word_kneser_ney(fit, lambda t, begin, end: prefix(t, end) - prefix(t, begin))
+    text = {i: t for i, t, _ in rows}
+    for r in quality.classify(frame(spark, rows), trusted).collect():
+        if text[r["doc_id"]]:
+            assert r["word_loss"] == pytest.approx(loss(text[r["doc_id"]]), rel=1e-4)
+        else:
+            assert r["word_loss"] is None and not r["kept"]
+
+
+def test_one_bad_passage_is_seen(spark):
+    rnd = random.Random(5)
+    words = ["alphabet", "betatron", "gammaray", "deltawing", "epsilon", "of", "the"]
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    rows = [(i, text(rnd.randint(3000, 4000)), "en") for i in range(60)]
+    rows += [(100, text(1800) + " " + "".join(rnd.choice("qzxjkv0123#%") for _ in range(70)) + " " + text(1800), "en"), (101, text(3600), "en")]
+    got = {r["doc_id"]: r for r in quality.classify(frame(spark, rows), spark.createDataFrame([(i,) for i in range(60)], "doc_id long")).collect()}
+    assert got[100]["loss"] <= got[100]["threshold"] and not got[100]["kept"] and got[101]["kept"]
+
+
 def test_kept_rows_have_all_columns(spark):
     rows = [(i, f"plain words number {i}", "en") for i in range(50)] + [(99, "@@@@ ==== ~~~~ ^^^^", "en")]
     d = frame(spark, rows)
