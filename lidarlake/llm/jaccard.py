@@ -91,16 +91,16 @@ def _key(s: np.ndarray) -> bytes | None:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return narrow(docs, doc_id=(id_col, "long"), text=(text_col, "string"))
+    return narrow(docs, doc_id=(id_col, "long"), text=(text_col, "string")).withColumn("t", F.xxhash64("text"))
 
 
 # --- sets, and frequent shingles ----------------------------------------------------------------------------------
 
-_SEEN = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("hash", pa.int64()), ("times", pa.int64())])
+_SEEN = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("hash", pa.int64()), ("times", pa.int64()), ("t", pa.int64())])
 
 
 def _survey(texts: DataFrame) -> DataFrame:
-    """A row (doc_id, n, key) per document, and rows (hash, times) of shingles that two or more sets of a batch share."""
+    """A row (doc_id, n, key, t) per document, t a hash of its text, and rows (hash, times) of shingles that two or more sets of a batch share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -110,7 +110,7 @@ def _survey(texts: DataFrame) -> DataFrame:
                 sets = hasher.sets(b.column("text").to_pylist())
                 keys = [_key(s) for s in sets]
                 held.update((k, s) for k, s in zip(keys, sets, strict=True) if k)
-                yield batch_of(_SEEN, [b.column("doc_id"), [len(s) for s in sets], keys, pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.int64())])
+                yield batch_of(_SEEN, [b.column("doc_id"), [len(s) for s in sets], keys, pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.int64()), b.column("t")])
             if held:
                 values = np.sort(np.concatenate(list(held.values())))
                 starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
@@ -118,9 +118,9 @@ def _survey(texts: DataFrame) -> DataFrame:
                 often = times >= 2
                 n = int(often.sum())
                 if n:
-                    yield batch_of(_SEEN, [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), values[starts[often]].view(np.int64), times[often]])
+                    yield batch_of(_SEEN, [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), values[starts[often]].view(np.int64), times[often], pa.nulls(n, pa.int64())])
 
-    return texts.mapInArrow(run, "doc_id long, n long, key binary, hash long, times long")
+    return texts.mapInArrow(run, "doc_id long, n long, key binary, hash long, times long, t long")
 
 
 class Order:
@@ -433,48 +433,63 @@ def _verify(pairs: DataFrame, roots: DataFrame | None, nodes: DataFrame, texts:
     return rows.repartition(partitions(spark), "a", "salt").sortWithinPartitions("a", "salt", "kind").mapInArrow(run, "u binary, v binary")
 
 
+class _Linked:
+    """base: (doc_id, n, key, t) of every document; links: verified (u, v); placed: (key, least, root) of every set."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, hot: int) -> None:
+        spark = docs.sparkSession
+        texts = _texts(docs, id_col, text_col)
+        shards = max(16, 2 * partitions(spark))
+        survey = cut(_survey(texts))
+        self.base = survey.filter("hash is null").select("doc_id", "n", "key", "t")
+        order = spark.sparkContext.broadcast(_frequent(survey, hot))
+        found = cut(_lists(_prefixes(texts, order, shards)))
+        stars = cut(found.filter("shard is null").groupBy("a", "b").agg(F.count("*").alias("votes")))
+        nodes = cut(self.base.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least")))
+        # each member first meets the centre that it shares most lists with; that settles most of the other pairs
+        first = cut(stars.groupBy("b").agg(F.max(F.struct("votes", "a")).alias("best")).select(F.col("best.a").alias("a"), "b"))
+        links = cut(_verify(first, None, nodes, texts))
+        roots = components(links)
+        across = _across(found, roots).select("a", "b").unionByName(stars.join(first, ["a", "b"], "left_anti").select("a", "b"))
+        more = cut(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        if not more.isEmpty():
+            fresh = cut(_verify(more, roots, nodes, texts))
+            links = links.unionByName(fresh)
+            roots = components(roots.withColumnRenamed("root", "v").unionByName(fresh))
+        self.links = links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        self.placed = nodes.join(roots.withColumnRenamed("u", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links): n_links counts verified links of the document's set."""
-    spark = docs.sparkSession
-    texts = _texts(docs, id_col, text_col)
-    shards = max(16, 2 * partitions(spark))
-    survey = cut(_survey(texts))
-    base = survey.filter("hash is null").select("doc_id", "n", "key")
-    order = spark.sparkContext.broadcast(_frequent(survey, hot))
-    found = cut(_lists(_prefixes(texts, order, shards)))
-    stars = cut(found.filter("shard is null").groupBy("a", "b").agg(F.count("*").alias("votes")))
-    nodes = cut(base.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least")))
-    # each member first meets the centre that it shares most lists with; that settles most of the other pairs
-    first = cut(stars.groupBy("b").agg(F.max(F.struct("votes", "a")).alias("best")).select(F.col("best.a").alias("a"), "b"))
-    links = cut(_verify(first, None, nodes, texts))
-    roots = components(links)
-    across = _across(found, roots).select("a", "b").unionByName(stars.join(first, ["a", "b"], "left_anti").select("a", "b"))
-    more = cut(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    if not more.isEmpty():
-        fresh = cut(_verify(more, roots, nodes, texts))
-        links = links.unionByName(fresh)
-        roots = components(roots.withColumnRenamed("root", "v").unionByName(fresh))
-    links = links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    degree = links.distinct().select(F.explode(F.array("u", "v")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
-    placed = nodes.join(roots.withColumnRenamed("u", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(ids, "root").join(degree, "key", "left").select("key", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = base.join(named, "key", "left")
+    found = _Linked(docs, id_col, text_col, hot)
+    degree = found.links.distinct().select(F.explode(F.array("u", "v")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
+    ids = found.placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = found.placed.join(ids, "root").join(degree, "key", "left").select("key", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = found.base.join(named, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, one of each component: the one with the least id. Rows without an id stay."""
-    found = cut(join(docs, id_col, text_col))
-    gone = cut(found.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("keeper")).filter("not keeper").select(F.col("doc_id").alias("gone_id")))
+    """The rows of docs, one of each component: the one with the least id, then the least hash of its text. Of rows with
+    an empty set one of each id stays. Rows without an id stay."""
+    linked = _Linked(docs, id_col, text_col, HOT)
+    base = linked.base.filter("doc_id is not null")
+    own = base.filter("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "t")).alias("best"))
+    best = linked.placed.join(own, "key").groupBy("root").agg(F.min("best").alias("best")).select("best.doc_id", "best.t")
+    empty = base.filter("key is null").groupBy("doc_id").agg(F.min("t").alias("t"))
+    stay = cut(best.unionByName(empty))
+    # equal texts have one set, so an id and a text's hash are in one component
+    count = cut(base.groupBy("doc_id", "t").agg(F.count("*").alias("n")).join(stay.withColumn("stays", F.lit(True)), ["doc_id", "t"], "left"))
+    gone = count.filter("stays is null").select(F.col("doc_id").alias("gone_id"), F.col("t").alias("gone_t"))
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     # whole rows in one column, so that no name of theirs meets one of these
-    held = docs.select(F.struct(*(col(c) for c in docs.columns)).alias("row"), col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"))
-    kept = held.filter("id is not null").join(F.broadcast(gone) if few else gone, F.col("id") == F.col("gone_id"), "left_anti")
-    again = cut(found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("again_id")))
-    if not again.isEmpty():  # an id that occurs more than once: one of its rows, by text
-        same = F.col("id") == F.col("again_id")
-        one = kept.join(again, same, "left_semi").groupBy("id").agg(F.min_by("row", F.xxhash64("text")).alias("row"))
+    held = docs.select(F.struct(*(col(c) for c in docs.columns)).alias("row"), col(id_col).cast("long").alias("id"), F.xxhash64(col(text_col).cast("string")).alias("t"))
+    kept = held.filter("id is not null").join(F.broadcast(gone) if few else gone, (F.col("id") == F.col("gone_id")) & (F.col("t") == F.col("gone_t")), "left_anti")
+    again = count.filter("stays and n > 1").select(F.col("doc_id").alias("again_id"), F.col("t").alias("again_t"))
+    if not again.isEmpty():  # rows that stay and occur more than once: one of them
+        same = (F.col("id") == F.col("again_id")) & (F.col("t") == F.col("again_t"))
+        one = kept.join(again, same, "left_semi").groupBy("id", "t").agg(F.first("row").alias("row"))
         kept = kept.join(again, same, "left_anti").select("row").unionByName(one.select("row"))
     rows = kept.select("row").unionByName(held.filter("id is null").select("row"))
     return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns))

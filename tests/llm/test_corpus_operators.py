@@ -221,6 +221,15 @@ def test_repeated_and_missing_ids(spark):
     assert jaccard.join(d.limit(0)).count() == 0
 
 
+def test_no_component_vanishes(spark):
+    a, b, c = ("a b c d e f g h i j k l", "m n o p q r s t u v w x", "other words of no one else")
+    rows = [(5, a, "en"), (3, a.upper(), "en"), (5, b, "en"), (5, b, "en"), (5, c, "en"), (7, b, "en"), (8, None, "en"), (8, None, "en"), (5, "", "en")]
+    kept = jaccard.keep_one(frame(spark, rows)).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == {(3, a.upper()): 1, (5, b): 1, (5, c): 1, (8, None): 1, (5, ""): 1}
+    hot = [(1, " ".join(f"w{i}x{k}" for k in range(8)), "en") for i in range(40)]
+    assert jaccard.keep_one(frame(spark, hot)).count() == 40
+
+
 def test_divide_skip_counts_right():
     rnd = np.random.default_rng(0)
     for _ in range(60):
