@@ -397,10 +397,33 @@ def _verify(pairs: DataFrame, roots: DataFrame | None, nodes: DataFrame, texts:
     dealt = (sides if sizes is None else sides.join(sizes, "g")).select("i", "q", "g", F.pmod(F.xxhash64("i"), F.ceil(F.col("size") / GROUP)).cast("int").alias("salt"))
     members = dealt.select(F.col("i").alias("key"), F.col("g").alias("a"), "salt", F.lit(0).alias("kind"))
     queries = dealt.select(F.col("q").alias("key"), F.col("g").alias("a"), "salt", F.lit(1).alias("kind"))
-    wanted = cut(members.unionByName(queries).distinct().join(nodes, "key").select(F.col("least").alias("doc_id"), "key", "a", "salt", "kind"))
+    rows = _sent(members.unionByName(queries).distinct(), nodes, texts)
+    schema = pa.schema([("u", pa.binary()), ("v", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, names, held = None, [], []
+        for b in batches:
+            for a, salt, kind, key, blob in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if (a, salt) != now:
+                    now, names, held = (a, salt), [], []
+                s = np.frombuffer(blob, np.uint64)
+                if kind == 0:
+                    names.append(key)
+                    held.append(s)
+                elif held and (found := divide_skip(s, held)):
+                    yield batch_of(schema, [[key] * len(found), [names[i] for i in found]])
+
+    spark = pairs.sparkSession
+    return rows.repartition(partitions(spark), "a", "salt").sortWithinPartitions("a", "salt", "kind").mapInArrow(run, "u binary, v binary")
+
+
+def _sent(asked: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, salt, kind, b, hashes, times): the sets of asked (key, a, salt, kind), straight from their documents. A set comes
+    once for each row that has its least id and its shingles."""
+    wanted = cut(asked.join(nodes, "key").select(F.col("least").alias("doc_id"), "key", "a", "salt", "kind", "times"))
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    placed = texts.join(F.broadcast(wanted) if few else wanted, "doc_id").select("text", "key", "a", "salt", "kind")
-    sent = pa.schema([("a", pa.binary()), ("salt", pa.int32()), ("kind", pa.int32()), ("b", pa.binary()), ("hashes", pa.binary())])
+    placed = texts.join(F.broadcast(wanted) if few else wanted, "doc_id").select("text", "key", "a", "salt", "kind", "times")
+    sent = pa.schema([("a", pa.binary()), ("salt", pa.int32()), ("kind", pa.int32()), ("b", pa.binary()), ("hashes", pa.binary()), ("times", pa.int64())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -409,43 +432,57 @@ def _verify(pairs: DataFrame, roots: DataFrame | None, nodes: DataFrame, texts:
             once = list(dict.fromkeys(texts))
             made = dict(zip(once, hasher.sets(once), strict=True))
             names = {t: _key(x) for t, x in made.items()}
-            rows = [(a, salt, kind, key, made[t].tobytes()) for t, key, a, salt, kind in zip(texts, *(b.column(i).to_pylist() for i in range(1, 5)), strict=True) if names[t] == key]  # an id may have other texts
+            rows = [(a, salt, kind, key, made[t].tobytes(), times) for t, key, a, salt, kind, times in zip(texts, *(b.column(i).to_pylist() for i in range(1, 6)), strict=True) if names[t] == key]  # an id may have other texts
             if rows:
                 yield batch_of(sent, [*zip(*rows, strict=True)])
 
-    rows = placed.mapInArrow(send, "a binary, salt int, kind int, b binary, hashes binary")
-    schema = pa.schema([("u", pa.binary()), ("v", pa.binary())])
+    return placed.mapInArrow(send, "a binary, salt int, kind int, b binary, hashes binary, times long")
+
+
+def _degrees(placed: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, n_links) of every set: the documents, without itself, whose sets reach the overlap with it; equal sets count
+    as often as they occur. All pairs inside a component are compared: its members lie in chunks, each searched by all of
+    them."""
+    many = placed.groupBy("root").agg(F.count("*").alias("size")).filter("size > 1")
+    dealt = placed.join(many, "root").select("key", F.col("root").alias("a"), F.ceil(F.col("size") / GROUP).cast("int").alias("chunks"))
+    members = dealt.select("key", "a", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int").alias("salt"), F.lit(0).alias("kind"))
+    queries = dealt.select("key", "a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("salt"), F.lit(1).alias("kind"))
+    rows = _sent(members.unionByName(queries), nodes, texts)
+    schema = pa.schema([("key", pa.binary()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, names, held = None, [], []
+        now, often, held, last = None, [], [], None
         for b in batches:
-            for a, salt, kind, key, blob in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            for a, salt, kind, key, blob, times in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                 if (a, salt) != now:
-                    now, names, held = (a, salt), [], []
-                s = np.frombuffer(blob, np.uint64)
+                    now, often, held, last = (a, salt), [], [], None
+                if last == (kind, key):  # a repeated row of the document
+                    continue
+                last, s = (kind, key), np.frombuffer(blob, np.uint64)
                 if kind == 0:
-                    names.append(key)
+                    often.append(times)
                     held.append(s)
                 elif held and (found := divide_skip(s, held)):
-                    yield batch_of(schema, [[key] * len(found), [names[i] for i in found]])
+                    yield batch_of(schema, [[key], [sum(often[i] for i in found)]])
 
-    spark = pairs.sparkSession
-    return rows.repartition(partitions(spark), "a", "salt").sortWithinPartitions("a", "salt", "kind").mapInArrow(run, "u binary, v binary")
+    spark = placed.sparkSession
+    sums = rows.repartition(partitions(spark), "a", "salt").sortWithinPartitions("a", "salt", "kind", "b").mapInArrow(run, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return nodes.join(sums, "key", "left").select("key", (F.coalesce("n", "times") - 1).alias("n_links"))
 
 
 class _Linked:
-    """base: (doc_id, n, key, t) of every document; links: verified (u, v); placed: (key, least, root) of every set."""
+    """base: (doc_id, n, key, t) of every document; placed: (key, least, root) of every set."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, hot: int) -> None:
         spark = docs.sparkSession
-        texts = _texts(docs, id_col, text_col)
+        self.texts = texts = _texts(docs, id_col, text_col)
         shards = max(16, 2 * partitions(spark))
         survey = cut(_survey(texts))
         self.base = survey.filter("hash is null").select("doc_id", "n", "key", "t")
         order = spark.sparkContext.broadcast(_frequent(survey, hot))
         found = cut(_lists(_prefixes(texts, order, shards)))
         stars = cut(found.filter("shard is null").groupBy("a", "b").agg(F.count("*").alias("votes")))
-        nodes = cut(self.base.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least")))
+        self.nodes = nodes = cut(self.base.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("times")))
         # each member first meets the centre that it shares most lists with; that settles most of the other pairs
         first = cut(stars.groupBy("b").agg(F.max(F.struct("votes", "a")).alias("best")).select(F.col("best.a").alias("a"), "b"))
         links = cut(_verify(first, None, nodes, texts))
@@ -454,20 +491,21 @@ class _Linked:
         more = cut(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if not more.isEmpty():
             fresh = cut(_verify(more, roots, nodes, texts))
-            links = links.unionByName(fresh)
             roots = components(roots.withColumnRenamed("root", "v").unionByName(fresh))
-        self.links = links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        self.placed = nodes.join(roots.withColumnRenamed("u", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        self.placed = nodes.join(roots.withColumnRenamed("u", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")).select("key", "least", "root")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links): n_links counts verified links of the document's set."""
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, count: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links): n_links counts the other documents whose sets link with the
+    document's; without `count` it is left out."""
     found = _Linked(docs, id_col, text_col, hot)
-    degree = found.links.distinct().select(F.explode(F.array("u", "v")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
     ids = found.placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = found.placed.join(ids, "root").join(degree, "key", "left").select("key", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = found.placed.join(ids, "root").select("key", "component_id")
+    if count:
+        named = named.join(_degrees(cut(found.placed.select("key", "root")), found.nodes, found.texts), "key", "left")
     out = found.base.join(named, "key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component, *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if count else []))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -514,3 +552,16 @@ reach AS (
 SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, c.component_id
 FROM s JOIN (SELECT u, min(v) AS component_id FROM reach GROUP BY u) c ON c.u = s.doc_id
 """
+
+#: The same with the number of other documents that a document links with.
+ORACLE_LINKS = f"""SELECT c.*, coalesce(d.n_links, 0) AS n_links FROM ({ORACLE}) c LEFT JOIN (
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN ['short ' || array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) END AS sh FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+link AS (SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 175 * count(*) >= 75 * (a.n + b.n))
+SELECT u, count(*) AS n_links FROM link GROUP BY u) d ON d.u = c.doc_id
+"""

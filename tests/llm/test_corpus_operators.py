@@ -221,6 +221,21 @@ def test_repeated_and_missing_ids(spark):
     assert jaccard.join(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("group", [256, 3])
+def test_links_are_those_of_all_pairs(spark, monkeypatch, group):
+    monkeypatch.setattr(jaccard, "GROUP", group)
+    rows = near_copies(6)
+    base = [f"w{k}" for k in range(80)]
+    rows += [(1000 + i, " ".join([*base[:i], f"new{i}", *base[i + 1 :]]), "en") for i in range(0, 80, 4)] + [(2000, " ".join(base), "en"), (2000, " ".join(base), "en"), (2001, " ".join(base), "en")]
+    sets = []
+    for _, t, _ in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    want = Counter((i, sum(100 * len(s & o) >= 75 * len(s | o) for k, o in enumerate(sets) if k != at and o) if s else 0) for at, ((i, _, _), s) in enumerate(zip(rows, sets, strict=True)))
+    got = jaccard.join(frame(spark, rows)).collect()
+    assert Counter((r["doc_id"], r["n_links"]) for r in got) == want
+
+
 def test_no_component_vanishes(spark):
     a, b, c = ("a b c d e f g h i j k l", "m n o p q r s t u v w x", "other words of no one else")
     rows = [(5, a, "en"), (3, a.upper(), "en"), (5, b, "en"), (5, b, "en"), (5, c, "en"), (7, b, "en"), (8, None, "en"), (8, None, "en"), (5, "", "en")]
