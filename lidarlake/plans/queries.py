@@ -11,7 +11,7 @@ from ..functions.missing import metric_set, nullify
 from ..operators import clip, extract, granules, grid, profiles, spatial, stats, waveform
 from ..runtime import scratch, ship
 from ..sources import catalog, views
-from .products import CANOPY, CANOPY_DEFAULT, HEIGHT_COLUMNS, HEIGHTS, N_RH, PAI, PAVD, PROFILE_COLUMNS, WAVEFORM_GEO, profile_names
+from .products import BEAMS, CANOPY, CANOPY_DEFAULT, HEIGHT_COLUMNS, HEIGHTS, N_RH, PAI, PAVD, PROFILE_COLUMNS, WAVEFORM_GEO, profile_names
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,6 +91,12 @@ def beam_union(spark, d):
     return extract.union([extract.of_beam(s, "BEAM0000"), s.select("beam").limit(0), extract.of_beam(s, "BEAM1011")])
 
 
+@query("SELECT beam, shot_number, value FROM shots")
+def beam_union_all(spark, d):
+    s = views.shots(spark, d).select("beam", "shot_number", "value")
+    return extract.union([extract.of_beam(s, b) for b in BEAMS])
+
+
 @query("SELECT shot_number, value FROM shots WHERE beam = 'BEAM0101'")
 def beam_filter(spark, d):
     return extract.of_beam(views.shots(spark, d), BEAM).select("shot_number", "value")
@@ -335,6 +341,16 @@ def grid_dense(spark, d):
     return grid.densify(grid.grid_stats(s.filter("k = 1"), "lon", "lat", _RES, {"n": F.count("*")}, grid=g), g).select("cell", "n")
 
 
+_FINE = 1 / 512
+
+
+@query(_CELLS.replace("0.125e0", f"{_FINE}e0") + "SELECT CAST(i AS BIGINT) AS cell, n FROM (SELECT unnest(range(1, nc * nr + 1)) AS i FROM g) LEFT JOIN (SELECT cell, count(*) AS n FROM cells GROUP BY 1) ON cell = i")
+def grid_dense_all(spark, d):
+    s = views.shots(spark, d)
+    g = grid.grid_of(s, "lon", "lat", _FINE)
+    return grid.densify(grid.grid_stats(s, "lon", "lat", _FINE, {"n": F.count("*")}, grid=g), g).select("cell", "n")
+
+
 _BULK = ", bulk AS (SELECT CAST((l_partkey * 37) % 1009 AS DOUBLE) / 1024e0 AS lon, CAST((l_suppkey * 53) % 997 AS DOUBLE) / 1024e0 AS lat, l_quantity AS value, 0 AS k FROM lineitem)"
 
 

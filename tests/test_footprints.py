@@ -253,3 +253,14 @@ def test_granule_source_reads_beams_of_a_crafted_file(spark):
 def test_product_tables_round_trip(spark, tmp_path):
     spark.createDataFrame([], source.SCHEMAS["heights"]).write.parquet(f"{tmp_path}/h")
     assert source.read_product(spark, f"{tmp_path}/h", "heights", ["beam", "rh"]).columns == ["beam", "rh"]
+
+
+def test_dense_grid_and_union_hold_every_shot(spark, sf_dir):
+    from lidarlake.plans.queries import QUERIES
+    from lidarlake.sources import views
+
+    shots = views.shots(spark, sf_dir)
+    cells = [r["n"] for r in QUERIES["grid_dense_all"](spark, sf_dir).collect()]
+    assert None in cells and sum(n or 0 for n in cells) == shots.count()
+    union = QUERIES["beam_union_all"](spark, sf_dir)
+    assert union.count() == shots.count() and union.select("beam").distinct().count() == 8
