@@ -3,26 +3,32 @@
 A document's set holds the hashes of its distinct shingles of five words. Equal sets are one node. Two sets of sizes a
 and b have a Jaccard similarity of 0.75 or more exactly if they share T = ceil(3 (a + b) / 7) shingles.
 
-Candidates come from prefix lists, losslessly: shingles are put in one global order, the frequent ones last, and two
-linked sets share a shingle within the first a - ceil(3 a / 4) + 1 of the larger and the first b - ceil(6 b / 7) + 1 of
-the smaller. Lists are dealt to shards by hash. Each list links its members to its least one (a star, not all pairs);
-lists of two are then done. Components of the verified stars settle most lists; from those that still hold members of
-different components, only pairs across components are verified, under the size and position bounds. A star's centre
-is the member with most frequent shingles, which of a group of edited copies is the one with fewest edits.
-
-Verification is a DivideSkip search: a query's candidates are indexed by the query's shingles, the short lists are
-merged by a heap, the long ones are probed by binary search, and those that occur T times or more stay.
-
-The order's frequent shingles (at most HOT of them, counted over all documents) only steer which shingles are called
-rare; results do not depend on them. Null and empty texts have empty sets and link with nothing; their component is
-their own id. Fewer than five words are one shingle. Repeated rows and ids are fine: nodes are sets, a component's id is
-the least doc_id of its rows. A set that only rows without an id have links with equal sets only. Empty tables stay empty.
+Rows lie in blocks, and a row is known by its place in them, so that rows without an id and rows that share one are like
+all others. Blocks ask shards how many sets hold each of their shingles; shards answer with the doublings of that number.
+It is the order in which a set's rare shingles come first, and tells which shingles no other set has.
+
+Candidates come from prefix lists, losslessly: two linked sets share a shingle within the first a - ceil(3 a / 4) + 1 of
+the larger and the first b - ceil(6 b / 7) + 1 of the smaller; shingles of one set only need no list. Each list links its
+members to its least one (a star, not all pairs). Components of these settle most lists; in those that still hold members
+of different components, pairs across components are compared where the list is. Every candidate pair has to pass the
+bounds of sizes and positions and a bound by parity sketches: each shingle flips one bit of its set's sketch, so sketches
+differ in no more bits than the sets do in shingles. No link is lost by any of these.
+
+Components of the candidate pairs are groups that hold every link. Their sets, and no others, are sent once to the
+group's chunks, where each is searched by DivideSkip: the inverted lists of a chunk's members are indexed once; a query's
+short lists are merged by a heap, its long ones are probed by binary search, and those that occur T times or more stay.
+All links are found there, and so the number of links of each document and the components. A set of a group of k chunks
+travels k times.
+
+Nothing is capped: df, lists, groups and searches take all rows. Null and empty texts have empty sets and link with
+nothing; their component is their own id. Fewer than five words are one shingle. Texts of any length are one set.
+Repeated rows and ids are fine: nodes are sets; a component's id is the least doc_id of its rows, null where none has
+one. Columns other than id and text are not looked at. Empty tables stay empty.
 """
 
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,20 +37,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut, partitions
-from .common import batch_of, col, narrow, pieces
+from ..runtime import cut, discard, partitions
+from . import blocks as blocked
+from .blocks import expand, expand_ascending, pieces, range_shard, squeeze, squeeze_ascending
+from .common import batch_of
 from .components import components
 
 WORDS = 5
-#: Most frequent shingles that the order knows; 16 bytes each on the driver and in every worker.
-HOT = 1_000_000
-#: Members of a query's index in one group of a verification.
-GROUP = 256
-#: Up to so many rows (about 40 MB) the list of what sets are wanted for is broadcast to the documents; beyond, both
-#: are shuffled by id.
-BROADCAST_ROWS = 500_000
-#: Documents whose prefixes travel together.
-CHUNK = 16_384
+#: Bits of a shingle's hash by which sets are counted; more sets than there are only make lists longer.
+BITS = 48
+#: Text bytes that a shard counts shingles of.
+SHARD_BYTES = 16 << 20
+#: Shingles of the members of one chunk of a group.
+CHUNK = 1 << 18
+#: Bytes of words whose hashes a worker remembers.
+WORD_BYTES = 8 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,17 +61,20 @@ def need(a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray | int:
 
 
 class Hasher:
-    """Sets of shingle hashes of texts; hashes of words are cached."""
+    """Sets of shingle hashes of texts; hashes of words are remembered."""
 
     def __init__(self) -> None:
         self.words: dict[bytes, int] = {}
+        self.held = 0
 
     def _codes(self, words: list[bytes]) -> np.ndarray:
         known = self.words
-        if len(known) > 250_000:
+        if self.held > WORD_BYTES:
             known.clear()
+            self.held = 0
         for w in set(words).difference(known):
             known[w] = xxhash.xxh3_64_intdigest(w)
+            self.held += len(w) + 64
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
     def sets(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -86,124 +96,162 @@ class Hasher:
         return out
 
 
-def _key(s: np.ndarray) -> bytes | None:
-    return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
+class _Block:
+    """A block's rows, their keys (none for an empty set), and its distinct sets with the rows that hold them first."""
 
+    def __init__(self, blob, hasher: Hasher) -> None:
+        t = blocked.rows(blob)
+        self.ids, self.texts = t.column("_id").to_pylist(), t.column("_text").to_pylist()
+        self.keys: list[bytes | None] = []
+        self.sizes: list[int] = []
+        self.sets: dict[bytes, np.ndarray] = {}
+        self.first: dict[bytes, int] = {}
+        for begin, part in pieces(self.texts):
+            for i, s in enumerate(hasher.sets(part), begin):
+                k = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
+                self.keys.append(k)
+                self.sizes.append(len(s))
+                if k and k not in self.sets:
+                    self.sets[k], self.first[k] = s, i
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return narrow(docs, doc_id=(id_col, "long"), text=(text_col, "string")).withColumn("t", F.xxhash64("text"))
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct shingles' counted bits, ascending, and how many of the block's distinct sets hold each."""
+        if not self.sets:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.unique(np.concatenate(list(self.sets.values())) >> np.uint64(64 - BITS), return_counts=True)
 
 
-# --- sets, and frequent shingles ----------------------------------------------------------------------------------
+# --- how many sets hold a shingle ---------------------------------------------------------------------------------
 
-_SEEN = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("hash", pa.int64()), ("times", pa.int64()), ("t", pa.int64())])
+_ASK = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+_ANSWER = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("levels", pa.binary())])
 
 
-def _survey(texts: DataFrame) -> DataFrame:
-    """A row (doc_id, n, key, t) per document, t a hash of its text, and rows (hash, times) of shingles that two or more sets of a batch share."""
+def _levels(table: DataFrame, shards: int) -> DataFrame:
+    """(block, answers): for each block and shard, the doublings of the number of sets that hold each shingle."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for batch in batches:
-            held: dict[bytes, np.ndarray] = {}
-            for b in pieces(iter((batch,))):
-                sets = hasher.sets(b.column("text").to_pylist())
-                keys = [_key(s) for s in sets]
-                held.update((k, s) for k, s in zip(keys, sets, strict=True) if k)
-                yield batch_of(_SEEN, [b.column("doc_id"), [len(s) for s in sets], keys, pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.int64()), b.column("t")])
-            if held:
-                values = np.sort(np.concatenate(list(held.values())))
-                starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
-                times = np.diff(np.append(starts, len(values)))
-                often = times >= 2
-                n = int(often.sum())
-                if n:
-                    yield batch_of(_SEEN, [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), values[starts[often]].view(np.int64), times[often], pa.nulls(n, pa.int64())])
-
-    return texts.mapInArrow(run, "doc_id long, n long, key binary, hash long, times long, t long")
-
-
-class Order:
-    """The global order: shingles that are not known as frequent by hash, then the frequent ones, rarest first."""
-
-    def __init__(self, hashes: np.ndarray, times: np.ndarray) -> None:
-        by = np.argsort(hashes)
-        self.hashes = hashes[by]
-        rank = np.empty(len(hashes), np.int64)
-        rank[np.lexsort((hashes, times))] = np.arange(1, len(hashes) + 1)
-        self.rank = rank[by]
-
-    def sort(self, s: np.ndarray) -> tuple[np.ndarray, int]:
-        """The set in this order, and the share of its shingles that are frequent, from 0 to 255."""
-        if not len(self.hashes):
-            return s, 0
-        at = np.minimum(np.searchsorted(self.hashes, s), len(self.hashes) - 1)
-        rank = np.where(self.hashes[at] == s, self.rank[at], 0)
-        often = np.count_nonzero(rank)
-        return (s[np.argsort(rank, kind="stable")], 255 * often // len(s)) if often else (s, 0)
-
-
-def _frequent(survey: DataFrame, most: int) -> Order:
-    """The order by the most frequent shingles: as many whole levels of frequency as make up at most `most`."""
-    times = cut(survey.filter("hash is not null").groupBy("hash").agg(F.sum("times").alias("times")))
-    least, held = None, 0
-    for r in sorted(times.groupBy("times").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["times"]):
-        held += r["n"]
-        if held > most:
-            break
-        least = r["times"]
-    if least is None:
-        return Order(np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    t = times.filter(F.col("times") >= least).toArrow()
-    return Order(t.column("hash").to_numpy().view(np.uint64), t.column("times").to_numpy())
+        for b in batches:
+            for block, blob in zip(b.column("block").to_pylist(), b.column("blob"), strict=True):
+                g, n = _Block(blob, hasher).distinct()
+                at = np.searchsorted(range_shard(g, shards, BITS), np.arange(shards + 1))
+                n = n.astype(np.uint32)
+                out = [(s, block, squeeze_ascending(g[i:j]), squeeze(n[i:j])) for s, (i, j) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if i < j]
+                if out:
+                    yield batch_of(_ASK, [*zip(*out, strict=True)])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def out() -> pa.RecordBatch:
+            keys = [expand_ascending(k) for _, k, _ in held]
+            sizes = np.fromiter(map(len, keys), np.int64, len(keys))
+            _, back = np.unique(np.concatenate(keys), return_inverse=True)
+            keys.clear()
+            times = np.bincount(back, np.concatenate([expand(n, np.uint32) for _, _, n in held]))
+            levels = np.frexp(times)[1].astype(np.uint8) - np.uint8(1)
+            parts = np.split(levels[back], np.cumsum(sizes)[:-1])
+            return batch_of(_ANSWER, [[block for block, _, _ in held], [now] * len(held), [squeeze(p) for p in parts]])
+
+        for b in batches:
+            for shard, *row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if shard != now and held:
+                    yield out()
+                    held = []
+                now = shard
+                held.append(row)
+        if held:
+            yield out()
+
+    asked = table.select("block", "blob").mapInArrow(ask, "shard int, block long, keys binary, counts binary")
+    dealt = asked.repartition(partitions(table.sparkSession), "shard").sortWithinPartitions("shard")
+    answers = dealt.mapInArrow(count, "block long, shard int, levels binary")
+    return answers.groupBy("block").agg(F.collect_list(F.struct("shard", "levels")).alias("answers"))
+
+
+# --- sketches -----------------------------------------------------------------------------------------------------
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """Parity of the set's shingles by bit; the bits are a power of two, two for each shingle at least."""
+    m = max(64, 1 << int(2 * len(s) - 1).bit_length())
+    bit = (s * _P) >> np.uint64(64 - m.bit_length() + 1)
+    odd = np.bincount(bit.astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def folded(a: np.ndarray, size: int) -> np.ndarray:
+    """Sketches (in rows, as 64-bit words) as they were with fewer bits: a bit of the lesser sketch is the parity of those
+    of the greater one that share its high bits."""
+    while a.shape[1] > size:
+        bits = np.unpackbits(a.view(np.uint8), axis=1)
+        bits = bits[:, ::2] ^ bits[:, 1::2]
+        a = np.packbits(bits, axis=1).view(np.uint64)
+    return a
+
+
+def may_link(a: bytes, na: int, b: bytes, nb: int) -> bool:
+    x, y = np.frombuffer(a, np.uint64)[None], np.frombuffer(b, np.uint64)[None]
+    size = min(x.shape[1], y.shape[1])
+    return int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()) <= na + nb - 2 * need(na, nb)
 
 
 # --- prefix lists -------------------------------------------------------------------------------------------------
 
-_PREFIX = pa.schema([("shard", pa.int32()), ("keys", pa.binary()), ("sizes", pa.binary()), ("hashes", pa.binary()), ("docs", pa.binary()), ("at", pa.binary())])
-_PREFIX_SQL = "shard int, keys binary, sizes binary, hashes binary, docs binary, at binary"
+_MADE = pa.schema(
+    [("block", pa.int64()), ("pos", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("sketch", pa.binary()), ("empty", pa.int64())]
+    + [("shard", pa.int32()), ("keys", pa.binary()), ("sizes", pa.binary()), ("hashes", pa.binary()), ("docs", pa.binary()), ("at", pa.binary())]
+)
+_MADE_SQL = "block long, pos int, doc_id long, n long, key binary, sketch binary, empty long, shard int, keys binary, sizes binary, hashes binary, docs binary, at binary"
 
 
-def _prefixes(texts: DataFrame, order, shards: int) -> DataFrame:
-    """Prefixes of distinct sets by shard: the sets' keys and sizes (with the share of frequent shingles in the upper
-    byte), then (hash, set, position) entries."""
+def _made(table: DataFrame, levels: DataFrame, shards: int) -> DataFrame:
+    """A row for each document: its place, the size and key of its set, a hash of its text where that is empty, and the
+    sketch of a set that has prefix entries. And rows of prefix entries by shard: the sets' keys, sizes and mean levels,
+    then (hash, set, position)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, sorter = Hasher(), order.value
-        seen: dict[bytes, int] = {}
-        heads: list[np.ndarray] = []
-        sizes: list[int] = []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            counts = np.fromiter(map(len, heads), np.int64, len(heads))
-            h = np.concatenate(heads)
-            docs = np.repeat(np.arange(len(heads)), counts)
-            at = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
-            shard = ((h >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
-            by = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[by], np.arange(shards + 1))
-            keys, n = np.frombuffer(b"".join(seen), "V16"), np.array(sizes, np.uint64)
-            for s in range(shards):
-                part = by[cuts[s] : cuts[s + 1]]
-                if len(part):
-                    own, back = np.unique(docs[part], return_inverse=True)
-                    yield batch_of(_PREFIX, [[s], [keys[own].tobytes()], [n[own].tobytes()], [h[part].tobytes()], [back.astype(np.uint16).tobytes()], [at[part].astype(np.uint32).tobytes()]])
-
-        for b in pieces(batches):
-            for s in hasher.sets(b.column("text").to_pylist()):
-                k = _key(s)
-                if k and k not in seen:
-                    seen[k] = len(seen)
-                    ordered, often = sorter.sort(s)
-                    sizes.append(len(s) | often << 56)
-                    heads.append(ordered[: len(s) - -(-3 * len(s) // 4) + 1].copy())  # not a view of the whole set
-            if len(seen) >= CHUNK - 4096 or sum(map(len, heads[-64:])) * len(heads) > 64 << 22:
-                yield from out()
-                seen, heads, sizes = {}, [], []
-        if seen:
-            yield from out()
-
-    return texts.mapInArrow(run, _PREFIX_SQL)
+        hasher = Hasher()
+        for b in batches:
+            for block, blob, got in zip(b.column("block").to_pylist(), b.column("blob"), b.column("answers").to_pylist(), strict=True):
+                held = _Block(blob, hasher)
+                g, _ = held.distinct()
+                level = np.concatenate([np.zeros(0, np.uint8), *(expand(a["levels"], np.uint8) for a in sorted(got or (), key=lambda a: a["shard"]))])
+                heads, places, names, sizes, means, sketches = [], [], [], [], [], {}
+                for k, s in held.sets.items():
+                    own = level[np.searchsorted(g, s >> np.uint64(64 - BITS))]
+                    by = np.argsort(own, kind="stable")[: len(s) - -(-3 * len(s) // 4) + 1]
+                    shared = np.flatnonzero(own[by])
+                    if len(shared):
+                        heads.append(s[by[shared]])
+                        places.append(shared)
+                        names.append(k)
+                        sizes.append(len(s))
+                        means.append(min(255, int(16 * own.mean())))
+                        sketches[held.first[k]] = sketch(s)
+                n = len(held.keys)
+                hash_of = [None if k else xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass") if t is not None else b"", seed=t is None) >> 1 for k, t in zip(held.keys, held.texts, strict=True)]
+                none = [pa.nulls(n, f.type) for f in list(_MADE)[7:]]
+                yield batch_of(_MADE, [np.full(n, block), np.arange(n, dtype=np.int32), held.ids, held.sizes, held.keys, [sketches.get(i) for i in range(n)], hash_of, *none])
+                if names:
+                    yield entries(heads, places, names, sizes, means)
+
+    def entries(heads: list, places: list, names: list, sizes: list, means: list) -> pa.RecordBatch:
+        h, at = np.concatenate(heads), np.concatenate(places)
+        docs = np.repeat(np.arange(len(heads)), [len(x) for x in heads])
+        by = np.argsort(h, kind="stable")
+        cuts = np.searchsorted(range_shard(h[by], shards, 64), np.arange(shards + 1))
+        keys = np.frombuffer(b"".join(names), "V16")
+        packed = np.array(sizes, np.uint64) | np.array(means, np.uint64) << np.uint64(56)
+        out = []
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
+            part = by[cuts[s] : cuts[s + 1]]
+            own, back = np.unique(docs[part], return_inverse=True)
+            out.append((s, keys[own].tobytes(), squeeze(packed[own]), squeeze_ascending(h[part]), squeeze(back.astype(np.uint16)), squeeze(at[part].astype(np.uint32))))
+        return batch_of(_MADE, [pa.nulls(len(out), f.type) for f in list(_MADE)[:7]] + [*zip(*out, strict=True)])
+
+    return table.select("block", "blob").join(levels, "block", "left").select("block", "blob", "answers").mapInArrow(run, _MADE_SQL)
 
 
 def _compatible(na: np.ndarray, ia: np.ndarray, nb: np.ndarray, ib: np.ndarray) -> np.ndarray:
@@ -218,26 +266,26 @@ _FOUND = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("shard", pa.int32()
 _FOUND_SQL = "a binary, b binary, shard int, keys binary, sizes binary, lists binary, docs binary, at binary"
 
 
-def _lists(prefixes: DataFrame) -> DataFrame:
+def _lists(entries: DataFrame) -> DataFrame:
     """Of each shard: star pairs (a, b), and one row with its lists of three or more members."""
 
-    def shard_rows(shard: int, rows: list) -> Iterator[pa.RecordBatch]:
+    def shard_rows(shard: int, held: list) -> Iterator[pa.RecordBatch]:
         place: dict[bytes, int] = {}
         sizes: list[int] = []
         h, d, at = [], [], []
-        for keys, n, hashes, docs, pos in rows:
-            local = []
+        for keys, n, hashes, docs, pos in held:
+            local, n = [], expand(n, np.uint64).tolist()
             for i, k in enumerate(keys[j : j + 16] for j in range(0, len(keys), 16)):
                 if k not in place:
                     place[k] = len(place)
-                    sizes.append(int.from_bytes(n[8 * i : 8 * i + 8], "little"))
+                    sizes.append(n[i])
                 local.append(place[k])
-            h.append(np.frombuffer(hashes, np.uint64))
-            d.append(np.array(local, np.int64)[np.frombuffer(docs, np.uint16)])
-            at.append(np.frombuffer(pos, np.uint32).astype(np.int64))
+            h.append(expand_ascending(hashes))
+            d.append(np.array(local, np.int64)[expand(docs, np.uint16)])
+            at.append(expand(pos, np.uint32).astype(np.int64))
         names, packed = list(place), np.array(sizes, np.uint64)
         n, often = (packed & np.uint64((1 << 56) - 1)).astype(np.int64), (packed >> np.uint64(56)).astype(np.int64)
-        # The centre of a list's star is the set with most frequent shingles: of a group of edited copies the one with
+        # The centre of a list's star is the set whose shingles most sets hold: of a group of edited copies the one with
         # fewest edits. Then keys decide, so that the stars of many lists have one centre.
         both = np.array(names, "V16").view([("hi", ">u8"), ("lo", ">u8")])
         rank = np.empty(len(names), np.int64)
@@ -257,280 +305,337 @@ def _lists(prefixes: DataFrame) -> DataFrame:
         for k in range(0, len(pairs), 20_000):
             part = pairs[k : k + 20_000].tolist()
             none = pa.nulls(len(part), pa.binary())
-            yield batch_of(_FOUND, [[names[x] for x, _ in part], [names[y] for _, y in part], pa.nulls(len(part), pa.int32()), none, none, none, none, none])
+            yield batch_of(_FOUND, [[min(names[x], names[y]) for x, y in part], [max(names[x], names[y]) for x, y in part], pa.nulls(len(part), pa.int32()), none, none, none, none, none])
         many = np.repeat(counts >= 3, counts)
         if many.any():
             own, back = np.unique(d[many], return_inverse=True)
             lists = np.repeat(np.arange(len(counts)), counts)[many]
-            yield batch_of(_FOUND, [[None], [None], [shard], [b"".join(names[i] for i in own)], [n[own].astype(np.uint32).tobytes()], [lists.astype(np.uint32).tobytes()], [back.astype(np.uint32).tobytes()], [at[many].astype(np.uint32).tobytes()]])
+            yield batch_of(_FOUND, [[None], [None], [shard], [b"".join(names[i] for i in own)], [squeeze(n[own])], [squeeze(lists.astype(np.uint32))], [squeeze(back.astype(np.uint32))], [squeeze(at[many].astype(np.uint32))]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
+        now, held = None, []
         for b in batches:
             for shard, *row in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                if shard != now and rows:
-                    yield from shard_rows(now, rows)
-                    rows = []
+                if shard != now and held:
+                    yield from shard_rows(now, held)
+                    held = []
                 now = shard
-                rows.append(row)
-        if rows:
-            yield from shard_rows(now, rows)
+                held.append(row)
+        if held:
+            yield from shard_rows(now, held)
 
-    return prefixes.repartition(partitions(prefixes.sparkSession), "shard").sortWithinPartitions("shard").mapInArrow(run, _FOUND_SQL)
+    return entries.repartition(partitions(entries.sparkSession), "shard").sortWithinPartitions("shard").mapInArrow(run, _FOUND_SQL)
 
 
-def _across(found: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) from lists that hold sets of different components, under the bounds of sizes and positions."""
-    held = found.filter("shard is not null")
-    keys_schema = pa.schema([("shard", pa.int32()), ("i", pa.int32()), ("u", pa.binary())])
+_KEYED = pa.schema([("shard", pa.int32()), ("i", pa.int32()), ("key", pa.binary())])
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _members(held: DataFrame) -> DataFrame:
+    """(shard, i, key) of the members of lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for shard, k in zip(b.column("shard").to_pylist(), b.column("keys").to_pylist(), strict=True):
                 n = len(k) // 16
                 for at in range(0, n, 10_000):
                     part = range(at, min(n, at + 10_000))
-                    yield batch_of(keys_schema, [[shard] * len(part), list(part), [k[16 * i : 16 * i + 16] for i in part]])
+                    yield batch_of(_KEYED, [[shard] * len(part), list(part), [k[16 * i : 16 * i + 16] for i in part]])
 
-    members = held.select("shard", "keys").mapInArrow(keys, "shard int, i int, u binary")
-    grouped = members.join(roots, "u").groupBy("shard").agg(F.collect_list(F.struct("i", "root")).alias("known"))
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    return held.select("shard", "keys").mapInArrow(run, "shard int, i int, key binary")
+
+
+_LIST_COLUMNS = ("keys", "sizes", "lists", "docs", "at")
+_LISTS = pa.schema([("shard", pa.int32()), *((c, pa.binary()) for c in _LIST_COLUMNS), ("comps", pa.binary())])
+_LISTS_SQL = "shard int, keys binary, sizes binary, lists binary, docs binary, at binary, comps binary"
+
+
+def _beside(known: DataFrame, lists: DataFrame) -> DataFrame:
+    """Rows (shard, i, value) of known before the lists of their shard."""
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    own = [c for c in lists.columns if c != "shard"]
+    both = known.select("shard", F.lit(0).alias("kind"), "i", "value", *(none(c, "binary") for c in own)).unionByName(lists.select("shard", F.lit(1).alias("kind"), none("i", "int"), none("value", "binary"), *own))
+    return both.repartition(partitions(lists.sparkSession), "shard").sortWithinPartitions("shard", "kind").select("shard", "i", "value", *own)
+
+
+def _mixed(found: DataFrame, roots: DataFrame) -> DataFrame:
+    """The lists that hold sets of different components, with the components as numbers."""
+    held = found.filter("shard is not null")
+    known = _members(held).join(roots.select(F.col("u").alias("key"), F.col("root").alias("value")), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, of = None, {}
         for b in batches:
-            for row in b.to_pylist():
-                names = [row["keys"][j : j + 16] for j in range(0, len(row["keys"]), 16)]
-                roots = list(names)
-                for x in row["known"] or ():
-                    roots[x["i"]] = x["root"]
+            for shard, i, root, *row in zip(*(b.column(k).to_pylist() for k in range(8)), strict=True):
+                if shard != now:
+                    now, of = shard, {}
+                if i is not None:
+                    of[i] = root
+                    continue
+                keys, n, lists, d, at = row[0], *(expand(x, np.uint64 if k == 0 else np.uint32).astype(np.int64) for k, x in enumerate(row[1:]))
                 number: dict[bytes, int] = {}
-                comp = np.array([number.setdefault(r, len(number)) for r in roots], np.int64)
-                n = np.frombuffer(row["sizes"], np.uint32).astype(np.int64)
-                d, at = np.frombuffer(row["docs"], np.uint32).astype(np.int64), np.frombuffer(row["at"], np.uint32).astype(np.int64)
-                lists = np.frombuffer(row["lists"], np.uint32)
+                comp = np.array([number.setdefault(of.get(k, keys[16 * k : 16 * k + 16]), len(number)) for k in range(len(keys) // 16)], np.int64)
                 starts = np.flatnonzero(np.concatenate(([True], lists[1:] != lists[:-1])))
-                mixed = np.minimum.reduceat(comp[d], starts) != np.maximum.reduceat(comp[d], starts)
-                ends = np.append(starts[1:], len(lists))
-                some: list[np.ndarray] = []
-                for s, e in zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True):
-                    m, p = d[s:e], at[s:e]
+                counts = np.diff(np.append(starts, len(lists)))
+                mixed = np.repeat(np.minimum.reduceat(comp[d], starts) != np.maximum.reduceat(comp[d], starts), counts)
+                if mixed.any():
+                    own, back = np.unique(d[mixed], return_inverse=True)
+                    names = np.frombuffer(keys, "V16")[own].tobytes()
+                    yield batch_of(_LISTS, [[shard], [names], [squeeze(n[own])], [squeeze(lists[mixed].astype(np.uint32))], [squeeze(back.astype(np.uint32))], [squeeze(at[mixed].astype(np.uint32))], [squeeze(comp[own].astype(np.uint32))]])
+
+    return _beside(known, held.select("shard", *_LIST_COLUMNS)).mapInArrow(run, _LISTS_SQL)
+
+
+_PAIR = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+
+def _across(mixed: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs (a, b) across components from mixed lists that pass all bounds; they are compared where the list is."""
+    known = _members(mixed).join(sketches.select("key", F.col("sketch").alias("value")), "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, of = None, {}
+        for b in batches:
+            for shard, i, value, *row in zip(*(b.column(k).to_pylist() for k in range(9)), strict=True):
+                if shard != now:
+                    now, of = shard, {}
+                if i is not None:
+                    of[i] = value
+                    continue
+                keys, n, lists, d, at, comp = row[0], *(expand(x, np.uint64 if k == 0 else np.uint32).astype(np.int64) for k, x in enumerate(row[1:]))
+                names = [keys[j : j + 16] for j in range(0, len(keys), 16)]
+                seen: set[tuple[int, int]] = set()
+                for part in np.split(np.arange(len(lists)), np.flatnonzero(np.diff(lists)) + 1):
+                    m, p = d[part], at[part]
                     own = comp[m]
                     # every pair across components has a member outside the list's largest one
-                    for i in np.flatnonzero(own != np.bincount(own).argmax()).tolist():
-                        ok = np.flatnonzero((own != own[i]) & _compatible(n[m[i]], p[i], n[m], p))
-                        if len(ok):
-                            some.append(np.stack((np.minimum(m[ok], m[i]), np.maximum(m[ok], m[i])), 1))
-                    if len(some) > 10_000:
-                        some = [np.unique(np.concatenate(some), axis=0)]
-                if some:
-                    for part in np.array_split(pairs := np.unique(np.concatenate(some), axis=0), -(-len(pairs) // 20_000)):
-                        yield batch_of(schema, [[min(names[x], names[y]) for x, y in part.tolist()], [max(names[x], names[y]) for x, y in part.tolist()]])
+                    for k in np.flatnonzero(own != np.bincount(own).argmax()).tolist():
+                        for x in m[np.flatnonzero((own != own[k]) & _compatible(n[m[k]], p[k], n[m], p))].tolist():
+                            pair = (min(x, int(m[k])), max(x, int(m[k])))
+                            if pair not in seen and may_link(of[pair[0]], int(n[pair[0]]), of[pair[1]], int(n[pair[1]])):
+                                seen.add(pair)
+                if seen:
+                    yield batch_of(_PAIR, [[min(names[x], names[y]) for x, y in seen], [max(names[x], names[y]) for x, y in seen]])
 
-    return held.select("shard", "keys", "sizes", "lists", "docs", "at").join(grouped, "shard", "left").mapInArrow(run, "a binary, b binary")
+    return _beside(known, mixed).mapInArrow(run, "a binary, b binary")
+
+
+def _passing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sketches allow a link."""
+    side = lambda c: sketches.select(F.col("key").alias(c), F.col("sketch").alias(f"{c}_sketch"), F.col("n").alias(f"{c}_n"))
+    schema = pa.schema([("u", pa.binary()), ("v", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [(u, v) for u, v, x, nx, y, ny in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True) if may_link(x, nx, y, ny)]
+            if ok:
+                yield batch_of(schema, [*zip(*ok, strict=True)])
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_sketch", "a_n", "b_sketch", "b_n").mapInArrow(run, "u binary, v binary")
 
 
 # --- verification -------------------------------------------------------------------------------------------------
 
 
+class Index:
+    """Inverted lists of some sets, made once and searched by many."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        values = np.concatenate([np.zeros(0, np.uint64), *sets])
+        by = np.argsort(values, kind="stable")  # members stay ascending inside a list
+        values, self.members = values[by], np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)[by]
+        starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))[: len(values)]
+        self.values, self.starts = values[starts], np.append(starts, len(values))
+
+    def _all(self, lists: np.ndarray) -> np.ndarray:
+        """The members of some lists, one list after the other."""
+        begin, end = self.starts[lists], self.starts[lists + 1]
+        n = end - begin
+        return self.members[np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)]
+
+    def search(self, query: np.ndarray) -> np.ndarray:
+        """Which sets share enough shingles with the query, by DivideSkip."""
+        if not len(self.values) or not len(query):
+            return np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.values, query), len(self.values) - 1)
+        lists = at[self.values[at] == query]
+        least = need(len(query), self.sizes)
+        t = int(least.min())
+        if len(lists) < t:
+            return np.zeros(0, np.int64)
+        size = self.starts[lists + 1] - self.starts[lists]
+        lists = lists[np.argsort(size, kind="stable")]
+        n_long = min(t - 1, int(t / (0.0085 * np.log2(max(2, size.max())) + 1)))
+        short, long_ = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
+        merged = self._all(short)
+        if len(merged) <= 256:
+            cuts = np.cumsum(self.starts[short + 1] - self.starts[short])[:-1]
+            merged = np.fromiter(heapq.merge(*(x.tolist() for x in np.split(merged, cuts))), np.int64, len(merged))
+        else:  # the same by a merge sort of the lists' runs
+            merged = np.sort(merged, kind="stable").astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], merged[1:] != merged[:-1])))
+        found, n = merged[first], np.diff(np.append(first, len(merged)))
+        ok = n >= least[found] - n_long
+        found, n = found[ok], n[ok]
+        if not len(found) or not n_long:
+            return found[n >= least[found]]
+        total = int((self.starts[long_ + 1] - self.starts[long_]).sum())
+        if len(found) * np.log2(2 + total / n_long) * 8 >= total:  # so many are left that the lists are read as they are
+            n = n + np.bincount(self._all(long_), minlength=len(self.sizes))[found]
+            return found[n >= least[found]]
+        for left, x in enumerate(long_.tolist()):
+            own = self.members[self.starts[x] : self.starts[x + 1]]
+            k = np.minimum(np.searchsorted(own, found), len(own) - 1)
+            n = n + (own[k] == found)
+            ok = n + (n_long - 1 - left) >= least[found]
+            if not ok.all():
+                found, n = found[ok], n[ok]
+                if not len(found):
+                    break
+        return found
+
+
 def divide_skip(query: np.ndarray, candidates: list[np.ndarray]) -> list[int]:
     """Which candidate sets share enough shingles with the query."""
-    sizes = np.fromiter(map(len, candidates), np.int64, len(candidates))
-    least = need(len(query), sizes)
-    values = np.concatenate(candidates)
-    owner = np.repeat(np.arange(len(candidates)), sizes)
-    at = np.minimum(np.searchsorted(query, values), len(query) - 1)
-    hit = query[at] == values
-    by = np.argsort(at[hit], kind="stable")  # owners stay ascending inside a list
-    lists = np.split(owner[hit][by], np.flatnonzero(np.diff(at[hit][by])) + 1)
-    t = int(least.min())
-    if not len(by) or len(lists) < t:
-        return []
-    lists.sort(key=len)
-    longest = max(2, len(lists[-1]))
-    n_long = min(t - 1, int(t / (0.0085 * np.log2(longest) + 1)))
-    short, long_ = [x.tolist() for x in lists[: len(lists) - n_long]], [x.tolist() for x in lists[len(lists) - n_long :]]
-    out = []
-
-    def probe(c: int, n: int) -> None:
-        for left, lst in enumerate(long_):
-            if n >= least[c] or n + n_long - left < least[c]:
-                break
-            k = bisect_left(lst, c)
-            n += k < len(lst) and lst[k] == c
-        if n >= least[c]:
-            out.append(c)
-
-    now, n = -1, 0
-    for c in heapq.merge(*short):
-        if c != now:
-            if n and n >= least[now] - n_long:
-                probe(now, n)
-            now, n = c, 0
-        n += 1
-    if n and n >= least[now] - n_long:
-        probe(now, n)
-    return out
-
-
-def _verify(pairs: DataFrame, roots: DataFrame | None, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, and maybe more links.
-
-    One side of a pair is indexed, in chunks of its component so far, the other side searches the chunk; a set travels
-    once to a chunk, however many pairs it is in. Without roots the chunks are of the members of one centre a, which
-    searches them. Sets are not kept: documents meet the list of what their set is wanted for, and each set goes
-    straight to its chunk.
-    """
-    if roots is None:
-        sides = pairs.select(F.col("b").alias("i"), F.col("a").alias("q"), F.col("a").alias("g"))
-        sizes = pairs.groupBy(F.col("a").alias("g")).agg(F.count("*").alias("size"))
-    else:
-        counted = roots.groupBy("root").agg((F.count("*") + 1).alias("size"))
-        known = roots.unionByName(roots.select(F.col("root").alias("u"), "root").distinct())
-        at = lambda c: known.select(F.col("u").alias(c), F.col("root").alias(f"{c}_root"))
-        placed = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").withColumns({c: F.coalesce(c, c[0]) for c in ("a_root", "b_root")}).filter("a_root <> b_root")
-        of = lambda c: counted.select(F.col("root").alias(f"{c}_root"), F.col("size").alias(f"{c}_size"))
-        placed = placed.join(of("a"), "a_root", "left").join(of("b"), "b_root", "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("a_size", "b_size")})
-        swap = (F.col("a_size") > F.col("b_size")) | ((F.col("a_size") == F.col("b_size")) & (F.col("a_root") > F.col("b_root")))
-        pick = lambda x, y: F.when(swap, F.col(x)).otherwise(F.col(y))
-        sides = cut(placed.select(pick("a", "b").alias("i"), pick("b", "a").alias("q"), pick("a_root", "b_root").alias("g"), pick("a_size", "b_size").alias("size")))
-        sizes = None
-    dealt = (sides if sizes is None else sides.join(sizes, "g")).select("i", "q", "g", F.pmod(F.xxhash64("i"), F.ceil(F.col("size") / GROUP)).cast("int").alias("salt"))
-    members = dealt.select(F.col("i").alias("key"), F.col("g").alias("a"), "salt", F.lit(0).alias("kind"))
-    queries = dealt.select(F.col("q").alias("key"), F.col("g").alias("a"), "salt", F.lit(1).alias("kind"))
-    rows = _sent(members.unionByName(queries).distinct(), nodes, texts)
-    schema = pa.schema([("u", pa.binary()), ("v", pa.binary())])
+    return Index(candidates).search(query).tolist()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, names, held = None, [], []
-        for b in batches:
-            for a, salt, kind, key, blob in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                if (a, salt) != now:
-                    now, names, held = (a, salt), [], []
-                s = np.frombuffer(blob, np.uint64)
-                if kind == 0:
-                    names.append(key)
-                    held.append(s)
-                elif held and (found := divide_skip(s, held)):
-                    yield batch_of(schema, [[key] * len(found), [names[i] for i in found]])
-
-    spark = pairs.sparkSession
-    return rows.repartition(partitions(spark), "a", "salt").sortWithinPartitions("a", "salt", "kind").mapInArrow(run, "u binary, v binary")
-
-
-def _sent(asked: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, salt, kind, b, hashes, times): the sets of asked (key, a, salt, kind), straight from their documents. A set comes
-    once for each row that has its least id and its shingles."""
-    wanted = cut(asked.join(nodes, "key").select(F.col("least").alias("doc_id"), "key", "a", "salt", "kind", "times"))
-    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    placed = texts.join(F.broadcast(wanted) if few else wanted, "doc_id").select("text", "key", "a", "salt", "kind", "times")
-    sent = pa.schema([("a", pa.binary()), ("salt", pa.int32()), ("kind", pa.int32()), ("b", pa.binary()), ("hashes", pa.binary()), ("times", pa.int64())])
+
+_SENT = pa.schema([("root", pa.binary()), ("salt", pa.int32()), ("kind", pa.int32()), ("key", pa.binary()), ("hashes", pa.binary()), ("times", pa.int64())])
+_LINK = pa.schema([("u", pa.binary()), ("v", pa.binary()), ("n", pa.int64())])
+
+
+def _links(table: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows (u, v, null) whose components are those of all links, and (u, null, n): the links that a set has in a chunk."""
+    placed = nodes.join(groups.withColumnRenamed("u", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    many = placed.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("weight")).filter("members > 1")
+    dealt = placed.join(many, "root").select("best.block", "best.pos", "key", "root", "times", F.ceil(F.col("weight") / CHUNK).cast("int").alias("chunks"))
+    wanted = dealt.groupBy("block").agg(F.collect_list(F.struct("pos", "key", "root", "times", "chunks")).alias("wanted"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for b in pieces(batches):
-            texts = b.column("text").to_pylist()
-            once = list(dict.fromkeys(texts))
-            made = dict(zip(once, hasher.sets(once), strict=True))
-            names = {t: _key(x) for t, x in made.items()}
-            rows = [(a, salt, kind, key, made[t].tobytes(), times) for t, key, a, salt, kind, times in zip(texts, *(b.column(i).to_pylist() for i in range(1, 6)), strict=True) if names[t] == key]  # an id may have other texts
-            if rows:
-                yield batch_of(sent, [*zip(*rows, strict=True)])
-
-    return placed.mapInArrow(send, "a binary, salt int, kind int, b binary, hashes binary, times long")
-
-
-def _degrees(placed: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(key, n_links) of every set: the documents, without itself, whose sets reach the overlap with it; equal sets count
-    as often as they occur. All pairs inside a component are compared: its members lie in chunks, each searched by all of
-    them."""
-    many = placed.groupBy("root").agg(F.count("*").alias("size")).filter("size > 1")
-    dealt = placed.join(many, "root").select("key", F.col("root").alias("a"), F.ceil(F.col("size") / GROUP).cast("int").alias("chunks"))
-    members = dealt.select("key", "a", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int").alias("salt"), F.lit(0).alias("kind"))
-    queries = dealt.select("key", "a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("salt"), F.lit(1).alias("kind"))
-    rows = _sent(members.unionByName(queries), nodes, texts)
-    schema = pa.schema([("key", pa.binary()), ("n", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, often, held, last = None, [], [], None
         for b in batches:
-            for a, salt, kind, key, blob, times in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                if (a, salt) != now:
-                    now, often, held, last = (a, salt), [], [], None
-                if last == (kind, key):  # a repeated row of the document
-                    continue
-                last, s = (kind, key), np.frombuffer(blob, np.uint64)
-                if kind == 0:
-                    often.append(times)
-                    held.append(s)
-                elif held and (found := divide_skip(s, held)):
-                    yield batch_of(schema, [[key], [sum(often[i] for i in found)]])
+            for blob, asked in zip(b.column("blob"), b.column("wanted").to_pylist(), strict=True):
+                texts = blocked.rows(blob).column("_text")
+                asked.sort(key=lambda w: w["pos"])
+                own = texts.take(pa.array([w["pos"] for w in asked])).to_pylist()
+                out, size = [], 0
+                for begin, part in pieces(own):
+                    for w, s in zip(asked[begin:], hasher.sets(part), strict=False):
+                        home = int.from_bytes(w["key"][:4], "little") % w["chunks"]
+                        hashes = s.tobytes()
+                        for k in range(w["chunks"]):
+                            out.append((w["root"], k, int(k != home), w["key"], hashes, w["times"]))
+                            size += len(hashes)
+                            if size > 8 << 20:
+                                yield batch_of(_SENT, [*zip(*out, strict=True)])
+                                out, size = [], 0
+                if out:
+                    yield batch_of(_SENT, [*zip(*out, strict=True)])
+
+    def chunk(names: list, sets: list, times: list, others: Iterator) -> Iterator[pa.RecordBatch]:
+        index, weight = Index(sets), np.array(times, np.int64)
+        comp = np.arange(len(sets))
+        counts = []
+        for i, s in enumerate(sets):
+            found = index.search(s)
+            counts.append(int(weight[found].sum() - weight[i]))
+            own = comp[found]
+            if (own != own[0]).any():
+                comp[np.isin(comp, own)] = own.min()
+        edge = np.flatnonzero(comp != np.arange(len(sets))).tolist()
+        if edge:
+            yield batch_of(_LINK, [[names[i] for i in edge], [names[comp[i]] for i in edge], pa.nulls(len(edge), pa.int64())])
+        yield batch_of(_LINK, [names, pa.nulls(len(names), pa.binary()), counts])
+        us, vs, ns = [], [], []
+        for key, s in others:
+            if len(found := index.search(s)):
+                own = np.unique(comp[found]).tolist()
+                us += [key] * (len(own) + 1)
+                vs += [*(names[c] for c in own), None]
+                ns += [*([None] * len(own)), int(weight[found].sum())]
+                if len(us) > 10_000:
+                    yield batch_of(_LINK, [us, vs, ns])
+                    us, vs, ns = [], [], []
+        if us:
+            yield batch_of(_LINK, [us, vs, ns])
 
-    spark = placed.sparkSession
-    sums = rows.repartition(partitions(spark), "a", "salt").sortWithinPartitions("a", "salt", "kind", "b").mapInArrow(run, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return nodes.join(sums, "key", "left").select("key", (F.coalesce("n", "times") - 1).alias("n_links"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((x[:2], *x[2:]) for b in batches for x in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True))
+        row = next(rows, None)
+        while row is not None:
+            now, names, sets, times = row[0], [], [], []
+            while row is not None and row[0] == now and row[1] == 0:
+                names.append(row[2])
+                sets.append(np.frombuffer(row[3], np.uint64))
+                times.append(row[4])
+                row = next(rows, None)
+
+            def others() -> Iterator[tuple[bytes, np.ndarray]]:
+                nonlocal row
+                while row is not None and row[0] == now:  # noqa: B023
+                    yield row[2], np.frombuffer(row[3], np.uint64)
+                    row = next(rows, None)
+
+            if names:
+                yield from chunk(names, sets, times, others())
+            else:  # a chunk without members
+                for _ in others():
+                    pass
+
+    sent = table.select("block", "blob").join(wanted, "block").select("blob", "wanted").mapInArrow(send, "root binary, salt int, kind int, key binary, hashes binary, times long")
+    return sent.repartition(partitions(table.sparkSession), "root", "salt").sortWithinPartitions("root", "salt", "kind").mapInArrow(run, "u binary, v binary, n long")
 
 
 class _Linked:
-    """base: (doc_id, n, key, t) of every document; placed: (key, least, root) of every set."""
-
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, hot: int) -> None:
-        spark = docs.sparkSession
-        self.texts = texts = _texts(docs, id_col, text_col)
-        shards = max(16, 2 * partitions(spark))
-        survey = cut(_survey(texts))
-        self.base = survey.filter("hash is null").select("doc_id", "n", "key", "t")
-        order = spark.sparkContext.broadcast(_frequent(survey, hot))
-        found = cut(_lists(_prefixes(texts, order, shards)))
-        stars = cut(found.filter("shard is null").groupBy("a", "b").agg(F.count("*").alias("votes")))
-        self.nodes = nodes = cut(self.base.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("times")))
-        # each member first meets the centre that it shares most lists with; that settles most of the other pairs
-        first = cut(stars.groupBy("b").agg(F.max(F.struct("votes", "a")).alias("best")).select(F.col("best.a").alias("a"), "b"))
-        links = cut(_verify(first, None, nodes, texts))
-        roots = components(links)
-        across = _across(found, roots).select("a", "b").unionByName(stars.join(first, ["a", "b"], "left_anti").select("a", "b"))
-        more = cut(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        if not more.isEmpty():
-            fresh = cut(_verify(more, roots, nodes, texts))
-            roots = components(roots.withColumnRenamed("root", "v").unionByName(fresh))
-        self.placed = nodes.join(roots.withColumnRenamed("u", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")).select("key", "least", "root")
-
-
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, count: bool = True) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links): n_links counts the other documents whose sets link with the
-    document's; without `count` it is left out."""
-    found = _Linked(docs, id_col, text_col, hot)
-    ids = found.placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = found.placed.join(ids, "root").select("key", "component_id")
-    if count:
-        named = named.join(_degrees(cut(found.placed.select("key", "root")), found.nodes, found.texts), "key", "left")
-    out = found.base.join(named, "key", "left")
-    component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component, *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if count else []))
+    """blocks: the rows; base: (block, pos, doc_id, n, key, empty) of every row; nodes: (key, root, least, times, best,
+    n_links) of every set, where best is the place of a row that has the set: of those with the least id the first."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, rest: bool) -> None:
+        self.blocks = table = blocked.store(docs, text_col, rest, id=(id_col, "long"))
+        shards = blocked.shards_for(table, SHARD_BYTES)
+        levels = cut(_levels(table, shards))
+        made = cut(_made(table, levels, shards))
+        discard(levels)
+        self.base = base = made.filter("shard is null").select("block", "pos", "doc_id", "n", "key", "empty")
+        own = made.filter("shard is null and key is not null").groupBy("key")
+        place = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "block", "pos")
+        nodes = cut(own.agg(F.min("doc_id").alias("least"), F.count("*").alias("times"), F.min(place).alias("best"), F.first("n").alias("n"), F.max("sketch").alias("sketch")))
+        sketches = nodes.filter("sketch is not null").select("key", "n", "sketch")
+        found = cut(_lists(made.filter("shard is not null").select("shard", "keys", "sizes", "hashes", "docs", "at")))
+        pairs = cut(_passing(found.filter("shard is null").select("a", "b").distinct(), sketches))
+        roots = components(pairs)
+        mixed = cut(_mixed(found, roots))
+        if not mixed.isEmpty():
+            more = _across(mixed, sketches).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
+            roots = components(pairs.unionByName(more))
+        links = cut(_links(table, nodes, roots))
+        discard(found, mixed, pairs)
+        exact = components(links.filter("v is not null").select("u", "v"))
+        counts = links.filter("v is null").groupBy(F.col("u").alias("key")).agg(F.sum("n").alias("links"))
+        rooted = nodes.join(exact.withColumnRenamed("u", "key"), "key", "left").join(counts, "key", "left")
+        self.nodes = cut(rooted.select("key", F.coalesce("root", "key").alias("root"), "least", "best", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links")))
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) of every row: n_links counts the other rows whose sets link with its
+    own."""
+    found = _Linked(docs, id_col, text_col, False)
+    ids = found.nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = found.nodes.join(ids, "root").select("key", "component_id", "n_links")
+    has = found.base.filter("key is not null").join(named, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+    none = found.base.filter("key is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return has.unionByName(none)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, one of each component: the one with the least id, then the least hash of its text. Of rows with
-    an empty set one of each id stays. Rows without an id stay."""
-    linked = _Linked(docs, id_col, text_col, HOT)
-    base = linked.base.filter("doc_id is not null")
-    own = base.filter("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "t")).alias("best"))
-    best = linked.placed.join(own, "key").groupBy("root").agg(F.min("best").alias("best")).select("best.doc_id", "best.t")
-    empty = base.filter("key is null").groupBy("doc_id").agg(F.min("t").alias("t"))
-    stay = cut(best.unionByName(empty))
-    # equal texts have one set, so an id and a text's hash are in one component
-    count = cut(base.groupBy("doc_id", "t").agg(F.count("*").alias("n")).join(stay.withColumn("stays", F.lit(True)), ["doc_id", "t"], "left"))
-    gone = count.filter("stays is null").select(F.col("doc_id").alias("gone_id"), F.col("t").alias("gone_t"))
-    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    # whole rows in one column, so that no name of theirs meets one of these
-    held = docs.select(F.struct(*(col(c) for c in docs.columns)).alias("row"), col(id_col).cast("long").alias("id"), F.xxhash64(col(text_col).cast("string")).alias("t"))
-    kept = held.filter("id is not null").join(F.broadcast(gone) if few else gone, (F.col("id") == F.col("gone_id")) & (F.col("t") == F.col("gone_t")), "left_anti")
-    again = count.filter("stays and n > 1").select(F.col("doc_id").alias("again_id"), F.col("t").alias("again_t"))
-    if not again.isEmpty():  # rows that stay and occur more than once: one of them
-        same = (F.col("id") == F.col("again_id")) & (F.col("t") == F.col("again_t"))
-        one = kept.join(again, same, "left_semi").groupBy("id", "t").agg(F.first("row").alias("row"))
-        kept = kept.join(again, same, "left_anti").select("row").unionByName(one.select("row"))
-    rows = kept.select("row").unionByName(held.filter("id is null").select("row"))
-    return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    """The rows of docs, one of each component: the one with the least id, if any has one. Rows with an empty set stay,
+    but for repeated ones (of the same id and text)."""
+    found = _Linked(docs, id_col, text_col, True)
+    best = found.nodes.groupBy("root").agg(F.min("best").alias("best")).select("best.block", "best.pos")
+    empty = found.base.filter("key is null")
+    once = empty.filter("doc_id is not null").groupBy("doc_id", "empty").agg(F.min(F.struct("block", "pos")).alias("best")).select("best.block", "best.pos")
+    places = best.unionByName(once).unionByName(empty.filter("doc_id is null").select("block", "pos"))
+    return blocked.taken(found.blocks, places, docs, text_col)
 
 
 ORACLE = r"""

@@ -57,18 +57,10 @@ ORACLES["op5_trigram_secrets"] = secret_scan.ORACLE
 
 @query
 def op6_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(documents(spark, sf_dir), count=False)
-
-
-ORACLES["op6_jaccard_components"] = jaccard.ORACLE
-
-
-@query
-def op6_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir))
 
 
-ORACLES["op6_jaccard_links"] = jaccard.ORACLE_LINKS
+ORACLES["op6_jaccard_components"] = jaccard.ORACLE_LINKS
 
 
 @query

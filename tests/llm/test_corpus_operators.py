@@ -204,10 +204,11 @@ def near_copies(seed):
     return [(i, t, "en") for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("seed,hot", [(1, 100_000), (2, 100_000), (3, 0)])
-def test_components_are_those_of_all_pairs(spark, seed, hot):
+@pytest.mark.parametrize("seed,chunk", [(1, 1 << 18), (2, 1 << 18), (3, 200)])
+def test_components_are_those_of_all_pairs(spark, monkeypatch, seed, chunk):
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
     rows = near_copies(seed)
-    got = jaccard.join(frame(spark, rows), hot=hot).collect()
+    got = jaccard.join(frame(spark, rows)).collect()
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute(rows)
 
 
@@ -217,13 +218,13 @@ def test_repeated_and_missing_ids(spark):
     got = jaccard.join(d)
     assert got.count() == 6 and got.filter("doc_id = 2").first()["component_id"] == 1
     kept = jaccard.keep_one(d)
-    assert kept.columns == d.columns and Counter(r["doc_id"] for r in kept.collect()) == {1: 1, None: 1, 3: 1}
+    assert kept.columns == d.columns and Counter(r["doc_id"] for r in kept.collect()) == {1: 2, 3: 1}  # "other words" is no copy, the row without an id is
     assert jaccard.join(d.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("group", [256, 3])
-def test_links_are_those_of_all_pairs(spark, monkeypatch, group):
-    monkeypatch.setattr(jaccard, "GROUP", group)
+@pytest.mark.parametrize("chunk", [1 << 18, 300])
+def test_links_are_those_of_all_pairs(spark, monkeypatch, chunk):
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
     rows = near_copies(6)
     base = [f"w{k}" for k in range(80)]
     rows += [(1000 + i, " ".join([*base[:i], f"new{i}", *base[i + 1 :]]), "en") for i in range(0, 80, 4)] + [(2000, " ".join(base), "en"), (2000, " ".join(base), "en"), (2001, " ".join(base), "en")]
@@ -245,6 +246,40 @@ def test_no_component_vanishes(spark):
     assert jaccard.keep_one(frame(spark, hot)).count() == 40
 
 
+def test_rows_without_an_id_link_and_bridge(spark):
+    base = [f"w{k}" for k in range(100)]
+    text = lambda n: " ".join([*base[n:], *(f"new{k}" for k in range(n))])
+    # 0 and 24 do not link, 12 links with both: it bridges them, although only a row without an id has it
+    rows = [(4, text(0), "en"), (None, text(12), "en"), (9, text(24), "en"), (None, text(12), "en"), (None, "quite another text of six words", "en")]
+    got = Counter((r["doc_id"], r["component_id"], r["n_links"]) for r in jaccard.join(frame(spark, rows)).collect())
+    assert got == {(4, 4, 2): 1, (9, 4, 2): 1, (None, 4, 3): 2, (None, None, 0): 1}
+    assert Counter(r["text"] for r in jaccard.keep_one(frame(spark, rows)).collect()) == {text(0): 1, rows[4][1]: 1}
+
+
+def test_many_rows_of_no_id_or_one(spark):
+    d = spark.range(10_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat_ws(" ", *(F.concat(F.lit(f"w{k}x"), "id") for k in range(7))).alias("text"))
+    assert jaccard.keep_one(d).count() == 10_000
+    assert jaccard.keep_one(d.withColumn("doc_id", F.lit(7).cast("long"))).count() == 10_000
+    assert jaccard.keep_one(d.withColumn("text", F.lit("one text of five words"))).count() == 1
+
+
+def test_a_list_of_many_components(spark):
+    # all share a long passage and link with nothing: their lists are mixed
+    passage = [f"p{k}" for k in range(60)]
+    rows = [(i, " ".join([*passage, *(f"own{i}x{k}" for k in range(16))]), "en") for i in range(60)]
+    got = jaccard.join(frame(spark, rows)).collect()
+    assert all(r["component_id"] == r["doc_id"] and r["n_links"] == 0 for r in got) and len(got) == 60
+
+
+def test_sketches_bound_the_difference():
+    rnd = np.random.default_rng(3)
+    for _ in range(100):
+        a = np.unique(rnd.integers(0, 2**63, rnd.integers(1, 300)).astype(np.uint64) * np.uint64(2))
+        b = np.unique(np.concatenate((rnd.choice(a, max(1, int(len(a) * rnd.uniform(0.7, 1))), replace=False), rnd.integers(0, 2**63, rnd.integers(0, 40)).astype(np.uint64))))
+        if len(np.intersect1d(a, b)) >= jaccard.need(len(a), len(b)):
+            assert jaccard.may_link(jaccard.sketch(a), len(a), jaccard.sketch(b), len(b))
+
+
 def test_divide_skip_counts_right():
     rnd = np.random.default_rng(0)
     for _ in range(60):
