@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut, discard, partitions
 from . import blocks as blocked
+from . import tokens64
 from .blocks import expand, expand_ascending, pieces, range_shard, squeeze, squeeze_ascending
 from .common import batch_of
 from .components import components
@@ -50,8 +51,6 @@ BITS = 48
 SHARD_BYTES = 16 << 20
 #: Shingles of the members of one chunk of a group.
 CHUNK = 1 << 18
-#: Bytes of words whose hashes a worker remembers.
-WORD_BYTES = 8 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -60,46 +59,29 @@ def need(a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray | int:
     return -(-3 * (a + b) // 7)
 
 
-class Hasher:
-    """Sets of shingle hashes of texts; hashes of words are remembered."""
-
-    def __init__(self) -> None:
-        self.words: dict[bytes, int] = {}
-        self.held = 0
-
-    def _codes(self, words: list[bytes]) -> np.ndarray:
-        known = self.words
-        if self.held > WORD_BYTES:
-            known.clear()
-            self.held = 0
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-            self.held += len(w) + 64
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-    def sets(self, texts: list[str | None]) -> list[np.ndarray]:
-        words = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
-        codes = self._codes([w for ws in words for w in ws])
-        out, at = [], 0
-        with np.errstate(over="ignore"):
-            h = np.zeros(max(0, len(codes) - WORDS + 1), np.uint64)
-            for k in range(WORDS):
-                h = (h ^ codes[k : k + len(h)]) * _P
-                h ^= h >> np.uint64(31)
-            for ws in words:
-                n = len(ws)
-                if n >= WORDS:
-                    out.append(np.unique(h[at : at + n - WORDS + 1]))
-                else:  # the whole sequence as one, apart from shingles
-                    out.append(np.array([xxhash.xxh3_64_intdigest(b"\0".join(ws), seed=n)] if n else [], np.uint64))
-                at += n
-        return out
+def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """Sets of shingle hashes of texts, ascending."""
+    codes, counts = tokens64.words(texts, lower=True)
+    with np.errstate(over="ignore"):
+        h = np.zeros(max(0, len(codes) - WORDS + 1), np.uint64)
+        for k in range(WORDS):
+            h = (h ^ codes[k : k + len(h)]) * _P
+            h ^= h >> np.uint64(31)
+    out, at = [], 0
+    for n in counts.tolist():
+        if n >= WORDS:
+            s = np.sort(h[at : at + n - WORDS + 1])
+            out.append(s[tokens64.firsts(s)])
+        else:  # the whole sequence as one, apart from shingles
+            out.append(np.array([xxhash.xxh3_64_intdigest(codes[at : at + n].tobytes(), seed=n)] if n else [], np.uint64))
+        at += n
+    return out
 
 
 class _Block:
     """A block's rows, their keys (none for an empty set), and its distinct sets with the rows that hold them first."""
 
-    def __init__(self, blob, hasher: Hasher) -> None:
+    def __init__(self, blob) -> None:
         t = blocked.rows(blob)
         self.ids, self.texts = t.column("_id").to_pylist(), t.column("_text").to_pylist()
         self.keys: list[bytes | None] = []
@@ -107,18 +89,19 @@ class _Block:
         self.sets: dict[bytes, np.ndarray] = {}
         self.first: dict[bytes, int] = {}
         for begin, part in pieces(self.texts):
-            for i, s in enumerate(hasher.sets(part), begin):
+            for i, s in enumerate(shingle_sets(part), begin):
                 k = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
                 self.keys.append(k)
                 self.sizes.append(len(s))
                 if k and k not in self.sets:
                     self.sets[k], self.first[k] = s, i
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct shingles' counted bits, ascending, and how many of the block's distinct sets hold each."""
-        if not self.sets:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        return np.unique(np.concatenate(list(self.sets.values())) >> np.uint64(64 - BITS), return_counts=True)
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct shingles' counted bits, ascending, how many of the block's distinct sets hold each, and where each
+        shingle of these sets stands."""
+        every = np.concatenate([np.zeros(0, np.uint64), *self.sets.values()]) >> np.uint64(64 - BITS) << np.uint64(64 - BITS)
+        g, _, n, back = tokens64.places(every)
+        return g >> np.uint64(64 - BITS), n, back
 
 
 # --- how many sets hold a shingle ---------------------------------------------------------------------------------
@@ -131,10 +114,9 @@ def _levels(table: DataFrame, shards: int) -> DataFrame:
     """(block, answers): for each block and shard, the doublings of the number of sets that hold each shingle."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
         for b in batches:
             for block, blob in zip(b.column("block").to_pylist(), b.column("blob"), strict=True):
-                g, n = _Block(blob, hasher).distinct()
+                g, n, _ = _Block(blob).distinct()
                 at = np.searchsorted(range_shard(g, shards, BITS), np.arange(shards + 1))
                 n = n.astype(np.uint32)
                 out = [(s, block, squeeze_ascending(g[i:j]), squeeze(n[i:j])) for s, (i, j) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if i < j]
@@ -147,7 +129,8 @@ def _levels(table: DataFrame, shards: int) -> DataFrame:
         def out() -> pa.RecordBatch:
             keys = [expand_ascending(k) for _, k, _ in held]
             sizes = np.fromiter(map(len, keys), np.int64, len(keys))
-            _, back = np.unique(np.concatenate(keys), return_inverse=True)
+            _, _, _, back = tokens64.places(np.concatenate(keys) << np.uint64(64 - BITS))
+            back = back.astype(np.int32)
             keys.clear()
             times = np.bincount(back, np.concatenate([expand(n, np.uint32) for _, _, n in held]))
             levels = np.frexp(times)[1].astype(np.uint8) - np.uint8(1)
@@ -212,15 +195,16 @@ def _made(table: DataFrame, levels: DataFrame, shards: int) -> DataFrame:
     then (hash, set, position)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
         for b in batches:
             for block, blob, got in zip(b.column("block").to_pylist(), b.column("blob"), b.column("answers").to_pylist(), strict=True):
-                held = _Block(blob, hasher)
-                g, _ = held.distinct()
+                held = _Block(blob)
+                _, _, back = held.distinct()
                 level = np.concatenate([np.zeros(0, np.uint8), *(expand(a["levels"], np.uint8) for a in sorted(got or (), key=lambda a: a["shard"]))])
+                level, begin = level[back], 0
                 heads, places, names, sizes, means, sketches = [], [], [], [], [], {}
                 for k, s in held.sets.items():
-                    own = level[np.searchsorted(g, s >> np.uint64(64 - BITS))]
+                    own = level[begin : begin + len(s)]
+                    begin += len(s)
                     by = np.argsort(own, kind="stable")[: len(s) - -(-3 * len(s) // 4) + 1]
                     shared = np.flatnonzero(own[by])
                     if len(shared):
@@ -512,7 +496,6 @@ def _links(table: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
     wanted = dealt.groupBy("block").agg(F.collect_list(F.struct("pos", "key", "root", "times", "chunks")).alias("wanted"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
         for b in batches:
             for blob, asked in zip(b.column("blob"), b.column("wanted").to_pylist(), strict=True):
                 texts = blocked.rows(blob).column("_text")
@@ -520,7 +503,7 @@ def _links(table: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
                 own = texts.take(pa.array([w["pos"] for w in asked])).to_pylist()
                 out, size = [], 0
                 for begin, part in pieces(own):
-                    for w, s in zip(asked[begin:], hasher.sets(part), strict=False):
+                    for w, s in zip(asked[begin:], shingle_sets(part), strict=False):
                         home = int.from_bytes(w["key"][:4], "little") % w["chunks"]
                         hashes = s.tobytes()
                         for k in range(w["chunks"]):
