@@ -21,7 +21,7 @@ from ..runtime import TABLES, partitions, scratch, writing
 from .common import PIECE_BYTES, batch_of, col
 
 #: A block closes at so many bytes, all columns counted, or rows.
-BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 1 << 14
+BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 1 << 14
 _SLICE = 1 << 18
 
 
@@ -77,18 +77,27 @@ def store(docs: DataFrame, text_col: str, rest: bool = True, **own: tuple[str, s
 
 
 def taken(blocks: DataFrame, places: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """The rows of docs at the places (block, pos), with all their columns, without a shuffle of rows."""
-    per = places.groupBy("block").agg(F.collect_list("pos").alias("keep"))
+    """The rows of docs at the places (block, pos), with all their columns, without a shuffle of rows; with a column n, as
+    often as it says."""
+    often = F.col("n") if "n" in places.columns else F.lit(1)
+    per = places.groupBy("block").agg(F.collect_list(F.struct("pos", often.cast("long").alias("n"))).alias("keep"))
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for blob, keep in zip(b.column("blob"), b.column("keep").to_pylist(), strict=True):
-                t = rows(blob).take(pa.array(sorted(keep), pa.int64()))
+                t = rows(blob).take(pa.array(sorted(k["pos"] for k in keep), pa.int64()))
+                n = np.array([k["n"] for k in sorted(keep, key=lambda k: k["pos"])])
                 rest = t.column("_rest").combine_chunks()
                 rest = rest.combine_chunks() if isinstance(rest, pa.ChunkedArray) else rest
                 flat = dict(zip((f.name for f in rest.type), rest.flatten(), strict=True)) | {text_col: t.column("_text").combine_chunks()}
-                yield from pa.table([flat[c] for c in names], names=names).to_batches(1024)
+                t = pa.table([flat[c] for c in names], names=names)
+                if (n == 1).all():
+                    yield from t.to_batches(1024)
+                else:
+                    again = np.repeat(np.arange(len(n)), n)
+                    for at in range(0, len(again), 1024):
+                        yield from t.take(pa.array(again[at : at + 1024])).combine_chunks().to_batches()
 
     return blocks.select("block", "blob").join(per, "block").select("blob", "keep").mapInArrow(run, docs.schema)
 
