@@ -1,15 +1,21 @@
 """Secret scans through a trigram inverted index, in DataFrame operations only.
 
 From each rule's regular expression a Boolean trigram query is derived (every match must hold all trigrams of at least
-one of its alternatives). The index holds, for each trigram that a query can ask for, the documents that contain it;
-postings are intersected per document, and only the candidates of a rule are searched with its expression. A rule whose
-query is empty (hexadecimal runs have no mandatory trigram) scans every document. Trigrams are of the lower-cased
-text, so the index serves rules in either case.
+one of its alternatives). The index holds, for each trigram that a query can ask for, the texts that contain it, by a
+64-bit hash of the text; it is written to the shared folder. Postings are intersected per text, and only the candidates
+of a rule are searched with its expression. A rule whose query is empty (hexadecimal runs have no mandatory trigram)
+scans every document. Trigrams are of the lower-cased text, so the index serves rules in either case.
+
+Texts are not shuffled: the list of candidates goes to them by broadcast up to BROADCAST_ROWS texts (about 100 bytes
+each). Beyond, rows whose text holds an indexed trigram meet the list by a join on the text's hash, and no others move.
 
 Spans come from the text between matches: split and extract-all give the same cuts, so running lengths are positions.
+They are summed by pages of PAGE matches, so that a text with many secrets is not copied for each of them.
 
-Null text is the empty text. A null or repeated doc_id shares one posting entry, which can only add candidates; each row
-is then searched by itself. Empty tables give empty tables; extra columns are kept by `redact` and not read otherwise.
+Null text is the empty text. Equal texts, and texts with one hash, share one entry of the index, which can only add
+candidates; each row is then searched by itself, so ids may be null or repeated. Spans that begin together are in the
+order of their kinds. Texts of any length are scanned whole. Empty tables give empty tables; extra columns are kept by
+`redact`, whatever their names, and not read otherwise.
 """
 
 from __future__ import annotations
@@ -23,6 +29,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import cut
 from .common import col, narrow
 
 # Kinds in their order, their expressions, the group that is measured, and its least length. The first
@@ -42,6 +49,10 @@ Query = frozenset  # of frozensets of trigrams: any of the alternatives, all of
 ALL: Query = frozenset({frozenset()})
 #: Strings that a part of an expression may stand for, before it counts as unknown.
 MOST_STRINGS = 64
+#: Texts of the list of candidates that may be broadcast.
+BROADCAST_ROWS = 200_000
+#: Matches whose positions are summed together.
+PAGE = 64
 
 
 def _simplest(q: Query) -> Query:
@@ -111,21 +122,25 @@ def vocabulary(rules: tuple = RULES) -> list[str]:
     return sorted({t for r in rules for a in trigram_query(r[1]) for t in a})
 
 
-def index(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The inverted index as postings (term, doc_id): which documents contain which of the trigrams."""
-    low = narrow(docs, doc_id=(id_col, "long"), text=(text_col, "string")).select("doc_id", F.lower("text").alias("low"))
+def _key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def index(docs: DataFrame, terms: list[str], text_col: str = "text") -> DataFrame:
+    """The inverted index as postings (term, key): which texts, by their hash, contain which of the trigrams."""
+    low = docs.select(_key(col(text_col)).alias("key"), F.lower(col(text_col).cast("string")).alias("low"))
     held = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(i)) for i, t in enumerate(terms))))
-    return low.select(F.explode(held).alias("term"), "doc_id")
+    return low.select(F.explode(held).alias("term"), "key")
 
 
 _WORD = 62
 
 
 def candidates(postings: DataFrame, terms: list[str], rules: tuple = RULES) -> DataFrame:
-    """(doc_id, may): may[i] tells if rule i may match; documents that no indexed rule may match are left out."""
+    """(key, may): may[i] tells if rule i may match; texts that no indexed rule may match are left out."""
     words = range(-(-len(terms) // _WORD))
     place = {t: (i // _WORD, 1 << i % _WORD) for i, t in enumerate(terms)}
-    masks = postings.groupBy("doc_id").agg(*(F.bit_or(F.when(F.floor(F.col("term") / _WORD) == w, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("term"), F.lit(_WORD)))).otherwise(F.lit(0).cast("long"))).alias(f"m{w}") for w in words))
+    masks = postings.groupBy("key").agg(*(F.bit_or(F.when(F.floor(F.col("term") / _WORD) == w, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("term"), F.lit(_WORD)))).otherwise(F.lit(0).cast("long"))).alias(f"m{w}") for w in words))
 
     def holds(alternative: frozenset) -> Column:
         need = [sum({b for w2, b in map(place.__getitem__, alternative) if w2 == w}) for w in words]
@@ -134,36 +149,63 @@ def candidates(postings: DataFrame, terms: list[str], rules: tuple = RULES) -> D
     queries = [trigram_query(r[1]) for r in rules]
     may = [F.lit(True) if q == ALL else reduce(or_, map(holds, sorted(q, key=sorted))) for q in queries]
     indexed = [m for m, q in zip(may, queries, strict=True) if q != ALL]
-    return masks.filter(reduce(or_, indexed, F.lit(False))).select("doc_id", F.array(*may).alias("may"))
+    return masks.filter(reduce(or_, indexed, F.lit(False))).select("key", F.array(*may).alias("may"))
 
 
 _SPAN = "array<struct<s:int,k:int,e:int>>"
 
 
 def _spans_of(k: int, text: str) -> Column:
-    """Spans of rule k in a text column: the running length of what lies between matches, and of matches, is a position."""
+    """Spans of rule k in a text column. Match i begins at the sum of what lies before it: gaps up to it and matches
+    before it. These sums are made page by page: first of whole pages, then inside each page."""
     _, expression, group, least = RULES[k]
     e = F.lit(expression)
-    t = F.struct(F.split(F.col(text), expression, -1).alias("x"), F.regexp_extract_all(F.col(text), e, F.lit(0)).alias("m"), F.regexp_extract_all(F.col(text), e, F.lit(group)).alias("g"))
-
-    def step(acc: Column, i: Column, t: Column) -> Column:
-        begin = acc["p"] + F.length(F.get(t["x"], i))
-        end = begin + F.length(F.get(t["m"], i))
-        more = F.when(F.length(F.get(t["g"], i)) >= least, F.array(F.struct(begin.alias("s"), F.lit(k).alias("k"), end.alias("e")))).otherwise(F.array().cast(_SPAN))
-        return F.struct(end.alias("p"), F.concat(acc["a"], more.cast(_SPAN)).alias("a"))
+    whole = F.regexp_extract_all(F.col(text), e, F.lit(0))
+    gaps, lengths = F.transform(F.split(F.col(text), expression, -1), F.length), F.transform(whole, F.length)
+    measured = lengths if group == 0 else F.transform(F.regexp_extract_all(F.col(text), e, F.lit(group)), F.length)
+    t = F.struct(gaps.alias("x"), lengths.alias("m"), measured.alias("g"))
+
+    def plus(t: Column, begin: Column, n: Column, start: Column) -> Column:
+        some = F.slice(F.arrays_zip(t["x"].alias("x"), t["m"].alias("m")), begin + 1, n)
+        return F.aggregate(some, start, lambda acc, z: acc + z["x"] + z["m"])
+
+    def found(t: Column) -> Column:
+        count = F.size(t["m"])
+        pages = F.sequence(F.lit(0), F.floor((count - 1) / PAGE).cast("int"))
+        sums = F.transform(pages, lambda p: plus(t, p * PAGE, F.least(F.lit(PAGE), count - p * PAGE), F.lit(0)))
+        offsets = F.aggregate(sums, F.array(F.lit(0)), lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + s)))
+        placed = F.transform(F.arrays_zip(pages.alias("p"), F.slice(offsets, 1, F.size(pages)).alias("at")), lambda z: page(t, count, z["p"], z["at"]))
+        return F.filter(F.flatten(placed), lambda z: z["e"] >= 0)
+
+    def page(t: Column, count: Column, p: Column, at: Column) -> Column:
+        here = F.sequence(p * PAGE, F.least((p + 1) * PAGE, count) - 1)
+        start = F.struct(at.alias("p"), F.array().cast(_SPAN).alias("a"))
+
+        def step(acc: Column, i: Column) -> Column:
+            begin = acc["p"] + F.get(t["x"], i)
+            end = begin + F.get(t["m"], i)
+            span = F.struct(begin.alias("s"), F.lit(k).alias("k"), F.when(F.get(t["g"], i) >= least, end).otherwise(F.lit(-1)).alias("e"))
+            return F.struct(end.alias("p"), F.concat(acc["a"], F.array(span)).cast(_SPAN).alias("a"))
+
+        return F.aggregate(here, start, step, lambda acc: acc["a"])
 
     # transform over a one-element array binds the three lists once
-    start = F.struct(F.lit(0).alias("p"), F.array().cast(_SPAN).alias("a"))
-    found = F.transform(F.array(t), lambda t: F.when(F.size(t["m"]) == 0, F.array().cast(_SPAN)).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(t["m"]) - 1), start, lambda acc, i: step(acc, i, t), lambda acc: acc["a"])))
-    return F.get(found, F.lit(0))
+    return F.get(F.transform(F.array(t), lambda t: F.when(F.size(t["m"]) == 0, F.array().cast(_SPAN)).otherwise(found(t).cast(_SPAN))), F.lit(0))
 
 
 def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs as (row, spans): spans are (s, k, e), start, number of the rule, end, in order."""
     terms = vocabulary()
-    may = candidates(index(docs, terms, id_col, text_col), terms).select(F.col("doc_id").alias("may_id"), "may")
-    rows = docs.select(F.struct(*(col(c) for c in docs.columns)).alias("row"), col(id_col).cast("long").alias("own_id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("own_text"))
-    joined = rows.join(may, F.col("own_id").eqNullSafe(F.col("may_id")), "left")
+    postings = cut(index(docs, terms, text_col))
+    may = cut(candidates(postings, terms).select(F.col("key").alias("may_key"), "may"))
+    text = col(text_col).cast("string")
+    rows = docs.select(F.struct(*(col(c) for c in docs.columns)).alias("row"), col(id_col).cast("long").alias("own_id"), F.coalesce(text, F.lit("")).alias("own_text"), _key(text).alias("own_key"))
+    same = F.col("own_key") == F.col("may_key")
+    if may.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        joined = rows.join(F.broadcast(may), same, "left")
+    else:
+        indexed = reduce(or_, (F.contains(F.lower("own_text"), F.lit(t)) for t in terms))
+        joined = rows.filter(indexed).join(may, same, "left").unionByName(rows.filter(~indexed).withColumn("may_key", F.lit(None).cast("long")).withColumn("may", F.lit(None).cast("array<boolean>")))
     none = F.array().cast(_SPAN)
     per_rule = []
     for k, r in enumerate(RULES):
