@@ -1,37 +1,42 @@
 """Language identification by a bidirectional gated recurrent network over bytes, trained in numpy.
 
-A text's words (runs of bytes other than ASCII white space, cut after SEGMENT bytes) are the network's sequences. Every
-byte gets a label distribution from the states of both directions; a document's probabilities are the mean over all its
-bytes. Equal words have equal distributions, so a worker keeps them in a bounded cache and runs the network for new words
-only; every byte of every text counts.
+The network reads the whole text's UTF-8 bytes, white space and all. A text is cut into cores of CORE bytes; the network
+reads a core with WARM bytes before and after it, so that the states of both directions have forgotten where they began,
+and labels every byte of the core. Every byte of a text is in exactly one core; a document's probabilities are the mean
+over all its bytes.
 
-Training uses a bounded sample: at most SAMPLE_DOCS labelled documents of each language, chosen by a hash of their id,
-and at most SAMPLE_WORDS words of each, spread evenly over the whole text. The network is trained by backpropagation
-through time with Adam on the driver; its weights are a few tens of kilobytes and go to the workers with the code.
+Training uses a bounded sample: at most SAMPLE_DOCS texts of each language, distinct ones, those of least hash; all of
+each text may be learned from. Windows of SPAN bytes are drawn from them, as many of each language, and the network is
+trained by backpropagation through time with Adam on the driver; its weights are a few tens of kilobytes and go to the
+workers with the code.
 
 Null texts and texts without a letter are `und` with score 0. Without labelled rows every text is `und`. Rows with a null
-label are predicted but not learned from. Equal texts get equal predictions; empty tables give empty tables.
+label are predicted but not learned from; rows without an id are not held out. Repeated rows count once in the sample.
+Of labels with equal probabilities the first by code point is predicted. Long texts are read whole, in windows; other
+columns are not looked at. Equal texts get equal predictions; empty tables give empty tables.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch_of, narrow, pieces
 
-HIDDEN, EMBED, SEGMENT = 24, 12, 24
-SAMPLE_DOCS, SAMPLE_WORDS = 500, 120
+HIDDEN, EMBED = 24, 12
+#: Bytes of a core, of the context that is read on either side, and of a training window.
+CORE, WARM, SPAN = 256, 32, 64
+#: Texts of each language that are learned from, at most.
+SAMPLE_DOCS = 500
 STEPS, BATCH, RATE = 500, 256, 0.01
+#: Windows that are read side by side.
+ABREAST = 512
 UNDETERMINED = "und"
-CACHE_WORDS = 300_000
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -89,17 +94,69 @@ class Network:
         p /= p.sum(axis=2, keepdims=True)
         return p, live, both, kf, kb
 
-    def label_sums(self, words: list[bytes]) -> np.ndarray:
-        """For each word the sum of its bytes' label distributions."""
-        out = np.zeros((len(words), len(self.labels)), np.float32)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for at in range(0, len(order), 4096):
-            part = order[at : at + 4096]
-            x, lengths = padded([words[i] for i in part], len(words[part[-1]]))
-            p, live, *_ = self._scores(x, lengths)
-            out[part] = (p * live[:, :, None]).sum(axis=0)
+    def _states(self, d: str, x: np.ndarray, live: np.ndarray | None) -> np.ndarray:
+        """States (time, window, h) as _pass has them, without what training needs. Bytes beyond a window's end come
+        last: the backward state is zero until its first byte, the forward one is of no use from there on."""
+        h = HIDDEN
+        half = np.repeat(np.array([0.5, 1], np.float32), (2 * h, h))  # sigmoid(x) = tanh(x / 2) / 2 + 1 / 2
+        table, u = (self.w["E"] @ self.w["W" + d] + self.w["b" + d]) * half, self.w["U" + d] * half
+        gates_u, own_u = np.ascontiguousarray(u[:, : 2 * h]), np.ascontiguousarray(u[:, 2 * h :])
+        out = np.empty((len(x), x.shape[1], h), np.float32)
+        state = np.zeros((x.shape[1], h), np.float32)
+        for t in range(len(x)) if d == "f" else reversed(range(len(x))):
+            a = table[x[t]]
+            gates = state @ gates_u
+            gates += a[:, : 2 * h]
+            np.tanh(gates, out=gates)
+            gates += 1
+            gates *= 0.5
+            z = gates[:, :h]
+            n = (gates[:, h:] * state) @ own_u
+            n += a[:, 2 * h :]
+            np.tanh(n, out=n)
+            state = state - n
+            state *= z
+            state += n
+            if live is not None and d == "b":
+                state *= live[t][:, None]
+            out[t] = state
         return out
 
+    def label_sums(self, data: np.ndarray, begins: np.ndarray, lengths: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """For each window data[begin : begin + length] the sum of the label distributions of its bytes first to last."""
+        out = np.zeros((len(begins), len(self.labels)), np.float64)
+        order = np.argsort(-lengths, kind="stable")
+        v, h = self.w["V"], HIDDEN
+        for at in range(0, len(order), ABREAST):
+            part = order[at : at + ABREAST]
+            n = lengths[part]
+            time = np.arange(n[0])[:, None]
+            live = time < n
+            x = data[np.minimum(begins[part] + time, len(data) - 1)]
+            mask = None if live.all() else live
+            s = self._states("f", x, mask).reshape(-1, h) @ v[:h]
+            s += self._states("b", x, mask).reshape(-1, h) @ v[h:]
+            s += self.w["c"]
+            s -= s.max(axis=1, keepdims=True)
+            np.exp(s, out=s)
+            s /= s.sum(axis=1, keepdims=True)
+            core = (time >= first[part]) & (time < last[part])
+            out[part] = (s.reshape(*x.shape, -1) * core[:, :, None]).sum(axis=0, dtype=np.float64)
+        return out
+
+    def probabilities(self, texts: list[bytes]) -> np.ndarray:
+        """For each text (none is empty) the mean distribution of its bytes."""
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        cores = -(-size // CORE)
+        owner = np.repeat(np.arange(len(texts)), cores)
+        number = np.arange(cores.sum()) - np.repeat(np.cumsum(cores) - cores, cores)
+        start = np.maximum(number * CORE - WARM, 0)
+        stop = np.minimum((number + 1) * CORE + WARM, size[owner])
+        first, last = number * CORE - start, np.minimum((number + 1) * CORE, size[owner]) - start
+        sums = self.label_sums(data, (np.cumsum(size) - size)[owner] + start, stop - start, first, last)
+        return np.add.reduceat(sums, np.cumsum(cores) - cores, axis=0) / size[:, None]
+
     def gradients(self, words: list[bytes], labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross-entropy over all bytes, and its gradients by backpropagation through time."""
         h, w = HIDDEN, self.w
@@ -138,14 +195,19 @@ class Network:
             g["E"] += per_byte @ w["W" + d].T
         return loss, g
 
-    def train(self, words: list[list[bytes]], steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = 0) -> float:
-        """words[k]: words of label k. Every batch has as many words of each label; Adam with a falling rate."""
-        r, k = np.random.default_rng(seed), len(words)
+    def train(self, texts: list[list[bytes]], steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = 0) -> float:
+        """texts[k]: texts of label k. Every batch has as many windows of each label; Adam with a falling rate. Texts are
+        drawn first, so that long ones do not rule, then a window of theirs."""
+        r, k = np.random.default_rng(seed), len(texts)
         m, v = ({n: np.zeros_like(x) for n, x in self.w.items()} for _ in range(2))
         loss = 0.0
         for step in range(1, steps + 1):
             labels = np.repeat(np.arange(k), max(1, batch // k))
-            chosen = [words[i][r.integers(len(words[i]))] for i in labels]
+            chosen = []
+            for i in labels.tolist():
+                t = texts[i][r.integers(len(texts[i]))]
+                at = int(r.integers(max(1, len(t) - SPAN + 1)))
+                chosen.append(t[at : at + SPAN])
             loss, g = self.gradients(chosen, labels)
             now = rate * (1 - 0.9 * step / steps)
             for n, x in self.w.items():
@@ -156,73 +218,40 @@ class Network:
         return loss
 
 
-def segments(text: str) -> list[bytes]:
-    out = []
-    for w in text.encode("utf-8", "surrogatepass").split():
-        if len(w) <= SEGMENT:
-            out.append(w)
-        else:
-            out += (w[i : i + SEGMENT] for i in range(0, len(w), SEGMENT))
-    return out
-
-
 def is_held_out(id_: Column) -> Column:
     """crc32 of the id as text, modulo 5, is 0; a null id is not held out."""
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, per_label: int = SAMPLE_DOCS, words: int = SAMPLE_WORDS) -> dict[str, list[bytes]]:
-    """Words of each label from a bounded sample of rows (doc_id, text, lang) that may be learned from."""
-    fit = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["n"] for r in fit.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+def sample(docs: DataFrame, per_label: int = SAMPLE_DOCS) -> dict[str, list[bytes]]:
+    """Texts of each label from at most per_label rows (doc_id, text, lang) that may be learned from. Rows are told apart
+    by their text: repeated ones, and rows without an id, are no more than others."""
+    fit = docs.filter(F.col("lang").isNotNull() & (F.length("text") > 0) & ~is_held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("text"))
+    counts = {r["lang"]: r["n"] for r in fit.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not counts:
         return {}
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, per_label / n) * (1 << 30)))))
-    chosen = fit.filter(place < share[F.col("lang")])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
-            picked = []
-            for t in b.column("text").to_pylist():
-                s = segments(t)
-                step = max(1, -(-len(s) // words))
-                picked.append(b" ".join(s[::step]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(picked, pa.binary())], names=["doc_id", "lang", "words"])
-
+    # about three times as many pass the hash; then the least ones are taken
+    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, 3 * per_label / max(1, n)) * (1 << 30)))))
+    some = fit.filter(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    least = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))).filter(F.col("k") <= per_label)
     out: dict[str, list[bytes]] = {k: [] for k in sorted(counts)}
-    for r in sorted(chosen.mapInArrow(run, "doc_id long, lang string, words binary").collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"], r["words"])):
-        out[r["lang"]] += bytes(r["words"]).split()
-    return {k: w for k, w in out.items() if w}
+    for r in sorted(least.select("lang", "k", "text").collect(), key=lambda r: (r["lang"], r["k"])):
+        out[r["lang"]].append(r["text"].encode("utf-8", "surrogatepass"))
+    return {k: t for k, t in out.items() if t}
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
-    words = sample(narrow(docs, doc_id=(id_col, "long"), text=(text_col, "string"), lang=(lang_col, "string")))
-    if not words:
+    texts = sample(narrow(docs, doc_id=(id_col, "long"), text=(text_col, "string"), lang=(lang_col, "string")))
+    if not texts:
         return None
-    net = Network(list(words))
-    if len(words) > 1:
-        net.train(list(words.values()))
+    net = Network(list(texts))
+    if len(texts) > 1:
+        net.train(list(texts.values()))
     return net
 
 
-class Cached:
-    """Label sums of words seen before."""
-
-    def __init__(self, net: Network) -> None:
-        self.net, self.place, self.sums = net, {}, np.zeros((0, len(net.labels)), np.float32)
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        """Rows of label sums, one for each word."""
-        if len(self.place) > CACHE_WORDS:
-            self.place, self.sums = {}, self.sums[:0]
-        place = self.place
-        n = len(place)
-        codes = np.fromiter((place.setdefault(w, len(place)) for w in words), np.int64, len(words))
-        if len(place) > n:
-            fresh = list(place)[n:]
-            self.sums = np.concatenate((self.sums, self.net.label_sums(fresh)))
-        return self.sums[codes]
+def has_letter(text: str | None) -> bool:
+    return text is not None and any(map(str.isalpha, text))
 
 
 def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,20 +259,14 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Cached(net) if net else None
         for b in pieces(batches, budget=1 << 20):
             ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            words = [segments(t) if t is not None and _LETTER.search(t) else [] for t in texts]
-            counts = np.fromiter(map(len, words), np.int64, len(words))
             preds, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-            if cache and counts.any():
-                rows = cache.of([w for ws in words for w in ws])
-                some = np.flatnonzero(counts)
-                begins = np.concatenate(([0], np.cumsum(counts[some])[:-1]))
-                sums = np.add.reduceat(rows.astype(np.float64), begins, axis=0)
-                probs = sums / sums.sum(axis=1, keepdims=True)
-                for i, k, p in zip(some.tolist(), probs.argmax(axis=1).tolist(), probs.max(axis=1).tolist(), strict=True):
-                    preds[i], scores[i] = cache.net.labels[k], min(1.0, p)
+            some = [i for i, t in enumerate(texts) if has_letter(t)] if net else []
+            if some:
+                probs = net.probabilities([texts[i].encode("utf-8", "surrogatepass") for i in some])
+                for i, k, p in zip(some, probs.argmax(axis=1).tolist(), probs.max(axis=1).tolist(), strict=True):
+                    preds[i], scores[i] = net.labels[k], round(min(1.0, p), 6)
             held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 0 for i in ids]
             yield batch_of(schema, [b.column("doc_id"), held, preds, scores])
 
