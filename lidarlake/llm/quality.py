@@ -21,73 +21,24 @@ rows. Rows keep their extra columns in `keep`. Empty tables give empty tables.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import TABLES, cut, partitions, scratch
-from . import words
-from .common import PIECE_BYTES, batch_of, col, narrow
+from ..runtime import cut, discard, partitions
+from . import blocks as blocked
+from . import tokens64, words
+from .blocks import expand, expand_ascending, pieces, squeeze, squeeze_ascending
+from .common import batch_of, narrow
 
 ORDER = 5  # bytes of an n-gram; up to 7 fit a signed 64-bit number
 QUANTILE, MARGIN = 0.98, 0.02
 CALIBRATE = 5
 #: Calibrating documents that a class of language and length has, to have thresholds of its own.
 LEAST = 50
-BLOCK_BYTES = 8 << 20
-
-
-# --- blocks -------------------------------------------------------------------------------------------------------
-
-
-def _blob(table: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:
-        w.write_table(table)
-    return sink.getvalue().to_pybytes()
-
-
-def _rows(blob: bytes) -> pa.Table:
-    return pa.ipc.open_stream(blob).read_all()
-
-
-def blocks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(block, ids, blob): rows of docs, packed where they are read; written once, bucketed by block."""
-    spark = docs.sparkSession
-    packed = docs.select(col(id_col).cast("long").alias("_id"), col(text_col).cast("string").alias("_text"), col(lang_col).cast("string").alias("_lang"), F.struct(*(col(c) for c in docs.columns if c != text_col)).alias("_rest"))
-    schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("blob", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = TaskContext.get()
-        number = (context.partitionId() if context else 0) << 32
-        held, size = [], 0
-
-        def out() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held)
-            return batch_of(schema, [pa.array([number], pa.int64()), [t.column("_id").to_pylist()], [_blob(t)]])
-
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                held.append(part)
-                size += pc.sum(pc.binary_length(part.column("_text"))).as_py() or 0
-                if size >= BLOCK_BYTES:
-                    yield out()
-                    held, size, number = [], 0, number + 1
-        if held:
-            yield out()
-
-    name = f"blocks_{uuid.uuid4().hex}"
-    writer = packed.mapInArrow(run, "block long, ids array<long>, blob binary").write.bucketBy(max(8, partitions(spark)), "block")
-    TABLES.append(name)
-    writer.option("path", scratch(spark)).option("compression", "uncompressed").saveAsTable(name)
-    return spark.read.table(name)
 
 
 # --- n-grams of a block -------------------------------------------------------------------------------------------
@@ -121,61 +72,52 @@ def _shard(x: np.ndarray, n: int) -> np.ndarray:
     return ((_spread(x) >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
 
 
-class Places:
-    """Where each of some distinct numbers stands: open hash tables, each for what found no place in the ones before."""
-
-    def __init__(self, keys: np.ndarray) -> None:
-        self.keys, self.levels = keys, []
-        left, salt = np.arange(len(keys)), 1
-        while len(left):
-            bits = max(4, int(len(left)).bit_length() + 1)
-            slot = (_spread(keys[left] + salt) >> np.uint64(64 - bits)).astype(np.int64)
-            table = np.zeros(1 << bits, np.int64)
-            table[slot] = left
-            self.levels.append((salt, bits, table))
-            left, salt = left[table[slot] != left], salt + 1
-
-    def of(self, x: np.ndarray) -> np.ndarray:
-        """Every x is one of the keys."""
-        out = np.zeros(len(x), np.int64)
-        left = np.arange(len(x))
-        for salt, bits, table in self.levels:
-            found = table[(_spread(x[left] + salt) >> np.uint64(64 - bits)).astype(np.int64)]
-            out[left] = found
-            left = left[self.keys[found] != x[left]]
-            if not len(left):
-                break
-        return out
-
-
-def _pieces(texts: list[str | None], budget: int = PIECE_BYTES) -> Iterator[tuple[int, list[str | None]]]:
-    begin = size = 0
-    for i, t in enumerate(texts):
-        n = len(t or "") + 16
-        if size and size + n > budget:
-            yield begin, texts[begin:i]
-            begin, size = i, 0
-        size += n
-    if texts:
-        yield begin, texts[begin:]
+def ordered(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams of texts, ascending; where among them the one at each byte stands; each text's bytes. Places
+    ride in the low bits of a plain sort, in place."""
+    some = [grams(part) for _, part in pieces(texts)]
+    size = np.concatenate([np.zeros(0, np.int64), *(n for _, n in some)])
+    g = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in some)])
+    del some
+    bits = max(1, len(g).bit_length())
+    if 8 * ORDER + bits > 63:  # a very long block: places don't fit beside the n-grams
+        known, back = np.unique(g, return_inverse=True)
+        return known, back, size
+    g <<= bits
+    g |= np.arange(len(g))
+    g.sort()
+    order = g & ((1 << bits) - 1)
+    g >>= bits
+    first = tokens64.firsts(g)
+    back = np.empty(len(g), np.int32)
+    back[order] = np.cumsum(first, dtype=np.int32) - np.int32(1)
+    return g[first], back, size
+
+
+def _by_shard_and_value(g: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of ascending n-grams by shard and then value, and the shards in it."""
+    shard = _shard(g, shards)
+    order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
+    return order, shard[order]
 
 
 def _distinct(texts: list[str | None], fit: set[int], shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A block's distinct n-grams, by shard and then value; their shards; their counts in the texts of `fit`."""
-    some, seen, counted = [], [], []
-    for begin, part in _pieces(texts):
-        some.append(np.unique(grams(part)[0]))
+    some, seen, counted = [np.zeros(0, np.int64)], [], []
+    for begin, part in pieces(texts):
+        x = np.sort(grams(part)[0])
+        some.append(x[tokens64.firsts(x)])
         if chosen := [t for i, t in enumerate(part, begin) if i in fit]:
             g, n = np.unique(grams(chosen)[0], return_counts=True)
             seen.append(g)
             counted.append(n)
-    g = np.unique(np.concatenate(some)) if some else np.zeros(0, np.int64)
+    g = np.sort(np.concatenate(some))
+    g = g[tokens64.firsts(g)]
     n = np.zeros(len(g), np.int64)
     for s, c in zip(seen, counted, strict=True):
         n[np.searchsorted(g, s)] += c
-    shard = _shard(g, shards)
-    order = np.argsort(shard, kind="stable")
-    return g[order], shard[order], n[order]
+    order, shard = _by_shard_and_value(g, shards)
+    return g[order], shard, n[order]
 
 
 # --- requests and answers -----------------------------------------------------------------------------------------
@@ -188,10 +130,10 @@ def _requests(table: DataFrame, marks: DataFrame, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, blob, fit in zip(b.column("block").to_pylist(), b.column("blob"), b.column("fit").to_pylist(), strict=True):
-                texts = _rows(blob.as_buffer()).column("_text").to_pylist()
+                texts = blocked.rows(blob).column("_text").to_pylist()
                 g, shard, n = _distinct(texts, set(fit or ()), shards)
                 at = np.searchsorted(shard, np.arange(shards + 1))
-                rows = [(s, 1, block, g[at[s] : at[s + 1]].tobytes(), n[at[s] : at[s + 1]].astype(np.uint32).tobytes()) for s in range(shards) if at[s] < at[s + 1]]
+                rows = [(s, 1, block, squeeze_ascending(g[at[s] : at[s + 1]].view(np.uint64)), squeeze(n[at[s] : at[s + 1]].astype(np.uint32))) for s in range(shards) if at[s] < at[s + 1]]
                 if rows:
                     yield batch_of(_REQUEST, [*zip(*rows, strict=True)])
 
@@ -214,13 +156,13 @@ def _counted(requests: DataFrame) -> DataFrame:
             return batch_of(schema, [g, np.bincount(back, np.concatenate(counts), len(g)).astype(np.int64)])
 
         for b in batches:
-            for shard, g, n in zip(b.column("shard").to_pylist(), b.column("grams"), b.column("values"), strict=True):
+            for shard, g, n in zip(b.column("shard").to_pylist(), b.column("grams").to_pylist(), b.column("values").to_pylist(), strict=True):
                 if shard != now and keys:
                     yield out()
                     keys, counts = [], []
                 now = shard
-                keys.append(np.frombuffer(g.as_buffer(), np.int64))
-                counts.append(np.frombuffer(n.as_buffer(), np.uint32))
+                keys.append(expand_ascending(g).view(np.int64))
+                counts.append(expand(n, np.uint32))
                 if len(keys) > 64:  # keep what is held close to the number of distinct n-grams
                     k, back = np.unique(np.concatenate(keys), return_inverse=True)
                     keys, counts = [k], [np.bincount(back, np.concatenate(counts), len(k))]
@@ -237,9 +179,9 @@ def _answers(requests: DataFrame, probabilities: DataFrame, shards: int) -> Data
         for b in batches:
             g, p = b.column("g").to_numpy(), b.column("logp").to_numpy()
             shard = _shard(g, shards)
-            order = np.argsort(shard, kind="stable")
+            order = np.lexsort((g, shard))
             at = np.searchsorted(shard[order], np.arange(shards + 1))
-            rows = [(s, 0, 0, g[k].tobytes(), p[k].astype(np.float32).tobytes()) for s in range(shards) if at[s] < at[s + 1] for k in [order[at[s] : at[s + 1]]]]
+            rows = [(s, 0, 0, squeeze_ascending(g[k].view(np.uint64)), squeeze(p[k].astype(np.float32))) for s in range(shards) if at[s] < at[s + 1] for k in [order[at[s] : at[s + 1]]]]
             if rows:
                 yield batch_of(_REQUEST, [*zip(*rows, strict=True)])
 
@@ -249,19 +191,19 @@ def _answers(requests: DataFrame, probabilities: DataFrame, shards: int) -> Data
         now, keys, values, ready = None, [], [], None
         for b in batches:
             rows = []
-            for shard, kind, block, g, v in zip(b.column("shard").to_pylist(), b.column("kind").to_pylist(), b.column("block").to_pylist(), b.column("grams"), b.column("values"), strict=True):
+            for shard, kind, block, g, v in zip(b.column("shard").to_pylist(), b.column("kind").to_pylist(), b.column("block").to_pylist(), b.column("grams").to_pylist(), b.column("values").to_pylist(), strict=True):
                 if shard != now:
                     now, keys, values, ready = shard, [], [], None
-                g = np.frombuffer(g.as_buffer(), np.int64)
+                g = expand_ascending(g).view(np.int64)
                 if kind == 0:
                     keys.append(g)
-                    values.append(np.frombuffer(v.as_buffer(), np.float32))
+                    values.append(expand(v, np.float32))
                     continue
                 if ready is None:
                     k, p = np.concatenate(keys), np.concatenate(values)
                     order = np.argsort(k)
                     ready = k[order], p[order]
-                rows.append((block, shard, ready[1][np.searchsorted(ready[0], g)].tobytes()))
+                rows.append((block, shard, squeeze(ready[1][np.searchsorted(ready[0], g)])))
             if rows:
                 yield batch_of(schema, [*zip(*rows, strict=True)])
 
@@ -322,45 +264,48 @@ class Judged:
     def __init__(self, docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN) -> None:
         spark = docs.sparkSession
         self.docs, self.text_col = docs, text_col
-        self.blocks = blocks(docs, id_col, text_col, lang_col)
-        shards = max(8, partitions(spark))
+        self.blocks = blocked.store(docs, text_col, id=(id_col, "long"), lang=(lang_col, "string"))
+        shards = 2 * max(8, partitions(spark))
         held = self.blocks.select("block", F.posexplode("ids").alias("pos", "doc_id"))
         good = narrow(trusted, doc_id=(trusted.columns[0], "long")).distinct()
         marked = held.join(good, "doc_id", "left_semi").withColumn("calibrates", F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATE)) == 0)
         marks = cut(marked.groupBy("block").agg(F.collect_list(F.when(~F.col("calibrates"), F.col("pos"))).alias("fit"), F.collect_list(F.when(F.col("calibrates"), F.col("pos"))).alias("test")))
         requests = cut(_requests(self.blocks, marks.select("block", "fit"), shards))
         counted = cut(_counted(requests))
-        answers = _answers(requests, probabilities(counted), shards).groupBy("block").agg(F.collect_list(F.struct("shard", "values")).alias("answers"))
-        model = words.Model(words.counted(self.blocks, marks.select("block", "fit"), _rows, _pieces), discounts)
-        first = model.first
-        spoken = words.answers(words.requests(self.blocks, shards, _rows, _pieces), model, shards).groupBy("block").agg(F.collect_list(F.struct("shard", "values")).alias("spoken"))
+        answers = cut(_answers(requests, probabilities(counted), shards))
+        discard(requests)
+        told = words.bigrams(self.blocks, marks.select("block", "fit"))
+        every = told[0]
+        for more in told[1:]:
+            every = every.unionByName(more)
+        grouped = every.filter("block is not null").groupBy("block").agg(F.collect_list(F.struct("part", "numbers", "owner", "trigrams")).alias("told"))
+        spoken = words.unigrams(self.blocks, grouped)
+        model = words.Model(words.sums(every, 8), words.sums(spoken, 6), discounts)
+        spoken = spoken.filter("block is not null").groupBy("block").agg(F.collect_list(F.struct("part", "numbers")).alias("spoken"))
+        answers = answers.groupBy("block").agg(F.collect_list(F.struct("shard", "values")).alias("answers"))
         schema = pa.schema([("block", pa.int64()), ("pos", pa.int32()), ("doc_id", pa.int64()), ("lang", pa.string()), ("n_bytes", pa.int64()), ("loss", pa.float64()), ("word_loss", pa.float64()), ("worst", pa.float64()), ("calibrates", pa.bool_())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for block, blob, got, said, test in zip(b.column("block").to_pylist(), b.column("blob"), b.column("answers").to_pylist(), b.column("spoken").to_pylist(), b.column("test").to_pylist(), strict=True):
-                    t = _rows(blob.as_buffer())
-                    texts = t.column("_text").to_pylist()
-                    g, _, _ = _distinct(texts, set(), shards)
-                    logp = np.concatenate([np.frombuffer(a["values"], np.float32) for a in sorted(got or (), key=lambda a: a["shard"])] or [np.zeros(0, np.float32)])
-                    places, test = Places(g), set(test or ())
-                    k, shard = words.distinct(texts, shards, _pieces)
-                    values, known, speaker = words.opened(k, shard, said or ()), Places(k), words.Words()
-                    counts, losses, means, worst = [], [], [], []
-                    for _, part in _pieces(texts):
-                        x, n = grams(part)
-                        each = logp[places.of(x)]
-                        more, most = words.losses(speaker, part, n, each, known, values, first)
-                        means += more
-                        worst += most
-                        total = np.concatenate(([0.0], np.cumsum(each, dtype=np.float64)))
-                        ends = np.cumsum(n)
-                        counts += n.tolist()
-                        losses += [(total[e - k] - total[e]) / k if k else None for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
+                for block, blob, got, says, spoke, test in zip(b.column("block").to_pylist(), b.column("blob"), *(b.column(c).to_pylist() for c in ("answers", "told", "spoken", "test")), strict=True):
+                    t = blocked.rows(blob)
+                    texts, test = t.column("_text").to_pylist(), set(test or ())
+                    g, back, counts = ordered(texts)
+                    order, _ = _by_shard_and_value(g, shards)
+                    logp = np.empty(len(g), np.float32)
+                    logp[order] = np.concatenate([np.zeros(0, np.float32), *(expand(a["values"], np.float32) for a in sorted(got or (), key=lambda a: a["shard"]))])
+                    each = logp[back]
+                    del g, back, order, logp
+                    total = np.concatenate(([0.0], np.cumsum(each, dtype=np.float64)))
+                    ends = np.cumsum(counts)
+                    losses = [float(total[e - k] - total[e]) / k if k else None for e, k in zip(ends.tolist(), counts.tolist(), strict=True)]
+                    del total
+                    means, worst = words.losses(texts, counts, each, lambda spelling: words.log_probabilities(model, words.Tokens(texts), says, spoke, spelling))  # noqa: B023
                     yield batch_of(schema, [np.full(len(texts), block), np.arange(len(texts), dtype=np.int32), t.column("_id").combine_chunks(), t.column("_lang").combine_chunks(), counts, losses, means, worst, [i in test for i in range(len(texts))]])
 
-        scored = self.blocks.select("block", "blob").join(answers, "block", "left").join(spoken, "block", "left").join(marks.select("block", "test"), "block", "left").select("block", "blob", "answers", "spoken", "test").mapInArrow(run, "block long, pos int, doc_id long, lang string, n_bytes long, loss double, word_loss double, worst double, calibrates boolean")
-        scored = cut(scored)
+        every = self.blocks.select("block", "blob").join(answers, "block", "left").join(grouped, "block", "left").join(spoken, "block", "left").join(marks.select("block", "test"), "block", "left")
+        scored = cut(every.select("block", "blob", "answers", "told", "spoken", "test").mapInArrow(run, "block long, pos int, doc_id long, lang string, n_bytes long, loss double, word_loss double, worst double, calibrates boolean"))
+        discard(*told)
         sample = scored.filter("calibrates and loss is not null")
         per = sample.groupBy("lang").agg(F.percentile_approx("loss", quantile, 10_000).alias("q"))
         everything = sample.agg(F.percentile_approx("loss", quantile, 10_000).alias("q")).first()["q"]
@@ -382,20 +327,7 @@ class Judged:
 
     def keep(self) -> DataFrame:
         """The rows that are kept, with all their columns."""
-        kept = self.losses.filter("kept").groupBy("block").agg(F.collect_list("pos").alias("keep"))
-        names, text_col = self.docs.columns, self.text_col
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for blob, keep in zip(b.column("blob"), b.column("keep").to_pylist(), strict=True):
-                    t = _rows(blob.as_buffer()).take(pa.array(sorted(keep), pa.int64()))
-                    rest = t.column("_rest").combine_chunks()
-                    rest = rest.combine_chunks() if isinstance(rest, pa.ChunkedArray) else rest
-                    flat = dict(zip((f.name for f in rest.type), rest.flatten(), strict=True)) | {text_col: t.column("_text").combine_chunks()}
-                    for r in pa.table([flat[c] for c in names], names=names).to_batches(1024):
-                        yield r
-
-        return self.blocks.select("block", "blob").join(kept, "block").select("blob", "keep").mapInArrow(run, self.docs.schema)
+        return blocked.taken(self.blocks, self.losses.filter("kept").select("block", "pos"), self.docs, self.text_col)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

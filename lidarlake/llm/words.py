@@ -1,10 +1,16 @@
 """The word part of the quality classifier: interpolated modified Kneser-Ney over word trigrams of trusted text.
 
 What it gathers grows with the corpus: all distinct word trigrams of training text, without a cap. A word that is rare or
-unknown backs off to the byte model's probability of its bytes. Blocks ask for the 64-bit hashes of their n-grams and
-contexts; shards answer with discounted counts and with contexts' totals and back-off masses, from which blocks compute
-probabilities. A model table is aggregated by n-gram or by context and never joined with another one, so a common context
-is no task's burden; nothing of the model is broadcast but its discounts.
+unknown backs off to the byte model's probability of its bytes. Everything about a bigram lives where its hash does: the
+words seen before it (with counts: its trigrams, and its continuation count) and the words seen after it (its weight as a
+context). Blocks ask for their bigrams and the words before them, telling how often training text holds each and what
+follows there; shards answer with whole numbers. Ranges of the hash are worked off one after the other (PASSES), so that
+only one range's requests are on disk at a time; every range covers all documents. Of each trained bigram the first block
+that holds it gives its continuation count to its two words, which live in shards of words in the same way. Blocks then
+have all numbers of their n-grams and compute probabilities; nothing of the model is broadcast but its discounts.
+
+Hashes: a bigram is known by BITS bits, a word beside it by NEAR bits, a word by 63. Bigrams or words that share a hash
+share their counts.
 """
 
 from __future__ import annotations
@@ -13,233 +19,325 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import cut, partitions
+from . import blocks as blocked
+from . import tokens64
+from .blocks import expand, expand_ascending, pieces, range_shard, squeeze, squeeze_ascending
 from .common import batch_of
 
 #: Bytes of a passage, and between the beginnings of two passages of a text.
 PASSAGE, STEP = 512, 64
-_SPACE = np.zeros(256, bool)
-_SPACE[list(b" \t\n\r\x0b\x0c")] = True
-
-
-class Words:
-    """Words of texts as 63-bit hashes; a cache saves repeats."""
-
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
-
-    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(grams, begins, ends): each word with the two before it (zeros before a text), and its bytes' span in the
-        texts' joined bytes, with the space that follows it."""
-        data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-        words = [w for d in data for w in d.split()]
-        if len(self.known) > 250_000:
-            self.known.clear()
-        for w in set(words).difference(self.known):
-            self.known[w] = (xxhash.xxh3_64_intdigest(w) >> 1) | 1
-        c = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        a = np.frombuffer(b"".join(data), np.uint8)
-        edge = np.zeros(len(a) + 1, bool)
-        edge[np.concatenate(([0], np.cumsum(np.fromiter(map(len, data), np.int64, len(data)))))] = True
-        space = _SPACE[a]
-        before, after = np.concatenate(([True], space[:-1]))[: len(a)], np.concatenate((space[1:], [True]))[: len(a)]
-        begins = np.flatnonzero(~space & (before | edge[:-1]))
-        ends = np.flatnonzero(~space & (after | edge[1:])) + 1
-        text = np.cumsum(edge[:-1])[begins]
-        grams = np.zeros((3, len(c)), np.int64)
-        grams[2] = c
-        for k in (1, 2):
-            same = text[k:] == text[:-k]
-            grams[2 - k, k:] = np.where(same, c[:-k], 0)
-        return grams, begins, ends + ~edge[ends]
-
-
-def keys(*words: np.ndarray) -> np.ndarray:
-    """64-bit hashes of n-grams, other ones for each n."""
-    with np.errstate(over="ignore"):
-        h = np.full(len(words[0]), len(words), np.uint64) * np.uint64(0xA0761D6478BD642F)
-        for w in words:
-            h = (h ^ w.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-            h *= np.uint64(0xD6E8FEB86659FD93)
-            h ^= h >> np.uint64(32)
-    return h.view(np.int64)
-
-
-def asked(g: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Keys of each word's trigram, bigram and unigram, and of the first two's contexts."""
-    return keys(*g), keys(g[1], g[2]), keys(g[2]), keys(g[0], g[1]), keys(g[1])
-
-
-def _shard(x: np.ndarray, n: int) -> np.ndarray:
-    return ((x.view(np.uint64) >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
+BITS, NEAR = 48, 32
+PASSES = 4
 
 
-def distinct(texts: list[str | None], shards: int, split) -> tuple[np.ndarray, np.ndarray]:
-    """A block's distinct keys by shard and then value, and their shards."""
-    words, some = Words(), [np.zeros(0, np.int64)]
-    for _, part in split(texts):
-        some.append(np.unique(np.concatenate(asked(words.of(part)[0]))))
-    k = np.unique(np.concatenate(some))
-    shard = _shard(k, shards)
-    by = np.argsort(shard, kind="stable")
-    return k[by], shard[by]
-
-
-_SENT = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("values", pa.binary())])
-_SENT_SQL = "shard int, kind int, block long, keys binary, values binary"
-
-
-def requests(table: DataFrame, shards: int, unpack, split) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for block, blob in zip(b.column("block").to_pylist(), b.column("blob"), strict=True):
-                k, shard = distinct(unpack(blob.as_buffer()).column("_text").to_pylist(), shards, split)
-                at = np.searchsorted(shard, np.arange(shards + 1))
-                for s in range(shards):
-                    if at[s] < at[s + 1]:
-                        yield batch_of(_SENT, [[s], [2], [block], [k[at[s] : at[s + 1]].tobytes()], [None]])
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (a + np.uint64(0xA0761D6478BD642F)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        h ^= b
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+    return h
 
-    return table.select("block", "blob").mapInArrow(run, _SENT_SQL)
 
+def bigram(b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return _mix(b, c) >> np.uint64(64 - BITS)
 
-def counted(table: DataFrame, marks: DataFrame, unpack, split) -> DataFrame:
-    """(a, b, c, n): word trigrams of training text and how often they occur."""
-    schema = pa.schema([(x, pa.int64()) for x in "abcn"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def near(w: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (w * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - NEAR)
+
+
+#: The context of a text's first word.
+START = bigram(np.zeros(1, np.uint64), np.zeros(1, np.uint64))[0]
+
+
+class Tokens:
+    """A block's words c with the two before them, b and a (0 before a text), as 63-bit hashes that are not 0; the bigrams
+    `own` of b and c; the words of each text."""
+
+    def __init__(self, texts: list[str | None]) -> None:
+        parts = [tokens64.words(part) for _, part in pieces(texts)]
+        none = np.zeros(0, np.uint64)
+        self.c = np.concatenate([none, *(h for h, _ in parts)]) >> np.uint64(1) | np.uint64(1)
+        self.counts = np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)])
+        starts = (np.cumsum(self.counts) - self.counts)[self.counts > 0]
+        self.first = np.zeros(len(self.c), bool)
+        self.first[starts] = True
+        self.b = self._before(self.c)
+        self.a = self._before(self.b)
+        self.own = bigram(self.b, self.c)
+
+    def _before(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(x)
+        out[1:] = x[:-1]
+        out[self.first] = 0
+        return out
+
+    def contexts(self) -> np.ndarray:
+        """The bigrams of a and b: those of the words before."""
+        out = self._before(self.own)
+        out[self.first] = START
+        return out
+
+
+class Asked:
+    """What a block's texts ask for in a range of bigrams.
+
+    keys: bigrams, ascending; before: (bigram's place, word before, trained count) in this order; after: (bigram's place,
+    word after, count) of training text. place: where each of the block's words has its bigram among the keys, trigram:
+    where its trigram stands in `before` (of words in the range). start: the place of START, or -1."""
+
+    def __init__(self, t: Tokens, fit: np.ndarray, inside) -> None:
+        trained = np.repeat(fit, t.counts)
+        at = np.flatnonzero(inside(t.own))
+        k, w, n, self.trigram = self._distinct(t.own[at], near(t.a[at]), trained[at])
+        at = np.flatnonzero(trained)
+        context = t.contexts()[at]
+        if len(at):
+            some = inside(context)
+            context, at = context[some], at[some]
+        rk, rw, rn, _ = self._distinct(context, near(t.c[at]), None)
+        start = np.full(1, START)[inside(np.full(1, START))]
+        self.keys = np.union1d(k, start)
+        self.start = int(np.searchsorted(self.keys, START)) if len(start) else -1
+        self.before = np.searchsorted(self.keys, k), w, n
+        self.after = np.searchsorted(self.keys, rk), rw, rn
+        self.place = self.before[0][self.trigram]
+
+    @staticmethod
+    def _distinct(k: np.ndarray, w: np.ndarray, weight: np.ndarray | None) -> tuple[np.ndarray, ...]:
+        """Distinct (k, w), by k and then by their hash, with their sums of weights; and where each pair stands."""
+        _, first, n, back = tokens64.places(_mix(k, w))
+        n = (n if weight is None else np.bincount(back, weight, len(first))).astype(np.uint32)
+        k, w = k[first], w[first]
+        by = tokens64.by_hash(k << np.uint64(64 - BITS))
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        return k[by], w[by], n[by], rank[back]
+
+
+_ASK = pa.schema([("part", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("keys", "before_n", "before", "before_t", "after_n", "after", "after_t"))])
+_ASK_SQL = "part int, block long, keys binary, before_n binary, before binary, before_t binary, after_n binary, after binary, after_t binary"
+_TOLD = pa.schema([("block", pa.int64()), ("part", pa.int32()), *((c, pa.binary()) for c in ("numbers", "owner", "trigrams")), ("stats", pa.list_(pa.int64()))])
+_TOLD_SQL = "block long, part int, numbers binary, owner binary, trigrams binary, stats array<long>"
+
+
+def _levels_of(n: np.ndarray) -> list[int]:
+    return [int((n == k).sum()) for k in (1, 2, 3, 4)]
+
+
+def _told(part: int, held: list) -> pa.RecordBatch:
+    """The answers of one shard, and how many of its trained trigrams and bigrams have the counts 1 to 4."""
+    keys = [expand_ascending(r[1]) for r in held]
+    sizes = [len(x) for x in keys]
+    known, _, _, back = tokens64.places(np.concatenate(keys) << np.uint64(64 - BITS))
+    known >>= np.uint64(64 - BITS)
+    backs = np.split(back, np.cumsum(sizes)[:-1])
+    asks = [expand(r[2], np.uint32) for r in held]
+
+    def beside(n: list, w: int, t: int) -> tuple[np.ndarray, ...]:
+        place = np.concatenate([np.repeat(b, x) for b, x in zip(backs, n, strict=True)])
+        counts = np.concatenate([expand(r[t], np.uint32) for r in held]).astype(np.int64)
+        _, first, _, inverse = tokens64.places(_mix(known[place], np.concatenate([expand(r[w], np.uint64) for r in held])))
+        return place, counts, place[first], np.bincount(inverse, counts, len(first)).astype(np.int64), inverse
+
+    place, counts, own, trigrams, inverse = beside(asks, 3, 4)
+    continued = np.bincount(own[trigrams > 0], minlength=len(known))
+    # the first block that holds a trained bigram is its owner
+    trained = np.flatnonzero(counts > 0)
+    row_of = np.repeat(np.arange(len(held)), [int(x.sum()) for x in asks])
+    owner_row = np.full(len(known), -1)
+    backwards = trained[::-1]
+    owner_row[place[backwards]] = row_of[backwards]
+    _, _, after, times, _ = beside([expand(r[5], np.uint32) for r in held], 6, 7)
+    figures = [continued, np.bincount(after, times, len(known)), *(np.bincount(after[m], minlength=len(known)) for m in (times == 1, times == 2, times >= 3))]
+    figures = np.stack(figures).astype(np.uint64)
+    asked = np.split(trigrams[inverse].astype(np.uint64), np.cumsum([int(x.sum()) for x in asks])[:-1])
+    rows = [(r[0], part, squeeze(figures[:, b].reshape(-1)), squeeze(owner_row[b] == i), squeeze(x), None) for i, (r, b, x) in enumerate(zip(held, backs, asked, strict=True))]
+    rows.append((None, part, None, None, None, _levels_of(trigrams) + _levels_of(continued)))
+    return batch_of(_TOLD, [*zip(*rows, strict=True)])
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]:
+    """make(part, rows) for the rows of each part; the first column is the part."""
+    now, held = None, []
+    for b in batches:
+        for part, *row in zip(*(b.column(i).to_pylist() for i in range(b.num_columns)), strict=True):
+            if part != now and held:
+                yield make(now, held)
+                held = []
+            now = part
+            held.append(row)
+    if held:
+        yield make(now, held)
+
+
+def bigrams(table: DataFrame, marks: DataFrame) -> list[DataFrame]:
+    """(block, part, numbers, owner, trigrams, stats) of each range of bigrams."""
+    spark = table.sparkSession
+    shards = max(partitions(spark), blocked.shards_for(table, PASSES * (16 << 20)) // 2)
+
+    def one(number: int) -> DataFrame:
+        begin, end = number * shards, (number + 1) * shards
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shard = lambda k: range_shard(k, PASSES * shards, BITS)
+            inside = lambda k: shard(k) // shards == number
+            for b in batches:
+                for block, blob, fit in zip(b.column("block").to_pylist(), b.column("blob"), b.column("fit").to_pylist(), strict=True):
+                    tokens = Tokens(blocked.rows(blob).column("_text").to_pylist())
+                    trained = np.zeros(len(tokens.counts), bool)
+                    trained[fit or []] = True
+                    a = Asked(tokens, trained, inside)
+                    cuts = np.searchsorted(shard(a.keys), np.arange(begin, end + 1))
+                    sides = []
+                    for place, w, n in (a.before, a.after):
+                        per = np.bincount(place, minlength=len(a.keys)).astype(np.uint32)
+                        sides.append((per, w, n, np.searchsorted(place, cuts)))
+                    rows = []
+                    for s in np.flatnonzero(np.diff(cuts)).tolist():
+                        i, j = cuts[s], cuts[s + 1]
+                        blobs = [x for per, w, n, c in sides for x in (squeeze(per[i:j]), squeeze(w[c[s] : c[s + 1]]), squeeze(n[c[s] : c[s + 1]]))]
+                        rows.append((begin + s, block, squeeze_ascending(a.keys[i:j]), *blobs))
+                    if rows:
+                        yield batch_of(_ASK, [*zip(*rows, strict=True)])
+
+        asked = table.select("block", "blob").join(marks, "block", "left").select("block", "blob", "fit").mapInArrow(ask, _ASK_SQL)
+        dealt = asked.repartition(partitions(spark), "part").sortWithinPartitions("part", "block")
+        return cut(dealt.mapInArrow(lambda batches: _grouped(batches, _told), _TOLD_SQL))
+
+    return [one(k) for k in range(PASSES)]
+
+
+def opened(answers: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's answers: the numbers of its bigrams in five rows (continuations, weight as a context, and how many words
+    follow once, twice, more often), which of them it owns, and its trigrams' counts."""
+    answers = sorted(answers or (), key=lambda a: a["part"])
+    numbers = [expand(a["numbers"], np.uint64).reshape(5, -1) for a in answers]
+    owner = [expand(a["owner"], np.bool_) for a in answers]
+    trigrams = [expand(a["trigrams"], np.uint64) for a in answers]
+    return np.concatenate([np.zeros((5, 0), np.uint64), *numbers], 1), np.concatenate([np.zeros(0, bool), *owner]), np.concatenate([np.zeros(0, np.uint64), *trigrams])
+
+
+# --- words --------------------------------------------------------------------------------------------------------
+
+_WORD = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("words", pa.binary()), ("given", pa.binary())])
+_SPOKEN = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("numbers", pa.binary()), ("stats", pa.list_(pa.int64()))])
+
+
+def _everything(k: np.ndarray) -> np.ndarray:
+    return np.ones(len(k), bool)
+
+
+def distinct(tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """The block's words and the zero before a text, ascending, and where each of its words stands."""
+    known, _, _, back = tokens64.places(tokens.c << np.uint64(1))
+    return np.concatenate((np.zeros(1, np.uint64), known >> np.uint64(1))), back + 1
+
+
+def unigrams(table: DataFrame, answers: DataFrame) -> DataFrame:
+    """(block, part, numbers, stats): for each block's words how many words they follow, and, as contexts, their weight
+    and how many bigrams of one, two, more continuations they begin. answers: (block, told) of bigrams."""
+    spark = table.sparkSession
+    shards = max(partitions(spark), blocked.shards_for(table, 64 << 20))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for blob, fit in zip(b.column("blob"), b.column("fit").to_pylist(), strict=True):
-                if not fit:
-                    continue
-                texts, words = unpack(blob.as_buffer()).column("_text").to_pylist(), Words()
-                for _, part in split([texts[i] for i in sorted(fit)]):
-                    g = words.of(part)[0]
-                    _, first, n = np.unique(keys(*g), return_index=True, return_counts=True)
-                    for at in range(0, len(first), 50_000):
-                        yield batch_of(schema, [*g[:, first[at : at + 50_000]], n[at : at + 50_000]])
-
-    found = table.select("block", "blob").join(marks, "block").select("blob", "fit").mapInArrow(run, "a long, b long, c long, n long")
-    return found.groupBy("a", "b", "c").agg(F.sum("n").alias("n"))
+            for block, blob, told in zip(b.column("block").to_pylist(), b.column("blob"), b.column("told").to_pylist(), strict=True):
+                tokens = Tokens(blocked.rows(blob).column("_text").to_pylist())
+                numbers, owner, _ = opened(told)
+                known, word = distinct(tokens)
+                keys, first, _, _ = tokens64.places(tokens.own << np.uint64(64 - BITS))
+                # START is no bigram of two words; without it the keys are those of the answers
+                start = np.searchsorted(keys, START << np.uint64(64 - BITS))
+                extra = int(not (start < len(keys) and keys[start] == START << np.uint64(64 - BITS)))
+                at = np.arange(len(keys)) + (np.arange(len(keys)) >= start) * extra
+                own = np.flatnonzero(owner[at])
+                n = numbers[0, at[own]]
+                end = word[first[own]]
+                begin = np.where(tokens.first[first[own]], 0, word[first[own] - 1])
+                given = np.zeros((5, len(known)), np.uint64)
+                given[0] = np.bincount(end, minlength=len(known))
+                given[1] = np.bincount(begin, n, len(known))
+                for r, m in ((2, n == 1), (3, n == 2), (4, n >= 3)):
+                    given[r] = np.bincount(begin[m], minlength=len(known))
+                cuts = np.searchsorted(range_shard(known, shards, 63), np.arange(shards + 1))
+                rows = [(s, block, squeeze_ascending(known[i:j]), squeeze(given[:, i:j].reshape(-1))) for s, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if i < j]
+                yield batch_of(_WORD, [*zip(*rows, strict=True)])
+
+    def spoken(part: int, held: list) -> pa.RecordBatch:
+        keys = [expand_ascending(r[1]) for r in held]
+        known, _, _, back = tokens64.places(np.concatenate(keys) << np.uint64(1))
+        given = np.concatenate([expand(r[2], np.uint64).reshape(5, -1) for r in held], 1)
+        sums = np.stack([np.bincount(back, row, len(known)) for row in given]).astype(np.uint64)
+        rows = [(r[0], part, squeeze(sums[:, b].reshape(-1)), None) for r, b in zip(held, np.split(back, np.cumsum([len(k) for k in keys])[:-1]), strict=True)]
+        rows.append((None, part, None, [*_levels_of(sums[0]), int((sums[0] > 0).sum()), int(sums[0].sum())]))
+        return batch_of(_SPOKEN, [*zip(*rows, strict=True)])
+
+    asked = table.select("block", "blob").join(answers, "block", "left").select("block", "blob", "told").mapInArrow(ask, "part int, block long, words binary, given binary")
+    dealt = asked.repartition(partitions(spark), "part").sortWithinPartitions("part", "block")
+    return cut(dealt.mapInArrow(lambda batches: _grouped(batches, spoken), "block long, part int, numbers binary, stats array<long>"))
+
+
+def sums(told: DataFrame, n: int) -> list[int]:
+    """The stats of all shards together."""
+    row = told.filter("stats is not null").agg(*(F.sum(F.col("stats")[i]) for i in range(n))).first()
+    return [x or 0 for x in row]
 
 
 class Model:
-    """rows: (x, y, z, size, num, total, mass) of n-grams (num) and of contexts (total, mass); first: total and mass of
-    the empty context."""
-
-    def __init__(self, counts: DataFrame, discounts) -> None:
-        levels = {3: cut(counts)}
-        levels[2] = cut(levels[3].groupBy("b", "c").agg(F.count("*").alias("n")))
-        levels[1] = cut(levels[2].groupBy("c").agg(F.count("*").alias("n")))
-        none, rows = F.lit(None).cast("long"), []
-        for k, df in levels.items():
-            d = discounts(*df.agg(*(F.sum(F.when(F.col("n") == i, 1).otherwise(0)) for i in (1, 2, 3, 4))).first())
-            discount = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-            names = "abc"[3 - k :]
-            place = lambda used: [*(F.col(c).alias(t) for c, t in zip(used, "xyz")), *(none.alias(t) for t in "xyz"[len(used) :]), F.lit(len(used)).alias("size")]  # noqa: E731, B905
-            rows.append(df.select(*place(names), (F.col("n") - discount).cast("double").alias("num"), F.lit(None).cast("double").alias("total"), F.lit(None).cast("double").alias("mass")))
-            sums = df.groupBy(*names[:-1]).agg(F.sum("n").cast("double").alias("total"), F.sum(discount).alias("mass"))
-            if k > 1:
-                rows.append(sums.select(*place(names[:-1]), F.lit(None).cast("double").alias("num"), "total", "mass"))
-            else:
-                self.first = tuple(x or 0.0 for x in sums.first())
-        self.rows = rows[0]
-        for r in rows[1:]:
-            self.rows = self.rows.unionByName(r)
-
-
-def answers(asking: DataFrame, model: Model, shards: int) -> DataFrame:
-    """(block, shard, values): which keys are n-grams and which contexts, as bits, and their figures."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            size = b.column("size").to_numpy()
-            gram = b.column("num").is_valid().to_numpy(zero_copy_only=False)
-            w = [b.column(c).fill_null(0).to_numpy() for c in "xyz"]
-            v = [b.column(c).fill_null(0).to_numpy() for c in ("num", "total", "mass")]
-            for n in (1, 2, 3):
-                for kind in (0, 1):
-                    own = np.flatnonzero((size == n) & (gram == (kind == 0)))
-                    if not len(own):
-                        continue
-                    k = keys(*(x[own] for x in w[:n]))
-                    values = (v[0][own][:, None] if kind == 0 else np.stack((v[1][own], v[2][own]), 1)).astype(np.float32)
-                    shard = _shard(k, shards)
-                    by = np.argsort(shard, kind="stable")
-                    at = np.searchsorted(shard[by], np.arange(shards + 1))
-                    for s in np.flatnonzero(np.diff(at)).tolist():
-                        part = by[at[s] : at[s + 1]]
-                        yield batch_of(_SENT, [[s], [kind], [0], [k[part].tobytes()], [values[part].tobytes()]])
-
-    schema = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("values", pa.binary())])
-
-    def table(blobs: list, width: int) -> tuple[np.ndarray, np.ndarray]:
-        k = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x, _ in blobs)])
-        v = np.concatenate([np.zeros((0, width), np.float32), *(np.frombuffer(x, np.float32).reshape(-1, width) for _, x in blobs)])
-        by = np.argsort(k)
-        return k[by], v[by]
-
-    def found(k: np.ndarray, t: tuple[np.ndarray, np.ndarray]) -> bytes:
-        if not len(t[0]):
-            return np.packbits(np.zeros(len(k), bool)).tobytes()
-        at = np.minimum(np.searchsorted(t[0], k), len(t[0]) - 1)
-        has = t[0][at] == k
-        return np.packbits(has).tobytes() + t[1][at[has]].tobytes()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, ready = None, ([], []), None
-        for b in batches:
-            for shard, kind, block, k, v in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                if shard != now:
-                    now, held, ready = shard, ([], []), None
-                if kind < 2:
-                    held[kind].append((k, v))
-                    continue
-                if ready is None:
-                    ready, held = (table(held[0], 1), table(held[1], 2)), ([], [])
-                k = np.frombuffer(k, np.int64)
-                one = found(k, ready[0])
-                yield batch_of(schema, [[block], [shard], [len(one).to_bytes(8, "little") + one + found(k, ready[1])]])
-
-    sent = asking.unionByName(model.rows.mapInArrow(pack, _SENT_SQL))
-    return sent.repartition(partitions(asking.sparkSession), "shard").sortWithinPartitions("shard", "kind").mapInArrow(run, "block long, shard int, values binary")
-
-
-def opened(k: np.ndarray, shard: np.ndarray, got: list) -> np.ndarray:
-    """(num, total, mass) of each of a block's keys."""
-    out = np.zeros((len(k), 3), np.float32)
-    for answer in got:
-        s, blob = answer["shard"], answer["values"]
-        lo, hi = np.searchsorted(shard, s), np.searchsorted(shard, s, "right")
-        cut_at, n_bits = 8 + int.from_bytes(blob[:8], "little"), -(-(hi - lo) // 8)
-        for part, columns in ((blob[8:cut_at], slice(0, 1)), (blob[cut_at:], slice(1, 3))):
-            has = np.unpackbits(np.frombuffer(part, np.uint8, n_bits), count=hi - lo).astype(bool)
-            out[lo + np.flatnonzero(has), columns] = np.frombuffer(part, np.float32, offset=n_bits).reshape(-1, columns.stop - columns.start)
-    return out
-
-
-def losses(words: Words, texts: list[str | None], counts: np.ndarray, byte_logp: np.ndarray, places, values: np.ndarray, first: tuple[float, float]) -> tuple[list, list]:
+    """Discounts of trigrams, bigrams and words, and the weight and back-off mass of the empty context."""
+
+    def __init__(self, bigram_stats: list[int], word_stats: list[int], discounts) -> None:
+        self.d3, self.d2, self.d1 = discounts(*bigram_stats[:4]), discounts(*bigram_stats[4:]), discounts(*word_stats[:4])
+        n1, n2, _, _, different, self.total = word_stats
+        self.mass = n1 * self.d1[0] + n2 * self.d1[1] + (different - n1 - n2) * self.d1[2]
+
+
+def log_probabilities(model: Model, tokens: Tokens, told: list, spoken: list, spelling: np.ndarray) -> np.ndarray:
+    """Of each of a block's words, from what it was told; spelling: the byte model's log-probability of each."""
+    if not len(tokens.c):
+        return spelling
+    asked = Asked(tokens, np.zeros(len(tokens.counts), bool), _everything)
+    bigrams_, _, trigrams = opened(told)
+    unigrams_ = np.concatenate([expand(a["numbers"], np.uint64).reshape(5, -1) for a in sorted(spoken, key=lambda a: a["part"])], 1)
+    _, word = distinct(tokens)
+    before = np.where(tokens.first, 0, np.concatenate(([0], word[:-1])))
+    context = np.where(tokens.first, asked.start, np.concatenate(([0], asked.place[:-1])))
+    m = model
+    p = _step(spelling, unigrams_[0, word], m.d1, np.full(len(word), float(m.total)), np.full(len(word), m.mass))
+    p = _step(p, bigrams_[0, asked.place], m.d2, unigrams_[1, before], _mass(unigrams_[:, before], m.d2))
+    return _step(p, trigrams[asked.trigram], m.d3, bigrams_[1, context], _mass(bigrams_[:, context], m.d3))
+
+
+def losses(texts: list[str | None], size: np.ndarray, byte_logp: np.ndarray, word_logp) -> tuple[list, list]:
     """Each text's mean loss a byte under the word model, and that of its worst passage. Bytes outside of words (spaces
-    beyond the first) have the byte model's loss; a word's loss is spread over its bytes."""
+    beyond the first) have the byte model's loss; a word's loss is spread over its bytes and the space that follows it.
+
+    word_logp(spelling) gives the words' log-probabilities; size are the texts' bytes."""
+    data, _ = tokens64.joined(texts)
+    begins, ends = tokens64.spans(data)
+    # places in the texts' bytes, without the space after each text
+    text = np.searchsorted(np.cumsum(size + 1), begins, "right")
+    begins, ends = begins - text, ends - text
+    ends = ends + (ends < np.cumsum(size)[text])
     each = byte_logp.astype(np.float64)
-    g, begins, ends = words.of(texts)
     if len(begins):
         total = np.concatenate(([0.0], np.cumsum(each)))
-        p = total[ends] - total[begins]
-        k3, k2, k1, c3, c2 = (values[places.of(x)].astype(np.float64) for x in asked(g))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            for num, all_, mass in ((k1[:, 0], np.full(len(p), first[0]), np.full(len(p), first[1])), (k2[:, 0], c2[:, 1], c2[:, 2]), (k3[:, 0], c3[:, 1], c3[:, 2])):
-                p = np.where(all_ > 0, np.logaddexp(np.log(num), np.log(mass) + p) - np.log(all_), p)
-        size = ends - begins
-        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begins, size)
-        each[at] = np.repeat(p / size, size)
+        p = word_logp(total[ends] - total[begins])
+        n = ends - begins
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begins, n)
+        each[at] = np.repeat(p / n, n)
     total = np.concatenate(([0.0], np.cumsum(each)))
     means, worst, end = [], [], 0
-    for n in counts.tolist():
+    for n in size.tolist():
         begin, end = end, end + n
         means.append((total[begin] - total[end]) / n if n else None)
         if n > PASSAGE:
@@ -248,3 +346,14 @@ def losses(words: Words, texts: list[str | None], counts: np.ndarray, byte_logp:
         else:
             worst.append(means[-1])
     return means, worst
+
+
+def _mass(figures: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
+    return figures[2] * d[0] + figures[3] * d[1] + figures[4] * d[2]
+
+
+def _step(p: np.ndarray, n: np.ndarray, d: tuple[float, float, float], total: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """One order more: log-probabilities p below, counts n of the n-grams, weight and back-off mass of their contexts."""
+    own = np.maximum(n - np.array([0.0, *d])[np.minimum(n, 3).astype(np.int64)], 0.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(total > 0, np.logaddexp(np.log(own), np.log(mass) + p) - np.log(total), p)

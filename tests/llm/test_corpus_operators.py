@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lidarlake.llm import components, jaccard, quality, secret_scan
+from lidarlake.llm import components, jaccard, quality, secret_scan, tokens64
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, block string, key string"
 
@@ -148,10 +148,20 @@ def test_kept_rows_have_all_columns(spark):
     assert quality.classify(d.limit(0), d.select("doc_id")).count() == 0
 
 
-def test_places_find_every_key():
-    keys = np.unique(np.random.default_rng(0).integers(0, 2**40, 20_000))
-    x = np.random.default_rng(1).choice(keys, 50_000)
-    assert (keys[quality.Places(keys).of(x)] == x).all()
+def test_hashes_of_words_and_their_places():
+    texts = ["a bc  abc\t", None, "", " ", "Abc ABC abc", "é " + "x" * 400 + " X" + "x" * 399, "漢字\u2003漢字"]
+    for lower in (False, True):
+        want = [(t or "").encode().lower().split() if lower else (t or "").encode().split() for t in texts]
+        h, n = tokens64.words(texts, lower)
+        assert n.tolist() == [len(w) for w in want]
+        of: dict = {}
+        assert all(of.setdefault(w, x) == x for w, x in zip([w for ws in want for w in ws], h.tolist(), strict=True)) and len(set(of.values())) == len(of)
+    h = np.random.default_rng(1).integers(0, 1 << 64, 5000, np.uint64)[np.random.default_rng(2).integers(0, 5000, 20_000)]
+    known, first, n, back = tokens64.places(h)
+    want = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    assert all((x == y).all() for x, y in zip((known, first, back, n), want, strict=True))
+    near = h >> np.uint64(40)  # hashes that differ in low bits only
+    assert (tokens64.by_hash(near) == np.argsort(near, kind="stable")).all()
 
 
 def test_quality_of_labelled_documents(spark, sf_dir):

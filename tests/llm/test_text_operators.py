@@ -1,14 +1,17 @@
 """Operators on single documents against brute force, with the odd rows each must stand."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lidarlake.llm import language_id, media, mixing, packing, pii, repetition, secret_scan, sharding, tokens
 
@@ -143,6 +146,32 @@ def test_secret_spans(spark):
         assert r["n_assign"] == sum(k == 0 for _, k, _ in want)
 
 
+def test_candidates_reach_texts_either_way(spark, monkeypatch):
+    rows = docs(spark, [*ODD, "a token = abcdefghij b", "Token=abcdefghij", "token", None, "xoxb-1234567890"] * 3, ids=[None, 7, *range(14)] * 3)
+    told = lambda: sorted((tuple(r) for r in secret_scan.summaries(rows).collect()), key=repr)
+    want = told()
+    monkeypatch.setattr(secret_scan, "BROADCAST_ROWS", 0)
+    assert told() == want and sum(r[1] for r in want) == 6
+
+
+def test_many_secrets_in_one_text_and_many_rows_without_an_id(spark):
+    text = "".join(f"é{'z' * (i % 7)} password={'k' * (8 + i % 5)};" for i in range(3000))
+    r = secret_scan.summaries(docs(spark, [text])).first()
+    assert r["n_assign"] == 3000 and r["spans"].split(",") == [f"assign:{m.start()}:{m.end()}" for m in re.finditer(secret_scan.RULES[0][1], text)]
+    hot = spark.range(10_000).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 2 == 0, "token=abcdefghij").otherwise(F.concat(F.lit("plain "), "id")).alias("text"))
+    assert secret_scan.summaries(hot).filter("n_assign = 1").count() == 5000
+
+
+def test_secrets_are_those_of_the_sql(spark):
+    import duckdb
+
+    d = docs(spark, [*ODD, "é Password: abcdefgh token=short", "AKIA" + "B" * 12, "0a" * 16 + " 0a", "api_key=key=password=1234567890"])
+    documents = d.toPandas()  # noqa: F841
+    want = duckdb.sql(secret_scan.ORACLE)
+    names = sorted(want.columns)
+    assert sorted(repr([r[c] for c in names]) for r in secret_scan.summaries(d).collect()) == sorted(repr([r[want.columns.index(c)] for c in names]) for r in want.fetchall())
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     d = docs(spark, ["a token = abcdefghij b", None, "clean"], ids=[None, 1, 1])
     got = secret_scan.redact(d)
@@ -199,6 +228,73 @@ def test_pivot_keeps_the_sum_and_is_unbiased():
     assert np.allclose(total[[0, 1, 2, 3, 5]] / 3000, 0.3, atol=0.04)
 
 
+def plain_mix(rows, seed=0):
+    """(doc_id, source, size, copies, taken) of rows (doc_id, source, text) with exact numbers, one bucket a source."""
+    size = [(i, s, len(WORD.findall(t or ""))) for i, s, t in rows]
+    total = Counter()
+    for _, s, n in size:
+        total[s] += n
+    names = sorted(s for s in total if s is not None) + [None] * (None in total)
+    weight, goal, open_ = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}, {}, set(names)
+    while open_:
+        unit = (Fraction(3, 2) * sum(total.values()) - sum(goal.values())) / sum(weight[s] for s in open_)
+        full = {s for s in open_ if unit * weight[s] >= 2 * total[s]}
+        goal |= {s: Fraction(2 * total[s]) for s in full} if full else {s: unit * weight[s] for s in open_}
+        open_ = open_ - full if full else set()
+    out = []
+    for s in names:
+        entries = sorted(Counter(x for x in size if x[1] == s).items(), key=lambda e: (-e[0][2], e[0][0] is None, e[0][0]))
+        mass = [goal[s] / total[s] * n if total[s] else Fraction(0) for _, n in entries]
+        whole, p, held = [m // 1 for m in mass], [m % 1 for m in mass], None
+        for j, ((i, _, w), _) in enumerate(entries):
+            if w == 0:
+                p[j] = Fraction(0)
+            elif 0 < p[j] < 1 and held is None:
+                held = j
+            elif 0 < p[j] < 1:
+                k, wk = held, entries[held][0][2]
+                up, down = min((1 - p[k]) * wk, p[j] * w), min(p[k] * wk, (1 - p[j]) * w)
+                move = up if mixing._uniform(entries[k][0][0] or 0, i or 0, seed * 64) * float(up + down) < down else -down
+                p[k], p[j] = p[k] + move / wk, p[j] - move / w
+                held = next((x for x in (k, j) if 0 < p[x] < 1), None)
+        for ((i, _, w), n), c, x in zip(entries, whole, p, strict=True):
+            copies, part = c + (1 if x == 1 else 0), round(float(x) * w) if 0 < x < 1 else 0
+            for at in range(n):
+                own = (at + 1) * copies // n - at * copies // n
+                out.append((i, s, w, int(own), int(own * w + (part if at == 0 else 0))))
+    return Counter(out)
+
+
+def test_mix_is_that_of_exact_numbers(spark):
+    rnd = random.Random(8)
+    rows = [(rnd.choice([i, None, 5]) if i % 3 == 0 else i, rnd.choice(["a", "b", "é", None]), rnd.choice([None, "", "w " * rnd.randint(1, 12)])) for i in range(150)]
+    d = docs(spark, [t for *_, t in rows], sources=[s for _, s, _ in rows], ids=[i for i, *_ in rows])
+    got = Counter((r["doc_id"], r["source"], r["size"], r["copies"], r["taken"]) for r in mixing.mix(d).collect())
+    assert got == plain_mix(rows)
+    again = Counter()
+    for r in mixing.repeat(d).collect():
+        again[r["source"]] += len((r["text"] or "").split())
+    goal = Counter()
+    for (_, s, _, _, taken), n in plain_mix(rows).items():
+        goal[s] += taken * n
+    assert all(abs(again[s] - goal[s]) <= 12 for s in goal)
+
+
+def test_many_rows_of_one_entry(spark):
+    # one id, and none, on a third of the rows each; more rows than a block holds
+    d = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id")).cast("long").alias("doc_id"), F.concat(F.lit("two "), "id").alias("text"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"))
+    got = mixing.mix(d).groupBy("source").agg(F.sum("taken").alias("n"), F.max("target").alias("target"), F.max(F.col("taken") / F.col("size")).alias("most"), F.count("*").alias("rows")).collect()
+    assert all(abs(r["n"] - r["target"]) <= 1 and r["most"] <= 2 and r["rows"] == 15_000 for r in got)
+    assert abs(mixing.repeat(d).count() * 2 - sum(r["target"] for r in got)) <= 4
+
+
+def test_targets_without_a_list_of_sources(spark):
+    rnd = random.Random(3)
+    per = {**{f"s{i:03}": rnd.randint(0, 1000) for i in range(300)}, None: 77}
+    got = {r["source"]: r["target"] for r in mixing.planned(spark.createDataFrame([(s, n, 1) for s, n in per.items()], "source string, words long, rows long").repartition(5)).collect()}
+    assert got.keys() == per.keys() and all(got[s] == pytest.approx(x) for s, x in mixing.targets(per).items())
+
+
 def test_mix_meets_targets_and_agrees_again(spark):
     rnd = random.Random(2)
     texts = ["w " * rnd.randint(0, 50) for _ in range(600)] + [None]
@@ -286,6 +382,55 @@ def test_languages_held_out(spark, sf_dir):
 
 def test_odd_texts_are_undetermined(spark):
     net = language_id.Network(["x", "y"])
-    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs(spark, [None, "", "12 !!", "漢字", "z" * 999]), net).collect()}
-    assert [got[i] for i in range(3)] == ["und"] * 3 and got[3] != "und" and got[4] != "und"
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs(spark, [None, "", "12 !!", "½ ² Ⅷ", "漢字", "z" * 999]), net).collect()}
+    assert [got[i] for i in range(4)] == ["und"] * 4 and got[4] != "und" and got[5] != "und"
     assert language_id.predict(docs(spark, ["a"]), language_id.fit(docs(spark, []))).first()["lang_pred"] == "und"
+    assert language_id.predict(docs(spark, []), net).count() == 0
+
+
+def scalar_distribution(net, text):
+    """The mean label distribution of a text's bytes, number by number: every core with its context on either side."""
+    w, h = {k: v.astype(float).tolist() for k, v in net.w.items()}, language_id.HIDDEN
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+
+    def states(d, data):
+        state, out = [0.0] * h, []
+        for byte in data:
+            e = w["E"][byte]
+            a = [sum(x * r[k] for x, r in zip(e, w["W" + d], strict=True)) + w["b" + d][k] for k in range(3 * h)]
+            u = lambda s, k: sum(x * r[k] for x, r in zip(s, w["U" + d], strict=True))  # noqa: B023, E731
+            z, r = ([sigmoid(a[g * h + k] + u(state, g * h + k)) for k in range(h)] for g in (0, 1))
+            rs = [x * y for x, y in zip(r, state, strict=True)]
+            n = [math.tanh(a[2 * h + k] + u(rs, 2 * h + k)) for k in range(h)]
+            state = [zk * s + (1 - zk) * nk for zk, s, nk in zip(z, state, n, strict=True)]
+            out.append(state)
+        return out
+
+    data, sums = text.encode(), [0.0] * len(net.labels)
+    for begin in range(0, len(data), language_id.CORE):
+        end = min(len(data), begin + language_id.CORE)
+        start = max(0, begin - language_id.WARM)
+        window = data[start : end + language_id.WARM]
+        f, b = states("f", window), states("b", window[::-1])[::-1]
+        for t in range(begin - start, end - start):
+            s = [sum(x * r[k] for x, r in zip(f[t] + b[t], w["V"], strict=True)) + w["c"][k] for k in range(len(sums))]
+            s = [math.exp(x - max(s)) for x in s]
+            sums = [x + y / sum(s) for x, y in zip(sums, s, strict=True)]
+    return [x / len(data) for x in sums]
+
+
+def test_predictions_are_those_of_a_scalar_network(spark):
+    net = language_id.Network(["x", "y", "z"], 3)
+    texts = ["a", "über den Wolken", "the cat " * 40, "漢字" * 200, "q" * 257, "two words"]
+    for r in language_id.predict(docs(spark, texts), net).collect():
+        p = scalar_distribution(net, texts[r["doc_id"]])
+        assert r["score"] == pytest.approx(max(p), abs=1e-4) and r["lang_pred"] == net.labels[p.index(max(p))]
+
+
+def test_the_sample_is_bounded_whatever_the_ids(spark):
+    for id_ in (F.lit(None).cast("long"), F.lit(1).cast("long"), F.col("id")):
+        d = spark.range(4000).select(id_.alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.when(F.col("id") % 2 == 0, "x").otherwise("y").alias("lang"))
+        got = language_id.sample(d, 50)
+        assert {k: len(t) for k, t in got.items()} == {"x": 50, "y": 50}
+    copies = spark.range(4000).select("id", F.lit("one text").alias("text"), F.lit("x").alias("lang")).withColumnRenamed("id", "doc_id")
+    assert {k: len(t) for k, t in language_id.sample(copies, 50).items()} == {"x": 1}
