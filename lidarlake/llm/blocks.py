@@ -37,10 +37,27 @@ def rows(blob) -> pa.Table:
     return pa.ipc.open_stream(blob.as_buffer()).read_all()
 
 
-def store(docs: DataFrame, text_col: str, rest: bool = True, **own: tuple[str, str]) -> DataFrame:
+def _saved(df: DataFrame) -> DataFrame:
+    """df as a table that is bucketed by block; tables of one session meet by block without a shuffle."""
+    spark = df.sparkSession
+    name, path = f"blocks_{uuid.uuid4().hex}", scratch(spark)
+    TABLES.append(name)
+    with writing(spark):
+        df.write.bucketBy(max(8, partitions(spark)), "block").option("path", path).option("compression", "uncompressed").saveAsTable(name)
+    out = spark.read.table(name)
+    out.cut_path = path
+    return out
+
+
+def by_block(df: DataFrame, name: str, *columns: str) -> DataFrame:
+    """(block, name): the columns of df's rows as one array for each block, kept beside the blocks."""
+    dealt = df.repartition(max(8, partitions(df.sparkSession)), "block")
+    return _saved(dealt.groupBy("block").agg(F.collect_list(F.struct(*columns)).alias(name)))
+
+
+def store(docs: DataFrame, text_col: str, rest: bool = True, block_bytes: int = BLOCK_BYTES, **own: tuple[str, str]) -> DataFrame:
     """(block, ids, size, blob): `_text`, the columns `own` (name, type) under an underscore, and the rest of the row if
     `rest`, packed where they are read. ids are those of `id`, size is the bytes of the texts."""
-    spark = docs.sparkSession
     kept = [col(name).cast(kind).alias(f"_{alias}") for alias, (name, kind) in own.items()]
     others = [F.struct(*(col(c) for c in docs.columns if c != text_col)).alias("_rest")] if rest else []
     packed = docs.select(col(text_col).cast("string").alias("_text"), *kept, *others)
@@ -62,18 +79,13 @@ def store(docs: DataFrame, text_col: str, rest: bool = True, **own: tuple[str, s
                 held.append(part)
                 size += part.nbytes
                 count += part.num_rows
-                if size >= BLOCK_BYTES or count > BLOCK_ROWS - 512:
+                if size >= block_bytes or count > BLOCK_ROWS - 512:
                     yield out()
                     held, size, count, number = [], 0, 0, number + 1
         if held:
             yield out()
 
-    name = f"blocks_{uuid.uuid4().hex}"
-    TABLES.append(name)
-    with writing(spark):
-        writer = packed.mapInArrow(run, "block long, ids array<long>, size long, blob binary").write.bucketBy(max(8, partitions(spark)), "block")
-        writer.option("path", scratch(spark)).option("compression", "uncompressed").saveAsTable(name)
-    return spark.read.table(name)
+    return _saved(packed.mapInArrow(run, "block long, ids array<long>, size long, blob binary"))
 
 
 def taken(blocks: DataFrame, places: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:

@@ -39,6 +39,10 @@ QUANTILE, MARGIN = 0.98, 0.02
 CALIBRATE = 5
 #: Calibrating documents that a class of language and length has, to have thresholds of its own.
 LEAST = 50
+#: Larger blocks ask for fewer n-grams.
+BLOCK_BYTES = 8 << 20
+#: Text bytes whose n-grams a shard answers for.
+SHARD_BYTES = 32 << 20
 
 
 # --- n-grams of a block -------------------------------------------------------------------------------------------
@@ -72,26 +76,24 @@ def _shard(x: np.ndarray, n: int) -> np.ndarray:
     return ((_spread(x) >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
 
 
-def ordered(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct n-grams of texts, ascending; where among them the one at each byte stands; each text's bytes. Places
-    ride in the low bits of a plain sort, in place."""
-    some = [grams(part) for _, part in pieces(texts)]
-    size = np.concatenate([np.zeros(0, np.int64), *(n for _, n in some)])
-    g = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in some)])
-    del some
-    bits = max(1, len(g).bit_length())
-    if 8 * ORDER + bits > 63:  # a very long block: places don't fit beside the n-grams
-        known, back = np.unique(g, return_inverse=True)
-        return known, back, size
-    g <<= bits
-    g |= np.arange(len(g))
-    g.sort()
-    order = g & ((1 << bits) - 1)
-    g >>= bits
-    first = tokens64.firsts(g)
-    back = np.empty(len(g), np.int32)
-    back[order] = np.cumsum(first, dtype=np.int32) - np.int32(1)
-    return g[first], back, size
+def ordered(texts: list[str | None], known: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Piece by piece: where among the block's distinct n-grams the one at each byte stands; each text's bytes. Places
+    ride in the low bits of a plain sort."""
+    for _, part in pieces(texts):
+        g, size = grams(part)
+        bits = max(1, len(g).bit_length())
+        if 8 * ORDER + bits > 63:  # a very long text: places don't fit beside the n-grams
+            yield np.searchsorted(known, g), size
+            continue
+        g <<= bits
+        g |= np.arange(len(g))
+        g.sort()
+        order = g & ((1 << bits) - 1)
+        g >>= bits
+        first = tokens64.firsts(g)
+        back = np.empty(len(g), np.int32)
+        back[order] = np.searchsorted(known, g[first])[np.cumsum(first) - 1]
+        yield back, size
 
 
 def _by_shard_and_value(g: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,8 +103,8 @@ def _by_shard_and_value(g: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndar
     return order, shard[order]
 
 
-def _distinct(texts: list[str | None], fit: set[int], shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A block's distinct n-grams, by shard and then value; their shards; their counts in the texts of `fit`."""
+def _distinct(texts: list[str | None], fit: set[int]) -> tuple[np.ndarray, np.ndarray]:
+    """A block's distinct n-grams, ascending; their counts in the texts of `fit`."""
     some, seen, counted = [np.zeros(0, np.int64)], [], []
     for begin, part in pieces(texts):
         x = np.sort(grams(part)[0])
@@ -116,8 +118,7 @@ def _distinct(texts: list[str | None], fit: set[int], shards: int) -> tuple[np.n
     n = np.zeros(len(g), np.int64)
     for s, c in zip(seen, counted, strict=True):
         n[np.searchsorted(g, s)] += c
-    order, shard = _by_shard_and_value(g, shards)
-    return g[order], shard, n[order]
+    return g, n
 
 
 # --- requests and answers -----------------------------------------------------------------------------------------
@@ -131,7 +132,9 @@ def _requests(table: DataFrame, marks: DataFrame, shards: int) -> DataFrame:
         for b in batches:
             for block, blob, fit in zip(b.column("block").to_pylist(), b.column("blob"), b.column("fit").to_pylist(), strict=True):
                 texts = blocked.rows(blob).column("_text").to_pylist()
-                g, shard, n = _distinct(texts, set(fit or ()), shards)
+                g, n = _distinct(texts, set(fit or ()))
+                order, shard = _by_shard_and_value(g, shards)
+                g, n = g[order], n[order]
                 at = np.searchsorted(shard, np.arange(shards + 1))
                 rows = [(s, 1, block, squeeze_ascending(g[at[s] : at[s + 1]].view(np.uint64)), squeeze(n[at[s] : at[s + 1]].astype(np.uint32))) for s in range(shards) if at[s] < at[s + 1]]
                 if rows:
@@ -264,25 +267,19 @@ class Judged:
     def __init__(self, docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN) -> None:
         spark = docs.sparkSession
         self.docs, self.text_col = docs, text_col
-        self.blocks = blocked.store(docs, text_col, id=(id_col, "long"), lang=(lang_col, "string"))
-        shards = 2 * max(8, partitions(spark))
+        self.blocks = blocked.store(docs, text_col, block_bytes=BLOCK_BYTES, id=(id_col, "long"), lang=(lang_col, "string"))
+        shards = blocked.shards_for(self.blocks, SHARD_BYTES)
         held = self.blocks.select("block", F.posexplode("ids").alias("pos", "doc_id"))
         good = narrow(trusted, doc_id=(trusted.columns[0], "long")).distinct()
         marked = held.join(good, "doc_id", "left_semi").withColumn("calibrates", F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATE)) == 0)
         marks = cut(marked.groupBy("block").agg(F.collect_list(F.when(~F.col("calibrates"), F.col("pos"))).alias("fit"), F.collect_list(F.when(F.col("calibrates"), F.col("pos"))).alias("test")))
-        requests = cut(_requests(self.blocks, marks.select("block", "fit"), shards))
+        told, bigram_stats = words.bigrams(self.blocks, marks.select("block", "fit"))
+        spoken, word_stats = words.unigrams(self.blocks, told)
+        model = words.Model(bigram_stats, word_stats, discounts)
+        # requests are made once for the counts and once for the answers, and never kept on disk
+        requests = _requests(self.blocks, marks.select("block", "fit"), shards)
         counted = cut(_counted(requests))
-        answers = cut(_answers(requests, probabilities(counted), shards))
-        discard(requests)
-        told = words.bigrams(self.blocks, marks.select("block", "fit"))
-        every = told[0]
-        for more in told[1:]:
-            every = every.unionByName(more)
-        grouped = every.filter("block is not null").groupBy("block").agg(F.collect_list(F.struct("part", "numbers", "owner", "trigrams")).alias("told"))
-        spoken = words.unigrams(self.blocks, grouped)
-        model = words.Model(words.sums(every, 8), words.sums(spoken, 6), discounts)
-        spoken = spoken.filter("block is not null").groupBy("block").agg(F.collect_list(F.struct("part", "numbers")).alias("spoken"))
-        answers = answers.groupBy("block").agg(F.collect_list(F.struct("shard", "values")).alias("answers"))
+        answers = _answers(requests, probabilities(counted), shards).groupBy("block").agg(F.collect_list(F.struct("shard", "values")).alias("answers"))
         schema = pa.schema([("block", pa.int64()), ("pos", pa.int32()), ("doc_id", pa.int64()), ("lang", pa.string()), ("n_bytes", pa.int64()), ("loss", pa.float64()), ("word_loss", pa.float64()), ("worst", pa.float64()), ("calibrates", pa.bool_())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,12 +287,13 @@ class Judged:
                 for block, blob, got, says, spoke, test in zip(b.column("block").to_pylist(), b.column("blob"), *(b.column(c).to_pylist() for c in ("answers", "told", "spoken", "test")), strict=True):
                     t = blocked.rows(blob)
                     texts, test = t.column("_text").to_pylist(), set(test or ())
-                    g, back, counts = ordered(texts)
+                    g, _ = _distinct(texts, set())
                     order, _ = _by_shard_and_value(g, shards)
                     logp = np.empty(len(g), np.float32)
                     logp[order] = np.concatenate([np.zeros(0, np.float32), *(expand(a["values"], np.float32) for a in sorted(got or (), key=lambda a: a["shard"]))])
-                    each = logp[back]
-                    del g, back, order, logp
+                    some = [(logp[back], n) for back, n in ordered(texts, g)]
+                    each, counts = (np.concatenate(x) for x in zip(*some, strict=True))
+                    del some
                     total = np.concatenate(([0.0], np.cumsum(each, dtype=np.float64)))
                     ends = np.cumsum(counts)
                     losses = [float(total[e - k] - total[e]) / k if k else None for e, k in zip(ends.tolist(), counts.tolist(), strict=True)]
@@ -303,9 +301,9 @@ class Judged:
                     means, worst = words.losses(texts, counts, each, lambda spelling: words.log_probabilities(model, words.Tokens(texts), says, spoke, spelling))  # noqa: B023
                     yield batch_of(schema, [np.full(len(texts), block), np.arange(len(texts), dtype=np.int32), t.column("_id").combine_chunks(), t.column("_lang").combine_chunks(), counts, losses, means, worst, [i in test for i in range(len(texts))]])
 
-        every = self.blocks.select("block", "blob").join(answers, "block", "left").join(grouped, "block", "left").join(spoken, "block", "left").join(marks.select("block", "test"), "block", "left")
+        every = words.joined(self.blocks, told).join(spoken, "block", "left").join(answers, "block", "left").join(marks.select("block", "test"), "block", "left")
         scored = cut(every.select("block", "blob", "answers", "told", "spoken", "test").mapInArrow(run, "block long, pos int, doc_id long, lang string, n_bytes long, loss double, word_loss double, worst double, calibrates boolean"))
-        discard(*told)
+        discard(*told, spoken, counted)
         sample = scored.filter("calibrates and loss is not null")
         per = sample.groupBy("lang").agg(F.percentile_approx("loss", quantile, 10_000).alias("q"))
         everything = sample.agg(F.percentile_approx("loss", quantile, 10_000).alias("q")).first()["q"]

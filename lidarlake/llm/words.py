@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut, partitions
+from ..runtime import cut, discard, partitions
 from . import blocks as blocked
 from . import tokens64
 from .blocks import expand, expand_ascending, pieces, range_shard, squeeze, squeeze_ascending
@@ -31,7 +31,7 @@ from .common import batch_of
 #: Bytes of a passage, and between the beginnings of two passages of a text.
 PASSAGE, STEP = 512, 64
 BITS, NEAR = 48, 32
-PASSES = 4
+PASSES = 5
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -104,12 +104,17 @@ class Asked:
             some = inside(context)
             context, at = context[some], at[some]
         rk, rw, rn, _ = self._distinct(context, near(t.c[at]), None)
-        start = np.full(1, START)[inside(np.full(1, START))]
-        self.keys = np.union1d(k, start)
-        self.start = int(np.searchsorted(self.keys, START)) if len(start) else -1
-        self.before = np.searchsorted(self.keys, k), w, n
+        first = tokens64.firsts(k)
+        self.keys, place = k[first], np.cumsum(first) - 1
+        self.start = -1
+        if inside(np.full(1, START)).any():
+            self.start = int(np.searchsorted(self.keys, START))
+            if self.start == len(self.keys) or self.keys[self.start] != START:
+                self.keys = np.insert(self.keys, self.start, START)
+                place += place >= self.start
+        self.before = place, w, n
         self.after = np.searchsorted(self.keys, rk), rw, rn
-        self.place = self.before[0][self.trigram]
+        self.place = place[self.trigram]
 
     @staticmethod
     def _distinct(k: np.ndarray, w: np.ndarray, weight: np.ndarray | None) -> tuple[np.ndarray, ...]:
@@ -179,11 +184,13 @@ def _grouped(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch
         yield make(now, held)
 
 
-def bigrams(table: DataFrame, marks: DataFrame) -> list[DataFrame]:
-    """(block, part, numbers, owner, trigrams, stats) of each range of bigrams."""
+def bigrams(table: DataFrame, marks: DataFrame) -> tuple[list[DataFrame], list[int]]:
+    """For each range of bigrams (block, told), told an array of (part, numbers, owner, trigrams); and the stats."""
     spark = table.sparkSession
     shards = max(partitions(spark), blocked.shards_for(table, PASSES * (16 << 20)) // 2)
 
+    stats = [0] * 8
+
     def one(number: int) -> DataFrame:
         begin, end = number * shards, (number + 1) * shards
 
@@ -211,9 +218,22 @@ def bigrams(table: DataFrame, marks: DataFrame) -> list[DataFrame]:
 
         asked = table.select("block", "blob").join(marks, "block", "left").select("block", "blob", "fit").mapInArrow(ask, _ASK_SQL)
         dealt = asked.repartition(partitions(spark), "part").sortWithinPartitions("part", "block")
-        return cut(dealt.mapInArrow(lambda batches: _grouped(batches, _told), _TOLD_SQL))
+        told = cut(dealt.mapInArrow(lambda batches: _grouped(batches, _told), _TOLD_SQL))
+        stats[:] = map(sum, zip(stats, sums(told, 8), strict=True))
+        out = blocked.by_block(told.filter("block is not null"), f"told{number}", "part", "numbers", "owner", "trigrams")
+        discard(told)
+        return out
+
+    return [one(k) for k in range(PASSES)], stats
+
 
-    return [one(k) for k in range(PASSES)]
+def joined(table: DataFrame, told: list[DataFrame]) -> DataFrame:
+    """The blocks with `told`, the answers of all ranges."""
+    out = table.select("block", "blob")
+    for t in told:
+        out = out.join(t, "block", "left")
+    none = F.array().cast(told[0].schema["told0"].dataType)
+    return out.select("block", "blob", F.concat(*(F.coalesce(f"told{k}", none) for k in range(len(told)))).alias("told"))
 
 
 def opened(answers: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -242,9 +262,9 @@ def distinct(tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((np.zeros(1, np.uint64), known >> np.uint64(1))), back + 1
 
 
-def unigrams(table: DataFrame, answers: DataFrame) -> DataFrame:
-    """(block, part, numbers, stats): for each block's words how many words they follow, and, as contexts, their weight
-    and how many bigrams of one, two, more continuations they begin. answers: (block, told) of bigrams."""
+def unigrams(table: DataFrame, told: list[DataFrame]) -> tuple[DataFrame, list[int]]:
+    """(block, spoken), an array of (part, numbers): for each block's words how many words they follow, and, as contexts,
+    their weight and how many bigrams of one, two, more continuations they begin; and the stats."""
     spark = table.sparkSession
     shards = max(partitions(spark), blocked.shards_for(table, 64 << 20))
 
@@ -281,9 +301,13 @@ def unigrams(table: DataFrame, answers: DataFrame) -> DataFrame:
         rows.append((None, part, None, [*_levels_of(sums[0]), int((sums[0] > 0).sum()), int(sums[0].sum())]))
         return batch_of(_SPOKEN, [*zip(*rows, strict=True)])
 
-    asked = table.select("block", "blob").join(answers, "block", "left").select("block", "blob", "told").mapInArrow(ask, "part int, block long, words binary, given binary")
+    asked = joined(table, told).mapInArrow(ask, "part int, block long, words binary, given binary")
     dealt = asked.repartition(partitions(spark), "part").sortWithinPartitions("part", "block")
-    return cut(dealt.mapInArrow(lambda batches: _grouped(batches, spoken), "block long, part int, numbers binary, stats array<long>"))
+    said = cut(dealt.mapInArrow(lambda batches: _grouped(batches, spoken), "block long, part int, numbers binary, stats array<long>"))
+    stats = sums(said, 6)
+    out = blocked.by_block(said.filter("block is not null"), "spoken", "part", "numbers")
+    discard(said)
+    return out, stats
 
 
 def sums(told: DataFrame, n: int) -> list[int]:
@@ -312,9 +336,14 @@ def log_probabilities(model: Model, tokens: Tokens, told: list, spoken: list, sp
     before = np.where(tokens.first, 0, np.concatenate(([0], word[:-1])))
     context = np.where(tokens.first, asked.start, np.concatenate(([0], asked.place[:-1])))
     m = model
-    p = _step(spelling, unigrams_[0, word], m.d1, np.full(len(word), float(m.total)), np.full(len(word), m.mass))
+    # very unlikely spellings are raised to stay numbers, and lowered again where nothing but the back-off is left
+    low = np.minimum(spelling + 600.0, 0.0)
+    p = np.exp(spelling - low)
+    p = _step(p, unigrams_[0, word], m.d1, np.full(len(word), float(m.total)), np.full(len(word), m.mass))
     p = _step(p, bigrams_[0, asked.place], m.d2, unigrams_[1, before], _mass(unigrams_[:, before], m.d2))
-    return _step(p, trigrams[asked.trigram], m.d3, bigrams_[1, context], _mass(bigrams_[:, context], m.d3))
+    p = np.log(_step(p, trigrams[asked.trigram], m.d3, bigrams_[1, context], _mass(bigrams_[:, context], m.d3)))
+    # a word that was seen anywhere has far more than e ** -500; one that was not has its spelling times back-off masses
+    return np.where((low < 0) & (p < -500), p + low, p) if (low < 0).any() else p
 
 
 def losses(texts: list[str | None], size: np.ndarray, byte_logp: np.ndarray, word_logp) -> tuple[list, list]:
@@ -353,7 +382,7 @@ def _mass(figures: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
 
 
 def _step(p: np.ndarray, n: np.ndarray, d: tuple[float, float, float], total: np.ndarray, mass: np.ndarray) -> np.ndarray:
-    """One order more: log-probabilities p below, counts n of the n-grams, weight and back-off mass of their contexts."""
+    """One order more: probabilities p below, counts n of the n-grams, weight and back-off mass of their contexts."""
     own = np.maximum(n - np.array([0.0, *d])[np.minimum(n, 3).astype(np.int64)], 0.0)
     with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(total > 0, np.logaddexp(np.log(own), np.log(mass) + p) - np.log(total), p)
+        return np.where(total > 0, (own + mass * p) / total, p)
