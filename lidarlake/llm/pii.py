@@ -1,13 +1,14 @@
 """Personal data by anchor expansion.
 
-One Aho-Corasick pass over each text finds anchors: at-signs, plus signs and digit pairs, scheme marks and identifier
-cues. From each anchor a small deterministic parser walks to both sides, as far as its alphabet allows, and validates
-what it has found: email and network addresses, card and account numbers, phone numbers, credentials in a URL, and
-identifiers that follow a cue. No pattern is searched over the text.
+One Aho-Corasick pass over each text, its ASCII letters lowered, finds anchors: at-signs, plus signs and digit pairs,
+scheme marks and identifier cues in any case. From each anchor a small deterministic parser walks to both sides, as far
+as its alphabet allows, and validates what it has found: email and network addresses, card and account numbers, phone
+numbers, credentials in a URL, and identifiers that follow a cue. No pattern is searched over the text.
 
 The base kinds (email, ip, card, phone) follow the leftmost, non-overlapping rule of their patterns; the others add
-spans and never take a base span away. Null text is the empty text. Repeated rows give equal rows; empty tables give
-empty tables; extra columns are not read.
+spans and never take a base span away. Spans that begin together are in the order of their kinds. Null text is the empty
+text. Texts of any length are read whole, in one pass. Repeated rows give equal rows, whatever their ids; empty tables
+give empty tables; extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,16 @@ LABEL = frozenset(_ALNUM + "-")
 DIGITS = frozenset("0123456789")
 PHONE = frozenset(" ().0123456789-")
 KINDS = ("email", "ip", "card", "phone", "url_credentials", "iban", "identifier")
-CUES = ("ssn", "passport", "account", "iban", "license no", "tax id")
+CUES = ("ssn", "passport", "account", "iban", "license", "tax id")
+FILLERS = ("no", "nr", "num", "number", "id", "is", "was")
+# Lengths of account numbers by country.
+IBAN_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 "
+    "IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 "
+    "SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+)
+_IBAN = {x[:2]: int(x[2:]) for x in IBAN_LENGTHS.split()}
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 _AUTOMATON: list[ahocorasick.Automaton] = []
 
@@ -45,8 +55,7 @@ def automaton() -> ahocorasick.Automaton:
                 for y in DIGITS:
                     a.add_word(x + gap + y, "d")
         for cue in CUES:
-            for form in (cue, cue.upper(), cue.capitalize()):
-                a.add_word(form, "c")
+            a.add_word(cue, "c")
         a.make_automaton()
         _AUTOMATON.append(a)
     return _AUTOMATON[0]
@@ -136,21 +145,34 @@ def credentials(text: str, slashes: int) -> tuple[int, int] | None:
 
 
 def iban(text: str, at: int) -> tuple[int, int] | None:
-    """An account number that begins at `at`, single spaces inside, with right check digits."""
+    """An account number that begins at `at`: as long as its country's are, single spaces inside, right check digits."""
+    want = _IBAN.get(text[at : at + 2].upper(), 0)
     end, raw = at, []
-    while end < len(text) and len(raw) < 34 and (text[end] in LABEL and text[end] != "-" or text[end] == " " and raw and end + 1 < len(text) and text[end + 1] in LABEL and text[end + 1] != "-"):
-        if text[end] != " ":
-            raw.append(text[end].upper())
+    while end < len(text) and len(raw) < want:
+        c = text[end]
+        if c in LABEL and c != "-":
+            raw.append(c.upper())
+        elif c != " " or not raw or text[end - 1] == " ":
+            return None
         end += 1
-        if len(raw) >= 15 and raw[0] in _ALNUM[:26] and raw[1] in _ALNUM[:26] and int("".join(str(int(c, 36)) for c in raw[4:] + raw[:4])) % 97 == 1:
-            return at, end
-    return None
+    if not want or len(raw) < want or end < len(text) and text[end] in LABEL and text[end] != "-":
+        return None
+    return (at, end) if int("".join(str(int(c, 36)) for c in raw[4:] + raw[:4])) % 97 == 1 else None
+
+
+def after_cue(text: str, at: int) -> int:
+    """Where a value may begin after a cue: behind separators and filling words such as `number` or `is`."""
+    while True:
+        while at < len(text) and text[at] in " :=#.":
+            at += 1
+        end = run_right(text, at, LABEL)
+        if text[at:end].lower() not in FILLERS:
+            return at
+        at = end
 
 
 def identifier(text: str, at: int) -> tuple[int, int] | None:
-    """After a cue: an optional separator, then a token of 6 to 20 letters, digits and hyphens with 5 digits or more."""
-    while at < len(text) and text[at] in " :=#.":
-        at += 1
+    """A token of 6 to 20 letters, digits and hyphens with 5 digits or more."""
     end = run_right(text, at, LABEL)
     return (at, end) if 6 <= end - at <= 20 and sum(x in DIGITS for x in text[at:end]) >= 5 else None
 
@@ -161,7 +183,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
         return []
     out: list[tuple[str, int, int]] = []
     mail_from = dotted_to = number_to = phone_from = 0
-    for last, kind in automaton().iter(text):
+    for last, kind in automaton().iter(text.translate(_LOWER)):
         if kind == "@":
             begin, end = run_left(text, last, LOCAL, mail_from), domain_end(text, last + 1)
             if begin < last and end > 0:
@@ -178,6 +200,9 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
                 found, number_to = card(text, at)
                 if found:
                     out.append(("card", *found))
+            # two letters and two digits may begin an account number
+            if at >= 2 and last == at + 1 and text[at - 2 : at] in _IBAN and (at == 2 or text[at - 3] not in LABEL) and (found := iban(text, at - 2)):
+                out.append(("iban", *found))
         elif kind == "+":
             if last - 1 >= phone_from:
                 found, phone_from = phone(text, last - 1)
@@ -187,12 +212,10 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
             if found := credentials(text, last - 2):
                 out.append(("url_credentials", *found))
         else:
-            begin = last + 1
-            while begin < len(text) and text[begin] in " :=#.":
-                begin += 1
+            begin = after_cue(text, last + 1)
             if found := iban(text, begin):
                 out.append(("iban", *found))
-            elif found := identifier(text, last + 1):
+            elif found := identifier(text, begin):
                 out.append(("identifier", *found))
     return sorted(set(out), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
