@@ -2,11 +2,14 @@
 
 Lengths in (C/(j+1), C/j] form class j, of which exactly j pieces fill a bin. A document's full sequences are cut off
 first; its rest is cut at reciprocals of the capacity, largest first, so that pieces lie just below their class's upper
-end and the bins of a class are almost full. Every worker fills the bins of every class on its own, with no shuffle; the
+end and the bins of a class are almost full; where a class wastes little, and where a cut would leave less than LEAST
+tokens, the rest stays whole. Every worker fills the bins of every class on its own, with no shuffle; the
 pieces that are left when its rows end, fewer than j of class j, go into its last bins first fit, longest first.
 
-Null text is the empty text: one piece with only the closing id. Repeated rows are packed as often as they occur. A very
-long text makes as many pieces as it needs. An empty table gives an empty table.
+Null text is the empty text: one piece with only the closing id. Repeated rows are packed as often as they occur, and
+rows without an id or with a shared one like all others. A very long text makes as many pieces as it needs. Pieces of one
+length go to bins in the order of rows. Extra columns are not read, whatever their names. An empty table gives an empty
+table.
 """
 
 from __future__ import annotations
@@ -24,7 +27,9 @@ from .tokens import default_path, encoder
 
 CAPACITY, CLOSING_ID = 1024, 0
 #: A piece stays whole if its class's bin then wastes at most this share.
-WASTE = 1 / 64
+WASTE = 1 / 32
+#: A cut leaves so many tokens at least.
+LEAST = 24
 
 
 def cuts(length: int, capacity: int = CAPACITY) -> list[int]:
@@ -33,8 +38,10 @@ def cuts(length: int, capacity: int = CAPACITY) -> list[int]:
     rest = length % capacity
     while rest:
         j = capacity // rest
-        part = capacity // (j + 1) if (capacity - j * rest) > WASTE * capacity else rest
         # the largest reciprocal that is not above what is left
+        part = capacity // (j + 1)
+        if capacity - j * rest <= WASTE * capacity or rest - part < LEAST:
+            part = rest
         out.append(part)
         rest -= part
     return out
