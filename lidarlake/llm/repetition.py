@@ -1,12 +1,13 @@
 """Quality rules by repetition coverage.
 
-Words are runs of bytes other than ASCII white space. For each n-gram length a polynomial rolling hash (64 bit) of every
-window of words is made in numpy; windows whose hash occurs twice or more in a text mark their words, and the coverage
+Words are runs of bytes other than ASCII white space. Rolling hashes (64 bit) of the windows of every n-gram length come
+from one array of running sums of a polynomial over the words' codes, in numpy; windows whose hash occurs twice or more in a text mark their words, and the coverage
 is the share of the words' characters that is marked. Windows of repeated 8 words that the base rules count are compared
 exactly, by ranks of pairs that double in length, so no hash collision can change them. Lines are compared as text.
 
-Null text has no words: all counts are 0 and the base rules fail it. Repeated rows are judged alike; an empty table
-gives an empty table. Texts of any length are taken whole.
+Null text has no words: all counts are 0 and the base rules fail it. Repeated rows are judged alike, whatever their ids;
+of several rules that fail the first one in their order is told, and a share that equals its limit passes. An empty table
+gives an empty table. Texts of any length are taken whole. Extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ MAX_SYMBOLS = 0.10
 BASE_WORDS, BASE_WINDOW, BASE_PERCENT = 20, 8, 30
 SYMBOLS = "#*$%&|<>"
 _FACTOR = np.uint64(0x9E3779B97F4A7C15 | 1)
+_INVERSE = np.uint64(pow(int(_FACTOR), -1, 1 << 64))
+_POWERS: list[np.ndarray] = []
 
 
 def word_codes(words: list[bytes]) -> np.ndarray:
@@ -37,17 +40,36 @@ def word_codes(words: list[bytes]) -> np.ndarray:
     return np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, len(words))
 
 
-def rolling_hashes(codes: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each window of n words; each word's code is spread over 64 bits first."""
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the factor and of its inverse; remembered."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size, out = max(1 << 16, 1 << int(n).bit_length()), []
+        for base in (_FACTOR, _INVERSE):
+            p = np.full(size, base, np.uint64)
+            p[0] = 1
+            with np.errstate(over="ignore"):
+                out.append(np.multiply.accumulate(p))
+        _POWERS[:] = out
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def running(codes: np.ndarray) -> np.ndarray:
+    """Running sums of the polynomial over the words' codes, each spread over 64 bits first."""
     with np.errstate(over="ignore"):
         x = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
         x ^= x >> np.uint64(29)
         x *= np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(32)
-        h = np.zeros(max(0, len(x) - n + 1), np.uint64)
-        for k in range(n):
-            h = h * _FACTOR + x[k : k + len(h)]
-    return h
+        out = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(x * _powers(len(x))[0], out=out[1:])
+    return out
+
+
+def rolling_hashes(sums: np.ndarray, n: int) -> np.ndarray:
+    """Hash of each window of n words, from the running sums of the text."""
+    with np.errstate(over="ignore"):
+        h = sums[n:] - sums[:-n] if len(sums) > n else np.zeros(0, np.uint64)
+        return h * _powers(len(h))[1]
 
 
 def repeated(values: np.ndarray) -> np.ndarray:
@@ -87,7 +109,7 @@ def may_repeat(words: list[list[bytes]], n: int) -> np.ndarray:
     """Of many texts at once: which have two windows of n words with one hash. Equal windows always do."""
     counts = np.fromiter(map(len, words), np.int64, len(words))
     text = np.repeat(np.arange(len(words)), counts)
-    h = rolling_hashes(word_codes([w for ws in words for w in ws]), n)
+    h = rolling_hashes(running(word_codes([w for ws in words for w in ws])), n)
     inside = text[: len(h)] == text[n - 1 :] if len(h) else np.zeros(0, bool)
     with np.errstate(over="ignore"):
         h = (h[inside] + text[: len(inside)][inside].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * _FACTOR
@@ -116,8 +138,9 @@ def measures(text: str | None, words: list[bytes] | None = None, longer: bool =
         codes = word_codes(words)
         if len(words) >= BASE_WINDOW:
             n_repeat = int(covered(repeated(exact_windows(codes)), BASE_WINDOW, len(words)).sum())
+        sums = running(codes)
         for n in MAX_COVERAGE:
-            marks = repeated(rolling_hashes(codes, n))
+            marks = repeated(rolling_hashes(sums, n))
             if not marks.any():  # then no longer window repeats either
                 break
             cover.append(float(lengths[covered(marks, n, len(words))].sum()) / chars)
