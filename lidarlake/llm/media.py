@@ -4,8 +4,12 @@ A payload is cut into access units, each a packetised elementary stream (PES) pa
 presentation timestamp. Each PES packet is spread over 188-byte transport packets; the first one of every
 `rap_every`-th unit carries the random-access flag and comes after fresh program tables (PAT and PMT).
 
-Nulls and empty texts are the empty payload, padded to one 64-byte block, so every row has a stream. Rows with equal
-texts give equal values; a null doc_id stays null. An empty table gives an empty table.
+Reading follows the standard: a packet without payload keeps its counter, a packet may be sent twice, a marked
+discontinuity is none, and sections of program tables may take several packets.
+
+Nulls and empty texts are the empty payload, padded to one 64-byte block, so every row has a stream; a null stream is read
+as nulls. Rows with equal texts give equal values, repeated rows too; a null doc_id stays null. Long texts make as many
+units as they need. Extra columns are not read, whatever their names. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -110,13 +114,46 @@ class Stream(NamedTuple):
     continuity_errors: int
 
 
-def _single_section(row: np.ndarray, table_id: int) -> bytes:
-    at = 5 + int(row[4])
-    length = (int(row[at + 1]) & 0x0F) << 8 | int(row[at + 2])
-    data = row[at : at + 3 + length].tobytes()
-    if data[0] != table_id or section_crc(data):
-        raise ValueError("damaged program table")
-    return data
+def _in_order(rows: np.ndarray) -> tuple[np.ndarray, int]:
+    """Packets of one PID that carry payload, repeated ones once, and how many counters are out of order."""
+    carries, counter = (rows[:, 3] & 0x10) != 0, (rows[:, 3] & 15).astype(np.int16)
+    marked = ((rows[:, 3] & 0x20) != 0) & (rows[:, 4] > 0) & ((rows[:, 5] & 0x80) != 0)
+    step = np.diff(counter) & 15
+    again = np.zeros(len(rows), bool)
+    again[1:] = carries[1:] & carries[:-1] & (step == 0) & (rows[1:] == rows[:-1]).all(axis=1)
+    again[2:] &= ~again[1:-1]  # twice, not more often
+    right = (step == carries[1:]) | again[1:] | marked[1:]
+    return rows[carries & ~again], int((~right).sum())
+
+
+def _payload_at(rows: np.ndarray) -> np.ndarray:
+    return 4 + np.where((rows[:, 3] & 0x20) != 0, rows[:, 4].astype(np.int32) + 1, 0)
+
+
+def _sections(rows: np.ndarray, table_id: int) -> list[bytes]:
+    """The sections of a program table, put together over packets and checked."""
+    out, held = [], b""
+
+    def done(data: bytes) -> bytes:
+        while len(data) >= 3 and data[0] != 0xFF and len(data) >= (size := 3 + ((data[1] & 0x0F) << 8 | data[2])):
+            if data[0] != table_id or section_crc(data[:size]):
+                raise ValueError("damaged program table")
+            out.append(data[:size])
+            data = data[size:]
+        return data
+
+    for row, at in zip(rows, _payload_at(rows).tolist(), strict=True):
+        body = row[at:].tobytes()
+        if row[1] & 0x40:
+            begin = 1 + body[0]
+            if held:
+                done(held + body[1:begin])
+            held = done(body[begin:])
+        elif held:
+            held = done(held + body)
+    if not out:
+        raise ValueError("no whole program table")
+    return out
 
 
 def demux(stream: bytes) -> Stream:
@@ -127,23 +164,20 @@ def demux(stream: bytes) -> Stream:
     if (rows[:, 0] != SYNC).any():
         raise ValueError("lost sync byte")
     pids = (rows[:, 1].astype(np.int32) & 0x1F) << 8 | rows[:, 2]
-    starts = (rows[:, 1] & 0x40) != 0
-    pat = _single_section(rows[np.flatnonzero(pids == PAT_PID)[0]], 0)
-    pmt_pid = struct.unpack(">H", pat[10:12])[0] & 0x1FFF
-    for r in np.flatnonzero(pids == PAT_PID)[1:]:
-        if _single_section(rows[r], 0) != pat:
-            raise ValueError("program tables differ")
-    pmt = _single_section(rows[np.flatnonzero(pids == pmt_pid)[0]], 2)
+    tables, errors = _in_order(rows[pids == PAT_PID])
+    pat = _sections(tables, 0)
+    if any(s != pat[0] for s in pat[1:]):
+        raise ValueError("program tables differ")
+    pmt_pid = struct.unpack(">H", pat[0][10:12])[0] & 0x1FFF
+    tables, more = _in_order(rows[pids == pmt_pid])
+    pmt = _sections(tables, 2)[0]
     info = struct.unpack(">H", pmt[10:12])[0] & 0x0FFF
     data_pid = struct.unpack(">H", pmt[13 + info : 15 + info])[0] & 0x1FFF
-    errors = 0
-    for pid in (PAT_PID, pmt_pid, data_pid):
-        counters = rows[pids == pid, 3] & 15
-        errors += int(((np.diff(counters.astype(np.int16)) & 15) != 1).sum())
-    mine = rows[pids == data_pid]
-    begins = np.flatnonzero(starts[pids == data_pid])
+    mine, most = _in_order(rows[pids == data_pid])
+    errors += more + most
+    begins = np.flatnonzero((mine[:, 1] & 0x40) != 0)
     adapted = (mine[:, 3] & 0x20) != 0
-    offset = 4 + np.where(adapted, mine[:, 4].astype(np.int32) + 1, 0)
+    offset = _payload_at(mine)
     sizes = PACKET - offset
     joined = mine[np.arange(PACKET)[None, :] >= offset[:, None]].tobytes()
     at = np.concatenate(([0], np.cumsum(sizes)))
@@ -192,21 +226,19 @@ def decode(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each text stored as a stream, read back, and described.
+    """Each text as a stream in a media column, and what is read back from that column.
 
-    feature: units, packets, continuity errors, last timestamp, and the timestamps at random-access points as a CRC-32.
+    feature: units, packets, continuity errors, last timestamp, and the timestamps at random-access points.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
+        for b in pieces(batches, "media"):
             rows = []
-            for t in b.column("text").to_pylist():
-                n, payload = padded(t)
-                media = mux(payload)
+            for media in b.column("media").to_pylist():
                 s = demux(media)
-                raps = np.array([s.pts[i] for i in s.random_access], "<u8")
-                feature = f"units={len(s.pts)};packets={s.packets};cc_errors={s.continuity_errors};last_pts={s.pts[-1]};raps={len(raps)};rap_crc32={zlib.crc32(raps.tobytes())}"
-                rows.append((n, len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-            yield batch_of(_DIGEST, [b.column("doc_id"), *zip(*rows, strict=True)])
+                raps = ":".join(str(s.pts[i]) for i in s.random_access)
+                feature = f"units={len(s.pts)};packets={s.packets};cc_errors={s.continuity_errors};last_pts={s.pts[-1]};rap_pts={raps}"
+                rows.append((len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature))
+            yield batch_of(_DIGEST, [b.column("doc_id"), b.column("n_bytes"), *zip(*rows, strict=True)])
 
-    return narrow(docs, doc_id=(id_col, "long"), text=(text_col, "string")).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return encode(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
