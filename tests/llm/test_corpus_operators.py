@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -49,7 +50,11 @@ def kneser_ney(texts, order=quality.ORDER):
         n = counts[k][g]
         return ((n - discounts[k][min(n, 3) - 1] if n else 0) + masses[k][g[:-1]] * low) / totals[k][g[:-1]]
 
-    return lambda t: -sum(math.log(p(g)) for g in grams(t)) / len(t.encode())
+    def loss(t):
+        return sum(loss.each(t)) / len(t.encode())
+
+    loss.each = lambda t: [-math.log(p(g)) for g in grams(t)]
+    return loss
 
 
 def test_losses_are_those_of_a_plain_model(spark):
@@ -102,11 +107,9 @@ def word_kneser_ney(texts, spelling):
         return ((n - discounts[k][min(n, 3) - 1] if n else 0) + masses[k][g[:-1]] * low) / totals[k][g[:-1]]
 
     def loss(t):
-        b, out = t.encode(), 0.0
-        for g, m in zip(grams(t), re.finditer(rb"\S+\s?", b), strict=True):
-            out -= math.log(p(g, math.exp(spelling(t, *m.span()))))
-        return out / len(b)
+        return sum(x for _, x in loss.spans(t)) / len(t.encode())
 
+    loss.spans = lambda t: [(m.span(), -math.log(p(g, math.exp(spelling(t, *m.span()))))) for g, m in zip(grams(t), re.finditer(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]?", t.encode()), strict=True)]
     return loss
 
 
@@ -306,6 +309,23 @@ def test_components_of_a_chain_and_a_star(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("name", ["op5_trigram_secrets", "op6_jaccard_components", "op7_extendible_shards"])
+def test_queries_are_those_of_their_sql(spark, sf_dir, name):
+    import os
+
+    import duckdb
+
+    from lidarlake.llm import queries
+
+    db = duckdb.connect()
+    for f in os.listdir(sf_dir):
+        db.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{sf_dir}/{f}'")
+    got, want = queries.QUERIES[name](spark, sf_dir), db.sql(queries.ORACLES[name])
+    names = sorted(want.columns)
+    assert sorted(got.columns) == names
+    assert Counter(tuple(r[c] for c in names) for r in got.collect()) == Counter(tuple(r[want.columns.index(c)] for c in names) for r in want.fetchall())
+
+
 # --- pipeline
 
 
@@ -329,3 +349,115 @@ def test_pipeline_stages_take_effect(spark, sf_dir):
             sizes = lambda x: sum(len(r["text"].split()) for r in x.collect())
             assert sizes(d) == pytest.approx(1.5 * sizes(before), rel=0.1)
     assert pipeline.STAGES[-1][1](spark, d, sf_dir).select("sequence_id").distinct().count() > 10
+
+
+def plain_quality(rows, trusted, calibrates):
+    """Which rows (doc_id, text, lang, ...) the classifier keeps, by models in memory."""
+    fit = [r[1] for r in rows if r[0] in trusted and r[0] not in calibrates and r[1]]
+    byte = kneser_ney(fit)
+    each = {t: byte.each(t) for t in {r[1] for r in rows if r[1]}}
+    word = word_kneser_ney(fit, lambda t, a, b: -sum(each[t][a:b]))
+    figures = {}
+    for t, losses in each.items():
+        spread = list(losses)
+        for (a, b), x in word.spans(t):
+            spread[a:b] = [x / (b - a)] * (b - a)
+        n = len(spread)
+        begins = [*range(0, n - 512, 64), n - 512] if n > 512 else [0]
+        figures[t] = (sum(losses) / n, sum(spread) / n, max(sum(spread[i : i + 512]) for i in begins) / min(n, 512))
+    sample = [(r[2], figures[r[1]]) for r in rows if r[0] in calibrates and r[1]]
+
+    def threshold(lang, k):
+        own = sorted(f[k] for x, f in sample if x == lang) or sorted(f[k] for _, f in sample)
+        return own[math.ceil(quality.QUANTILE * len(own)) - 1] + quality.MARGIN if own else math.inf
+
+    return [bool(r[1]) and all(figures[r[1]][k] <= threshold(r[2], k) + 1e-9 for k in range(3)) for r in rows]
+
+
+def plain_redaction(text):
+    if text is None:
+        return None
+    spans = sorted((m.start(), k, m.end()) for k, (_, e, g, n) in enumerate(secret_scan.RULES) for m in re.finditer(e, text) if len(m[g]) >= n)
+    out, at = "", 0
+    for begin, _, end in spans:
+        if begin >= at:
+            out += text[at:begin] + "[SECRET]"
+        at = max(at, end)
+    return out + text[at:]
+
+
+def test_pipeline_is_that_of_plain_python(spark, tmp_path):
+    from .test_text_operators import plain_entries
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from lidarlake.llm import packing, tokens
+
+    rnd = random.Random(12)
+    vocabulary = ["alphabet", "betatron", "gammaray", "deltawing", "épsilon", "of", "the", "and", "zetapotential", "etalon"]
+    text = lambda n: " ".join(rnd.choice(vocabulary) for _ in range(n))
+    rows = [(i, text(30 + i), rnd.choice(["en", "fr", None]), rnd.choice(["a", "b", None])) for i in range(90)]
+    rows += [(100 + i, " ".join([*rows[i][1].split()[:-1], "changed"]), "en", "a") for i in range(0, 30, 3)]  # near copies
+    rows += [(200, text(150) + " password=abcdefgh1234 " + text(3), "en", "b"), (201, "qzx kjv 0123 #%& " * 30, "en", "a"), (202, None, "en", "a"), (203, "", None, None)]
+    rows += [(None, rows[5][1], "en", "a"), (None, text(161), "fr", "b"), (7, text(173), "en", "a"), (204, text(180) + " " + "".join(rnd.choice("qzxjkv0123#%") for _ in range(400)), "en", "b")]
+    trusted = [i for i in range(90) if i % 9]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, row string, block string, kind int"
+    spark.createDataFrame([(i, t, lang, s, len(t or ""), "r", "b", 1) for i, t, lang, s in rows], schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in trusted] + [(201, 0, 0), (88, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    good = {i for i in trusted if i != 88}
+    calibrates = {r[0] for r in spark.createDataFrame([(i,) for i in sorted(good)], "doc_id long").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(quality.CALIBRATE))).collect() if r[1] == 0}
+
+    kept = [r for r, ok in zip(rows, plain_quality(rows, good, calibrates), strict=True) if ok]
+    assert 201 not in {r[0] for r in kept} and 204 not in {r[0] for r in kept} and len(kept) > 90
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (r[1].lower().split() for r in kept)]
+    root = list(range(len(kept)))
+    for a in range(len(kept)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                root = [root[b] if x == root[a] else x for x in root]
+    groups = defaultdict(list)
+    for k, r in enumerate(kept):
+        groups[root[k]].append(r)
+    distinct = [min(g, key=lambda r: (r[0] is None, r[0])) for g in groups.values()]
+    clean = [(i, plain_redaction(t), lang, s) for i, t, lang, s in distinct]
+    assert any("[SECRET]" in r[1] for r in clean)
+    draws = {(r[0], r[1]): r[2] / 2**20 for r in spark.createDataFrame([(r[0], r[3]) for r in clean], "doc_id long, source string").select("doc_id", "source", F.pmod(F.xxhash64(F.lit(1), "doc_id", "source"), F.lit(1 << 20))).collect()}
+    taken = Counter()
+    of = {(i, s, len(t.split())): t for i, t, _, s in clean}
+    assert len(of) == len(clean)
+    for (i, s, size), n, copies, p in plain_entries([(i, s, t) for i, t, _, s in clean]):
+        assert n == 1
+        taken[i, of[i, s, size]] += int(copies) + (1 if p == 1 or 0 < p < 1 and draws[i, s] < p else 0)
+    encoder = tokens.encoder(tokens.default_path())
+    want = Counter()
+    for (i, t), n in taken.items():
+        ids, at = encoder.encode(t) + bytes(4), 0
+        for length in packing.cuts(len(ids) // 4):
+            want[i, at, length, zlib.crc32(ids[4 * at : 4 * (at + length)]), len(ids) // 4] += n
+            at += length
+    got = pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got) == +want
+    ends = Counter()
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends[r["sequence_id"]]
+        ends[r["sequence_id"]] += r["length"]
+    assert max(ends.values()) <= packing.CAPACITY
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_blocks_are_bounded_in_rows_and_bytes(spark):
+    from lidarlake.llm import blocks
+
+    empty = spark.range(100_000).repartition(1).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
+    held = blocks.store(empty, "text", id=("doc_id", "long")).select(F.size("ids").alias("n")).collect()
+    assert sum(r["n"] for r in held) == 100_000 and max(r["n"] for r in held) <= blocks.BLOCK_ROWS
+    wide = spark.range(3000).repartition(1).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.repeat(F.lit("w"), 10_000).alias("extra"))
+    table = blocks.store(wide, "text", id=("doc_id", "long"))
+    assert max(r["n"] for r in table.select(F.size("ids").alias("n")).collect()) < 600
+    back = blocks.taken(table, table.select("block", F.posexplode("ids").alias("pos", "i")).filter("i = 17").withColumn("n", F.lit(3)), wide, "text")
+    assert [(r["doc_id"], len(r["extra"])) for r in back.collect()] == [(17, 10_000)] * 3

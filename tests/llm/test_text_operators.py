@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -61,9 +62,73 @@ def test_media_digests(spark):
     assert media.digests(docs(spark, [])).count() == 0
 
 
+def test_legal_streams_are_read():
+    data = random.Random(1).randbytes(20_000)
+    m = media.mux(data)
+    packets = [m[i : i + 188] for i in range(0, len(m), 188)]
+    at = next(i for i, p in enumerate(packets) if i > 6 and p[1] & 0x1F == 1 and p[3] & 0x30 == 0x10)
+    empty = packets[at][:1] + bytes((packets[at][1] & 0x1F,)) + packets[at][2:3] + bytes((0x20 | packets[at][3] & 15, 183, 0)) + b"\xff" * 182
+    s = media.demux(b"".join([*packets[: at + 1], packets[at], empty, *packets[at + 1 :]]))  # sent twice, then one without payload
+    assert s.payload == data and s.continuity_errors == 0
+    thrice = media.demux(b"".join([*packets[: at + 1], packets[at], packets[at], *packets[at + 1 :]]))
+    assert thrice.continuity_errors == 1
+    # a program table of two packets: many descriptors before the streams
+    info = b"\x05\xc0" + bytes(192)
+    section = media._section(2, media.PROGRAM, struct.pack(">HH", 0xE000 | media.DATA_PID, 0xF000 | len(info)) + info + struct.pack(">BHH", media.PRIVATE_TYPE, 0xE000 | media.DATA_PID, 0xF000))
+    first = struct.pack(">BHB", media.SYNC, 0x4000 | media.PMT_PID, 0x10) + b"\0" + section[:183]
+    second = (struct.pack(">BHB", media.SYNC, media.PMT_PID, 0x11) + section[183:]).ljust(188, b"\xff")
+    small = media.mux(b"x" * 100)
+    assert media.demux(small[:188] + first + second + small[376:]).payload == b"x" * 100
+
+
+def test_streams_of_odd_rows(spark):
+    d = docs(spark, ["same", "same", None], ids=[None, 4, 4])
+    got = media.digests(d).collect()
+    assert len(got) == 3 and len({r["media_sha256"] for r in got if r["n_bytes"]}) == 1
+    stored = media.encode(d).unionByName(spark.createDataFrame([(9, 0, None)], "doc_id long, n_bytes long, media binary"))
+    back = media.decode(stored).collect()
+    assert sum(r["payload"] is None for r in back) == 1 and sum((r["payload"] or b"").startswith(b"same") for r in back) == 2
+    assert media.encode(docs(spark, [])).count() == 0 == media.decode(stored.limit(0)).count()
+
+
 # --- repetition
 
 
+def brute_coverage(t):
+    """Coverage by n and of lines, by windows compared as tuples."""
+    words = WORD.findall(t)
+    chars, out = sum(map(len, words)), []
+    for n in repetition.MAX_COVERAGE:
+        c = Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
+        marked = {k for i in range(len(words) - n + 1) if c[tuple(words[i : i + n])] > 1 for k in range(i, i + n)}
+        out.append(sum(len(words[k]) for k in marked) / chars if chars else 0.0)
+    seen, dup = set(), 0
+    for line in t.split("\n"):
+        if WORD.search(line):
+            dup += sum(map(len, WORD.findall(line))) if line in seen else 0
+            seen.add(line)
+    return out, dup / chars if chars else 0.0
+
+
+def test_coverages_and_verdicts(spark):
+    rnd = random.Random(11)
+    texts = list(ODD)
+    for _ in range(120):
+        words = ["".join(rnd.choice("abcé#") for _ in range(rnd.randint(1, 5))) for _ in range(rnd.randint(5, 40))]
+        part = rnd.sample(words, min(len(words), rnd.randint(2, 12)))
+        texts.append(" ".join(words + part * rnd.randint(0, 3)) + "\n" + " ".join(words[:4]) + ("\n" + " ".join(words[:4])) * rnd.randint(0, 3))
+    for r in repetition.rules(docs(spark, texts)).collect():
+        t = texts[r["doc_id"]] or ""
+        cover, lines = brute_coverage(t)
+        assert [r[f"coverage_{n}"] for n in repetition.MAX_COVERAGE] == pytest.approx(cover) and r["line_coverage"] == pytest.approx(lines)
+        words = WORD.findall(t)
+        symbols = len(re.findall(r"[#*$%&|<>]", t)) > repetition.MAX_SYMBOLS * sum(map(len, words))
+        bad = r["base_failed"] or lines > repetition.MAX_LINE_COVERAGE or symbols or any(c > m for c, m in zip(cover, repetition.MAX_COVERAGE.values(), strict=True))
+        assert r["kept"] == (not bad)
+    again = repetition.rules(docs(spark, ["a b", "a b", None], ids=[None, 1, 1])).collect()
+    assert len(again) == 3 and repetition.rules(docs(spark, [])).count() == 0
+
+
 def brute_repeats(words):
     c = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
     return len({k for i in range(len(words) - 7) if c[tuple(words[i : i + 8])] > 1 for k in range(i, i + 8)})
@@ -123,6 +188,15 @@ def test_more_kinds_and_redaction(spark):
     assert pii.spans(docs(spark, [t])).count() == 4 and pii.spans(docs(spark, [])).count() == 0
 
 
+def test_cues_in_any_case_and_filling_words(spark):
+    for t, value in (("Tax ID: 123-45-6789", "123-45-6789"), ("License No: 1234567", "1234567"), ("license no 1234567", "1234567"), ("Passport No: X1234567", "X1234567"), ("Account number is 12345678", "12345678"), ("ACCOUNT Number: 12345678", "12345678")):
+        assert [t[a:b] for k, a, b in pii.find(t) if k == "identifier"] == [value], t
+    t = "paid to DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432, not to DE89370400440532013001 or XDE89370400440532013000"
+    assert [t[a:b] for k, a, b in pii.find(t) if k == "iban"] == ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"]
+    got = pii.summaries(docs(spark, ["a@b.co", "a@b.co", None], ids=[None, 3, 3])).collect()
+    assert sorted(r["n_email"] for r in got) == [0, 1, 1] and pii.summaries(docs(spark, [])).count() == 0
+
+
 # --- secrets
 
 
@@ -228,8 +302,8 @@ def test_pivot_keeps_the_sum_and_is_unbiased():
     assert np.allclose(total[[0, 1, 2, 3, 5]] / 3000, 0.3, atol=0.04)
 
 
-def plain_mix(rows, seed=0):
-    """(doc_id, source, size, copies, taken) of rows (doc_id, source, text) with exact numbers, one bucket a source."""
+def plain_entries(rows, seed=0):
+    """((doc_id, source, size), rows, copies, rest) of rows (doc_id, source, text) with exact numbers, one bucket a source."""
     size = [(i, s, len(WORD.findall(t or ""))) for i, s, t in rows]
     total = Counter()
     for _, s, n in size:
@@ -241,7 +315,6 @@ def plain_mix(rows, seed=0):
         full = {s for s in open_ if unit * weight[s] >= 2 * total[s]}
         goal |= {s: Fraction(2 * total[s]) for s in full} if full else {s: unit * weight[s] for s in open_}
         open_ = open_ - full if full else set()
-    out = []
     for s in names:
         entries = sorted(Counter(x for x in size if x[1] == s).items(), key=lambda e: (-e[0][2], e[0][0] is None, e[0][0]))
         mass = [goal[s] / total[s] * n if total[s] else Fraction(0) for _, n in entries]
@@ -257,11 +330,18 @@ def plain_mix(rows, seed=0):
                 move = up if mixing._uniform(entries[k][0][0] or 0, i or 0, seed * 64) * float(up + down) < down else -down
                 p[k], p[j] = p[k] + move / wk, p[j] - move / w
                 held = next((x for x in (k, j) if 0 < p[x] < 1), None)
-        for ((i, _, w), n), c, x in zip(entries, whole, p, strict=True):
-            copies, part = c + (1 if x == 1 else 0), round(float(x) * w) if 0 < x < 1 else 0
-            for at in range(n):
-                own = (at + 1) * copies // n - at * copies // n
-                out.append((i, s, w, int(own), int(own * w + (part if at == 0 else 0))))
+        for (e, n), c, x in zip(entries, whole, p, strict=True):
+            yield e, n, c, x
+
+
+def plain_mix(rows):
+    """(doc_id, source, size, copies, taken) of each row."""
+    out = []
+    for (i, s, w), n, c, x in plain_entries(rows):
+        copies, part = c + (1 if x == 1 else 0), round(float(x) * w) if 0 < x < 1 else 0
+        for at in range(n):
+            own = (at + 1) * copies // n - at * copies // n
+            out.append((i, s, w, int(own), int(own * w + (part if at == 0 else 0))))
     return Counter(out)
 
 
@@ -353,6 +433,14 @@ def test_bins_of_a_class_hold_a_fixed_count():
     assert Counter(x[3] for x in out) == {0: 3, 1: 3, 2: 3} and len(list(bins.rest())) == 1
     for n in range(1, 3000):
         assert sum(packing.cuts(n)) == n
+        # a cut leaves no crumb
+        assert min(packing.cuts(n)[n // packing.CAPACITY :], default=n) >= min(n % packing.CAPACITY or n, packing.LEAST)
+
+
+def test_odd_rows_are_packed_as_often_as_they_occur(spark):
+    rows = packing.pack(docs(spark, ["hello world", "hello world", None, "x " * 3000], ids=[None, None, 5, 5])).collect()
+    assert Counter((r["doc_id"], r["start"], r["ids_crc32"]) for r in rows if r["doc_id"] is None) == {(None, 0, rows[0]["ids_crc32"] if rows[0]["doc_id"] is None else next(r["ids_crc32"] for r in rows if r["doc_id"] is None)): 2}
+    assert sum(r["length"] for r in rows if r["doc_id"] == 5) == sum({(r["doc_tokens"]) for r in rows if r["doc_id"] == 5}) and packing.pack(docs(spark, [])).count() == 0
 
 
 # --- language
@@ -434,3 +522,11 @@ def test_the_sample_is_bounded_whatever_the_ids(spark):
         assert {k: len(t) for k, t in got.items()} == {"x": 50, "y": 50}
     copies = spark.range(4000).select("id", F.lit("one text").alias("text"), F.lit("x").alias("lang")).withColumnRenamed("id", "doc_id")
     assert {k: len(t) for k, t in language_id.sample(copies, 50).items()} == {"x": 1}
+
+
+def test_languages_of_odd_rows(spark):
+    net = language_id.Network(["x", "y"], 5)
+    d = docs(spark, ["same text", "same text", None], ids=[None, 3, 3])
+    got = language_id.predict(d, net).collect()
+    assert len(got) == 3 and len({(r["lang_pred"], r["score"]) for r in got if r["lang_pred"] != "und"}) == 1
+    assert not any(r["held_out"] for r in got if r["doc_id"] is None)
