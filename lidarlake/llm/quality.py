@@ -40,7 +40,7 @@ CALIBRATE = 5
 #: Calibrating documents that a class of language and length has, to have thresholds of its own.
 LEAST = 50
 #: Larger blocks ask for fewer n-grams.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Text bytes whose n-grams a shard answers for.
 SHARD_BYTES = 32 << 20
 
@@ -284,22 +284,29 @@ class Judged:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for block, blob, got, says, spoke, test in zip(b.column("block").to_pylist(), b.column("blob"), *(b.column(c).to_pylist() for c in ("answers", "told", "spoken", "test")), strict=True):
-                    t = blocked.rows(blob)
-                    texts, test = t.column("_text").to_pylist(), set(test or ())
+                for k in range(b.num_rows):
+                    got, says, spoke, test = (b.column(c)[k].as_py() or () for c in ("answers", "told", "spoken", "test"))
+                    t, test = blocked.rows(b.column("blob")[k]), set(test)
+                    texts = t.column("_text").to_pylist()
+                    above, below, words_of = words.mixture(model, texts, says, spoke)
+                    del says, spoke
                     g, _ = _distinct(texts, set())
                     order, _ = _by_shard_and_value(g, shards)
                     logp = np.empty(len(g), np.float32)
-                    logp[order] = np.concatenate([np.zeros(0, np.float32), *(expand(a["values"], np.float32) for a in sorted(got or (), key=lambda a: a["shard"]))])
-                    some = [(logp[back], n) for back, n in ordered(texts, g)]
-                    each, counts = (np.concatenate(x) for x in zip(*some, strict=True))
-                    del some
-                    total = np.concatenate(([0.0], np.cumsum(each, dtype=np.float64)))
-                    ends = np.cumsum(counts)
-                    losses = [float(total[e - k] - total[e]) / k if k else None for e, k in zip(ends.tolist(), counts.tolist(), strict=True)]
-                    del total
-                    means, worst = words.losses(texts, counts, each, lambda spelling: words.log_probabilities(model, words.Tokens(texts), says, spoke, spelling))  # noqa: B023
-                    yield batch_of(schema, [np.full(len(texts), block), np.arange(len(texts), dtype=np.int32), t.column("_id").combine_chunks(), t.column("_lang").combine_chunks(), counts, losses, means, worst, [i in test for i in range(len(texts))]])
+                    logp[order] = np.concatenate([np.zeros(0, np.float32), *(expand(a["values"], np.float32) for a in sorted(got, key=lambda a: a["shard"]))])
+                    counts, losses, means, worst = [], [], [], []
+                    at = 0
+                    for (begin, part), (back, n) in zip(pieces(texts), ordered(texts, g), strict=True):
+                        each, end = logp[back], at + int(words_of[begin : begin + len(part)].sum())
+                        more, most = words.losses(part, n, each, lambda spelling: words.log_probabilities(above[at:end], below[at:end], spelling))  # noqa: B023
+                        at = end
+                        means += more
+                        worst += most
+                        total = np.concatenate(([0.0], np.cumsum(each, dtype=np.float64)))
+                        ends = np.cumsum(n)
+                        counts += n.tolist()
+                        losses += [float(total[e - k] - total[e]) / k if k else None for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
+                    yield batch_of(schema, [pa.repeat(b.column("block")[k], len(texts)), np.arange(len(texts), dtype=np.int32), t.column("_id").combine_chunks(), t.column("_lang").combine_chunks(), counts, losses, means, worst, [i in test for i in range(len(texts))]])
 
         every = words.joined(self.blocks, told).join(spoken, "block", "left").join(answers, "block", "left").join(marks.select("block", "test"), "block", "left")
         scored = cut(every.select("block", "blob", "answers", "told", "spoken", "test").mapInArrow(run, "block long, pos int, doc_id long, lang string, n_bytes long, loss double, word_loss double, worst double, calibrates boolean"))

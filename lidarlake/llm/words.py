@@ -325,25 +325,32 @@ class Model:
         self.mass = n1 * self.d1[0] + n2 * self.d1[1] + (different - n1 - n2) * self.d1[2]
 
 
-def log_probabilities(model: Model, tokens: Tokens, told: list, spoken: list, spelling: np.ndarray) -> np.ndarray:
-    """Of each of a block's words, from what it was told; spelling: the byte model's log-probability of each."""
+def mixture(model: Model, texts: list[str | None], told: list, spoken: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each of a block's words the probability a + b x its spelling's; and the words of each text."""
+    tokens = Tokens(texts)
     if not len(tokens.c):
-        return spelling
+        return np.zeros(0), np.ones(0), tokens.counts
     asked = Asked(tokens, np.zeros(len(tokens.counts), bool), _everything)
     bigrams_, _, trigrams = opened(told)
     unigrams_ = np.concatenate([expand(a["numbers"], np.uint64).reshape(5, -1) for a in sorted(spoken, key=lambda a: a["part"])], 1)
+    m, first, counts = model, tokens.first, tokens.counts
     _, word = distinct(tokens)
-    before = np.where(tokens.first, 0, np.concatenate(([0], word[:-1])))
-    context = np.where(tokens.first, asked.start, np.concatenate(([0], asked.place[:-1])))
-    m = model
-    # very unlikely spellings are raised to stay numbers, and lowered again where nothing but the back-off is left
-    low = np.minimum(spelling + 600.0, 0.0)
-    p = np.exp(spelling - low)
-    p = _step(p, unigrams_[0, word], m.d1, np.full(len(word), float(m.total)), np.full(len(word), m.mass))
-    p = _step(p, bigrams_[0, asked.place], m.d2, unigrams_[1, before], _mass(unigrams_[:, before], m.d2))
-    p = np.log(_step(p, trigrams[asked.trigram], m.d3, bigrams_[1, context], _mass(bigrams_[:, context], m.d3)))
-    # a word that was seen anywhere has far more than e ** -500; one that was not has its spelling times back-off masses
-    return np.where((low < 0) & (p < -500), p + low, p) if (low < 0).any() else p
+    place, trigram, start = asked.place, asked.trigram, asked.start
+    del tokens, asked
+    a, b = np.zeros(len(word)), np.ones(len(word))
+    _add(a, b, unigrams_[0, word], m.d1, np.full(len(word), float(m.total)), np.full(len(word), m.mass))
+    before = np.where(first, 0, np.concatenate(([0], word[:-1])))
+    _add(a, b, bigrams_[0, place], m.d2, unigrams_[1, before], _mass(unigrams_, before, m.d2))
+    context = np.where(first, start, np.concatenate(([0], place[:-1])))
+    _add(a, b, trigrams[trigram], m.d3, bigrams_[1, context], _mass(bigrams_, context, m.d3))
+    return a, b, counts
+
+
+def log_probabilities(a: np.ndarray, b: np.ndarray, spelling: np.ndarray) -> np.ndarray:
+    """spelling: the byte model's log-probabilities. A word that training text has nowhere has nothing but its spelling,
+    however unlikely that is."""
+    with np.errstate(divide="ignore", under="ignore"):
+        return np.where(a > 0, np.log(a + b * np.exp(spelling)), np.log(b) + spelling)
 
 
 def losses(texts: list[str | None], size: np.ndarray, byte_logp: np.ndarray, word_logp) -> tuple[list, list]:
@@ -377,12 +384,16 @@ def losses(texts: list[str | None], size: np.ndarray, byte_logp: np.ndarray, wor
     return means, worst
 
 
-def _mass(figures: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
-    return figures[2] * d[0] + figures[3] * d[1] + figures[4] * d[2]
+def _mass(figures: np.ndarray, at: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
+    return (figures[2] * d[0] + figures[3] * d[1] + figures[4] * d[2])[at]
 
 
-def _step(p: np.ndarray, n: np.ndarray, d: tuple[float, float, float], total: np.ndarray, mass: np.ndarray) -> np.ndarray:
-    """One order more: probabilities p below, counts n of the n-grams, weight and back-off mass of their contexts."""
+def _add(a: np.ndarray, b: np.ndarray, n: np.ndarray, d: tuple[float, float, float], total: np.ndarray, mass: np.ndarray) -> None:
+    """One order more, in place: counts n of the n-grams, weight and back-off mass of their contexts. A context that was
+    not seen leaves the order below."""
     own = np.maximum(n - np.array([0.0, *d])[np.minimum(n, 3).astype(np.int64)], 0.0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(total > 0, (own + mass * p) / total, p)
+    seen = total > 0
+    share = np.divide(mass, total, out=np.ones(len(a)), where=seen)
+    a *= share
+    b *= share
+    a += np.divide(own, total, out=np.zeros(len(a)), where=seen)
