@@ -1,39 +1,25 @@
-"""Argument checks that name every fault at once."""
+"""Checks of arguments, in the words of this package."""
 
 from __future__ import annotations
 
-import os
+import math
 from collections.abc import Iterable
 from numbers import Real
 
 from pyspark.sql import DataFrame
 
 
-def require(**faults: bool) -> None:
-    """Each keyword is a message (underscores for spaces) and whether it holds; all that do not are told together."""
-    wrong = [k.replace("_", " ") for k, ok in faults.items() if not ok]
-    if wrong:
-        raise ValueError("; ".join(wrong))
-
-
 def check_extent(xmin: float, xmax: float, ymin: float, ymax: float) -> None:
-    numbers = all(isinstance(v, Real) and not isinstance(v, bool) and v == v for v in (xmin, xmax, ymin, ymax))
-    require(the_extent_must_be_four_numbers=numbers, xmin_must_not_exceed_xmax=not numbers or xmin <= xmax, ymin_must_not_exceed_ymax=not numbers or ymin <= ymax)
+    sides = {"xmin": xmin, "xmax": xmax, "ymin": ymin, "ymax": ymax}
+    odd = [k for k, v in sides.items() if isinstance(v, bool) or not isinstance(v, Real) or math.isnan(v)]
+    if odd:
+        raise ValueError(f"an extent needs numbers for its sides, not for {', '.join(odd)} as given")
+    for low, high in (("xmin", "xmax"), ("ymin", "ymax")):
+        if sides[low] > sides[high]:
+            raise ValueError(f"empty extent: {low} {sides[low]} lies beyond {high} {sides[high]}")
 
 
 def check_columns(df: DataFrame, columns: Iterable[str], what: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"{what}: no column {', '.join(missing)}")
-
-
-def check_logical(value: object) -> bool:
-    return isinstance(value, bool)
-
-
-def check_integer(value: object) -> bool:
-    return isinstance(value, int) and not isinstance(value, bool) or isinstance(value, float) and value.is_integer()
-
-
-def check_parent_dir(path: str) -> bool:
-    return os.path.isdir(path) or os.path.isdir(os.path.dirname(os.path.abspath(path)))
