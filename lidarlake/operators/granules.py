@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.missing import usable
 from ..plans.products import HEIGHT_VARIANTS, Product
+from ..plans.validate import check_extent
 from .clip import NothingLeft, clip_box
+from .ordering import running
 from .spatial import clip_polygons
 
 
@@ -20,51 +26,105 @@ def clip_granule_polygons(product_rows: DataFrame, product: Product, layer: Data
     return clip_polygons(product_rows, product, layer, split_by, strict=strict)
 
 
+_VARIANT = ("lat_highest", "lat_lowest", "lon_highest", "lon_lowest")
+
+
 def height_variants(heights: DataFrame) -> DataFrame:
     """(beam, shot_number, algorithm, lat_highest, lat_lowest, lon_highest, lon_lowest) of a product whose `variants`
     array holds the algorithms' coordinates: a1..aN by position, then the main ones."""
-    fields = ("lat_highest", "lat_lowest", "lon_highest", "lon_lowest")
-    named = heights.select("beam", "shot_number", F.posexplode("variants").alias("k", "v")).select("beam", "shot_number", F.concat(F.lit("a"), (F.col("k") + 1).cast("string")).alias("algorithm"), *(F.col("v")[f].alias(f) for f in fields))
-    main = heights.select("beam", "shot_number", F.lit("main").alias("algorithm"), F.col("lat_highestreturn").alias("lat_highest"), F.col("lat_lowestmode").alias("lat_lowest"), F.col("lon_highestreturn").alias("lon_highest"), F.col("lon_lowestmode").alias("lon_lowest"))
-    return named.unionByName(main)
+    return heights.select("beam", "shot_number", F.inline(_all_variants(heights)))
+
+
+def _all_variants(heights: DataFrame) -> Column:
+    """The algorithms of a row, the main one last, each with its name and coordinates."""
+    fields = lambda v: [v[f].cast("double").alias(f) for f in _VARIANT]
+    main = F.struct(F.lit("main").alias("algorithm"), *(F.col(c).cast("double").alias(f) for f, c in zip(_VARIANT, ("lat_highestreturn", "lat_lowestmode", "lon_highestreturn", "lon_lowestmode"), strict=True)))
+    if "variants" not in heights.columns:
+        return F.array(main)
+    named = F.transform("variants", lambda v, k: F.struct(F.concat(F.lit("a"), (k + 1).cast("string")).alias("algorithm"), *fields(v)))
+    return F.concat(F.coalesce(named, F.array().cast(heights.select(named.alias("n")).schema["n"].dataType)), F.array(main))
 
 
 def clip_variants(heights: DataFrame, xmin: float, xmax: float, ymin: float, ymax: float, strict: bool = True) -> DataFrame:
-    """Every algorithm is clipped by its own coordinates."""
+    """Every algorithm is clipped by its own coordinates; one row for each that is left."""
     return clip_box(height_variants(heights), HEIGHT_VARIANTS, xmin, xmax, ymin, ymax, strict)
 
 
+def clip_heights(heights: DataFrame, xmin: float, xmax: float, ymin: float, ymax: float, strict: bool = True, name: str = "algorithms") -> DataFrame:
+    """The product's rows with all their columns and `algorithms`, an array of what is left of (algorithm, coordinates):
+    every algorithm is clipped by its own ones. A row goes if none is left."""
+    check_extent(xmin, xmax, ymin, ymax)
+    inside = lambda v: reduce(and_, [v[c].between(*s) & usable(v[c]) for p in HEIGHT_VARIANTS.points for c, s in zip(p, ((xmin, xmax), (ymin, ymax)), strict=True)])
+    out = heights.withColumn(name, F.filter(_all_variants(heights), inside)).filter(F.size(name) > 0)
+    if strict and out.isEmpty():
+        raise NothingLeft("no algorithm's footprint lies inside the extent")
+    return out
+
+
 def clip_variants_polygons(heights: DataFrame, layer: DataFrame, split_by: str | None = None, strict: bool = True) -> DataFrame:
     return clip_polygons(height_variants(heights), HEIGHT_VARIANTS, layer, split_by, strict=strict)
 
 
-def write_clip(rows: DataFrame, output: str, by: tuple[str, ...] = ("poly_id", "beam"), mode: str = "error") -> list[str]:
+def clip_heights_polygons(heights: DataFrame, layer: DataFrame, split_by: str | None = None, strict: bool = True) -> DataFrame:
+    """clip_heights by polygons: a row for each algorithm and polygon, with all columns of the product beside the
+    algorithm's name and coordinates."""
+    wide = heights.select("*", F.inline(_all_variants(heights)))
+    return clip_polygons(wide, HEIGHT_VARIANTS, layer, split_by, strict=strict)
+
+
+#: Where a clip keeps the metadata of the granules that it came from. Readers of the rows pass over it.
+METADATA = "_granule_metadata"
+
+
+def write_clip(rows: DataFrame, output: str, by: tuple[str, ...] = ("poly_id", "beam"), mode: str = "error", metadata: DataFrame | None = None) -> list[str]:
     """Parquet partitioned by polygon and beam, as far as the rows have them; empty ones are not written. Each
-    partition's rows are dealt by key and a salt, so that a hot polygon has several writers."""
+    partition's rows are dealt by key and a salt, so that a hot polygon has several writers. The granules' metadata, if
+    given, goes with the clip."""
     keys = [c for c in by if c in rows.columns]
     spread = rows.repartition(*keys, F.pmod(F.xxhash64("shot_number"), F.lit(16))) if keys else rows
     (spread.write.partitionBy(*keys) if keys else spread.write).mode(mode).parquet(output)
+    if metadata is not None:
+        metadata.write.mode(mode).parquet(f"{output.rstrip('/')}/{METADATA}")
     return keys
 
 
-def flat_index(rows: DataFrame, count: str = "rx_sample_count", by: str = "beam") -> DataFrame:
-    """(beam, shot_number, count, start_index): 1-based starts of each shot's samples in one flat array per beam."""
-    before = Window.partitionBy(by).orderBy("shot_number").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select(by, "shot_number", count, (F.coalesce(F.sum(count).over(before), F.lit(0)) + 1).cast("long").alias("start_index"))
+def read_metadata(spark: SparkSession, output: str) -> DataFrame:
+    """The metadata that write_clip kept."""
+    return spark.read.parquet(f"{output.rstrip('/')}/{METADATA}")
+
+
+def _keys(by: str | tuple[str, ...]) -> tuple[str, ...]:
+    return (by,) if isinstance(by, str) else tuple(by)
+
+
+def flat_index(rows: DataFrame, count: str = "rx_sample_count", by: str | tuple[str, ...] = "beam") -> DataFrame:
+    """(beam, shot_number, count, start_index): 1-based starts of each shot's samples in one flat array per beam; by may
+    name several columns, such as granule and beam."""
+    keys = _keys(by)
+    placed = running(rows.select(*keys, "shot_number", count), keys, "shot_number", "start_index", count)
+    return placed.withColumn("start_index", F.col("start_index") + 1)
 
 
-def normalised_start(rows: DataFrame, start: str = "rx_sample_start_index", by: str = "beam") -> DataFrame:
+def normalised_start(rows: DataFrame, start: str = "rx_sample_start_index", by: str | tuple[str, ...] = "beam") -> DataFrame:
     """Starts counted from 1 within each beam."""
-    return rows.withColumn("start_index", F.col(start) - F.min(start).over(Window.partitionBy(by)) + 1)
+    keys = _keys(by)
+    least = rows.groupBy(*keys).agg(F.min(start).alias("_least"))
+    same = reduce(and_, (F.col(f"r.{c}").eqNullSafe(F.col(f"l.{c}")) for c in keys))
+    joined = rows.alias("r").join(least.alias("l"), same)
+    return joined.select(*(F.col(f"r.{c}") for c in rows.columns), (F.col(f"r.{start}") - F.col("_least") + 1).alias("start_index"))
 
 
-def gather(flat: DataFrame, rows: DataFrame, by: str = "beam", start: str = "start_index", count: str = "rx_sample_count") -> DataFrame:
-    """Ragged arrays from flat buffers: flat has one row (by, values) per beam."""
-    return rows.join(flat, by).withColumn("rxwaveform", F.slice("values", F.col(start).cast("int"), F.col(count).cast("int"))).drop("values")
+def gather(flat: DataFrame, rows: DataFrame, by: str | tuple[str, ...] = "beam", start: str = "start_index", count: str = "rx_sample_count") -> DataFrame:
+    """Ragged arrays from flat buffers: flat has one row (by, values) per beam (of a granule). A beam's shots come to
+    its values as one array, so that every sample is copied once, into its shot."""
+    keys = _keys(by)
+    wanted = rows.groupBy(*keys).agg(F.collect_list(F.struct(*rows.columns)).alias("_rows"))
+    held = flat.join(wanted, list(keys)).select(F.explode(F.transform("_rows", lambda r: F.struct(r.alias("r"), F.slice("values", r[start].cast("int"), r[count].cast("int")).alias("w")))).alias("x"))
+    return held.select(*(F.col(f"x.r.{c}") for c in rows.columns), F.col("x.w").alias("rxwaveform"))
 
 
 def total_samples(rows: DataFrame, by: str = "beam") -> DataFrame:
     return rows.groupBy(by).agg(F.sum("rx_sample_count").alias("rx"), F.sum("tx_sample_count").alias("tx"))
 
 
-__all__ = ["NothingLeft", "clip_granule", "clip_granule_polygons", "clip_variants", "clip_variants_polygons", "flat_index", "gather", "height_variants", "normalised_start", "total_samples", "write_clip"]
+__all__ = ["NothingLeft", "clip_granule", "clip_granule_polygons", "clip_heights", "clip_heights_polygons", "clip_variants", "clip_variants_polygons", "flat_index", "gather", "height_variants", "normalised_start", "read_metadata", "total_samples", "write_clip"]

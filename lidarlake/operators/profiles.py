@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.products import BIN_METRES, N_BINS
+from .ordering import running
 
 
 def along_track_km(position: Column) -> Column:
@@ -20,9 +21,9 @@ def track_profile(product: DataFrame, prefix: str, beam: str, elevation: bool =
     of the metre above ground. Footprints are numbered by shot_number within the beam.
     """
     mine = product.filter(F.col("beam") == beam)
-    number = F.row_number().over(Window.partitionBy("beam").orderBy("shot_number"))
     height = F.greatest(F.col("height_bin0"), F.lit(0)).cast("double")
-    numbered = mine.select("shot_number", number.alias("rowid"), F.col("elev_lowestmode").cast("double").alias("ground"), height.alias("height"), F.slice(f"{prefix}_z", 1, N_BINS).alias("bins"))
+    placed = running(mine.select("beam", "shot_number", "elev_lowestmode", "height_bin0", f"{prefix}_z"), ("beam",), "shot_number", "before")
+    numbered = placed.select("shot_number", (F.col("before") + 1).cast("int").alias("rowid"), F.col("elev_lowestmode").cast("double").alias("ground"), height.alias("height"), F.slice(f"{prefix}_z", 1, N_BINS).alias("bins"))
     values = numbered.select("*", F.posexplode("bins").alias("k", "raw"))
     first = F.col("k") * BIN_METRES + 1
     metres = values.select("shot_number", "rowid", "ground", "height", F.greatest("raw", F.lit(0).cast("float")).alias("value"), F.explode(F.sequence(first, first + BIN_METRES - 1)).alias("metre"))

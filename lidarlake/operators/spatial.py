@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import inside
 from ..plans.products import SRID, Product
 from ..plans.validate import check_columns
+from ..runtime import cut
 from .clip import NothingLeft, clip_box
 
 #: A layer up to this many polygons and edges is broadcast for a nested-loop join (about 3 MB); a larger one is joined
@@ -31,29 +32,44 @@ def clip_polygons(table: DataFrame, product: Product, layer: DataFrame, split_by
     the layer's size decides.
     """
     check_layer(layer, split_by)
-    x, y = (F.col(c) for c in product.points[0])
     box = layer.agg(F.min("bx0"), F.max("bx1"), F.min("by0"), F.max("by1"), F.count("*"), F.sum(F.size("edges"))).first()
     if not box[4]:
         out = table.limit(0)
         return out.withColumn("poly_id", F.lit(None).cast("long")) if split_by else out
-    points = clip_box(table, product, *box[:4])
-    own = [F.col(split_by).alias("poly_id")] if split_by else []
-    shapes = layer.select(*own, *(F.col(c).alias(f"_{c}") for c in ("bx0", "bx1", "by0", "by1", "edges")))
-    near = x.between(F.col("_bx0"), F.col("_bx1")) & y.between(F.col("_by0"), F.col("_by1"))
+    # the table's rows travel whole in one column, so that its names meet none of the polygons'
+    x, y = (F.col(f"row.{c}") for c in product.points[0])
+    points = clip_box(table, product, *box[:4]).select(F.struct(*table.columns).alias("row"))
+    shapes = layer.select(F.col(split_by).alias("poly_id") if split_by else F.lit(0).alias("poly_id"), "bx0", "bx1", "by0", "by1", "edges")
     if tile is None and box[4] <= BROADCAST_POLYGONS and box[5] <= BROADCAST_EDGES:
-        joined = points.join(F.broadcast(shapes), near & inside(x, y, F.col("_edges")))
+        near = x.between(F.col("bx0"), F.col("bx1")) & y.between(F.col("by0"), F.col("by1"))
+        joined = points.join(F.broadcast(shapes), near & inside(x, y, F.col("edges")))
     else:
-        side = tile or max((box[1] - box[0]) / 256, (box[3] - box[2]) / 256, 1e-9)
-        index = lambda c: F.floor(c / side)
-        spread = shapes.withColumn("_tx", F.explode(F.sequence(index(F.col("_bx0")), index(F.col("_bx1"))))).withColumn("_ty", F.explode(F.sequence(index(F.col("_by0")), index(F.col("_by1")))))
-        # each point has one tile, so no pair comes twice
-        joined = points.withColumns({"_tx": index(x), "_ty": index(y)}).join(spread, ["_tx", "_ty"]).filter(near & inside(x, y, F.col("_edges")))
-    out = joined.select(*table.columns, *(["poly_id"] if split_by else []))
+        joined = _by_tiles(points, x, y, shapes, tile or max((box[1] - box[0]) / 256, (box[3] - box[2]) / 256, 1e-9))
+    names = [c for c in table.columns if not split_by or c != "poly_id"]
+    out = joined.select(*(F.col(f"row.{c}") for c in names), *(["poly_id"] if split_by else []))
     if strict and out.isEmpty():
         raise NothingLeft("no footprint lies inside a polygon")
     return out
 
 
+def _by_tiles(points: DataFrame, x: Column, y: Column, shapes: DataFrame, side: float) -> DataFrame:
+    """Points meet polygons by tile, in an equi-join that carries no edges; then a pair meets those edges of its polygon
+    that reach the tile's row, which are all that decide. An edge is copied to the rows that it crosses only, and a
+    polygon to the tiles between its outermost edges of a row. Dense tiles are split by the skew join of adaptive
+    execution."""
+    index = lambda c: F.floor(c / side)
+    numbered = cut(shapes.withColumn("pid", F.monotonically_increasing_id()).select("pid", "poly_id", "edges"))
+    low, high = (lambda a, b: F.least(F.col(f"e.{a}"), F.col(f"e.{b}"))), (lambda a, b: F.greatest(F.col(f"e.{a}"), F.col(f"e.{b}")))
+    edges = numbered.select("pid", "poly_id", F.explode("edges").alias("e"))
+    in_rows = edges.withColumn("ty", F.explode(F.sequence(index(low("y1", "y2")), index(high("y1", "y2")))))
+    rows = cut(in_rows.groupBy("pid", "poly_id", "ty").agg(F.collect_list("e").alias("edges"), F.min(low("x1", "x2")).alias("x0"), F.max(high("x1", "x2")).alias("x1")))
+    tiles = rows.select("pid", "ty", "x0", "x1", F.explode(F.sequence(index(F.col("x0")), index(F.col("x1")))).alias("tx"))
+    placed = points.withColumns({"px": index(x), "py": index(y)})
+    # each point has one tile, so no pair comes twice
+    pairs = placed.join(tiles, (F.col("px") == F.col("tx")) & (F.col("py") == F.col("ty")) & x.between(F.col("x0"), F.col("x1"))).select("row", "pid", "ty")
+    return pairs.join(rows.select("pid", "ty", "poly_id", "edges"), ["pid", "ty"]).filter(inside(x, y, F.col("edges")))
+
+
 def polygon_counts(clipped: DataFrame, layer: DataFrame, split_by: str = "id") -> DataFrame:
     """(poly_id, n): every polygon of the layer, those without a footprint too."""
     ids = layer.select(F.col(split_by).alias("poly_id")).distinct()

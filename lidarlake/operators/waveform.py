@@ -1,52 +1,68 @@
-"""Full waveforms: reconstruction, cumulative energy, and relative-height marks."""
+"""Full waveforms: reconstruction, cumulative energy, and relative-height marks.
+
+A shot's samples stay an array as long as what is asked of them can be told from the array; they are exploded last.
+Where a running sum needs them in order, rows are joined and dealt by shot before that, so that samples never move.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _elevation(i: Column) -> Column:
+    """Sample i of n, from 1, lies i steps of (bin0 - lastbin) / n below the first bin's elevation."""
+    return F.col("elevation_bin0") - i * ((F.col("elevation_bin0") - F.col("elevation_lastbin")) / F.size("rxwaveform"))
+
+
+def _elevations() -> Column:
+    return F.transform("rxwaveform", lambda _, i: _elevation(i + 1))
+
+
 def samples(product: DataFrame) -> DataFrame:
-    """(shot_number, bin, rxwaveform, elevation) of every sample. Sample i of n, from 1, lies i steps of
-    (bin0 - lastbin) / n below the first bin's elevation."""
+    """(shot_number, bin, rxwaveform, elevation) of every sample."""
     n = F.size("rxwaveform")
     w = product.select("shot_number", "elevation_bin0", "elevation_lastbin", n.alias("n"), F.posexplode("rxwaveform").alias("at", "rxwaveform"))
     i = F.col("at") + 1
     return w.select("shot_number", i.alias("bin"), "rxwaveform", (F.col("elevation_bin0") - i * ((F.col("elevation_bin0") - F.col("elevation_lastbin")) / F.col("n"))).alias("elevation"))
 
 
-def waveform(product: DataFrame, shot_number: int) -> DataFrame:
-    """The samples of one shot; an unknown shot is an error."""
+def of_shot(product: DataFrame, shot_number: int) -> DataFrame:
+    """The row of one shot; an unknown shot is an error."""
     one = product.filter(F.col("shot_number") == shot_number)
     if one.isEmpty():
         raise LookupError(f"shot {shot_number} is not in the product")
-    return samples(one)
+    return one
 
 
-def relative(waves: DataFrame) -> DataFrame:
-    """Adds `relative`: the amplitude within its shot's range, in percent; null for a constant waveform."""
-    w = Window.partitionBy("shot_number")
-    low, high = F.min("rxwaveform").over(w), F.max("rxwaveform").over(w)
-    return waves.withColumn("relative", F.try_divide((F.col("rxwaveform") - low).cast("double"), (high - low).cast("double")) * 100)
+def waveform(product: DataFrame, shot_number: int) -> DataFrame:
+    """The samples of one shot."""
+    return samples(of_shot(product, shot_number))
+
+
+def relative(product: DataFrame) -> DataFrame:
+    """The samples with `relative`: the amplitude within its shot's range, in percent; null for a constant waveform."""
+    low, high = F.array_min("rxwaveform"), F.array_max("rxwaveform")
+    w = product.select("shot_number", low.alias("low"), high.alias("high"), F.posexplode(F.arrays_zip("rxwaveform", _elevations().alias("elevation"))).alias("at", "s"))
+    share = F.try_divide((F.col("s.rxwaveform") - F.col("low")).cast("double"), (F.col("high") - F.col("low")).cast("double")) * 100
+    return w.select("shot_number", (F.col("at") + 1).alias("bin"), "s.rxwaveform", "s.elevation", share.alias("relative"))
 
 
-def outline(waves: DataFrame) -> DataFrame:
+def outline(product: DataFrame) -> DataFrame:
     """(shot_number, vertex, x, y): the closed polygon below each waveform, corners first and last.
 
     At equal elevations of the lowest or highest sample, the largest bin is taken.
     """
-    ends = waves.groupBy("shot_number").agg(
-        F.min("rxwaveform").alias("low"), F.min("elevation").alias("bottom"), F.max("elevation").alias("top"),
-        F.max_by("rxwaveform", F.struct(-F.col("elevation"), F.col("bin"))).alias("first"), F.max_by("rxwaveform", F.struct("elevation", "bin")).alias("last"), F.count("*").alias("n"),
-    )
-    corner = lambda at, x, y: F.struct(F.expr(at).cast("long").alias("vertex"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    corners = F.array(corner("1", "low", "top"), corner("2", "low", "bottom"), corner("3", "first", "bottom"), corner("n + 4", "last", "top"), corner("n + 5", "low", "top"))
-    edge = ends.select("shot_number", F.inline(corners))
-    back = F.row_number().over(Window.partitionBy("shot_number").orderBy(F.desc("bin"))) + 3
-    body = waves.select("shot_number", back.cast("long").alias("vertex"), F.col("rxwaveform").cast("double").alias("x"), F.col("elevation").cast("double").alias("y"))
-    return edge.unionByName(body)
+    held = product.select("shot_number", "rxwaveform", _elevations().alias("elevations"), F.size("rxwaveform").alias("n")).filter("n > 0")
+    ends = held.select("*", F.array_min("rxwaveform").alias("low"), F.array_min("elevations").alias("bottom"), F.array_max("elevations").alias("top"))
+    at_last = lambda y: F.get("rxwaveform", (F.col("n") - F.array_position(F.reverse("elevations"), F.col(y))).cast("int"))
+    vertex = lambda at, x, y: F.struct(at.cast("long").alias("vertex"), x.cast("double").alias("x"), y.cast("double").alias("y"))
+    n, low, bottom, top = (F.col(c) for c in ("n", "low", "bottom", "top"))
+    corners = F.array(vertex(F.lit(1), low, top), vertex(F.lit(2), low, bottom), vertex(F.lit(3), at_last("bottom"), bottom), vertex(n + 4, at_last("top"), top), vertex(n + 5, low, top))
+    body = F.transform(F.arrays_zip(F.col("rxwaveform").alias("x"), F.col("elevations").alias("y")), lambda s, i: vertex(n - i + 3, s["x"], s["y"]))
+    return ends.select("shot_number", F.inline(F.concat(corners, body)))
 
 
 def height_levels(heights: DataFrame, rh: Sequence[int] = (25, 50, 75)) -> DataFrame:
@@ -56,16 +72,21 @@ def height_levels(heights: DataFrame, rh: Sequence[int] = (25, 50, 75)) -> DataF
     return heights.select("shot_number", F.col("elev_lowestmode").cast("double").alias("ground_z"), F.inline(pairs))
 
 
-def cumulative_energy(waves: DataFrame, levels: DataFrame) -> DataFrame:
+def _band(levels: DataFrame) -> DataFrame:
+    return levels.groupBy("shot_number").agg(F.min("z").alias("zmin"), F.max("z").alias("zmax"))
+
+
+def cumulative_energy(product: DataFrame, levels: DataFrame) -> DataFrame:
     """(shot_number, bin, elevation, energy): energy added up from the ground within [rh0, rh100], scaled to the range
     of the whole waveform. Shots whose band holds fewer than two different sums have null energy."""
-    band = levels.groupBy("shot_number").agg(F.min("z").alias("zmin"), F.max("z").alias("zmax"))
     shot = Window.partitionBy("shot_number")
     up = shot.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
-    amp = F.col("rxwaveform").cast("double")
-    whole = waves.withColumns({"low": F.min(amp).over(shot), "span": F.max(amp).over(shot) - F.min(amp).over(shot)})
-    kept = whole.join(band, "shot_number").filter(F.col("elevation").between(F.col("zmin"), F.col("zmax")))
-    summed = kept.withColumn("total", F.sum(amp - F.col("low")).over(up))
+    low, high = F.array_min("rxwaveform").cast("double"), F.array_max("rxwaveform").cast("double")
+    # a merge join deals whole rows by shot; their samples then stay where they are
+    rows = product.hint("merge").join(_band(levels), "shot_number")
+    s = rows.select("shot_number", "zmin", "zmax", low.alias("low"), (high - low).alias("span"), F.posexplode(F.arrays_zip("rxwaveform", _elevations().alias("elevation"))).alias("at", "s"))
+    kept = s.select("shot_number", (F.col("at") + 1).alias("bin"), "low", "span", "zmin", "zmax", F.col("s.rxwaveform").cast("double").alias("amp"), "s.elevation").filter(F.col("elevation").between(F.col("zmin"), F.col("zmax")))
+    summed = kept.withColumn("total", F.sum(F.col("amp") - F.col("low")).over(up))
     spread = F.max("total").over(shot) - F.min("total").over(shot)
     return summed.select("shot_number", "bin", "elevation", (F.try_divide(F.col("total"), F.try_divide(spread, F.col("span"))) + F.col("low")).alias("energy"))
 
@@ -79,14 +100,15 @@ def marks(curve: DataFrame, levels: DataFrame) -> DataFrame:
     return paired.withColumn("near", near).filter("near = 1").select("shot_number", "rh", "z", "bin", "elevation", "energy", (F.col("z") - (F.col("z") - F.col("zmin")) / 2).alias("label_z"))
 
 
-def amplitude_limits(waves: DataFrame, levels: DataFrame, share: float = 0.2) -> DataFrame:
-    """(shot_number, ymin, ymax, q05, q100): plot limits; order statistics of the amplitudes inside them."""
-    band = levels.groupBy("shot_number").agg(F.min("z").alias("zmin"), F.max("z").alias("zmax"))
+def amplitude_limits(product: DataFrame, levels: DataFrame, share: float = 0.2) -> DataFrame:
+    """(shot_number, ymin, ymax, q05, q100): plot limits; order statistics of the amplitudes inside them (the least one
+    that a share of p of them does not exceed). Shots without a sample inside are left out."""
     off = (F.col("zmax") - F.col("zmin")) * share
-    limits = band.select("shot_number", (F.col("zmin") - off).alias("ymin"), (F.col("zmax") + off).alias("ymax"))
-    inside = waves.join(limits, "shot_number").filter(F.col("elevation").between(F.col("ymin"), F.col("ymax")))
-    q = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY CAST(rxwaveform AS DOUBLE))")
-    return inside.groupBy("shot_number", "ymin", "ymax").agg(q(0.05).alias("q05"), q(1.0).alias("q100"))
+    rows = product.join(_band(levels), "shot_number").select("*", (F.col("zmin") - off).alias("ymin"), (F.col("zmax") + off).alias("ymax"))
+    inside = F.filter(F.arrays_zip(F.col("rxwaveform").alias("x"), _elevations().alias("y")), lambda s: s["x"].isNotNull() & s["y"].between(F.col("ymin"), F.col("ymax")))
+    held = rows.select("shot_number", "ymin", "ymax", F.array_sort(F.transform(inside, lambda s: s["x"].cast("double"))).alias("sorted")).filter(F.size("sorted") > 0)
+    at = lambda hundredths: F.get("sorted", F.ceil(F.size("sorted") * hundredths / 100).cast("int") - 1)
+    return held.select("shot_number", "ymin", "ymax", at(5).alias("q05"), at(100).alias("q100"))
 
 
 def ticks(levels: DataFrame, n: int = 4) -> DataFrame:
@@ -100,7 +122,7 @@ def ticks(levels: DataFrame, n: int = 4) -> DataFrame:
 
 def metrics_view(waveform_product: DataFrame, height_product: DataFrame, shot_number: int, rh: Sequence[int] = (25, 50, 75)) -> dict[str, DataFrame]:
     """Everything that a picture of one shot's waveform with its relative heights shows."""
-    waves = waveform(waveform_product, shot_number)
+    one = of_shot(waveform_product, shot_number)
     levels = height_levels(height_product.filter(F.col("shot_number") == shot_number), rh)
-    curve = cumulative_energy(waves, levels)
-    return {"outline": outline(waves), "curve": curve, "marks": marks(curve, levels), "limits": amplitude_limits(waves, levels), "ticks": ticks(levels)}
+    curve = cumulative_energy(one, levels)
+    return {"outline": outline(one), "curve": curve, "marks": marks(curve, levels), "limits": amplitude_limits(one, levels), "ticks": ticks(levels)}

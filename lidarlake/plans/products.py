@@ -68,5 +68,9 @@ def _schema(*fields: tuple[str, T.DataType]) -> T.StructType:
 
 _D, _F, _I, _S, _L = T.DoubleType(), T.FloatType(), T.IntegerType(), T.ShortType(), T.LongType()
 WAVEFORM_SCHEMA = _schema(("beam", T.StringType()), ("shot_number", _L), *((c, _D) for c in (*GEO_COLUMNS, *GEO_DEFAULT)), ("delta_time", _D), ("rx_sample_count", _I), ("tx_sample_count", _I), ("rxwaveform", T.ArrayType(_F)), ("txwaveform", T.ArrayType(_F)))
-HEIGHT_SCHEMA = _schema(("beam", T.StringType()), ("shot_number", _L), ("degrade_flag", _S), ("quality_flag", _S), ("delta_time", _D), ("sensitivity", _F), ("solar_elevation", _F), ("lat_lowestmode", _D), ("lon_lowestmode", _D), ("elev_highestreturn", _F), ("elev_lowestmode", _F), ("rh", T.ArrayType(_F)))
+HEIGHT_SCHEMA = _schema(("beam", T.StringType()), ("shot_number", _L), ("degrade_flag", _S), ("quality_flag", _S), ("delta_time", _D), ("sensitivity", _F), ("solar_elevation", _F), ("lat_lowestmode", _D), ("lon_lowestmode", _D), ("elev_highestreturn", _F), ("elev_lowestmode", _F), ("rh", T.ArrayType(_F)), ("lat_highestreturn", _D), ("lon_highestreturn", _D))
 PROFILE_SCHEMA = _schema(("beam", T.StringType()), ("shot_number", _L), ("algorithmrun_flag", _S), ("l2b_quality_flag", _S), ("delta_time", _D), ("lat_lowestmode", _D), ("lon_lowestmode", _D), ("elev_highestreturn", _F), ("elev_lowestmode", _F), ("height_lastbin", _F), ("height_bin0", _F), ("pai_z", T.ArrayType(_F)), ("pavd_z", T.ArrayType(_F)))
+CANOPY_SCHEMA = _schema(("beam", T.StringType()), ("shot_number", _L), ("algorithmrun_flag", _S), ("l2b_quality_flag", _S), ("delta_time", _D), ("sensitivity", _F), ("solar_elevation", _F), *((c, _D) for c in GEO_COLUMNS), ("elev_highestreturn", _F), ("elev_lowestmode", _F), *((c, _F) for c in ("rh100", "pai", "fhd_normal", "omega", "pgap_theta", "cover")))
+SCHEMAS = {"waveform": WAVEFORM_SCHEMA, "heights": HEIGHT_SCHEMA, "canopy": CANOPY_SCHEMA, "profiles": PROFILE_SCHEMA}
+#: Columns that a product table must have; all others are as the table has them.
+MANDATORY = {"waveform": ("beam", "shot_number", *GEO_COLUMNS), "heights": ("beam", "shot_number", "lat_lowestmode", "lon_lowestmode"), "canopy": ("beam", "shot_number"), "profiles": ("beam", "shot_number", "lat_lowestmode", "lon_lowestmode")}

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.missing import metric_set, nullify
 from ..operators import clip, extract, granules, grid, profiles, spatial, stats, waveform
 from ..runtime import scratch, ship
-from ..sources import catalog, views
+from ..sources import catalog, vector, views
+from ..sources import granules as source
 from .products import BEAMS, CANOPY, CANOPY_DEFAULT, HEIGHT_COLUMNS, HEIGHTS, N_RH, PAI, PAVD, PROFILE_COLUMNS, WAVEFORM_GEO, profile_names
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,16 +86,10 @@ def extract_pai_long(spark, d):
     return extract.long_profile(views.profiles(spark, d), "pai")
 
 
-@query("SELECT beam, shot_number, value FROM shots WHERE beam IN ('BEAM0000', 'BEAM1011')")
-def beam_union(spark, d):
-    s = views.shots(spark, d).select("beam", "shot_number", "value")
-    return extract.union([extract.of_beam(s, "BEAM0000"), s.select("beam").limit(0), extract.of_beam(s, "BEAM1011")])
-
-
 @query("SELECT beam, shot_number, value FROM shots")
-def beam_union_all(spark, d):
+def beam_union(spark, d):
     s = views.shots(spark, d).select("beam", "shot_number", "value")
-    return extract.union([extract.of_beam(s, b) for b in BEAMS])
+    return extract.union([*(extract.of_beam(s, b) for b in BEAMS), s.select("beam").limit(0)])
 
 
 @query("SELECT shot_number, value FROM shots WHERE beam = 'BEAM0101'")
@@ -257,6 +252,86 @@ def total_samples(spark, d):
     return granules.total_samples(views.geolocation(spark, d))
 
 
+def _stored(spark, table: DataFrame) -> str:
+    path = scratch(spark)
+    table.write.parquet(path)
+    return path
+
+
+def _with_arrays(spark, d) -> DataFrame:
+    """Waveform rows with their samples, 1 k, 2 k and so on, and a column that no product knows."""
+    wave = F.transform(F.sequence(F.lit(1), F.col("rx_sample_count")), lambda i: (i * (F.col("elevation_bin0") - 200)).cast("float"))
+    return views.geolocation(spark, d).withColumns({"rxwaveform": wave, "own_flag": F.col("shot_number") % 7})
+
+
+_WAVE = "list_transform(range(1, rx_sample_count + 1), lambda i: CAST(i * (elevation_bin0 - 200) AS FLOAT))"
+
+
+@query(f"SELECT shot_number, latitude_bin0, own_flag, len(w) AS n, CAST(list_sum(w) AS DOUBLE) AS total FROM (SELECT *, shot_number % 7 AS own_flag, {_WAVE} AS w FROM geo)")
+def read_l1b(spark, d):
+    rows = source.read_product(spark, _stored(spark, _with_arrays(spark, d)), "waveform")
+    total = F.aggregate("rxwaveform", F.lit(0.0), lambda a, v: a + v)
+    return rows.select("shot_number", "latitude_bin0", "own_flag", F.size("rxwaveform").cast("long").alias("n"), total.alias("total"))
+
+
+@query("SELECT shot_number, lat_highestreturn, lon_highestreturn, value, CAST(k / 2 AS FLOAT) AS rh32, CAST(2 AS BIGINT) AS algorithms FROM heights")
+def read_l2a(spark, d):
+    rows = source.read_product(spark, _stored(spark, views.heights(spark, d)), "heights")
+    return rows.select("shot_number", "lat_highestreturn", "lon_highestreturn", "value", F.get("rh", F.lit(32)).alias("rh32"), F.size("variants").cast("long").alias("algorithms"))
+
+
+@query(f"SELECT {', '.join(CANOPY_DEFAULT)} FROM canopy")
+def read_l2b(spark, d):
+    return extract.canopy_metrics(source.read_product(spark, _stored(spark, views.canopy(spark, d)), "canopy"))
+
+
+@query(f"SELECT shot_number, beam, rx_sample_count, own_flag, len(w) AS n, CAST(list_sum(w) AS DOUBLE) AS total FROM (SELECT *, shot_number % 7 AS own_flag, {_WAVE} AS w FROM geo WHERE {_BOTH})")
+def clip_1b_arrays(spark, d):
+    rows = granules.clip_granule(_with_arrays(spark, d), WAVEFORM_GEO, *BOX)
+    total = F.aggregate("rxwaveform", F.lit(0.0), lambda a, v: a + v)
+    return rows.select("shot_number", "beam", "rx_sample_count", "own_flag", F.size("rxwaveform").cast("long").alias("n"), total.alias("total"))
+
+
+@query(f"""SELECT shot_number, sensitivity, value, CAST(k / 2 AS FLOAT) AS rh32, string_agg(algorithm, ',' ORDER BY algorithm) AS algorithms FROM (
+  SELECT v.*, h.sensitivity, h.value, h.k FROM ({_VARIANTS}) v JOIN heights h USING (shot_number)) WHERE {_IN.format('lon_lowest', 'lat_lowest')} AND {_IN.format('lon_highest', 'lat_highest')} GROUP BY shot_number, sensitivity, value, k""")
+def clip_2a_full(spark, d):
+    rows = granules.clip_heights(views.heights(spark, d), *BOX)
+    return rows.select("shot_number", "sensitivity", "value", F.get("rh", F.lit(32)).alias("rh32"), F.array_join(F.array_sort(F.col("algorithms.algorithm")), ",").alias("algorithms"))
+
+
+@query(f"SELECT algorithm, poly_id, shot_number, sensitivity, lat_highest FROM (SELECT v.*, sensitivity FROM ({_VARIANTS}) v JOIN heights h USING (shot_number)) JOIN hits USING (shot_number) WHERE {_NEAR.format('lon_highest', 'lat_highest')}")
+def clip_2a_full_polygons(spark, d):
+    return granules.clip_heights_polygons(views.heights(spark, d), views.polygons(spark), "id").select("algorithm", "poly_id", "shot_number", "sensitivity", "lat_highest")
+
+
+@query(f"SELECT shot_number, poly_id, pai, cover FROM canopy JOIN hits USING (shot_number) WHERE {_NEAR_BOTH}")
+def clip_2b_polygons(spark, d):
+    return granules.clip_granule_polygons(extract.canopy_metrics(views.canopy(spark, d)), CANOPY, views.polygons(spark), "id").select("shot_number", "poly_id", "pai", "cover")
+
+
+@query("SELECT beam, count(*) AS shots, CAST(0 AS BIGINT) AS gaps FROM geo GROUP BY 1")
+def csr_gather(spark, d):
+    # flat buffers of every beam hold the shots' samples one after the other, and give each shot its own again
+    rows = _with_arrays(spark, d).drop("own_flag")
+    flat = rows.groupBy("beam").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("shot_number", "rxwaveform"))), lambda s: s["rxwaveform"])).alias("values"))
+    back = granules.gather(flat, granules.flat_index(rows)).withColumnRenamed("rxwaveform", "again")
+    same = rows.join(back.select("beam", "shot_number", "again"), ["beam", "shot_number"])
+    return same.groupBy("beam").agg(F.count("*").alias("shots"), F.sum(F.when(F.col("again") == F.col("rxwaveform"), 0).otherwise(1)).alias("gaps"))
+
+
+_NUMBER = "CAST(CAST({0} AS DECIMAL(20,10)) AS VARCHAR)"
+
+
+@query(f"SELECT CAST(shot_number AS VARCHAR) AS shot_number, 'POINT (' || {_NUMBER.format('lon')} || ' ' || {_NUMBER.format('lat')} || ')' AS wkt FROM shots")
+def export_wkt(spark, d):
+    return vector.with_wkt(views.shots(spark, d).select("shot_number", "lon", "lat"), "lon", "lat").select("shot_number", "wkt")
+
+
+@query(f"""SELECT '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || {_NUMBER.format('lon')} || ',' || {_NUMBER.format('lat')} || ']}},"properties":{{"shot_number":"' || shot_number || '","beam":"' || beam || '"}}}}' AS feature FROM shots""")
+def export_geojson(spark, d):
+    return vector.features(views.shots(spark, d).select("shot_number", "beam", "lon", "lat"), "lon", "lat")
+
+
 # --- statistics ---------------------------------------------------------------------------------------------------
 
 
@@ -334,18 +409,11 @@ def grid_vpm(spark, d):
     return grid.grid_stats(extract.canopy_metrics(views.canopy(spark, d)), "longitude_bin0", "latitude_bin0", _RES, {"max": F.max("cover")})
 
 
-@query(_CELLS + "SELECT CAST(i AS BIGINT) AS cell, n FROM (SELECT unnest(range(1, nc * nr + 1)) AS i FROM g) LEFT JOIN (SELECT cell, count(*) AS n FROM cells WHERE k = 1 GROUP BY 1) ON cell = i")
-def grid_dense(spark, d):
-    s = views.shots(spark, d)
-    g = grid.grid_of(s, "lon", "lat", _RES)
-    return grid.densify(grid.grid_stats(s.filter("k = 1"), "lon", "lat", _RES, {"n": F.count("*")}, grid=g), g).select("cell", "n")
-
-
 _FINE = 1 / 512
 
 
 @query(_CELLS.replace("0.125e0", f"{_FINE}e0") + "SELECT CAST(i AS BIGINT) AS cell, n FROM (SELECT unnest(range(1, nc * nr + 1)) AS i FROM g) LEFT JOIN (SELECT cell, count(*) AS n FROM cells GROUP BY 1) ON cell = i")
-def grid_dense_all(spark, d):
+def grid_dense(spark, d):
     s = views.shots(spark, d)
     g = grid.grid_of(s, "lon", "lat", _FINE)
     return grid.densify(grid.grid_stats(s, "lon", "lat", _FINE, {"n": F.count("*")}, grid=g), g).select("cell", "n")
@@ -365,7 +433,7 @@ def grid_bulk(spark, d):
 
 
 def _waves(spark, d):
-    return waveform.samples(views.waveforms(spark, d)), waveform.height_levels(views.waveform_heights(spark, d))
+    return views.waveforms(spark, d), waveform.height_levels(views.waveform_heights(spark, d))
 
 
 _BAND = """, band AS (SELECT shot_number, min(z) AS zmin, max(z) AS zmax FROM levels GROUP BY 1),
@@ -376,7 +444,7 @@ curve AS (SELECT shot_number, bin, elevation, t / nullif((max(t) OVER (PARTITION
 
 @query("SELECT *, CAST(rxwaveform - min(rxwaveform) OVER w AS DOUBLE) / nullif(CAST(max(rxwaveform) OVER w - min(rxwaveform) OVER w AS DOUBLE), 0) * 100 AS relative FROM samples WINDOW w AS (PARTITION BY shot_number)")
 def wf_relative(spark, d):
-    return waveform.relative(waveform.samples(views.waveforms(spark, d)))
+    return waveform.relative(views.waveforms(spark, d))
 
 
 @query("""SELECT shot_number, CAST(CASE c WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN n + 4 ELSE n + 5 END AS BIGINT) AS vertex,
@@ -384,7 +452,7 @@ def wf_relative(spark, d):
   FROM (SELECT shot_number, min(rxwaveform) AS low, min(elevation) AS bottom, max(elevation) AS top, arg_max(rxwaveform, bin) AS first, arg_min(rxwaveform, bin) AS last, count(*) AS n FROM samples GROUP BY 1), range(1, 6) AS r(c)
   UNION ALL SELECT shot_number, row_number() OVER (PARTITION BY shot_number ORDER BY bin DESC) + 3, CAST(rxwaveform AS DOUBLE), elevation FROM samples""")
 def wf_outline(spark, d):
-    return waveform.outline(waveform.samples(views.waveforms(spark, d)))
+    return waveform.outline(views.waveforms(spark, d))
 
 
 @query(_BAND + "SELECT shot_number, bin, elevation, round(energy, 9) AS energy FROM curve")

@@ -3,33 +3,98 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
-from ..plans.products import BEAMS, HEIGHT_SCHEMA, PROFILE_SCHEMA, WAVEFORM_SCHEMA
+from ..plans.products import BEAM_PATTERN, CANOPY_GEOLOCATION, CANOPY_LAND_COVER, MANDATORY, SCHEMAS
+from ..plans.validate import check_columns
 
-SCHEMAS = {"waveform": WAVEFORM_SCHEMA, "heights": HEIGHT_SCHEMA, "profiles": PROFILE_SCHEMA}
 #: Where a file keeps a column, if not at the beam's root under its own name. Fixed values.
 PATHS = {
     "waveform": {c: f"geolocation/{c}" for c in ("latitude_bin0", "latitude_lastbin", "longitude_bin0", "longitude_lastbin", "elevation_bin0", "elevation_lastbin", "delta_time")},
     "heights": {},
+    "canopy": {c: f"geolocation/{c}" for c in CANOPY_GEOLOCATION if c not in ("delta_time",)} | {c: f"land_cover_data/{c}" for c in CANOPY_LAND_COVER},
     "profiles": {c: f"geolocation/{c}" for c in ("delta_time", "lat_lowestmode", "lon_lowestmode", "elev_highestreturn", "elev_lowestmode", "height_lastbin", "height_bin0")},
 }
 _RAGGED = {"rxwaveform": ("rx_sample_start_index", "rx_sample_count"), "txwaveform": ("tx_sample_start_index", "tx_sample_count")}
 
 
-def read_product(spark: SparkSession, path: str, product: str, columns: list[str] | None = None, form: str = "parquet") -> DataFrame:
-    """A product table; `columns` reach the scan."""
+def read_product(spark: SparkSession, path: str, product: str, columns: list[str] | None = None, form: str = "parquet", whole: bool = True) -> DataFrame:
+    """A product table; `columns` reach the scan.
+
+    A Parquet table has its own columns, all of them, as they are; the mandatory ones are cast where they have another
+    type. Of granule files `whole` reads every dataset of the beams, else the product's usual columns only.
+    """
     if form == "parquet":
-        table = spark.read.schema(SCHEMAS[product]).parquet(path)
-        return table.select(*columns) if columns else table
+        table = spark.read.parquet(path)
+        check_columns(table, [c for c in MANDATORY[product] if not columns or c in columns], f"{product} table")
+        wanted = columns or table.columns
+        kinds = {f.name: f.dataType for f in SCHEMAS[product].fields if f.name in MANDATORY[product]}
+        own = {f.name: f.dataType for f in table.schema.fields}
+        return table.select(*(F.col(c).cast(kinds[c]).alias(c) if c in kinds and own.get(c) != kinds[c] else F.col(c) for c in wanted))
     register(spark)
-    return spark.read.format("footprint_granule").option("product", product).option("columns", json.dumps(columns or [])).load(path)
+    return spark.read.format("footprint_granule").option("product", product).option("columns", json.dumps(columns or [])).option("whole", str(whole).lower()).load(path)
+
+
+def read_metadata(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(granule, name, value): attributes of granule files and of their METADATA groups, as text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in b.column("path").to_pylist():
+                granule = open_granule(path)
+                try:
+                    found = [(path, name, str(value)) for at, group in _groups(granule) if not at or at.startswith("METADATA") for name, value in (*((f"{at}@{k}", v) for k, v in dict(getattr(group, "attrs", {})).items()), *((f"{at}/{k}" if at else k, _plain(v)) for k, v in group.items() if at and not _is_group(v)))]
+                finally:
+                    getattr(granule, "close", lambda: None)()
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*found, strict=True) if found else ([], [], []))], names=["granule", "name", "value"])
+
+    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths))).mapInArrow(run, "granule string, name string, value string")
+
+
+def _plain(dataset) -> str:
+    import numpy as np
+
+    value = np.asarray(dataset[()] if hasattr(dataset, "shape") and dataset.shape == () else dataset)
+    return str(value.item() if value.ndim == 0 or value.size == 1 else value.tolist())
+
+
+def _is_group(x) -> bool:
+    return hasattr(x, "items") and hasattr(x, "__contains__") and not hasattr(x, "dtype")
+
+
+def _groups(group, at: str = "") -> Iterator[tuple[str, object]]:
+    yield at, group
+    for k, v in group.items():
+        if _is_group(v):
+            yield from _groups(v, f"{at}/{k}" if at else k)
+
+
+def _datasets(group, at: str = "") -> dict[str, object]:
+    """Every dataset below a group, by its path."""
+    return {f"{own}/{k}" if own else k: v for own, g in _groups(group, at) for k, v in g.items() if not _is_group(v)}
+
+
+def open_npz(path: str) -> dict:
+    """A granule that was stored as a NumPy archive, its datasets by their paths."""
+    import numpy as np
+
+    out: dict = {}
+    with np.load(path) as held:
+        for name in held.files:
+            *groups, leaf = name.split("/")
+            at = out
+            for g in groups:
+                at = at.setdefault(g, {})
+            at[leaf] = held[name]
+    return out
 
 
 def _open_h5(path: str):
@@ -40,8 +105,9 @@ def _open_h5(path: str):
     return h5py.File(path, "r")
 
 
-#: How a granule file is opened: a mapping of groups, each a mapping of array-likes. Can be replaced.
-OPENER: list[Callable[[str], object]] = [_open_h5]
+def open_granule(path: str):
+    """A mapping of groups, each a mapping of array-likes."""
+    return open_npz(path) if path.endswith(".npz") else _open_h5(path)
 
 
 def _exists(group, path: str) -> bool:
@@ -58,9 +124,53 @@ def _at(group, path: str):
     return group
 
 
-def beam_batch(group, beam: str, product: str, schema: StructType) -> pa.RecordBatch | None:
+def _name(path: str, product: str) -> str:
+    """The column of a dataset: the product's name for it, else its path with underscores."""
+    known = {PATHS[product].get(f.name, f.name): f.name for f in SCHEMAS[product].fields}
+    return known.get(path, path.replace("/", "_"))
+
+
+def _kind(dataset, name: str, shots: int, product: str) -> DataType:
+    import numpy as np
+
+    known = {f.name: f.dataType for f in SCHEMAS[product].fields}
+    if name in known:
+        return known[name]
+    x = np.asarray(dataset[:1] if getattr(dataset, "ndim", 1) else dataset)
+    one = {"f": FloatType() if x.dtype.itemsize <= 4 else DoubleType(), "i": IntegerType() if x.dtype.itemsize <= 4 else LongType(), "u": IntegerType() if x.dtype.itemsize < 4 else LongType(), "b": BooleanType()}.get(x.dtype.kind, StringType())
+    return one if dataset.shape[:1] == (shots,) and len(dataset.shape) == 1 else ArrayType(one)
+
+
+def whole_schema(granule, product: str) -> tuple[StructType, dict[str, str]]:
+    """All datasets of a granule's first beam with shots as columns, and where each column lies."""
+    for beam in beams_of(granule):
+        if "shot_number" in granule[beam]:
+            shots = len(granule[beam]["shot_number"])
+            found = {_name(path, product): (path, d) for path, d in _datasets(granule[beam]).items() if getattr(d, "shape", ()) != ()}
+            fields = [StructField("beam", StringType()), *(StructField(n, _kind(d, n, shots, product)) for n, (_, d) in found.items() if n != "beam")]
+            return StructType(fields), {n: path for n, (path, _) in found.items()}
+    return SCHEMAS[product], {}
+
+
+def beams_of(granule) -> list[str]:
+    """The groups whose names are those of beams."""
+    return sorted(k for k in granule if re.search(BEAM_PATTERN, k))
+
+
+def _wide(values, shots: int, name: str):
+    """An array with a row for each shot. Where both sides are as long as there are shots, rows are as the file has them."""
+    if values.ndim == 1 and len(values) and len(values) % max(1, shots) == 0 and shots == 1:
+        return values.reshape(1, -1)
+    if values.ndim >= 2 and values.shape[0] == shots:
+        return values.reshape(shots, -1)
+    if values.ndim == 2 and values.shape[1] == shots:
+        return values.T
+    raise ValueError(f"{name}: an array of shape {values.shape} does not go with {shots} shots")
+
+
+def beam_batch(group, beam: str, product: str, schema: StructType, paths: dict[str, str] | None = None) -> pa.RecordBatch | None:
     """One beam's rows; a beam without shot_number has none. Ragged arrays are cut by their 1-based starts, wide ones are
-    read shot by shot, whichever way round they are stored."""
+    read shot by shot, whichever way round they are stored; an array of any other shape is an error."""
     import numpy as np
 
     if "shot_number" not in group:
@@ -70,44 +180,53 @@ def beam_batch(group, beam: str, product: str, schema: StructType) -> pa.RecordB
         raise ValueError("a shot number does not fit a signed 64-bit number")
     columns = []
     target = to_arrow_schema(schema)
+
+    def ragged(flat, of: str, kind: pa.DataType) -> pa.Array:
+        start, count = (np.asarray(group[c]).astype(np.int64) for c in _RAGGED[of])
+        start = start - (start.min() if len(start) else 0)
+        if len(start) and int((start + count).max()) > len(flat):
+            raise ValueError(f"{of}: samples end beyond the {len(flat)} that the beam has")
+        return pa.array([flat[a : a + n] for a, n in zip(start, count, strict=True)], kind)
+
     for f in schema.fields:
         kind = target.field(f.name).type
-        path = PATHS[product].get(f.name, f.name)
+        path = (paths or {}).get(f.name) or PATHS[product].get(f.name, f.name)
         if f.name == "beam":
             columns.append(pa.array([beam] * len(shots), kind))
         elif not _exists(group, path):
             columns.append(pa.nulls(len(shots), kind))
         elif f.name in _RAGGED:
-            start, count = (np.asarray(group[c]).astype(np.int64) for c in _RAGGED[f.name])
-            flat = np.asarray(_at(group, path))
-            start = start - (start.min() if len(start) else 0)
-            columns.append(pa.array([flat[a : a + n] for a, n in zip(start, count, strict=True)], kind))
+            columns.append(ragged(np.asarray(_at(group, path)), f.name, kind))
         elif isinstance(f.dataType, ArrayType):
-            wide = np.asarray(_at(group, path))
-            wide = wide if wide.ndim == 2 and wide.shape[0] == len(shots) else wide.T if wide.ndim == 2 else wide.reshape(len(shots), -1)
-            columns.append(pa.array(list(wide), kind))
+            values = np.asarray(_at(group, path))
+            of = next((k for k, (_, n) in _RAGGED.items() if n in group and values.ndim == 1 and len(shots) > 1 and len(values) == int(np.asarray(group[n]).sum())), None)
+            columns.append(ragged(values, of, kind) if of else pa.array(list(_wide(values, len(shots), f.name)), kind))
         else:
-            columns.append(pa.array(np.asarray(_at(group, path)).tolist(), kind))
+            values = np.asarray(_at(group, path))
+            if values.shape != shots.shape:
+                raise ValueError(f"{f.name}: {values.shape} values for {len(shots)} shots")
+            columns.append(pa.array([v.decode() if isinstance(v, bytes) else v for v in values.tolist()], kind))
     return pa.RecordBatch.from_arrays(columns, schema=target)
 
 
-class BeamPartition(InputPartition):
-    def __init__(self, path: str, beam: str) -> None:
-        self.path, self.beam = path, beam
+class GranulePartition(InputPartition):
+    def __init__(self, path: str) -> None:
+        self.path = path
 
 
 class GranuleReader(DataSourceReader):
-    def __init__(self, paths: list[str], product: str, schema: StructType) -> None:
-        self.paths, self.product, self.schema, self.opener = paths, product, schema, OPENER[0]
+    def __init__(self, paths: list[str], product: str, schema: StructType, whole: bool) -> None:
+        self.paths, self.product, self.schema, self.whole = paths, product, schema, whole
 
     def partitions(self) -> list[InputPartition]:
-        return [BeamPartition(p, b) for p in self.paths for b in BEAMS]
+        return [GranulePartition(p) for p in self.paths]
 
-    def read(self, partition: BeamPartition) -> Iterator[pa.RecordBatch]:
-        granule = self.opener(partition.path)
+    def read(self, partition: GranulePartition) -> Iterator[pa.RecordBatch]:
+        granule = open_granule(partition.path)
         try:
-            if partition.beam in granule:
-                batch = beam_batch(granule[partition.beam], partition.beam, self.product, self.schema)
+            places = whole_schema(granule, self.product)[1] if self.whole else {}
+            for beam in beams_of(granule):
+                batch = beam_batch(granule[beam], beam, self.product, self.schema, places)
                 if batch is not None and batch.num_rows:
                     yield batch
         finally:
@@ -115,20 +234,27 @@ class GranuleReader(DataSourceReader):
 
 
 class GranuleSource(DataSource):
-    """format("footprint_granule"): options product (waveform, heights, profiles), columns (a JSON list); a path or
-    several, comma-separated. One partition for each file and beam."""
+    """format("footprint_granule"): options product (waveform, heights, canopy, profiles), columns (a JSON list), whole
+    (every dataset of the first file's beams); a path or several, comma-separated. One partition for each file; its beams
+    are the groups with a beam's name."""
 
     @classmethod
     def name(cls) -> str:
         return "footprint_granule"
 
+    def _paths(self) -> list[str]:
+        return [p for p in self.options["path"].split(",") if p]
+
+    def _whole(self) -> bool:
+        return self.options.get("whole", "false") == "true"
+
     def schema(self) -> StructType:
-        full = SCHEMAS[self.options["product"]]
+        full = whole_schema(open_granule(self._paths()[0]), self.options["product"])[0] if self._whole() else SCHEMAS[self.options["product"]]
         wanted = json.loads(self.options.get("columns", "[]"))
         return StructType([full[c] for c in wanted]) if wanted else full
 
     def reader(self, schema: StructType) -> GranuleReader:
-        return GranuleReader([p for p in self.options["path"].split(",") if p], self.options["product"], schema)
+        return GranuleReader(self._paths(), self.options["product"], schema, self._whole())
 
 
 def register(spark: SparkSession) -> None:

@@ -86,8 +86,21 @@ def _attributes(data: bytes) -> list[dict[str, str]]:
     return out
 
 
-def from_shapefile(spark: SparkSession, shp: bytes, dbf: bytes | None = None, id_field: str = "id") -> DataFrame:
-    """Polygons of a shapefile given by the contents of its files; ids from the table, else by position from 1."""
+def srid_of_prj(text: str | None) -> int:
+    """The EPSG code that a .prj file's text names, last and outermost; geographic WGS 84 without a code is 4326, anything
+    else without one is 0. No text: 4326."""
+    if not text:
+        return SRID
+    codes = re.findall(r'(?:AUTHORITY|ID)\s*\[\s*"EPSG"\s*,\s*"?(\d+)"?\s*\]', text, re.I)
+    if codes:
+        return int(codes[-1])
+    plain = re.match(r'\s*(?:GEOGCS|GEOGCRS)\s*\[\s*"([^"]*)"', text, re.I)
+    return SRID if plain and re.sub(r"[^a-z0-9]", "", plain[1].lower()) in ("wgs84", "gcswgs1984") else 0
+
+
+def from_shapefile(spark: SparkSession, shp: bytes, dbf: bytes | None = None, id_field: str = "id", prj: str | None = None) -> DataFrame:
+    """Polygons of a shapefile given by the contents of its files; ids from the table, else by position from 1; the
+    coordinate system is that of the .prj file."""
     table = _attributes(dbf) if dbf else []
     kept, attributes = [], []
     for n, rings in enumerate(_shapes(shp)):
@@ -97,4 +110,4 @@ def from_shapefile(spark: SparkSession, shp: bytes, dbf: bytes | None = None, id
             attributes.append(own)
     if not kept:
         raise ValueError("the layer has no polygon")
-    return layer(spark, kept, attributes)
+    return layer(spark, kept, attributes, srid_of_prj(prj))

@@ -140,7 +140,7 @@ def test_waveform_elevations_and_unknown_shot(spark):
 
 
 def test_constant_waveform_has_no_relative_amplitude(spark):
-    assert {r["relative"] for r in waveform.relative(waveform.samples(wave(spark, [3, 3]))).collect()} == {None}
+    assert {r["relative"] for r in waveform.relative(wave(spark, [3, 3])).collect()} == {None}
 
 
 def test_metrics_view(spark):
@@ -214,7 +214,7 @@ def test_download_resumes_skips_and_fails(spark, tmp_path):
 
     with pytest.raises(download.DownloadFailed, match="other.h5"):
         download.download_all(["https://host/other.h5"], str(tmp_path), opener=broken)
-    with pytest.raises(ValueError, match="buffer size"):
+    with pytest.raises(ValueError, match="buffer_kb"):
         download.download(url, str(tmp_path), buffer_kb=1.5)
 
 
@@ -260,7 +260,193 @@ def test_dense_grid_and_union_hold_every_shot(spark, sf_dir):
     from lidarlake.sources import views
 
     shots = views.shots(spark, sf_dir)
-    cells = [r["n"] for r in QUERIES["grid_dense_all"](spark, sf_dir).collect()]
+    cells = [r["n"] for r in QUERIES["grid_dense"](spark, sf_dir).collect()]
     assert None in cells and sum(n or 0 for n in cells) == shots.count()
-    union = QUERIES["beam_union_all"](spark, sf_dir)
+    union = QUERIES["beam_union"](spark, sf_dir)
     assert union.count() == shots.count() and union.select("beam").distinct().count() == 8
+
+
+def test_product_tables_keep_their_own_columns(spark, tmp_path):
+    spark.createDataFrame([("BEAM0000", 1, 0.5, 0.25, 7, [1.0])], "beam string, shot_number int, lat_lowestmode double, lon_lowestmode float, own int, rh array<double>").write.parquet(f"{tmp_path}/h")
+    t = source.read_product(spark, f"{tmp_path}/h", "heights")
+    assert t.columns == ["beam", "shot_number", "lat_lowestmode", "lon_lowestmode", "own", "rh"]
+    assert dict(t.dtypes)["shot_number"] == "bigint" and dict(t.dtypes)["lon_lowestmode"] == "double" and dict(t.dtypes)["rh"] == "array<double>" and t.first()["own"] == 7
+    spark.createDataFrame([(1,)], "shot_number long").write.parquet(f"{tmp_path}/odd")
+    with pytest.raises(ValueError, match="lat_lowestmode"):
+        source.read_product(spark, f"{tmp_path}/odd", "heights")
+
+
+def test_granule_files_through_the_data_source(spark, tmp_path):
+    import numpy as np
+
+    def beam(first, n):
+        return {"shot_number": np.arange(first, first + n, dtype=np.uint64), "rh": np.arange(101 * n, dtype=np.float32).reshape(n, 101), "lat_lowestmode": np.full(n, 0.5), "lon_lowestmode": np.full(n, 0.25), "land_cover_data/landsat_treecover": np.arange(n, dtype=np.float64), "ancillary/l2a_alg_count": np.array(6)}
+
+    files = []
+    for k in range(2):
+        held = {f"{b}/{c}": v for b, first, n in (("BEAM0000", 10 * k, 3), ("BEAM9999", 100 + 10 * k, 2)) for c, v in beam(first, n).items()}
+        held |= {"BEAM0001/empty": np.zeros(0), "METADATA/DatasetIdentification/creationDate": np.array("2020-01-01"), "OTHER/shot_number": np.arange(4)}
+        files.append(f"{tmp_path}/g{k}.npz")
+        np.savez(files[-1], **held)
+    t = source.read_product(spark, ",".join(files), "heights", form="granule")
+    assert {"land_cover_data_landsat_treecover", "rh", "beam"} <= set(t.columns) and t.count() == 10
+    assert sorted({r["beam"] for r in t.collect()}) == ["BEAM0000", "BEAM9999"]
+    assert [len(r["rh"]) for r in t.filter("shot_number = 11").collect()] == [101]
+    few = source.read_product(spark, files[0], "heights", ["shot_number", "lat_lowestmode"], "granule", whole=False)
+    assert few.columns == ["shot_number", "lat_lowestmode"] and few.count() == 5
+    meta = source.read_metadata(spark, files)
+    assert [r["value"] for r in meta.filter("name like '%creationDate'").collect()] == ["2020-01-01"] * 2
+    out = f"{tmp_path}/clip"
+    granules.write_clip(granules.clip_granule(t.select("beam", "shot_number", "lat_lowestmode", "lon_lowestmode"), HEIGHTS, 0, 1, 0, 1), out, metadata=meta)
+    assert spark.read.parquet(out).count() == 10 and granules.read_metadata(spark, out).count() == 2
+
+
+def test_arrays_of_unknown_shape_are_errors():
+    import numpy as np
+
+    schema = source.SCHEMAS["heights"]
+    odd = {"shot_number": np.arange(4), "rh": np.zeros((3, 7), np.float32)}
+    with pytest.raises(ValueError, match="rh"):
+        source.beam_batch(odd, "BEAM0000", "heights", schema)
+    square = {"shot_number": np.arange(3), "rh": np.arange(9, dtype=np.float32).reshape(3, 3)}
+    assert source.beam_batch(square, "BEAM0000", "heights", schema).to_pydict()["rh"][0] == [0, 1, 2]
+    with pytest.raises(ValueError, match="delta_time"):
+        source.beam_batch({"shot_number": np.arange(3), "delta_time": np.zeros(2)}, "BEAM0000", "heights", schema)
+
+
+def test_heights_keep_all_columns_by_algorithm(spark):
+    variant = "struct<lat_highest:double,lat_lowest:double,lon_highest:double,lon_lowest:double>"
+    rows = [("B", 1, 0.5, 0.5, 0.5, 0.5, [(0.5, 0.5, 0.5, 0.5), (9.0, 0.5, 0.5, 0.5)], "x"), ("B", 2, 9.0, 9.0, 9.0, 9.0, [(9.0, 9.0, 9.0, 9.0)], "y"), ("B", 3, 0.5, 0.5, 0.5, 0.5, None, "z")]
+    t = spark.createDataFrame(rows, f"beam string, shot_number long, lat_lowestmode double, lon_lowestmode double, lat_highestreturn double, lon_highestreturn double, variants array<{variant}>, own string")
+    got = granules.clip_heights(t, 0, 1, 0, 1)
+    assert got.columns == [*t.columns, "algorithms"] and {r["shot_number"]: [v["algorithm"] for v in r["algorithms"]] for r in got.collect()} == {1: ["a1", "main"], 3: ["main"]}
+    inside = granules.clip_heights_polygons(t, layers.layer(spark, [(1, [[(0, 0), (1, 0), (1, 1), (0, 1)]])]), "id")
+    assert sorted((r["shot_number"], r["algorithm"], r["own"], r["poly_id"]) for r in inside.collect()) == [(1, "a1", "x", 1), (1, "main", "x", 1), (3, "main", "z", 1)]
+    with pytest.raises(clip.NothingLeft):
+        granules.clip_heights(t.filter("shot_number = 2"), 0, 1, 0, 1)
+
+
+def test_a_cut_connection_is_no_download(tmp_path):
+    import io
+
+    class Body(io.BytesIO):
+        expected = 100
+
+    with pytest.raises(OSError, match="5 of 100"):
+        download.download("https://host/cut.h5", str(tmp_path), opener=lambda *_: Body(b"01234"))
+    assert not (tmp_path / "cut.h5").exists() and (tmp_path / f"cut.h5{download.PART}").read_bytes() == b"01234"
+    (tmp_path / "old.h5").write_bytes(b"old")
+    (tmp_path / f"old.h5{download.PART}").write_bytes(b"part of the old")
+    assert download.download("https://host/old.h5", str(tmp_path), overwrite=True, opener=lambda url, begin, *_: io.BytesIO(b"new"[begin:])) == "done"
+    assert (tmp_path / "old.h5").read_bytes() == b"new"
+    with pytest.raises(TypeError, match="overwrite"):
+        download.download("https://host/a", str(tmp_path), overwrite="yes")
+    with pytest.raises(ValueError, match="folder"):
+        download.download("https://host/a", str(tmp_path / "no" / "where"))
+
+
+def test_downloads_from_a_server_that_closes_early(tmp_path):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    whole = bytes(range(256)) * 40
+
+    class Handler(BaseHTTPRequestHandler):
+        tries = 0
+
+        def do_GET(self):
+            begin = int(self.headers.get("Range", "bytes=0-")[6:-1])
+            body = whole[begin:]
+            self.send_response(206 if begin else 200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            Handler.tries += 1
+            self.wfile.write(body[:3000] if Handler.tries == 1 else body)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/g.h5"
+    try:
+        with pytest.raises(download.DownloadFailed, match="g.h5"):
+            download.download_all([url], str(tmp_path))
+        assert download.download_all([url], str(tmp_path)) == [(url, "done")] and (tmp_path / "g.h5").read_bytes() == whole
+    finally:
+        server.shutdown()
+
+
+def test_coordinate_systems_of_layers():
+    assert layers.srid_of_prj(None) == 4326 == layers.srid_of_prj('GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984",SPHEROID["WGS_1984",6378137,298.257223563]]]')
+    utm = 'PROJCS["WGS 84 / UTM zone 23S",GEOGCS["WGS 84",AUTHORITY["EPSG","4326"]],AUTHORITY["EPSG","32723"]]'
+    assert layers.srid_of_prj(utm) == 32723 and layers.srid_of_prj('PROJCS["somewhere"]') == 0
+
+
+def test_clip_tables_with_clashing_names(spark):
+    t = spark.createDataFrame([(1, 0.5, 0.5, 9, "a", 1.0)], POINTS + ", poly_id long, edges string, bx0 double")
+    shapes = layers.layer(spark, [(3, SQUARE)])
+    for tile in (None, 0.5):
+        both = spatial.clip_polygons(t, HEIGHTS, shapes, tile=tile)
+        assert sorted(both.columns) == sorted(t.columns) and both.first()["poly_id"] == 3 and both.first()["edges"] == "a"
+        assert spatial.clip_polygons(t, HEIGHTS, shapes, None, tile=tile).first()["poly_id"] == 9
+
+
+def test_one_polygon_over_all_tiles(spark):
+    rnd = __import__("random").Random(1)
+    t = spark.createDataFrame([(i, rnd.uniform(-1, 11), rnd.uniform(-1, 11)) for i in range(2000)], POINTS)
+    ring = [(5 + 5 * math.cos(2 * math.pi * k / 90), 5 + 5 * math.sin(2 * math.pi * k / 90)) for k in range(90)]
+    shapes = layers.layer(spark, [(1, [ring]), (2, SQUARE)])
+    near = lambda tile: sorted(tuple(r) for r in spatial.clip_polygons(t, HEIGHTS, shapes, tile=tile).select("shot_number", "poly_id").collect())
+    assert near(0.25) == near(None) and len(near(None)) > 1000
+
+
+def test_running_numbers_in_any_group(spark):
+    from lidarlake.operators.ordering import running
+
+    rows = [(g, i, v) for g, n in (("a", 500), ("b", 3), (None, 40)) for i, v in ((k, k % 5) for k in range(n))]
+    got = {(r["g"], r["i"]): r["before"] for r in running(spark.createDataFrame(rows, "g string, i long, v int").repartition(7), ("g",), "i", "before", "v").collect()}
+    assert len(got) == 543 and all(got[g, i] == sum(k % 5 for k in range(i)) for g, i, _ in rows)
+    assert running(spark.createDataFrame([], "g string, i long"), ("g",), "i", "n").count() == 0
+
+
+def test_samples_never_move(spark):
+    product = spark.createDataFrame([(i, 10.0, 4.0, [float(k) for k in range(6)]) for i in range(50)], "shot_number long, elevation_bin0 double, elevation_lastbin double, rxwaveform array<float>")
+    levels = waveform.height_levels(spark.createDataFrame([(i, 5.0, [k / 25 for k in range(101)]) for i in range(50)], "shot_number long, elev_lowestmode double, rh array<double>"))
+    for out in (waveform.relative(product), waveform.outline(product), waveform.cumulative_energy(product, levels), waveform.amplitude_limits(product, levels)):
+        plan = out._jdf.queryExecution().executedPlan().toString().splitlines()
+        explodes = next((k for k, x in enumerate(plan) if "Generate" in x and "rxwaveform" in "".join(plan[k : k + 4]) and "rh" not in x.split("Generate")[1][:40]), 0)
+        assert not any("Exchange" in x for x in plan[:explodes]), "\n".join(plan)
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from lidarlake import runtime
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        runtime.shared_dir(Session())
+
+
+def test_vector_text(spark, tmp_path):
+    from lidarlake.sources import vector
+
+    t = spark.createDataFrame([(2**62, -44.125, -13.5, None), (7, None, 1.0, "q")], "shot_number long, x double, y double, note string")
+    got = [json.loads(r["feature"]) for r in vector.features(t, "x", "y", 4).collect()]
+    assert got[0] == {"type": "Feature", "geometry": {"type": "Point", "coordinates": [-44.125, -13.5]}, "properties": {"shot_number": str(2**62), "note": None}} and got[1]["geometry"] is None
+    vector.write_csv(t, "x", "y", f"{tmp_path}/c", digits=3)
+    back = spark.read.option("header", "true").csv(f"{tmp_path}/c").filter("note is null").first()
+    assert back["wkt"] == "POINT (-44.125 -13.500)" and back["shot_number"] == str(2**62)
+    vector.write_features(t, "x", "y", f"{tmp_path}/g")
+    assert spark.read.text(f"{tmp_path}/g").count() == 2
