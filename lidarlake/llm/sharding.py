@@ -6,8 +6,9 @@ of eight bits are found in one pass: sums per eight-bit cell are added up along
 fits is the bucket. Only documents in cells that are still too large take part in the next pass.
 
 Rows with one key (an id that occurs more than once) cannot be told apart by more bits: such a bucket, if too large, is
-cut into pages of equal row counts that fit the limit. A single document above the limit is a shard of its own. Null
-text counts 0 bytes, a null id is a key like any other. An empty table gives an empty table.
+cut into pages of equal row counts that fit the limit, by size and then as they are counted. A single document above the
+limit is a shard of its own. Null text counts 0 bytes, a null id is a key like any other. Extra columns are not read,
+whatever their names. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordering import running
 from ..runtime import cut
 from .common import narrow
 
@@ -55,19 +57,21 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    small = out.filter(F.col("shard_bytes") <= max_bytes).withColumn("page", F.lit(0).cast("long"))
-    return small.select("doc_id", "bytes", "bucket", "local_depth", "shard_bytes", "page").unionByName(_pages(out.filter(F.col("shard_bytes") > max_bytes), max_bytes))
+    columns = ("doc_id", "bytes", "bucket", "local_depth", "shard_bytes", "page")
+    small = out.filter(F.col("shard_bytes") <= max_bytes).withColumn("page", F.lit(0).cast("long")).select(*columns)
+    large = out.filter(F.col("shard_bytes") > max_bytes)
+    return small if large.isEmpty() else small.unionByName(_pages(large, max_bytes).select(*columns))
 
 
 def _pages(rows: DataFrame, max_bytes: int, block: int = 4096) -> DataFrame:
     """Rows of one key are alike but for their size: count them by size, number them, and lay the numbers out again."""
     same = rows.groupBy("key", "doc_id", "bytes", "bucket", "local_depth", "shard_bytes").agg(F.count("*").alias("n"))
-    sizes = same.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("bytes", "n"))).alias("sizes"), F.max("bytes").alias("most"))
-    before = F.expr("aggregate(filter(sizes, s -> s.bytes < bytes), 0L, (a, s) -> a + s.n)")
+    most = rows.groupBy("key").agg(F.max("bytes").alias("most"))
     per_page = F.greatest(F.lit(1).cast("long"), F.expr(f"{max_bytes}L div greatest(most, 1L)"))
-    blocks = same.join(sizes, "key").withColumn("before", before).withColumn("per_page", per_page).withColumn("from", F.explode(F.expr(f"sequence(0L, n - 1, {block}L)"))).repartition("key", "bytes", "from")
+    counted = running(same, ("key",), "bytes", "before", "n").join(most, "key").withColumn("per_page", per_page)
+    blocks = counted.withColumn("from", F.explode(F.expr(f"sequence(0L, n - 1, {block}L)"))).repartition("key", "bytes", "from")
     numbered = blocks.withColumn("i", F.explode(F.expr(f"sequence(from, least(from + {block - 1}L, n - 1))")))
-    return numbered.select("doc_id", "bytes", "bucket", "local_depth", "shard_bytes", F.floor((F.col("before") + F.col("i")) / F.col("per_page")).cast("long").alias("page"))
+    return numbered.withColumn("page", F.floor((F.col("before") + F.col("i")) / F.col("per_page")).cast("long"))
 
 
 def directory(assigned: DataFrame) -> DataFrame:
