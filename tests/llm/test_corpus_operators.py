@@ -395,10 +395,10 @@ def test_pipeline_is_that_of_plain_python(spark, tmp_path):
     rnd = random.Random(12)
     vocabulary = ["alphabet", "betatron", "gammaray", "deltawing", "épsilon", "of", "the", "and", "zetapotential", "etalon"]
     text = lambda n: " ".join(rnd.choice(vocabulary) for _ in range(n))
-    rows = [(i, text(30 + i), rnd.choice(["en", "fr", None]), rnd.choice(["a", "b", None])) for i in range(90)]
+    rows = [(i, text(30 + i) + " password=abcdefgh1234" * (i % 5 == 1), rnd.choice(["en", "fr", None]), rnd.choice(["a", "b", None])) for i in range(90)]
     rows += [(100 + i, " ".join([*rows[i][1].split()[:-1], "changed"]), "en", "a") for i in range(0, 30, 3)]  # near copies
     rows += [(200, text(150) + " password=abcdefgh1234 " + text(3), "en", "b"), (201, "qzx kjv 0123 #%& " * 30, "en", "a"), (202, None, "en", "a"), (203, "", None, None)]
-    rows += [(None, rows[5][1], "en", "a"), (None, text(161), "fr", "b"), (7, text(173), "en", "a"), (204, text(180) + " " + "".join(rnd.choice("qzxjkv0123#%") for _ in range(400)), "en", "b")]
+    rows += [(None, rows[5][1], "en", "a"), (None, text(161), "fr", "b"), (7, text(173), "en", "a"), (204, text(180) + " " + " ".join("".join(rnd.choice("qzxjkv0123#%") for _ in range(40)) for _ in range(10)), "en", "b")]
     trusted = [i for i in range(90) if i % 9]
     schema = "doc_id long, text string, lang string, source string, n_chars int, row string, block string, kind int"
     spark.createDataFrame([(i, t, lang, s, len(t or ""), "r", "b", 1) for i, t, lang, s in rows], schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
@@ -407,7 +407,7 @@ def test_pipeline_is_that_of_plain_python(spark, tmp_path):
     calibrates = {r[0] for r in spark.createDataFrame([(i,) for i in sorted(good)], "doc_id long").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(quality.CALIBRATE))).collect() if r[1] == 0}
 
     kept = [r for r, ok in zip(rows, plain_quality(rows, good, calibrates), strict=True) if ok]
-    assert 201 not in {r[0] for r in kept} and 204 not in {r[0] for r in kept} and len(kept) > 90
+    assert 201 not in {r[0] for r in kept} and 204 not in {r[0] for r in kept} and len(kept) > 70
     sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (r[1].lower().split() for r in kept)]
     root = list(range(len(kept)))
     for a in range(len(kept)):
