@@ -30,7 +30,7 @@ from .common import batch_of, narrow, pieces
 
 HIDDEN, EMBED = 24, 12
 #: Bytes of a core, of the context that is read on either side, and of a training window.
-CORE, WARM, SPAN = 256, 32, 64
+CORE, WARM, SPAN = 512, 32, 64
 #: Texts of each language that are learned from, at most.
 SAMPLE_DOCS = 500
 STEPS, BATCH, RATE = 500, 256, 0.01
@@ -101,25 +101,29 @@ class Network:
         half = np.repeat(np.array([0.5, 1], np.float32), (2 * h, h))  # sigmoid(x) = tanh(x / 2) / 2 + 1 / 2
         table, u = (self.w["E"] @ self.w["W" + d] + self.w["b" + d]) * half, self.w["U" + d] * half
         gates_u, own_u = np.ascontiguousarray(u[:, : 2 * h]), np.ascontiguousarray(u[:, 2 * h :])
-        out = np.empty((len(x), x.shape[1], h), np.float32)
-        state = np.zeros((x.shape[1], h), np.float32)
+        n = x.shape[1]
+        out = np.empty((len(x), n, h), np.float32)
+        state, a, gates, new, reset = np.zeros((n, h), np.float32), *(np.empty((n, k * h), np.float32) for k in (3, 2, 1, 1))
+        half_one = np.float32(0.5)
         for t in range(len(x)) if d == "f" else reversed(range(len(x))):
-            a = table[x[t]]
-            gates = state @ gates_u
+            np.take(table, x[t], axis=0, out=a, mode="clip")
+            np.matmul(state, gates_u, out=gates)
             gates += a[:, : 2 * h]
             np.tanh(gates, out=gates)
-            gates += 1
-            gates *= 0.5
+            gates *= half_one
+            gates += half_one
             z = gates[:, :h]
-            n = (gates[:, h:] * state) @ own_u
-            n += a[:, 2 * h :]
-            np.tanh(n, out=n)
-            state = state - n
-            state *= z
-            state += n
+            np.multiply(gates[:, h:], state, out=reset)
+            np.matmul(reset, own_u, out=new)
+            new += a[:, 2 * h :]
+            np.tanh(new, out=new)
+            now = out[t]
+            np.subtract(state, new, out=now)
+            now *= z
+            now += new
             if live is not None and d == "b":
-                state *= live[t][:, None]
-            out[t] = state
+                now *= live[t][:, None]
+            state = now
         return out
 
     def label_sums(self, data: np.ndarray, begins: np.ndarray, lengths: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -136,12 +140,13 @@ class Network:
             mask = None if live.all() else live
             s = self._states("f", x, mask).reshape(-1, h) @ v[:h]
             s += self._states("b", x, mask).reshape(-1, h) @ v[h:]
-            s += self.w["c"]
-            s -= s.max(axis=1, keepdims=True)
+            s = np.ascontiguousarray(s.T)  # by label: sums over labels are then sums of rows
+            s += self.w["c"][:, None]
+            s -= s.max(axis=0)
             np.exp(s, out=s)
-            s /= s.sum(axis=1, keepdims=True)
             core = (time >= first[part]) & (time < last[part])
-            out[part] = (s.reshape(*x.shape, -1) * core[:, :, None]).sum(axis=0, dtype=np.float64)
+            s *= (core.reshape(-1) / s.sum(axis=0)).astype(np.float32)
+            out[part] = s.reshape(-1, *x.shape).sum(axis=1, dtype=np.float64).T
         return out
 
     def probabilities(self, texts: list[bytes]) -> np.ndarray:
