@@ -175,6 +175,11 @@ def _counted(requests: DataFrame) -> DataFrame:
     return _by_shard(requests).mapInArrow(run, "g long, c long")
 
 
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """Nearest numbers with 16 bits of mantissa: a byte less to travel, at an error of 1 / 131,072 at most."""
+    return ((x.view(np.uint32) + np.uint32(0x40)) & np.uint32(0xFFFFFF80)).view(np.float32)
+
+
 def _answers(requests: DataFrame, probabilities: DataFrame, shards: int) -> DataFrame:
     """(block, shard, values): the log-probabilities of each request, in its order."""
 
@@ -206,7 +211,7 @@ def _answers(requests: DataFrame, probabilities: DataFrame, shards: int) -> Data
                     k, p = np.concatenate(keys), np.concatenate(values)
                     order = np.argsort(k)
                     ready = k[order], p[order]
-                rows.append((block, shard, squeeze(ready[1][np.searchsorted(ready[0], g)])))
+                rows.append((block, shard, squeeze(_rounded(ready[1][np.searchsorted(ready[0], g)]))))
             if rows:
                 yield batch_of(schema, [*zip(*rows, strict=True)])
 

@@ -9,8 +9,8 @@ only one range's requests are on disk at a time; every range covers all document
 that holds it gives its continuation count to its two words, which live in shards of words in the same way. Blocks then
 have all numbers of their n-grams and compute probabilities; nothing of the model is broadcast but its discounts.
 
-Hashes: a bigram is known by BITS bits, a word beside it by NEAR bits, a word by 63. Bigrams or words that share a hash
-share their counts.
+Hashes: words and bigrams are known by BITS bits, a word beside a bigram by NEAR bits. Those that share a hash share their
+counts.
 """
 
 from __future__ import annotations
@@ -59,20 +59,21 @@ START = bigram(np.zeros(1, np.uint64), np.zeros(1, np.uint64))[0]
 
 
 class Tokens:
-    """A block's words c with the two before them, b and a (0 before a text), as 63-bit hashes that are not 0; the bigrams
-    `own` of b and c; the words of each text."""
+    """A block's words c with the two before them, b and (if deep) a, 0 before a text, as hashes of BITS bits that are not
+    0; the bigrams `own` of b and c; the words of each text."""
 
-    def __init__(self, texts: list[str | None]) -> None:
+    def __init__(self, texts: list[str | None], deep: bool = True) -> None:
         parts = [tokens64.words(part) for _, part in pieces(texts)]
         none = np.zeros(0, np.uint64)
-        self.c = np.concatenate([none, *(h for h, _ in parts)]) >> np.uint64(1) | np.uint64(1)
+        self.c = np.concatenate([none, *(h for h, _ in parts)]) >> np.uint64(64 - BITS) | np.uint64(1)
         self.counts = np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)])
         starts = (np.cumsum(self.counts) - self.counts)[self.counts > 0]
         self.first = np.zeros(len(self.c), bool)
         self.first[starts] = True
-        self.b = self._before(self.c)
-        self.a = self._before(self.b)
-        self.own = bigram(self.b, self.c)
+        b = self._before(self.c)
+        if deep:
+            self.a = self._before(b)
+        self.own = bigram(b, self.c)
 
     def _before(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros_like(x)
@@ -236,14 +237,19 @@ def joined(table: DataFrame, told: list[DataFrame]) -> DataFrame:
     return out.select("block", "blob", F.concat(*(F.coalesce(f"told{k}", none) for k in range(len(told)))).alias("told"))
 
 
-def opened(answers: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A block's answers: the numbers of its bigrams in five rows (continuations, weight as a context, and how many words
-    follow once, twice, more often), which of them it owns, and its trigrams' counts."""
-    answers = sorted(answers or (), key=lambda a: a["part"])
-    numbers = [expand(a["numbers"], np.uint64).reshape(5, -1) for a in answers]
-    owner = [expand(a["owner"], np.bool_) for a in answers]
-    trigrams = [expand(a["trigrams"], np.uint64) for a in answers]
-    return np.concatenate([np.zeros((5, 0), np.uint64), *numbers], 1), np.concatenate([np.zeros(0, bool), *owner]), np.concatenate([np.zeros(0, np.uint64), *trigrams])
+def _small(x: np.ndarray) -> np.ndarray:
+    """The same numbers in half the room, if they fit."""
+    return x.astype(np.uint32) if not x.size or x.max() < 1 << 32 else x
+
+
+def numbers_of(answers: list, rows: slice = slice(None)) -> np.ndarray:
+    """Rows of numbers, part by part: for bigrams and words alike continuations, weight as a context, and how many words
+    follow once, twice, more often."""
+    return np.concatenate([np.zeros((5, 0), np.uint32)[rows], *(_small(expand(a["numbers"], np.uint64).reshape(5, -1)[rows]) for a in answers)], 1)
+
+
+def by_part(answers: list | None) -> list:
+    return sorted(answers or (), key=lambda a: a["part"])
 
 
 # --- words --------------------------------------------------------------------------------------------------------
@@ -258,8 +264,8 @@ def _everything(k: np.ndarray) -> np.ndarray:
 
 def distinct(tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
     """The block's words and the zero before a text, ascending, and where each of its words stands."""
-    known, _, _, back = tokens64.places(tokens.c << np.uint64(1))
-    return np.concatenate((np.zeros(1, np.uint64), known >> np.uint64(1))), back + 1
+    known, _, _, back = tokens64.places(tokens.c << np.uint64(64 - BITS))
+    return np.concatenate((np.zeros(1, np.uint64), known >> np.uint64(64 - BITS))), back + 1
 
 
 def unigrams(table: DataFrame, told: list[DataFrame]) -> tuple[DataFrame, list[int]]:
@@ -270,9 +276,12 @@ def unigrams(table: DataFrame, told: list[DataFrame]) -> tuple[DataFrame, list[i
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block, blob, told in zip(b.column("block").to_pylist(), b.column("blob"), b.column("told").to_pylist(), strict=True):
-                tokens = Tokens(blocked.rows(blob).column("_text").to_pylist())
-                numbers, owner, _ = opened(told)
+            for block, blob, told in zip(b.column("block").to_pylist(), b.column("blob"), b.column("told"), strict=True):
+                told = by_part(told.as_py())
+                continued = numbers_of(told, slice(0, 1))[0]
+                owner = np.concatenate([np.zeros(0, bool), *(expand(a["owner"], np.bool_) for a in told)])
+                tokens = Tokens(blocked.rows(blob).column("_text").to_pylist(), deep=False)
+                del told
                 known, word = distinct(tokens)
                 keys, first, _, _ = tokens64.places(tokens.own << np.uint64(64 - BITS))
                 # START is no bigram of two words; without it the keys are those of the answers
@@ -280,7 +289,7 @@ def unigrams(table: DataFrame, told: list[DataFrame]) -> tuple[DataFrame, list[i
                 extra = int(not (start < len(keys) and keys[start] == START << np.uint64(64 - BITS)))
                 at = np.arange(len(keys)) + (np.arange(len(keys)) >= start) * extra
                 own = np.flatnonzero(owner[at])
-                n = numbers[0, at[own]]
+                n = continued[at[own]]
                 end = word[first[own]]
                 begin = np.where(tokens.first[first[own]], 0, word[first[own] - 1])
                 given = np.zeros((5, len(known)), np.uint64)
@@ -288,13 +297,13 @@ def unigrams(table: DataFrame, told: list[DataFrame]) -> tuple[DataFrame, list[i
                 given[1] = np.bincount(begin, n, len(known))
                 for r, m in ((2, n == 1), (3, n == 2), (4, n >= 3)):
                     given[r] = np.bincount(begin[m], minlength=len(known))
-                cuts = np.searchsorted(range_shard(known, shards, 63), np.arange(shards + 1))
+                cuts = np.searchsorted(range_shard(known, shards, BITS), np.arange(shards + 1))
                 rows = [(s, block, squeeze_ascending(known[i:j]), squeeze(given[:, i:j].reshape(-1))) for s, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if i < j]
                 yield batch_of(_WORD, [*zip(*rows, strict=True)])
 
     def spoken(part: int, held: list) -> pa.RecordBatch:
         keys = [expand_ascending(r[1]) for r in held]
-        known, _, _, back = tokens64.places(np.concatenate(keys) << np.uint64(1))
+        known, _, _, back = tokens64.places(np.concatenate(keys) << np.uint64(64 - BITS))
         given = np.concatenate([expand(r[2], np.uint64).reshape(5, -1) for r in held], 1)
         sums = np.stack([np.bincount(back, row, len(known)) for row in given]).astype(np.uint64)
         rows = [(r[0], part, squeeze(sums[:, b].reshape(-1)), None) for r, b in zip(held, np.split(back, np.cumsum([len(k) for k in keys])[:-1]), strict=True)]
@@ -331,8 +340,9 @@ def mixture(model: Model, texts: list[str | None], told: list, spoken: list) ->
     if not len(tokens.c):
         return np.zeros(0), np.ones(0), tokens.counts
     asked = Asked(tokens, np.zeros(len(tokens.counts), bool), _everything)
-    bigrams_, _, trigrams = opened(told)
-    unigrams_ = np.concatenate([expand(a["numbers"], np.uint64).reshape(5, -1) for a in sorted(spoken, key=lambda a: a["part"])], 1)
+    told = by_part(told)
+    bigrams_, unigrams_ = numbers_of(told), numbers_of(by_part(spoken))
+    trigrams = np.concatenate([np.zeros(0, np.uint32), *(_small(expand(a["trigrams"], np.uint64)) for a in told)])
     m, first, counts = model, tokens.first, tokens.counts
     _, word = distinct(tokens)
     place, trigram, start = asked.place, asked.trigram, asked.start
