@@ -450,3 +450,17 @@ def test_vector_text(spark, tmp_path):
     assert back["wkt"] == "POINT (-44.125 -13.500)" and back["shot_number"] == str(2**62)
     vector.write_features(t, "x", "y", f"{tmp_path}/g")
     assert spark.read.text(f"{tmp_path}/g").count() == 2
+
+
+def test_arriving_files_are_clipped_once(spark, tmp_path):
+    from lidarlake import streaming
+
+    shapes = layers.layer(spark, [(1, SQUARE)])
+    clips = {"box": lambda t: clip.clip_box(t, HEIGHTS, 0, 1, 0, 1), "polygons": lambda t: spatial.clip_polygons(t, HEIGHTS, shapes)}
+    files = f"{tmp_path}/in"
+    for n in range(2):
+        spark.createDataFrame([(10 * n + 1, 0.5, 0.5), (10 * n + 2, 3.0, 3.0), (10 * n + 3, 9.0, 9.0)], POINTS).write.mode("append").parquet(files)
+        for name, f in clips.items():
+            rows = streaming.arrivals(spark, files, spark.read.parquet(files).schema)
+            streaming.keep_clipping(rows, f, f"{tmp_path}/{name}", f"{tmp_path}/{name}-state", once=True).awaitTermination()
+    assert ids(spark.read.parquet(f"{tmp_path}/box")) == [1, 11] and ids(spark.read.parquet(f"{tmp_path}/polygons")) == [1, 2, 11, 12]
