@@ -55,7 +55,7 @@ def by_block(df: DataFrame, name: str, *columns: str) -> DataFrame:
     return _saved(dealt.groupBy("block").agg(F.collect_list(F.struct(*columns)).alias(name)))
 
 
-def store(docs: DataFrame, text_col: str, rest: bool = True, block_bytes: int = BLOCK_BYTES, **own: tuple[str, str]) -> DataFrame:
+def store(docs: DataFrame, text_col: str, rest: bool = True, **own: tuple[str, str]) -> DataFrame:
     """(block, ids, size, blob): `_text`, the columns `own` (name, type) under an underscore, and the rest of the row if
     `rest`, packed where they are read. ids are those of `id`, size is the bytes of the texts."""
     kept = [col(name).cast(kind).alias(f"_{alias}") for alias, (name, kind) in own.items()]
@@ -79,7 +79,7 @@ def store(docs: DataFrame, text_col: str, rest: bool = True, block_bytes: int =
                 held.append(part)
                 size += part.nbytes
                 count += part.num_rows
-                if size >= block_bytes or count > BLOCK_ROWS - 512:
+                if size >= BLOCK_BYTES or count > BLOCK_ROWS - 512:
                     yield out()
                     held, size, count, number = [], 0, 0, number + 1
         if held:
@@ -156,6 +156,24 @@ def expand_ascending(blob: bytes) -> np.ndarray:
     return np.cumsum(expand(blob, np.uint64), dtype=np.uint64)
 
 
+def squeeze_counts(x: np.ndarray) -> bytes:
+    """Counts, most of them 0, 1 or 2: two bits for each, and what is above 2 by itself."""
+    code = np.minimum(x, 3).astype(np.uint8)
+    bits = np.unpackbits(code[:, None], axis=1)[:, 6:]
+    low = zstandard.ZstdCompressor(level=3).compress(np.packbits(bits.T).tobytes())
+    return len(x).to_bytes(8, "little") + len(low).to_bytes(8, "little") + low + squeeze(x[code == 3].astype(np.uint64))
+
+
+def expand_counts(blob: bytes) -> np.ndarray:
+    """The counts, as 32-bit numbers if they fit."""
+    n, size = int.from_bytes(blob[:8], "little"), int.from_bytes(blob[8:16], "little")
+    bits = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[16 : 16 + size]), np.uint8), count=2 * n).reshape(2, n)
+    more = expand(blob[16 + size :], np.uint64)
+    out = (bits[0] << 1 | bits[1]).astype(np.uint64 if more.size and more.max() >= 1 << 32 else np.uint32)
+    out[out == 3] = more
+    return out
+
+
 def range_shard(x: np.ndarray, n: int, bits: int) -> np.ndarray:
     """Shards of hashes of so many bits by ranges, so that ascending hashes lie by shard."""
     return ((x >> np.uint64(bits - 32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)

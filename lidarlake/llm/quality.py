@@ -39,8 +39,8 @@ QUANTILE, MARGIN = 0.98, 0.02
 CALIBRATE = 5
 #: Calibrating documents that a class of language and length has, to have thresholds of its own.
 LEAST = 50
-#: Larger blocks ask for fewer n-grams.
-BLOCK_BYTES = 6 << 20
+#: Text characters that are worked on at a time.
+PIECE = 1 << 20
 #: Text bytes whose n-grams a shard answers for.
 SHARD_BYTES = 32 << 20
 
@@ -79,7 +79,7 @@ def _shard(x: np.ndarray, n: int) -> np.ndarray:
 def ordered(texts: list[str | None], known: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Piece by piece: where among the block's distinct n-grams the one at each byte stands; each text's bytes. Places
     ride in the low bits of a plain sort."""
-    for _, part in pieces(texts):
+    for _, part in pieces(texts, PIECE):
         g, size = grams(part)
         bits = max(1, len(g).bit_length())
         if 8 * ORDER + bits > 63:  # a very long text: places don't fit beside the n-grams
@@ -106,7 +106,7 @@ def _by_shard_and_value(g: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndar
 def _distinct(texts: list[str | None], fit: set[int]) -> tuple[np.ndarray, np.ndarray]:
     """A block's distinct n-grams, ascending; their counts in the texts of `fit`."""
     some, seen, counted = [np.zeros(0, np.int64)], [], []
-    for begin, part in pieces(texts):
+    for begin, part in pieces(texts, PIECE):
         x = np.sort(grams(part)[0])
         some.append(x[tokens64.firsts(x)])
         if chosen := [t for i, t in enumerate(part, begin) if i in fit]:
@@ -272,7 +272,7 @@ class Judged:
     def __init__(self, docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN) -> None:
         spark = docs.sparkSession
         self.docs, self.text_col = docs, text_col
-        self.blocks = blocked.store(docs, text_col, block_bytes=BLOCK_BYTES, id=(id_col, "long"), lang=(lang_col, "string"))
+        self.blocks = blocked.store(docs, text_col, id=(id_col, "long"), lang=(lang_col, "string"))
         shards = blocked.shards_for(self.blocks, SHARD_BYTES)
         held = self.blocks.select("block", F.posexplode("ids").alias("pos", "doc_id"))
         good = narrow(trusted, doc_id=(trusted.columns[0], "long")).distinct()
@@ -284,7 +284,8 @@ class Judged:
         # requests are made once for the counts and once for the answers, and never kept on disk
         requests = _requests(self.blocks, marks.select("block", "fit"), shards)
         counted = cut(_counted(requests))
-        answers = _answers(requests, probabilities(counted), shards).groupBy("block").agg(F.collect_list(F.struct("shard", "values")).alias("answers"))
+        model_table = cut(probabilities(counted))
+        answers = _answers(requests, model_table, shards).groupBy("block").agg(F.collect_list(F.struct("shard", "values")).alias("answers"))
         schema = pa.schema([("block", pa.int64()), ("pos", pa.int32()), ("doc_id", pa.int64()), ("lang", pa.string()), ("n_bytes", pa.int64()), ("loss", pa.float64()), ("word_loss", pa.float64()), ("worst", pa.float64()), ("calibrates", pa.bool_())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +302,7 @@ class Judged:
                     logp[order] = np.concatenate([np.zeros(0, np.float32), *(expand(a["values"], np.float32) for a in sorted(got, key=lambda a: a["shard"]))])
                     counts, losses, means, worst = [], [], [], []
                     at = 0
-                    for (begin, part), (back, n) in zip(pieces(texts), ordered(texts, g), strict=True):
+                    for (begin, part), (back, n) in zip(pieces(texts, PIECE), ordered(texts, g), strict=True):
                         each, end = logp[back], at + int(words_of[begin : begin + len(part)].sum())
                         more, most = words.losses(part, n, each, lambda spelling: words.log_probabilities(above[at:end], below[at:end], spelling))  # noqa: B023
                         at = end
@@ -315,7 +316,7 @@ class Judged:
 
         every = words.joined(self.blocks, told).join(spoken, "block", "left").join(answers, "block", "left").join(marks.select("block", "test"), "block", "left")
         scored = cut(every.select("block", "blob", "answers", "told", "spoken", "test").mapInArrow(run, "block long, pos int, doc_id long, lang string, n_bytes long, loss double, word_loss double, worst double, calibrates boolean"))
-        discard(*told, spoken, counted)
+        discard(*told, spoken, counted, model_table)
         sample = scored.filter("calibrates and loss is not null")
         per = sample.groupBy("lang").agg(F.percentile_approx("loss", quantile, 10_000).alias("q"))
         everything = sample.agg(F.percentile_approx("loss", quantile, 10_000).alias("q")).first()["q"]

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..runtime import cut, discard, partitions
 from . import blocks as blocked
 from . import tokens64
-from .blocks import expand, expand_ascending, pieces, range_shard, squeeze, squeeze_ascending
+from .blocks import expand, expand_ascending, expand_counts, pieces, range_shard, squeeze, squeeze_ascending, squeeze_counts
 from .common import batch_of
 
 #: Bytes of a passage, and between the beginnings of two passages of a text.
@@ -146,11 +146,11 @@ def _told(part: int, held: list) -> pa.RecordBatch:
     known, _, _, back = tokens64.places(np.concatenate(keys) << np.uint64(64 - BITS))
     known >>= np.uint64(64 - BITS)
     backs = np.split(back, np.cumsum(sizes)[:-1])
-    asks = [expand(r[2], np.uint32) for r in held]
+    asks = [expand_counts(r[2]) for r in held]
 
     def beside(n: list, w: int, t: int) -> tuple[np.ndarray, ...]:
         place = np.concatenate([np.repeat(b, x) for b, x in zip(backs, n, strict=True)])
-        counts = np.concatenate([expand(r[t], np.uint32) for r in held]).astype(np.int64)
+        counts = np.concatenate([expand_counts(r[t]) for r in held]).astype(np.int64)
         _, first, _, inverse = tokens64.places(_mix(known[place], np.concatenate([expand(r[w], np.uint64) for r in held])))
         return place, counts, place[first], np.bincount(inverse, counts, len(first)).astype(np.int64), inverse
 
@@ -162,11 +162,11 @@ def _told(part: int, held: list) -> pa.RecordBatch:
     owner_row = np.full(len(known), -1)
     backwards = trained[::-1]
     owner_row[place[backwards]] = row_of[backwards]
-    _, _, after, times, _ = beside([expand(r[5], np.uint32) for r in held], 6, 7)
+    _, _, after, times, _ = beside([expand_counts(r[5]) for r in held], 6, 7)
     figures = [continued, np.bincount(after, times, len(known)), *(np.bincount(after[m], minlength=len(known)) for m in (times == 1, times == 2, times >= 3))]
     figures = np.stack(figures).astype(np.uint64)
     asked = np.split(trigrams[inverse].astype(np.uint64), np.cumsum([int(x.sum()) for x in asks])[:-1])
-    rows = [(r[0], part, squeeze(figures[:, b].reshape(-1)), squeeze(owner_row[b] == i), squeeze(x), None) for i, (r, b, x) in enumerate(zip(held, backs, asked, strict=True))]
+    rows = [(r[0], part, squeeze_counts(figures[:, b].reshape(-1)), np.packbits(owner_row[b] == i).tobytes(), squeeze_counts(x), None) for i, (r, b, x) in enumerate(zip(held, backs, asked, strict=True))]
     rows.append((None, part, None, None, None, _levels_of(trigrams) + _levels_of(continued)))
     return batch_of(_TOLD, [*zip(*rows, strict=True)])
 
@@ -207,12 +207,12 @@ def bigrams(table: DataFrame, marks: DataFrame) -> tuple[list[DataFrame], list[i
                     cuts = np.searchsorted(shard(a.keys), np.arange(begin, end + 1))
                     sides = []
                     for place, w, n in (a.before, a.after):
-                        per = np.bincount(place, minlength=len(a.keys)).astype(np.uint32)
+                        per = np.bincount(place, minlength=len(a.keys))
                         sides.append((per, w, n, np.searchsorted(place, cuts)))
                     rows = []
                     for s in np.flatnonzero(np.diff(cuts)).tolist():
                         i, j = cuts[s], cuts[s + 1]
-                        blobs = [x for per, w, n, c in sides for x in (squeeze(per[i:j]), squeeze(w[c[s] : c[s + 1]]), squeeze(n[c[s] : c[s + 1]]))]
+                        blobs = [x for per, w, n, c in sides for x in (squeeze_counts(per[i:j]), squeeze(w[c[s] : c[s + 1]]), squeeze_counts(n[c[s] : c[s + 1]]))]
                         rows.append((begin + s, block, squeeze_ascending(a.keys[i:j]), *blobs))
                     if rows:
                         yield batch_of(_ASK, [*zip(*rows, strict=True)])
@@ -237,15 +237,10 @@ def joined(table: DataFrame, told: list[DataFrame]) -> DataFrame:
     return out.select("block", "blob", F.concat(*(F.coalesce(f"told{k}", none) for k in range(len(told)))).alias("told"))
 
 
-def _small(x: np.ndarray) -> np.ndarray:
-    """The same numbers in half the room, if they fit."""
-    return x.astype(np.uint32) if not x.size or x.max() < 1 << 32 else x
-
-
-def numbers_of(answers: list, rows: slice = slice(None)) -> np.ndarray:
-    """Rows of numbers, part by part: for bigrams and words alike continuations, weight as a context, and how many words
+def numbers_of(answers: list) -> np.ndarray:
+    """Five rows of numbers, part by part: for bigrams and words alike continuations, weight as a context, and how many words
     follow once, twice, more often."""
-    return np.concatenate([np.zeros((5, 0), np.uint32)[rows], *(_small(expand(a["numbers"], np.uint64).reshape(5, -1)[rows]) for a in answers)], 1)
+    return np.concatenate([np.zeros((5, 0), np.uint32), *(expand_counts(a["numbers"]).reshape(5, -1) for a in answers)], 1)
 
 
 def by_part(answers: list | None) -> list:
@@ -278,8 +273,10 @@ def unigrams(table: DataFrame, told: list[DataFrame]) -> tuple[DataFrame, list[i
         for b in batches:
             for block, blob, told in zip(b.column("block").to_pylist(), b.column("blob"), b.column("told"), strict=True):
                 told = by_part(told.as_py())
-                continued = numbers_of(told, slice(0, 1))[0]
-                owner = np.concatenate([np.zeros(0, bool), *(expand(a["owner"], np.bool_) for a in told)])
+                some = [expand_counts(a["numbers"]).reshape(5, -1)[0] for a in told]
+                continued = np.concatenate([np.zeros(0, np.uint32), *some])
+                owner = np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(np.frombuffer(a["owner"], np.uint8), count=len(x)) for a, x in zip(told, some, strict=True))]).astype(bool)
+                del some
                 tokens = Tokens(blocked.rows(blob).column("_text").to_pylist(), deep=False)
                 del told
                 known, word = distinct(tokens)
@@ -298,15 +295,15 @@ def unigrams(table: DataFrame, told: list[DataFrame]) -> tuple[DataFrame, list[i
                 for r, m in ((2, n == 1), (3, n == 2), (4, n >= 3)):
                     given[r] = np.bincount(begin[m], minlength=len(known))
                 cuts = np.searchsorted(range_shard(known, shards, BITS), np.arange(shards + 1))
-                rows = [(s, block, squeeze_ascending(known[i:j]), squeeze(given[:, i:j].reshape(-1))) for s, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if i < j]
+                rows = [(s, block, squeeze_ascending(known[i:j]), squeeze_counts(given[:, i:j].reshape(-1))) for s, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if i < j]
                 yield batch_of(_WORD, [*zip(*rows, strict=True)])
 
     def spoken(part: int, held: list) -> pa.RecordBatch:
         keys = [expand_ascending(r[1]) for r in held]
         known, _, _, back = tokens64.places(np.concatenate(keys) << np.uint64(64 - BITS))
-        given = np.concatenate([expand(r[2], np.uint64).reshape(5, -1) for r in held], 1)
+        given = np.concatenate([expand_counts(r[2]).reshape(5, -1) for r in held], 1)
         sums = np.stack([np.bincount(back, row, len(known)) for row in given]).astype(np.uint64)
-        rows = [(r[0], part, squeeze(sums[:, b].reshape(-1)), None) for r, b in zip(held, np.split(back, np.cumsum([len(k) for k in keys])[:-1]), strict=True)]
+        rows = [(r[0], part, squeeze_counts(sums[:, b].reshape(-1)), None) for r, b in zip(held, np.split(back, np.cumsum([len(k) for k in keys])[:-1]), strict=True)]
         rows.append((None, part, None, [*_levels_of(sums[0]), int((sums[0] > 0).sum()), int(sums[0].sum())]))
         return batch_of(_SPOKEN, [*zip(*rows, strict=True)])
 
@@ -342,7 +339,7 @@ def mixture(model: Model, texts: list[str | None], told: list, spoken: list) ->
     asked = Asked(tokens, np.zeros(len(tokens.counts), bool), _everything)
     told = by_part(told)
     bigrams_, unigrams_ = numbers_of(told), numbers_of(by_part(spoken))
-    trigrams = np.concatenate([np.zeros(0, np.uint32), *(_small(expand(a["trigrams"], np.uint64)) for a in told)])
+    trigrams = np.concatenate([np.zeros(0, np.uint32), *(expand_counts(a["trigrams"]) for a in told)])
     m, first, counts = model, tokens.first, tokens.counts
     _, word = distinct(tokens)
     place, trigram, start = asked.place, asked.trigram, asked.start
