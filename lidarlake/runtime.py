@@ -44,7 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: While a table is written that cuts the lineage: its shuffle files go when it is done, and Arrow batches stay small.
-_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 @contextmanager
