@@ -32,7 +32,7 @@ from ..runtime import cut, discard, partitions
 from . import blocks as blocked
 from . import tokens64, words
 from .blocks import expand, expand_ascending, pieces, squeeze, squeeze_ascending
-from .common import batch_of, narrow
+from .common import batch_of, lean, narrow
 
 ORDER = 5  # bytes of an n-gram; up to 7 fit a signed 64-bit number
 QUANTILE, MARGIN = 0.98, 0.02
@@ -41,6 +41,8 @@ CALIBRATE = 5
 LEAST = 50
 #: Text characters that are worked on at a time.
 PIECE = 1 << 20
+#: Groups of blocks that are scored one after the other, so that only one group's answers of bytes travel at a time.
+ROUNDS = 3
 #: Text bytes whose n-grams a shard answers for.
 SHARD_BYTES = 32 << 20
 
@@ -140,7 +142,7 @@ def _requests(table: DataFrame, marks: DataFrame, shards: int) -> DataFrame:
                 if rows:
                     yield batch_of(_REQUEST, [*zip(*rows, strict=True)])
 
-    return table.select("block", "blob").join(marks, "block", "left").select("block", "blob", "fit").mapInArrow(run, _REQUEST_SQL)
+    return table.select("block", "blob").join(marks, "block", "left").select("block", "blob", "fit").mapInArrow(lean(run), _REQUEST_SQL)
 
 
 def _by_shard(df: DataFrame) -> DataFrame:
@@ -172,7 +174,7 @@ def _counted(requests: DataFrame) -> DataFrame:
         if keys:
             yield out()
 
-    return _by_shard(requests).mapInArrow(run, "g long, c long")
+    return _by_shard(requests).mapInArrow(lean(run), "g long, c long")
 
 
 def _rounded(x: np.ndarray) -> np.ndarray:
@@ -215,8 +217,8 @@ def _answers(requests: DataFrame, probabilities: DataFrame, shards: int) -> Data
             if rows:
                 yield batch_of(schema, [*zip(*rows, strict=True)])
 
-    table = probabilities.mapInArrow(pack, _REQUEST_SQL)
-    return _by_shard(requests.withColumn("values", F.lit(None).cast("binary")).unionByName(table)).mapInArrow(run, "block long, shard int, values binary")
+    table = probabilities.mapInArrow(lean(pack), _REQUEST_SQL)
+    return _by_shard(requests.withColumn("values", F.lit(None).cast("binary")).unionByName(table)).mapInArrow(lean(run), "block long, shard int, values binary")
 
 
 # --- the model ----------------------------------------------------------------------------------------------------
@@ -285,7 +287,6 @@ class Judged:
         requests = _requests(self.blocks, marks.select("block", "fit"), shards)
         counted = cut(_counted(requests))
         model_table = cut(probabilities(counted))
-        answers = _answers(requests, model_table, shards).groupBy("block").agg(F.collect_list(F.struct("shard", "values")).alias("answers"))
         schema = pa.schema([("block", pa.int64()), ("pos", pa.int32()), ("doc_id", pa.int64()), ("lang", pa.string()), ("n_bytes", pa.int64()), ("loss", pa.float64()), ("word_loss", pa.float64()), ("worst", pa.float64()), ("calibrates", pa.bool_())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,8 +315,16 @@ class Judged:
                         losses += [float(total[e - k] - total[e]) / k if k else None for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
                     yield batch_of(schema, [pa.repeat(b.column("block")[k], len(texts)), np.arange(len(texts), dtype=np.int32), t.column("_id").combine_chunks(), t.column("_lang").combine_chunks(), counts, losses, means, worst, [i in test for i in range(len(texts))]])
 
-        every = words.joined(self.blocks, told).join(spoken, "block", "left").join(answers, "block", "left").join(marks.select("block", "test"), "block", "left")
-        scored = cut(every.select("block", "blob", "answers", "told", "spoken", "test").mapInArrow(run, "block long, pos int, doc_id long, lang string, n_bytes long, loss double, word_loss double, worst double, calibrates boolean"))
+        parts = []
+        for k in range(ROUNDS):
+            some = self.blocks.filter(F.pmod(F.xxhash64("block"), F.lit(ROUNDS)) == k)
+            asked = _requests(some, marks.select("block", "fit"), shards)
+            answers = _answers(asked, model_table, shards).groupBy("block").agg(F.collect_list(F.struct("shard", "values")).alias("answers"))
+            every = words.joined(some, told).join(spoken, "block", "left").join(answers, "block", "left").join(marks.select("block", "test"), "block", "left")
+            parts.append(cut(every.select("block", "blob", "answers", "told", "spoken", "test").mapInArrow(lean(run), "block long, pos int, doc_id long, lang string, n_bytes long, loss double, word_loss double, worst double, calibrates boolean")))
+        scored = parts[0]
+        for more in parts[1:]:
+            scored = scored.unionByName(more)
         discard(*told, spoken, counted, model_table)
         sample = scored.filter("calibrates and loss is not null")
         per = sample.groupBy("lang").agg(F.percentile_approx("loss", quantile, 10_000).alias("q"))

@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut, discard, partitions
+from ..runtime import partitions
 from . import blocks as blocked
 from . import tokens64
 from .blocks import expand, expand_ascending, expand_counts, pieces, range_shard, squeeze, squeeze_ascending, squeeze_counts
-from .common import batch_of
+from .common import batch_of, lean
 
 #: Bytes of a passage, and between the beginnings of two passages of a text.
 PASSAGE, STEP = 512, 64
@@ -139,6 +139,21 @@ def _levels_of(n: np.ndarray) -> list[int]:
     return [int((n == k).sum()) for k in (1, 2, 3, 4)]
 
 
+def pack(figures: np.ndarray) -> bytes:
+    """Numbers of bigrams or words in five rows: continuations, weight as a context, and how many words follow once, twice,
+    more often. Most have as many that follow once as continuations, and no weight beyond 1, 2 and 3 for each of those."""
+    n, total, once, twice, more = figures.astype(np.int64)
+    apart = once - n
+    return squeeze_counts(np.concatenate((n, apart << 1 ^ apart >> 63, twice, more, total - once - 2 * twice - 3 * more)))
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    n, apart, twice, more, beyond = expand_counts(blob).astype(np.int64).reshape(5, -1)
+    once = n + (apart >> 1 ^ -(apart & 1))
+    out = np.stack((n, beyond + once + 2 * twice + 3 * more, once, twice, more))
+    return out.astype(np.uint32 if not out.size or out.max() < 1 << 32 else np.uint64)
+
+
 def _told(part: int, held: list) -> pa.RecordBatch:
     """The answers of one shard, and how many of its trained trigrams and bigrams have the counts 1 to 4."""
     keys = [expand_ascending(r[1]) for r in held]
@@ -164,9 +179,11 @@ def _told(part: int, held: list) -> pa.RecordBatch:
     owner_row[place[backwards]] = row_of[backwards]
     _, _, after, times, _ = beside([expand_counts(r[5]) for r in held], 6, 7)
     figures = [continued, np.bincount(after, times, len(known)), *(np.bincount(after[m], minlength=len(known)) for m in (times == 1, times == 2, times >= 3))]
-    figures = np.stack(figures).astype(np.uint64)
-    asked = np.split(trigrams[inverse].astype(np.uint64), np.cumsum([int(x.sum()) for x in asks])[:-1])
-    rows = [(r[0], part, squeeze_counts(figures[:, b].reshape(-1)), np.packbits(owner_row[b] == i).tobytes(), squeeze_counts(x), None) for i, (r, b, x) in enumerate(zip(held, backs, asked, strict=True))]
+    figures = np.stack(figures)
+    # of bigrams that training text does not have, nothing but that is told
+    ends = np.cumsum([int(x.sum()) for x in asks])[:-1]
+    seen, asked = np.split(continued[place] > 0, ends), np.split(trigrams[inverse], ends)
+    rows = [(r[0], part, pack(figures[:, b]), np.packbits(owner_row[b][continued[b] > 0] == i).tobytes(), squeeze_counts(x[s]), None) for i, (r, b, x, s) in enumerate(zip(held, backs, asked, seen, strict=True))]
     rows.append((None, part, None, None, None, _levels_of(trigrams) + _levels_of(continued)))
     return batch_of(_TOLD, [*zip(*rows, strict=True)])
 
@@ -217,12 +234,10 @@ def bigrams(table: DataFrame, marks: DataFrame) -> tuple[list[DataFrame], list[i
                     if rows:
                         yield batch_of(_ASK, [*zip(*rows, strict=True)])
 
-        asked = table.select("block", "blob").join(marks, "block", "left").select("block", "blob", "fit").mapInArrow(ask, _ASK_SQL)
+        asked = table.select("block", "blob").join(marks, "block", "left").select("block", "blob", "fit").mapInArrow(lean(ask), _ASK_SQL)
         dealt = asked.repartition(partitions(spark), "part").sortWithinPartitions("part", "block")
-        told = cut(dealt.mapInArrow(lambda batches: _grouped(batches, _told), _TOLD_SQL))
-        stats[:] = map(sum, zip(stats, sums(told, 8), strict=True))
-        out = blocked.by_block(told.filter("block is not null"), f"told{number}", "part", "numbers", "owner", "trigrams")
-        discard(told)
+        out = blocked.by_block(dealt.mapInArrow(lean(lambda batches: _grouped(batches, _told)), _TOLD_SQL), f"told{number}", "part", "numbers", "owner", "trigrams", "stats")
+        stats[:] = map(sum, zip(stats, sums(out, f"told{number}", 8), strict=True))
         return out
 
     return [one(k) for k in range(PASSES)], stats
@@ -238,9 +253,7 @@ def joined(table: DataFrame, told: list[DataFrame]) -> DataFrame:
 
 
 def numbers_of(answers: list) -> np.ndarray:
-    """Five rows of numbers, part by part: for bigrams and words alike continuations, weight as a context, and how many words
-    follow once, twice, more often."""
-    return np.concatenate([np.zeros((5, 0), np.uint32), *(expand_counts(a["numbers"]).reshape(5, -1) for a in answers)], 1)
+    return np.concatenate([np.zeros((5, 0), np.uint32), *(unpack(a["numbers"]) for a in answers)], 1)
 
 
 def by_part(answers: list | None) -> list:
@@ -273,9 +286,10 @@ def unigrams(table: DataFrame, told: list[DataFrame]) -> tuple[DataFrame, list[i
         for b in batches:
             for block, blob, told in zip(b.column("block").to_pylist(), b.column("blob"), b.column("told"), strict=True):
                 told = by_part(told.as_py())
-                some = [expand_counts(a["numbers"]).reshape(5, -1)[0] for a in told]
+                some = [unpack(a["numbers"])[0] for a in told]
                 continued = np.concatenate([np.zeros(0, np.uint32), *some])
-                owner = np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(np.frombuffer(a["owner"], np.uint8), count=len(x)) for a, x in zip(told, some, strict=True))]).astype(bool)
+                owner = np.zeros(len(continued), bool)
+                owner[continued > 0] = np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(np.frombuffer(a["owner"], np.uint8), count=np.count_nonzero(x)) for a, x in zip(told, some, strict=True))])
                 del some
                 tokens = Tokens(blocked.rows(blob).column("_text").to_pylist(), deep=False)
                 del told
@@ -295,30 +309,27 @@ def unigrams(table: DataFrame, told: list[DataFrame]) -> tuple[DataFrame, list[i
                 for r, m in ((2, n == 1), (3, n == 2), (4, n >= 3)):
                     given[r] = np.bincount(begin[m], minlength=len(known))
                 cuts = np.searchsorted(range_shard(known, shards, BITS), np.arange(shards + 1))
-                rows = [(s, block, squeeze_ascending(known[i:j]), squeeze_counts(given[:, i:j].reshape(-1))) for s, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if i < j]
+                rows = [(s, block, squeeze_ascending(known[i:j]), pack(given[:, i:j])) for s, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if i < j]
                 yield batch_of(_WORD, [*zip(*rows, strict=True)])
 
     def spoken(part: int, held: list) -> pa.RecordBatch:
         keys = [expand_ascending(r[1]) for r in held]
         known, _, _, back = tokens64.places(np.concatenate(keys) << np.uint64(64 - BITS))
-        given = np.concatenate([expand_counts(r[2]).reshape(5, -1) for r in held], 1)
+        given = np.concatenate([unpack(r[2]) for r in held], 1)
         sums = np.stack([np.bincount(back, row, len(known)) for row in given]).astype(np.uint64)
-        rows = [(r[0], part, squeeze_counts(sums[:, b].reshape(-1)), None) for r, b in zip(held, np.split(back, np.cumsum([len(k) for k in keys])[:-1]), strict=True)]
+        rows = [(r[0], part, pack(sums[:, b]), None) for r, b in zip(held, np.split(back, np.cumsum([len(k) for k in keys])[:-1]), strict=True)]
         rows.append((None, part, None, [*_levels_of(sums[0]), int((sums[0] > 0).sum()), int(sums[0].sum())]))
         return batch_of(_SPOKEN, [*zip(*rows, strict=True)])
 
-    asked = joined(table, told).mapInArrow(ask, "part int, block long, words binary, given binary")
+    asked = joined(table, told).mapInArrow(lean(ask), "part int, block long, words binary, given binary")
     dealt = asked.repartition(partitions(spark), "part").sortWithinPartitions("part", "block")
-    said = cut(dealt.mapInArrow(lambda batches: _grouped(batches, spoken), "block long, part int, numbers binary, stats array<long>"))
-    stats = sums(said, 6)
-    out = blocked.by_block(said.filter("block is not null"), "spoken", "part", "numbers")
-    discard(said)
-    return out, stats
+    out = blocked.by_block(dealt.mapInArrow(lean(lambda batches: _grouped(batches, spoken)), "block long, part int, numbers binary, stats array<long>"), "spoken", "part", "numbers", "stats")
+    return out, sums(out, "spoken", 6)
 
 
-def sums(told: DataFrame, n: int) -> list[int]:
-    """The stats of all shards together."""
-    row = told.filter("stats is not null").agg(*(F.sum(F.col("stats")[i]) for i in range(n))).first()
+def sums(told: DataFrame, name: str, n: int) -> list[int]:
+    """The stats of all shards together; they come without a block."""
+    row = told.filter("block is null").select(F.explode(name).alias("x")).agg(*(F.sum(F.col("x.stats")[i]) for i in range(n))).first()
     return [x or 0 for x in row]
 
 
@@ -339,7 +350,8 @@ def mixture(model: Model, texts: list[str | None], told: list, spoken: list) ->
     asked = Asked(tokens, np.zeros(len(tokens.counts), bool), _everything)
     told = by_part(told)
     bigrams_, unigrams_ = numbers_of(told), numbers_of(by_part(spoken))
-    trigrams = np.concatenate([np.zeros(0, np.uint32), *(expand_counts(a["trigrams"]) for a in told)])
+    trigrams = np.zeros(len(asked.before[0]), np.int64)
+    trigrams[bigrams_[0, asked.before[0]] > 0] = np.concatenate([np.zeros(0, np.uint32), *(expand_counts(a["trigrams"]) for a in told)])
     m, first, counts = model, tokens.first, tokens.counts
     _, word = distinct(tokens)
     place, trigram, start = asked.place, asked.trigram, asked.start
