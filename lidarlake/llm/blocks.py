@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import TABLES, partitions, scratch, writing
-from .common import PIECE_BYTES, batch_of, col
+from .common import PIECE_BYTES, batch_of, col, lean
 
 #: A block closes at so many bytes, all columns counted, or rows.
 BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 1 << 14
@@ -85,7 +85,7 @@ def store(docs: DataFrame, text_col: str, rest: bool = True, **own: tuple[str, s
         if held:
             yield out()
 
-    return _saved(packed.mapInArrow(run, "block long, ids array<long>, size long, blob binary"))
+    return _saved(packed.mapInArrow(lean(run), "block long, ids array<long>, size long, blob binary"))
 
 
 def taken(blocks: DataFrame, places: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
@@ -111,7 +111,7 @@ def taken(blocks: DataFrame, places: DataFrame, docs: DataFrame, text_col: str)
                     for at in range(0, len(again), 1024):
                         yield from t.take(pa.array(again[at : at + 1024])).combine_chunks().to_batches()
 
-    return blocks.select("block", "blob").join(per, "block").select("blob", "keep").mapInArrow(run, docs.schema)
+    return blocks.select("block", "blob").join(per, "block").select("blob", "keep").mapInArrow(lean(run), docs.schema)
 
 
 def pieces(texts: list[str | None], budget: int = PIECE_BYTES) -> Iterator[tuple[int, list[str | None]]]:

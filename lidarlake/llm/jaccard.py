@@ -41,7 +41,7 @@ from ..runtime import cut, discard, partitions
 from . import blocks as blocked
 from . import tokens64
 from .blocks import expand, expand_ascending, pieces, range_shard, squeeze, squeeze_ascending
-from .common import batch_of
+from .common import batch_of, lean
 from .components import components
 
 WORDS = 5
@@ -147,9 +147,9 @@ def _levels(table: DataFrame, shards: int) -> DataFrame:
         if held:
             yield out()
 
-    asked = table.select("block", "blob").mapInArrow(ask, "shard int, block long, keys binary, counts binary")
+    asked = table.select("block", "blob").mapInArrow(lean(ask), "shard int, block long, keys binary, counts binary")
     dealt = asked.repartition(partitions(table.sparkSession), "shard").sortWithinPartitions("shard")
-    answers = dealt.mapInArrow(count, "block long, shard int, levels binary")
+    answers = dealt.mapInArrow(lean(count), "block long, shard int, levels binary")
     return answers.groupBy("block").agg(F.collect_list(F.struct("shard", "levels")).alias("answers"))
 
 
@@ -235,7 +235,7 @@ def _made(table: DataFrame, levels: DataFrame, shards: int) -> DataFrame:
             out.append((s, keys[own].tobytes(), squeeze(packed[own]), squeeze_ascending(h[part]), squeeze(back.astype(np.uint16)), squeeze(at[part].astype(np.uint32))))
         return batch_of(_MADE, [pa.nulls(len(out), f.type) for f in list(_MADE)[:7]] + [*zip(*out, strict=True)])
 
-    return table.select("block", "blob").join(levels, "block", "left").select("block", "blob", "answers").mapInArrow(run, _MADE_SQL)
+    return table.select("block", "blob").join(levels, "block", "left").select("block", "blob", "answers").mapInArrow(lean(run), _MADE_SQL)
 
 
 def _compatible(na: np.ndarray, ia: np.ndarray, nb: np.ndarray, ib: np.ndarray) -> np.ndarray:
@@ -308,7 +308,7 @@ def _lists(entries: DataFrame) -> DataFrame:
         if held:
             yield from shard_rows(now, held)
 
-    return entries.repartition(partitions(entries.sparkSession), "shard").sortWithinPartitions("shard").mapInArrow(run, _FOUND_SQL)
+    return entries.repartition(partitions(entries.sparkSession), "shard").sortWithinPartitions("shard").mapInArrow(lean(run), _FOUND_SQL)
 
 
 _KEYED = pa.schema([("shard", pa.int32()), ("i", pa.int32()), ("key", pa.binary())])
@@ -325,7 +325,7 @@ def _members(held: DataFrame) -> DataFrame:
                     part = range(at, min(n, at + 10_000))
                     yield batch_of(_KEYED, [[shard] * len(part), list(part), [k[16 * i : 16 * i + 16] for i in part]])
 
-    return held.select("shard", "keys").mapInArrow(run, "shard int, i int, key binary")
+    return held.select("shard", "keys").mapInArrow(lean(run), "shard int, i int, key binary")
 
 
 _LIST_COLUMNS = ("keys", "sizes", "lists", "docs", "at")
@@ -366,7 +366,7 @@ def _mixed(found: DataFrame, roots: DataFrame) -> DataFrame:
                     names = np.frombuffer(keys, "V16")[own].tobytes()
                     yield batch_of(_LISTS, [[shard], [names], [squeeze(n[own])], [squeeze(lists[mixed].astype(np.uint32))], [squeeze(back.astype(np.uint32))], [squeeze(at[mixed].astype(np.uint32))], [squeeze(comp[own].astype(np.uint32))]])
 
-    return _beside(known, held.select("shard", *_LIST_COLUMNS)).mapInArrow(run, _LISTS_SQL)
+    return _beside(known, held.select("shard", *_LIST_COLUMNS)).mapInArrow(lean(run), _LISTS_SQL)
 
 
 _PAIR = pa.schema([("a", pa.binary()), ("b", pa.binary())])
@@ -400,7 +400,7 @@ def _across(mixed: DataFrame, sketches: DataFrame) -> DataFrame:
                 if seen:
                     yield batch_of(_PAIR, [[min(names[x], names[y]) for x, y in seen], [max(names[x], names[y]) for x, y in seen]])
 
-    return _beside(known, mixed).mapInArrow(run, "a binary, b binary")
+    return _beside(known, mixed).mapInArrow(lean(run), "a binary, b binary")
 
 
 def _passing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -414,7 +414,7 @@ def _passing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
             if ok:
                 yield batch_of(schema, [*zip(*ok, strict=True)])
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_sketch", "a_n", "b_sketch", "b_n").mapInArrow(run, "u binary, v binary")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_sketch", "a_n", "b_sketch", "b_n").mapInArrow(lean(run), "u binary, v binary")
 
 
 # --- verification -------------------------------------------------------------------------------------------------
@@ -565,8 +565,8 @@ def _links(table: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
                 for _ in others():
                     pass
 
-    sent = table.select("block", "blob").join(wanted, "block").select("blob", "wanted").mapInArrow(send, "root binary, salt int, kind int, key binary, hashes binary, times long")
-    return sent.repartition(partitions(table.sparkSession), "root", "salt").sortWithinPartitions("root", "salt", "kind").mapInArrow(run, "u binary, v binary, n long")
+    sent = table.select("block", "blob").join(wanted, "block").select("blob", "wanted").mapInArrow(lean(send), "root binary, salt int, kind int, key binary, hashes binary, times long")
+    return sent.repartition(partitions(table.sparkSession), "root", "salt").sortWithinPartitions("root", "salt", "kind").mapInArrow(lean(run), "u binary, v binary, n long")
 
 
 class _Linked:

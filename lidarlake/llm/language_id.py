@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, narrow, pieces
+from .common import batch_of, lean, narrow, pieces
 
 HIDDEN, EMBED = 24, 12
 #: Bytes of a core, of the context that is read on either side, and of a training window.
@@ -275,4 +275,4 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
             held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 0 for i in ids]
             yield batch_of(schema, [b.column("doc_id"), held, preds, scores])
 
-    return narrow(docs, doc_id=(id_col, "long"), text=(text_col, "string")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return narrow(docs, doc_id=(id_col, "long"), text=(text_col, "string")).mapInArrow(lean(run), "doc_id long, held_out boolean, lang_pred string, score double")

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batch_of, narrow, pieces
+from .common import batch_of, lean, narrow, pieces
 
 PACKET, SYNC = 188, 0x47
 PAT_PID, PMT_PID, DATA_PID, PROGRAM = 0x0000, 0x1000, 0x0100, 1
@@ -211,7 +211,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit
             made = [padded(t) for t in b.column("text").to_pylist()]
             yield batch_of(_MEDIA, [b.column("doc_id"), [n for n, _ in made], [mux(p, unit_bytes, rap_every) for _, p in made]])
 
-    return narrow(docs, doc_id=(id_col, "long"), text=(text_col, "string")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return narrow(docs, doc_id=(id_col, "long"), text=(text_col, "string")).mapInArrow(lean(run), "doc_id long, n_bytes long, media binary")
 
 
 def decode(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -222,7 +222,7 @@ def decode(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -
             read = [m and demux(m) for m in b.column("media").to_pylist()]
             yield batch_of(_DECODED, [b.column("doc_id"), *([r and r[k] for r in read] for k in range(5))])
 
-    return narrow(media, doc_id=(id_col, "long"), media=(media_col, "binary")).mapInArrow(run, "doc_id long, payload binary, pts array<long>, random_access array<int>, packets int, continuity_errors int")
+    return narrow(media, doc_id=(id_col, "long"), media=(media_col, "binary")).mapInArrow(lean(run), "doc_id long, payload binary, pts array<long>, random_access array<int>, packets int, continuity_errors int")
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,4 +241,4 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 rows.append((len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature))
             yield batch_of(_DIGEST, [b.column("doc_id"), b.column("n_bytes"), *zip(*rows, strict=True)])
 
-    return encode(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return encode(docs, id_col, text_col).mapInArrow(lean(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut, partitions
 from . import blocks as blocked
-from .common import batch_of, narrow, pieces
+from .common import batch_of, lean, narrow, pieces
 
 WEIGHTS, TOTAL_SHARE, CAP = (3, 1, 2), 1.5, 2.0
 BUCKET_ROWS, FAN_IN = 16384, 64
@@ -66,7 +66,7 @@ def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         for b in pieces(batches, budget=8 << 20):
             yield batch_of(schema, [b.column("doc_id"), b.column("source"), count_words(b.column("text"))])
 
-    return narrow(docs, doc_id=(id_col, "long"), source=(source_col, "string"), text=(text_col, "string")).mapInArrow(run, "doc_id long, source string, size long")
+    return narrow(docs, doc_id=(id_col, "long"), source=(source_col, "string"), text=(text_col, "string")).mapInArrow(lean(run), "doc_id long, source string, size long")
 
 
 def targets(totals: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, share: float = TOTAL_SHARE, cap: float = CAP) -> dict[str | None, float]:
@@ -233,7 +233,7 @@ def repeat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
                 size = np.concatenate([np.zeros(0, np.int64), *(count_words(c) for c in t.column("_text").chunks)])
                 yield batch_of(schema, [np.full(len(t), block), np.arange(len(t), dtype=np.int32), t.column("_id").combine_chunks(), t.column("_source").combine_chunks(), size])
 
-    sized = cut(table.select("block", "blob").mapInArrow(run, "block long, pos int, doc_id long, source string, size long"))
+    sized = cut(table.select("block", "blob").mapInArrow(lean(run), "block long, pos int, doc_id long, source string, size long"))
     names = ("doc_id", "source", "size")
     entries = cut(_rounded(sized.select(*names), seed, "round", BUCKET_ROWS, FAN_IN).select(*names, "n", "all_copies"))
     mine = [F.col(f"e.{c}").eqNullSafe(F.col(f"r.{c}")) for c in names]

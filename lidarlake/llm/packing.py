@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, narrow, pieces
+from .common import batch_of, lean, narrow, pieces
 from .tokens import default_path, encoder
 
 CAPACITY, CLOSING_ID = 1024, 0
@@ -109,11 +109,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
                     at += n
             if rows:
                 yield batch_of(schema, [*zip(*rows, strict=True)])
+        encoder(path).rest()
         if rows := list(bins.rest()):
             yield batch_of(schema, [*zip(*rows, strict=True)])
 
     kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids + ", sequence_id long, offset long"
-    return narrow(docs, doc_id=(id_col, "long"), text=(text_col, "string")).mapInArrow(run, kinds)
+    return narrow(docs, doc_id=(id_col, "long"), text=(text_col, "string")).mapInArrow(lean(run), kinds)
 
 
 def fill(packed: DataFrame) -> DataFrame:

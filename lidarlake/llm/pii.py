@@ -20,7 +20,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batch_of, narrow, pieces
+from .common import batch_of, lean, narrow, pieces
 
 # The alphabets of the base patterns, and the kinds in their order.
 _ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
@@ -239,7 +239,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             if rows:
                 yield batch_of(_SPANS, [*zip(*rows, strict=True)])
 
-    return narrow(docs, doc_id=(id_col, "long"), text=(text_col, "string")).mapInArrow(run, _OUT)
+    return narrow(docs, doc_id=(id_col, "long"), text=(text_col, "string")).mapInArrow(lean(run), _OUT)
 
 
 def redact(text: str | None) -> str | None:
@@ -266,4 +266,4 @@ def summaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 rows.append((*(sum(x[0] == k for x in base) for k in KINDS[:4]), hashlib.sha256(joined(base).encode()).hexdigest(), joined(found)))
             yield batch_of(_DIGEST, [b.column("doc_id"), *zip(*rows, strict=True)])
 
-    return narrow(docs, doc_id=(id_col, "long"), text=(text_col, "string")).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return narrow(docs, doc_id=(id_col, "long"), text=(text_col, "string")).mapInArrow(lean(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")

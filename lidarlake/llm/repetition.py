@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batch_of, narrow, pieces
+from .common import batch_of, lean, narrow, pieces
 
 #: Largest share of characters inside duplicated n-grams, by n (public web-text filtering thresholds).
 MAX_COVERAGE = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -180,4 +180,4 @@ def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 rows.append((n, chars, symbols, lines, repeats, *verdict(n, chars, symbols, repeats, cover, line_cover), line_cover, *cover))
             yield batch_of(_SCHEMA, [b.column("doc_id"), *zip(*rows, strict=True)])
 
-    return narrow(docs, doc_id=(id_col, "long"), text=(text_col, "string")).mapInArrow(run, _OUT)
+    return narrow(docs, doc_id=(id_col, "long"), text=(text_col, "string")).mapInArrow(lean(run), _OUT)

@@ -12,7 +12,7 @@ import re
 import struct
 import unicodedata
 
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
 
 
 def default_path() -> str:
@@ -44,20 +44,47 @@ class Encoder:
         self.far = re.compile("[^\\x00-ɏ]")
         self.loose = re.compile(f" [{space}]|[{space}] ")
         self.letters = _byte_letters()
-        self.chunks: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        # ids of what followed a space; what came once waits in `fresh`
+        self.known: dict[str, bytes] = {}
+        self.shorts: dict[str, bytes] = {}
+        self.fresh: dict[str, bytes] = {}
 
-    def _part(self, piece: str) -> bytes:
-        found = self.parts.get(piece)
+    def _ids(self, piece: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, piece.encode())))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _chunk(self, chunk: str) -> bytes:
+        """A chunk's pre-tokens, one after the other; those that begin with a space may be known as chunks."""
+        pieces = self.pre.findall(chunk)
+        if len(pieces) == 1:
+            return self._ids(chunk)
+        return b"".join(self._after_space(p[1:]) if len(p) > 1 and p[0] == " " else self._ids(p) if len(p) > 2 else self._short(p) for p in pieces)
+
+    def _short(self, piece: str) -> bytes:
+        found = self.shorts.get(piece)
         if found is None:
-            if len(self.parts) >= CACHE_ENTRIES:
-                self.parts.clear()
-            ids = [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, piece.encode())))]
-            found = self.parts[piece] = struct.pack(f"<{len(ids)}I", *ids)
+            found = self.shorts[piece] = self._ids(piece)  # pre-tokens of two characters at most below U+0250: few
         return found
 
-    def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self._part, self.pre.findall(chunk)))
+    def _after_space(self, w: str) -> bytes:
+        found = self.known.get(w)
+        if found is None:
+            found = self.fresh.pop(w, None)
+            if found is not None:
+                if len(self.known) >= CACHE_ENTRIES:
+                    self.known.clear()
+                self.known[w] = found
+            else:
+                found = self._chunk(" " + w)
+                if len(w) < 40:
+                    if len(self.fresh) >= CACHE_ENTRIES:
+                        self.fresh.clear()
+                    self.fresh[w] = found
+        return found
+
+    def rest(self) -> None:
+        """At the end of a task: what came once is forgotten."""
+        self.fresh.clear()
 
     def encode(self, text: str) -> bytes:
         """The ids, each as a little-endian unsigned 32-bit number."""
@@ -65,17 +92,9 @@ class Encoder:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
         first, *rest = text.split(" ")
-        chunks = self.chunks
-        if len(chunks) >= CACHE_ENTRIES:
-            chunks.clear()
+        known, after = self.known, self._after_space
         out = [self._chunk(first)] if first else []
-        for w in rest:
-            found = chunks.get(w)
-            if found is None:
-                found = self._chunk(" " + w)
-                if len(w) < 40:
-                    chunks[w] = found
-            out.append(found)
+        out += [known.get(w) or after(w) for w in rest]
         return b"".join(out)
 
 
