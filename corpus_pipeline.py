@@ -1,8 +1,13 @@
 """A training corpus from raw documents: score, deduplicate, redact, mix, pack.
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
-and read again as the next one's docs. All but the last return the columns of documents. Rows with nulls, empty and
-repeated rows follow the rules of each stage's operator; an empty table stays empty.
+and read again as the next one's docs. All but the last return the columns of documents.
+
+Null and empty texts have no perplexity and go in the first stage. A null language is a language, a null source a source of
+its own. Rows without an id, and rows that share one, are documents like all others. Of near duplicates, exact copies and
+repeated rows the one with the least id stays; of several with that id the first, in the order of blocks; rows without an
+id stay only where no other does. Texts of any length are taken whole. Other columns, whatever their names, go along until
+the documents are packed. Empty tables give empty tables.
 """
 
 from __future__ import annotations
