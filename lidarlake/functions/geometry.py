@@ -34,3 +34,15 @@ def inside(x: Column, y: Column, edges: Column) -> Column:
 
     bit = lambda c, n: F.when(c, n).otherwise(0)
     return F.aggregate(edges, F.lit(0), lambda acc, e: acc.bitwiseXOR(bit(crosses(e), 1)).bitwiseOR(bit(touches(e), 2))) > 0
+
+
+def inside_literal(x: Column, y: Column, edges: list[tuple[float, float, float, float]]) -> Column:
+    """The same for edges that are known when the plan is made: plain comparisons, which are compiled with the scan."""
+    crossings, touches = F.lit(0), F.lit(False)
+    for x1, y1, x2, y2 in edges:
+        if y1 != y2:
+            at = F.lit(x2 - x1) * (y - y1) / F.lit(y2 - y1) + x1
+            crossings = crossings + F.when(((F.lit(y1) > y) != (F.lit(y2) > y)) & (x < at), 1).otherwise(0)
+        on_line = (x - x1) * F.lit(y2 - y1) == (y - y1) * F.lit(x2 - x1)
+        touches = touches | (y.between(min(y1, y2), max(y1, y2)) & x.between(min(x1, x2), max(x1, x2)) & on_line)
+    return (crossings % 2 == 1) | touches

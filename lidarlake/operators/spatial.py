@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import inside
+from ..functions.geometry import inside, inside_literal
 from ..plans.products import SRID, Product
 from ..plans.validate import check_columns
 from ..runtime import cut
@@ -14,6 +14,8 @@ from .clip import NothingLeft, clip_box
 #: A layer up to this many polygons and edges is broadcast for a nested-loop join (about 3 MB); a larger one is joined
 #: by tiles.
 BROADCAST_POLYGONS, BROADCAST_EDGES = 1_000, 100_000
+#: A layer of so many edges in all becomes part of the plan.
+LITERAL_EDGES = 64
 
 
 def check_layer(layer: DataFrame, split_by: str | None) -> None:
@@ -40,7 +42,9 @@ def clip_polygons(table: DataFrame, product: Product, layer: DataFrame, split_by
     x, y = (F.col(f"row.{c}") for c in product.points[0])
     points = clip_box(table, product, *box[:4]).select(F.struct(*table.columns).alias("row"))
     shapes = layer.select(F.col(split_by).alias("poly_id") if split_by else F.lit(0).alias("poly_id"), "bx0", "bx1", "by0", "by1", "edges")
-    if tile is None and box[4] <= BROADCAST_POLYGONS and box[5] <= BROADCAST_EDGES:
+    if tile is None and box[5] <= LITERAL_EDGES and box[4] <= LITERAL_EDGES:
+        joined = points.select("row", F.inline(_held_by(x, y, shapes)))
+    elif tile is None and box[4] <= BROADCAST_POLYGONS and box[5] <= BROADCAST_EDGES:
         near = x.between(F.col("bx0"), F.col("bx1")) & y.between(F.col("by0"), F.col("by1"))
         joined = points.join(F.broadcast(shapes), near & inside(x, y, F.col("edges")))
     else:
@@ -52,6 +56,16 @@ def clip_polygons(table: DataFrame, product: Product, layer: DataFrame, split_by
     return out
 
 
+def _held_by(x: Column, y: Column, shapes: DataFrame) -> Column:
+    """An array with (poly_id) of each polygon that holds the point."""
+    kind, hits = shapes.schema["poly_id"].dataType, []
+    for s in shapes.collect():
+        near = x.between(s["bx0"], s["bx1"]) & y.between(s["by0"], s["by1"])
+        held = near & inside_literal(x, y, [(e["x1"], e["y1"], e["x2"], e["y2"]) for e in s["edges"]])
+        hits.append(F.when(held, F.struct(F.lit(s["poly_id"]).cast(kind).alias("poly_id"))))
+    return F.array_compact(F.array(*hits))
+
+
 def _by_tiles(points: DataFrame, x: Column, y: Column, shapes: DataFrame, side: float) -> DataFrame:
     """Points meet polygons by tile, in an equi-join that carries no edges; then a pair meets those edges of its polygon
     that reach the tile's row, which are all that decide. An edge is copied to the rows that it crosses only, and a

@@ -82,8 +82,9 @@ def test_clip_reaches_the_scan(spark, tmp_path):
     assert "PushedFilters: [" in plan and "GreaterThanOrEqual(" in plan.split("PushedFilters")[1]
 
 
-@pytest.mark.parametrize("tile", [None, 0.5])
-def test_polygon_boundary_hole_overlap_and_missing(spark, tile):
+@pytest.mark.parametrize("tile,literal", [(None, 64), (None, 0), (0.5, 64)])
+def test_polygon_boundary_hole_overlap_and_missing(spark, monkeypatch, tile, literal):
+    monkeypatch.setattr(spatial, "LITERAL_EDGES", literal)
     points = [(1, 0.0, 2.0), (2, 0.0, 0.0), (3, 1.5, 1.5), (4, 1.0, 1.5), (5, 3.0, 3.0), (6, 5.0, 5.0), (7, None, 1.0), (8, math.nan, 1.0), (9, 4.0, 4.0)]
     t = spark.createDataFrame(points, POINTS)
     shapes = layers.layer(spark, [(1, SQUARE), (2, [[(2.5, 2.5), (6, 2.5), (6, 6), (2.5, 6)]])])
@@ -397,6 +398,7 @@ def test_one_polygon_over_all_tiles(spark):
     t = spark.createDataFrame([(i, rnd.uniform(-1, 11), rnd.uniform(-1, 11)) for i in range(2000)], POINTS)
     ring = [(5 + 5 * math.cos(2 * math.pi * k / 90), 5 + 5 * math.sin(2 * math.pi * k / 90)) for k in range(90)]
     shapes = layers.layer(spark, [(1, [ring]), (2, SQUARE)])
+    assert spatial.LITERAL_EDGES < 98 <= spatial.BROADCAST_EDGES
     near = lambda tile: sorted(tuple(r) for r in spatial.clip_polygons(t, HEIGHTS, shapes, tile=tile).select("shot_number", "poly_id").collect())
     assert near(0.25) == near(None) and len(near(None)) > 1000
 
