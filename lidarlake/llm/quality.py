@@ -39,6 +39,8 @@ QUANTILE, MARGIN = 0.98, 0.02
 CALIBRATE = 5
 #: Calibrating documents that a class of language and length has, to have thresholds of its own.
 LEAST = 50
+#: Blocks that are small enough for their answers to lie beside them in a worker.
+BLOCK_BYTES = 2 << 20
 #: Text characters that are worked on at a time.
 PIECE = 1 << 20
 #: Groups of blocks that are scored one after the other, so that only one group's answers of bytes travel at a time.
@@ -274,7 +276,7 @@ class Judged:
     def __init__(self, docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN) -> None:
         spark = docs.sparkSession
         self.docs, self.text_col = docs, text_col
-        self.blocks = blocked.store(docs, text_col, id=(id_col, "long"), lang=(lang_col, "string"))
+        self.blocks = blocked.store(docs, text_col, block_bytes=BLOCK_BYTES, id=(id_col, "long"), lang=(lang_col, "string"))
         shards = blocked.shards_for(self.blocks, SHARD_BYTES)
         held = self.blocks.select("block", F.posexplode("ids").alias("pos", "doc_id"))
         good = narrow(trusted, doc_id=(trusted.columns[0], "long")).distinct()
