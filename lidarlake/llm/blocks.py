@@ -37,13 +37,32 @@ def rows(blob) -> pa.Table:
     return pa.ipc.open_stream(blob.as_buffer()).read_all()
 
 
+def buckets(spark) -> int:
+    """Of tables by block: a third of a shuffle's partitions, for their rows are large and each bucket is a file."""
+    return max(8, partitions(spark) // 3)
+
+
+def bucket_of(number: int, n: int) -> int:
+    """Where Spark puts a long number: its 32-bit Murmur hash with seed 42, modulo n."""
+    low32 = 0xFFFFFFFF
+    turn = lambda x, k: (x << k | x >> 32 - k) & low32
+    h = 42
+    for word in (number & low32, number >> 32 & low32):
+        h ^= turn(word * 0xCC9E2D51 & low32, 15) * 0x1B873593 & low32
+        h = (turn(h, 13) * 5 + 0xE6546B64) & low32
+    h ^= 8
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+        h = (h ^ h >> shift) * factor & low32
+    return (h - (h >> 31 << 32)) % n
+
+
 def _saved(df: DataFrame) -> DataFrame:
     """df as a table that is bucketed by block; tables of one session meet by block without a shuffle."""
     spark = df.sparkSession
     name, path = f"blocks_{uuid.uuid4().hex}", scratch(spark)
     TABLES.append(name)
     with writing(spark):
-        df.write.bucketBy(max(8, partitions(spark)), "block").option("path", path).option("compression", "uncompressed").saveAsTable(name)
+        df.write.bucketBy(buckets(spark), "block").option("path", path).option("compression", "uncompressed").saveAsTable(name)
     out = spark.read.table(name)
     out.cut_path = path
     return out
@@ -51,23 +70,33 @@ def _saved(df: DataFrame) -> DataFrame:
 
 def by_block(df: DataFrame, name: str, *columns: str) -> DataFrame:
     """(block, name): the columns of df's rows as one array for each block, kept beside the blocks."""
-    dealt = df.repartition(max(8, partitions(df.sparkSession)), "block")
+    dealt = df.repartition(buckets(df.sparkSession), "block")
     return _saved(dealt.groupBy("block").agg(F.collect_list(F.struct(*columns)).alias(name)))
 
 
-def store(docs: DataFrame, text_col: str, rest: bool = True, block_bytes: int = BLOCK_BYTES, **own: tuple[str, str]) -> DataFrame:
+def store(docs: DataFrame, text_col: str, rest: bool = True, **own: tuple[str, str]) -> DataFrame:
     """(block, ids, size, blob): `_text`, the columns `own` (name, type) under an underscore, and the rest of the row if
     `rest`, packed where they are read. ids are those of `id`, size is the bytes of the texts."""
     kept = [col(name).cast(kind).alias(f"_{alias}") for alias, (name, kind) in own.items()]
     others = [F.struct(*(col(c) for c in docs.columns if c != text_col)).alias("_rest")] if rest else []
     packed = docs.select(col(text_col).cast("string").alias("_text"), *kept, *others)
     schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("size", pa.int64()), ("blob", pa.binary())])
+    n = buckets(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        number = (context.partitionId() if context else 0) << 32
+        task = context.partitionId() if context else 0
+        number = task << 32
         held, size, count = [], 0, 0
 
+        def following(number: int) -> int:
+            """The next number in the task's one bucket, so that it writes one file."""
+            while bucket_of(number, n) != task % n:
+                number += 1
+            return number
+
+        number = following(number)
+
         def out() -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
             return batch_of(schema, [[number], [t.column("_id").to_pylist()], [pc.sum(pc.binary_length(t.column("_text"))).as_py() or 0], [_blob(t)]])
@@ -79,9 +108,9 @@ def store(docs: DataFrame, text_col: str, rest: bool = True, block_bytes: int =
                 held.append(part)
                 size += part.nbytes
                 count += part.num_rows
-                if size >= block_bytes or count > BLOCK_ROWS - 512:
+                if size >= BLOCK_BYTES or count > BLOCK_ROWS - 512:
                     yield out()
-                    held, size, count, number = [], 0, 0, number + 1
+                    held, size, count, number = [], 0, 0, following(number + 1)
         if held:
             yield out()
 
@@ -111,7 +140,7 @@ def taken(blocks: DataFrame, places: DataFrame, docs: DataFrame, text_col: str)
                     for at in range(0, len(again), 1024):
                         yield from t.take(pa.array(again[at : at + 1024])).combine_chunks().to_batches()
 
-    return blocks.select("block", "blob").join(per, "block").select("blob", "keep").mapInArrow(lean(run), docs.schema)
+    return blocks.select("block", "blob").join(per.hint("shuffle_hash"), "block").select("blob", "keep").mapInArrow(lean(run), docs.schema)
 
 
 def pieces(texts: list[str | None], budget: int = PIECE_BYTES) -> Iterator[tuple[int, list[str | None]]]:

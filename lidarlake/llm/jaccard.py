@@ -235,7 +235,7 @@ def _made(table: DataFrame, levels: DataFrame, shards: int) -> DataFrame:
             out.append((s, keys[own].tobytes(), squeeze(packed[own]), squeeze_ascending(h[part]), squeeze(back.astype(np.uint16)), squeeze(at[part].astype(np.uint32))))
         return batch_of(_MADE, [pa.nulls(len(out), f.type) for f in list(_MADE)[:7]] + [*zip(*out, strict=True)])
 
-    return table.select("block", "blob").join(levels, "block", "left").select("block", "blob", "answers").mapInArrow(lean(run), _MADE_SQL)
+    return table.select("block", "blob").join(levels.hint("shuffle_hash"), "block", "left").select("block", "blob", "answers").mapInArrow(lean(run), _MADE_SQL)
 
 
 def _compatible(na: np.ndarray, ia: np.ndarray, nb: np.ndarray, ib: np.ndarray) -> np.ndarray:
@@ -565,7 +565,7 @@ def _links(table: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
                 for _ in others():
                     pass
 
-    sent = table.select("block", "blob").join(wanted, "block").select("blob", "wanted").mapInArrow(lean(send), "root binary, salt int, kind int, key binary, hashes binary, times long")
+    sent = table.select("block", "blob").join(wanted.hint("shuffle_hash"), "block").select("blob", "wanted").mapInArrow(lean(send), "root binary, salt int, kind int, key binary, hashes binary, times long")
     return sent.repartition(partitions(table.sparkSession), "root", "salt").sortWithinPartitions("root", "salt", "kind").mapInArrow(lean(run), "u binary, v binary, n long")
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut, discard, partitions
+from ..runtime import cut, discard
 from . import blocks as blocked
 from . import tokens64, words
 from .blocks import expand, expand_ascending, pieces, squeeze, squeeze_ascending
@@ -39,12 +39,10 @@ QUANTILE, MARGIN = 0.98, 0.02
 CALIBRATE = 5
 #: Calibrating documents that a class of language and length has, to have thresholds of its own.
 LEAST = 50
-#: Blocks that are small enough for their answers to lie beside them in a worker.
-BLOCK_BYTES = 2 << 20
 #: Text characters that are worked on at a time.
 PIECE = 1 << 20
 #: Groups of blocks that are scored one after the other, so that only one group's answers of bytes travel at a time.
-ROUNDS = 3
+ROUNDS = 2
 #: Text bytes whose n-grams a shard answers for.
 SHARD_BYTES = 32 << 20
 
@@ -144,11 +142,11 @@ def _requests(table: DataFrame, marks: DataFrame, shards: int) -> DataFrame:
                 if rows:
                     yield batch_of(_REQUEST, [*zip(*rows, strict=True)])
 
-    return table.select("block", "blob").join(marks, "block", "left").select("block", "blob", "fit").mapInArrow(lean(run), _REQUEST_SQL)
+    return table.select("block", "blob").join(marks.hint("shuffle_hash"), "block", "left").select("block", "blob", "fit").mapInArrow(lean(run), _REQUEST_SQL)
 
 
 def _by_shard(df: DataFrame) -> DataFrame:
-    return df.repartition(partitions(df.sparkSession), "shard").sortWithinPartitions("shard", "kind")
+    return df.repartition(blocked.buckets(df.sparkSession), "shard").sortWithinPartitions("shard", "kind")
 
 
 def _counted(requests: DataFrame) -> DataFrame:
@@ -261,8 +259,6 @@ def probabilities(counted: DataFrame, order: int = ORDER) -> DataFrame:
             below = F.col("below")
         own = F.when(F.col("c") > 0, F.col("c") - discount).otherwise(F.lit(0.0))
         lower = rows.select("g", F.when(F.col("total").isNull(), below).otherwise((own + F.col("mass") * below) / F.col("total")).alias("p"))
-        if k < order:
-            lower = cut(lower)
     return lower.select("g", F.log("p").alias("logp"))
 
 
@@ -276,7 +272,7 @@ class Judged:
     def __init__(self, docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN) -> None:
         spark = docs.sparkSession
         self.docs, self.text_col = docs, text_col
-        self.blocks = blocked.store(docs, text_col, block_bytes=BLOCK_BYTES, id=(id_col, "long"), lang=(lang_col, "string"))
+        self.blocks = blocked.store(docs, text_col, id=(id_col, "long"), lang=(lang_col, "string"))
         shards = blocked.shards_for(self.blocks, SHARD_BYTES)
         held = self.blocks.select("block", F.posexplode("ids").alias("pos", "doc_id"))
         good = narrow(trusted, doc_id=(trusted.columns[0], "long")).distinct()
@@ -322,7 +318,7 @@ class Judged:
             some = self.blocks.filter(F.pmod(F.xxhash64("block"), F.lit(ROUNDS)) == k)
             asked = _requests(some, marks.select("block", "fit"), shards)
             answers = _answers(asked, model_table, shards).groupBy("block").agg(F.collect_list(F.struct("shard", "values")).alias("answers"))
-            every = words.joined(some, told).join(spoken, "block", "left").join(answers, "block", "left").join(marks.select("block", "test"), "block", "left")
+            every = words.joined(some, told).join(spoken.hint("shuffle_hash"), "block", "left").join(answers.hint("shuffle_hash"), "block", "left").join(marks.select("block", "test").hint("shuffle_hash"), "block", "left")
             parts.append(cut(every.select("block", "blob", "answers", "told", "spoken", "test").mapInArrow(lean(run), "block long, pos int, doc_id long, lang string, n_bytes long, loss double, word_loss double, worst double, calibrates boolean")))
         scored = parts[0]
         for more in parts[1:]:

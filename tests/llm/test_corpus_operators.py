@@ -453,6 +453,10 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
 def test_blocks_are_bounded_in_rows_and_bytes(spark):
     from lidarlake.llm import blocks
 
+    numbers = [0, 1, 7 << 32, (7 << 32) + 5, 2**62 + 11, 123456789]
+    got = spark.createDataFrame([(n,) for n in numbers], "n long").select("n", F.pmod(F.hash("n"), F.lit(17)).alias("b")).collect()
+    assert all(blocks.bucket_of(r["n"], 17) == r["b"] for r in got)
+
     empty = spark.range(100_000).repartition(1).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
     held = blocks.store(empty, "text", id=("doc_id", "long")).select(F.size("ids").alias("n")).collect()
     assert sum(r["n"] for r in held) == 100_000 and max(r["n"] for r in held) <= blocks.BLOCK_ROWS
