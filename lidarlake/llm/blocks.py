@@ -68,10 +68,19 @@ def _saved(df: DataFrame) -> DataFrame:
     return out
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df's rows where the blocks' buckets are; blocks that meet them do not move."""
+    return df.repartition(buckets(df.sparkSession), "block")
+
+
+def gathered(df: DataFrame, name: str, *columns) -> DataFrame:
+    """(block, name): the columns of df's rows as one array for each block, where the blocks are."""
+    return dealt(df).groupBy("block").agg(F.collect_list(F.struct(*columns)).alias(name))
+
+
 def by_block(df: DataFrame, name: str, *columns: str) -> DataFrame:
-    """(block, name): the columns of df's rows as one array for each block, kept beside the blocks."""
-    dealt = df.repartition(buckets(df.sparkSession), "block")
-    return _saved(dealt.groupBy("block").agg(F.collect_list(F.struct(*columns)).alias(name)))
+    """The same, kept beside the blocks."""
+    return _saved(gathered(df, name, *columns))
 
 
 def store(docs: DataFrame, text_col: str, rest: bool = True, **own: tuple[str, str]) -> DataFrame:
@@ -121,7 +130,7 @@ def taken(blocks: DataFrame, places: DataFrame, docs: DataFrame, text_col: str)
     """The rows of docs at the places (block, pos), with all their columns, without a shuffle of rows; with a column n, as
     often as it says."""
     often = F.col("n") if "n" in places.columns else F.lit(1)
-    per = places.groupBy("block").agg(F.collect_list(F.struct("pos", often.cast("long").alias("n"))).alias("keep"))
+    per = gathered(places, "keep", "pos", often.cast("long").alias("n"))
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

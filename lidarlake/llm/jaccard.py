@@ -150,7 +150,7 @@ def _levels(table: DataFrame, shards: int) -> DataFrame:
     asked = table.select("block", "blob").mapInArrow(lean(ask), "shard int, block long, keys binary, counts binary")
     dealt = asked.repartition(partitions(table.sparkSession), "shard").sortWithinPartitions("shard")
     answers = dealt.mapInArrow(lean(count), "block long, shard int, levels binary")
-    return answers.groupBy("block").agg(F.collect_list(F.struct("shard", "levels")).alias("answers"))
+    return blocked.gathered(answers, "answers", "shard", "levels")
 
 
 # --- sketches -----------------------------------------------------------------------------------------------------
@@ -235,7 +235,7 @@ def _made(table: DataFrame, levels: DataFrame, shards: int) -> DataFrame:
             out.append((s, keys[own].tobytes(), squeeze(packed[own]), squeeze_ascending(h[part]), squeeze(back.astype(np.uint16)), squeeze(at[part].astype(np.uint32))))
         return batch_of(_MADE, [pa.nulls(len(out), f.type) for f in list(_MADE)[:7]] + [*zip(*out, strict=True)])
 
-    return table.select("block", "blob").join(levels.hint("shuffle_hash"), "block", "left").select("block", "blob", "answers").mapInArrow(lean(run), _MADE_SQL)
+    return table.select("block", "blob").join(blocked.dealt(levels).hint("shuffle_hash"), "block", "left").select("block", "blob", "answers").mapInArrow(lean(run), _MADE_SQL)
 
 
 def _compatible(na: np.ndarray, ia: np.ndarray, nb: np.ndarray, ib: np.ndarray) -> np.ndarray:
@@ -493,7 +493,7 @@ def _links(table: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
     placed = nodes.join(groups.withColumnRenamed("u", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     many = placed.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("weight")).filter("members > 1")
     dealt = placed.join(many, "root").select("best.block", "best.pos", "key", "root", "times", F.ceil(F.col("weight") / CHUNK).cast("int").alias("chunks"))
-    wanted = dealt.groupBy("block").agg(F.collect_list(F.struct("pos", "key", "root", "times", "chunks")).alias("wanted"))
+    wanted = blocked.gathered(dealt, "wanted", "pos", "key", "root", "times", "chunks")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

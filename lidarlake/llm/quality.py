@@ -142,7 +142,7 @@ def _requests(table: DataFrame, marks: DataFrame, shards: int) -> DataFrame:
                 if rows:
                     yield batch_of(_REQUEST, [*zip(*rows, strict=True)])
 
-    return table.select("block", "blob").join(marks.hint("shuffle_hash"), "block", "left").select("block", "blob", "fit").mapInArrow(lean(run), _REQUEST_SQL)
+    return table.select("block", "blob").join(blocked.dealt(marks).hint("shuffle_hash"), "block", "left").select("block", "blob", "fit").mapInArrow(lean(run), _REQUEST_SQL)
 
 
 def _by_shard(df: DataFrame) -> DataFrame:
@@ -317,8 +317,8 @@ class Judged:
         for k in range(ROUNDS):
             some = self.blocks.filter(F.pmod(F.xxhash64("block"), F.lit(ROUNDS)) == k)
             asked = _requests(some, marks.select("block", "fit"), shards)
-            answers = _answers(asked, model_table, shards).groupBy("block").agg(F.collect_list(F.struct("shard", "values")).alias("answers"))
-            every = words.joined(some, told).join(spoken.hint("shuffle_hash"), "block", "left").join(answers.hint("shuffle_hash"), "block", "left").join(marks.select("block", "test").hint("shuffle_hash"), "block", "left")
+            answers = blocked.gathered(_answers(asked, model_table, shards), "answers", "shard", "values")
+            every = words.joined(some, told).join(spoken.hint("shuffle_hash"), "block", "left").join(answers.hint("shuffle_hash"), "block", "left").join(blocked.dealt(marks.select("block", "test")).hint("shuffle_hash"), "block", "left")
             parts.append(cut(every.select("block", "blob", "answers", "told", "spoken", "test").mapInArrow(lean(run), "block long, pos int, doc_id long, lang string, n_bytes long, loss double, word_loss double, worst double, calibrates boolean")))
         scored = parts[0]
         for more in parts[1:]:

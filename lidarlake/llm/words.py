@@ -234,7 +234,7 @@ def bigrams(table: DataFrame, marks: DataFrame) -> tuple[list[DataFrame], list[i
                     if rows:
                         yield batch_of(_ASK, [*zip(*rows, strict=True)])
 
-        asked = table.select("block", "blob").join(marks.hint("shuffle_hash"), "block", "left").select("block", "blob", "fit").mapInArrow(lean(ask), _ASK_SQL)
+        asked = table.select("block", "blob").join(blocked.dealt(marks).hint("shuffle_hash"), "block", "left").select("block", "blob", "fit").mapInArrow(lean(ask), _ASK_SQL)
         dealt = asked.repartition(partitions(spark), "part").sortWithinPartitions("part", "block")
         out = blocked.by_block(dealt.mapInArrow(lean(lambda batches: _grouped(batches, _told)), _TOLD_SQL), f"told{number}", "part", "numbers", "owner", "trigrams", "stats")
         stats[:] = map(sum, zip(stats, sums(out, f"told{number}", 8), strict=True))
