@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import ship
-from . import jaccard, language_id, media, mixing, packing, pii, quality, repetition, secret_scan, sharding
+from . import jaccard, language_id, media, mixing, packing, periodic, pii, quality, repetition, secret_scan, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +85,11 @@ def op9_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_byte_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return language_id.predict(docs, language_id.fit(docs))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.find(periodic.rehearsed(documents(spark, sf_dir))))
+
+
+ORACLES["op12_periodic_runs"] = periodic.ORACLE
