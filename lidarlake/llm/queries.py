@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import ship
-from . import jaccard, language_id, media, mixing, packing, periodic, pii, quality, repetition, secret_scan, sharding
+from . import jaccard, language_id, media, mixing, packing, periodic, pii, quality, repetition, secret_scan, sharding, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +93,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_periodic_runs"] = periodic.ORACLE
+
+
+@query
+def op11_hamerly_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digests(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+ORACLES["op11_hamerly_codes"] = vector_codes.ORACLE
