@@ -59,18 +59,18 @@ def need(a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray | int:
     return -(-3 * (a + b) // 7)
 
 
-def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
     """Sets of shingle hashes of texts, ascending."""
     codes, counts = tokens64.words(texts, lower=True)
     with np.errstate(over="ignore"):
-        h = np.zeros(max(0, len(codes) - WORDS + 1), np.uint64)
-        for k in range(WORDS):
+        h = np.zeros(max(0, len(codes) - words + 1), np.uint64)
+        for k in range(words):
             h = (h ^ codes[k : k + len(h)]) * _P
             h ^= h >> np.uint64(31)
     out, at = [], 0
     for n in counts.tolist():
-        if n >= WORDS:
-            s = np.sort(h[at : at + n - WORDS + 1])
+        if n >= words:
+            s = np.sort(h[at : at + n - words + 1])
             out.append(s[tokens64.firsts(s)])
         else:  # the whole sequence as one, apart from shingles
             out.append(np.array([xxhash.xxh3_64_intdigest(codes[at : at + n].tobytes(), seed=n)] if n else [], np.uint64))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import ship
-from . import jaccard, language_id, media, mixing, packing, periodic, pii, quality, repetition, secret_scan, sharding, vector_codes
+from . import jaccard, language_id, media, minhash, mixing, packing, periodic, pii, quality, repetition, secret_scan, sharding, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,3 +101,11 @@ def op11_hamerly_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_hamerly_codes"] = vector_codes.ORACLE
+
+
+@query
+def op13_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.dedup(documents(spark, sf_dir))
+
+
+ORACLES["op13_minhash_components"] = minhash.ORACLE
