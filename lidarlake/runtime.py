@@ -46,11 +46,15 @@ def shared_dir(spark: SparkSession) -> str:
 #: While a table is written that cuts the lineage: its shuffle files go when it is done, and Arrow batches stay small.
 _WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
+#: Where rows of some megabytes each are read: a reader's batch holds all values of its rows, for every table of a join.
+_LARGE = {"spark.sql.parquet.columnarReaderBatchSize": "2"}
+
 
 @contextmanager
-def writing(spark: SparkSession) -> Iterator[None]:
-    before = {k: spark.conf.get(k, None) for k in _WRITING}
-    for k, v in _WRITING.items():
+def writing(spark: SparkSession, large: bool = False) -> Iterator[None]:
+    own = _WRITING | (_LARGE if large else {})
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
         spark.conf.set(k, v)
     try:
         yield
@@ -59,11 +63,11 @@ def writing(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read again from there."""
+def cut(df: DataFrame, large: bool = False) -> DataFrame:
+    """Cut the lineage: write to the shared folder and read again from there. large: the rows that are read are."""
     spark = df.sparkSession
     path = scratch(spark)
-    with writing(spark):
+    with writing(spark, large):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
