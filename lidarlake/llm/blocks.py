@@ -56,12 +56,12 @@ def bucket_of(number: int, n: int) -> int:
     return (h - (h >> 31 << 32)) % n
 
 
-def _saved(df: DataFrame) -> DataFrame:
+def _saved(df: DataFrame, large: bool = True) -> DataFrame:
     """df as a table that is bucketed by block; tables of one session meet by block without a shuffle."""
     spark = df.sparkSession
     name, path = f"blocks_{uuid.uuid4().hex}", scratch(spark)
     TABLES.append(name)
-    with writing(spark):
+    with writing(spark, large):
         df.write.bucketBy(buckets(spark), "block").option("path", path).option("compression", "uncompressed").saveAsTable(name)
     out = spark.read.table(name)
     out.cut_path = path
@@ -123,7 +123,7 @@ def store(docs: DataFrame, text_col: str, rest: bool = True, **own: tuple[str, s
         if held:
             yield out()
 
-    return _saved(packed.mapInArrow(lean(run), "block long, ids array<long>, size long, blob binary"))
+    return _saved(packed.mapInArrow(lean(run), "block long, ids array<long>, size long, blob binary"), False)
 
 
 def taken(blocks: DataFrame, places: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:

@@ -283,7 +283,7 @@ class Judged:
         model = words.Model(bigram_stats, word_stats, discounts)
         # requests are made once for the counts and once for the answers, and never kept on disk
         requests = _requests(self.blocks, marks.select("block", "fit"), shards)
-        counted = cut(_counted(requests))
+        counted = cut(_counted(requests), large=True)
         model_table = cut(probabilities(counted))
         schema = pa.schema([("block", pa.int64()), ("pos", pa.int32()), ("doc_id", pa.int64()), ("lang", pa.string()), ("n_bytes", pa.int64()), ("loss", pa.float64()), ("word_loss", pa.float64()), ("worst", pa.float64()), ("calibrates", pa.bool_())])
 
@@ -319,7 +319,7 @@ class Judged:
             asked = _requests(some, marks.select("block", "fit"), shards)
             answers = blocked.gathered(_answers(asked, model_table, shards), "answers", "shard", "values")
             every = words.joined(some, told).join(spoken.hint("shuffle_hash"), "block", "left").join(answers.hint("shuffle_hash"), "block", "left").join(blocked.dealt(marks.select("block", "test")).hint("shuffle_hash"), "block", "left")
-            parts.append(cut(every.select("block", "blob", "answers", "told", "spoken", "test").mapInArrow(lean(run), "block long, pos int, doc_id long, lang string, n_bytes long, loss double, word_loss double, worst double, calibrates boolean").hint("rebalance")))
+            parts.append(cut(every.select("block", "blob", "answers", "told", "spoken", "test").mapInArrow(lean(run), "block long, pos int, doc_id long, lang string, n_bytes long, loss double, word_loss double, worst double, calibrates boolean").hint("rebalance"), large=True))
         scored = parts[0]
         for more in parts[1:]:
             scored = scored.unionByName(more)
