@@ -7,7 +7,8 @@ numbers, credentials in a URL, and identifiers that follow a cue. No pattern is
 
 The base kinds (email, ip, card, phone) follow the leftmost, non-overlapping rule of their patterns; the others add
 spans and never take a base span away. Spans that begin together are in the order of their kinds. Null text is the empty
-text. Texts of any length are read whole, in one pass. Repeated rows give equal rows, whatever their ids; empty tables
+text. Texts of any length are read whole; what a parser reads beyond its span is bounded or read by no other anchor of
+its kind, so the time grows with the text. Repeated rows give equal rows, whatever their ids; empty tables
 give empty tables; extra columns are not read, whatever their names.
 """
 
@@ -37,6 +38,7 @@ IBAN_LENGTHS = (
     "IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 "
     "SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
 )
+_LONGEST = max(map(len, FILLERS))
 _IBAN = {x[:2]: int(x[2:]) for x in IBAN_LENGTHS.split()}
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
@@ -61,8 +63,9 @@ def automaton() -> ahocorasick.Automaton:
     return _AUTOMATON[0]
 
 
-def run_right(text: str, at: int, alphabet: frozenset) -> int:
-    n = len(text)
+def run_right(text: str, at: int, alphabet: frozenset, most: int | None = None) -> int:
+    """End of the characters of the alphabet from `at` on, or of the first `most` of them."""
+    n = len(text) if most is None else min(len(text), at + most)
     while at < n and text[at] in alphabet:
         at += 1
     return at
@@ -165,7 +168,7 @@ def after_cue(text: str, at: int) -> int:
     while True:
         while at < len(text) and text[at] in " :=#.":
             at += 1
-        end = run_right(text, at, LABEL)
+        end = run_right(text, at, LABEL, _LONGEST + 1)
         if text[at:end].lower() not in FILLERS:
             return at
         at = end
@@ -173,7 +176,7 @@ def after_cue(text: str, at: int) -> int:
 
 def identifier(text: str, at: int) -> tuple[int, int] | None:
     """A token of 6 to 20 letters, digits and hyphens with 5 digits or more."""
-    end = run_right(text, at, LABEL)
+    end = run_right(text, at, LABEL, 21)
     return (at, end) if 6 <= end - at <= 20 and sum(x in DIGITS for x in text[at:end]) >= 5 else None
 
 
