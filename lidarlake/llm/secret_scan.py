@@ -33,7 +33,10 @@ from ..runtime import cut
 from .common import col, narrow
 
 # Kinds in their order, their expressions, the group that is measured, and its least length. The first
-# three are the base rules.
+# three are the base rules. A web token begins where no character of one stands before it, so that a long run of such
+# characters is read once.
+TOKEN = "A-Za-z0-9_-"
+LOOK_BEHIND = f"(?<![{TOKEN}])"
 RULES = (
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
     ("access", r"AKIA[A-Z0-9]+", 0, 16),
@@ -41,7 +44,7 @@ RULES = (
     ("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
     ("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
     ("maps", r"AIza[A-Za-z0-9_-]{35}", 0, 39),
-    ("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 20),
+    ("web_token", LOOK_BEHIND + r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 20),
     ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 20),
 )
 BASE = 3
@@ -236,14 +239,29 @@ def summaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The same rows and columns, every span of the text replaced by a mark; rows without a span are as they were."""
     found = with_spans(docs, id_col, text_col)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    text = F.col("own_text")
+    starts = F.sequence(F.lit(1), F.size("spans"), F.lit(PAGE))
+    pages = F.transform(starts, lambda p: F.slice("spans", p, F.lit(PAGE)))
+    last = lambda page: F.array_max(F.transform(page, lambda x: x["e"]))
 
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["s"] >= acc["at"]
-        more = F.concat(acc["out"], F.substring(F.col("own_text"), acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(fresh, more).otherwise(acc["out"]).alias("out"))
+    def cleaned(page: Column, begin: Column, end: Column) -> Column:
+        """The text from begin to end without the page's spans; only this part of it is copied for them."""
 
-    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("own_text"), acc["at"] + 1, F.length("own_text"))))
+        def step(acc: Column, x: Column, part: Column) -> Column:
+            more = F.concat(acc["out"], F.substring(part, acc["at"] - begin + 1, x["s"] - acc["at"]), F.lit(mark))
+            return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], more).otherwise(acc["out"]).alias("out"))
+
+        whole = F.array(F.substring(text, begin + 1, end - begin))
+        return F.get(F.transform(whole, lambda part: F.aggregate(page, F.struct(begin.alias("at"), F.lit("").alias("out")), lambda acc, x: step(acc, x, part), lambda acc: acc["out"])), F.lit(0))
+
+    def joined(pages: Column, ends: Column) -> Column:
+        before = lambda i: F.coalesce(F.array_max(F.slice(ends, F.lit(1), i)), F.lit(0))
+        parts = F.transform(pages, lambda page, i: cleaned(page, before(i), before(i + 1)))
+        rest = F.array_max(ends)
+        return F.concat(F.array_join(parts, ""), F.substring(text, rest + 1, F.length(text)))
+
+    both = F.array(F.struct(pages.alias("pages"), F.transform(pages, last).alias("ends")))
+    clean = F.get(F.transform(both, lambda t: joined(t["pages"], t["ends"])), F.lit(0))
     fields = [F.when(F.size("spans") > 0, clean).otherwise(F.col("row")[c]).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
     return found.select(*fields)
 
@@ -252,10 +270,13 @@ def _oracle() -> str:
     parts, names = [], []
     for k, (kind, expression, group, least) in enumerate(RULES):
         e = expression.replace("'", "''").replace(r"\x20", " ")
+        skip, n = "0", "length(m[i])"
+        if e.startswith(LOOK_BEHIND):  # DuckDB has none: the character before a match is taken too and left out of its span
+            e, group, skip, n = f"(?:^|[^{TOKEN}])({e.removeprefix(LOOK_BEHIND)})", 1, "length(m[i]) - length(g[i])", "length(g[i])"
         parts.append(f"""
 m{k} AS (SELECT rid, string_split_regex(t, '{e}') AS x, regexp_extract_all(t, '{e}', 0) AS m, regexp_extract_all(t, '{e}', {group}) AS g FROM d),
-s{k} AS (SELECT rid, {k} AS k, CAST(list_sum(list_transform(x[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(m[1:i-1], lambda z: length(z))), 0) AS BIGINT) AS s,
-  length(m[i]) AS n FROM (SELECT rid, x, m, g, unnest(range(1, len(m) + 1)) AS i FROM m{k}) WHERE length(g[i]) >= {least})""")
+s{k} AS (SELECT rid, {k} AS k, CAST(list_sum(list_transform(x[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(m[1:i-1], lambda z: length(z))), 0) + {skip} AS BIGINT) AS s,
+  {n} AS n FROM (SELECT rid, x, m, g, unnest(range(1, len(m) + 1)) AS i FROM m{k}) WHERE length(g[i]) >= {least})""")
         names.append(f"SELECT rid, '{kind}' AS kind, k, s, s + n AS e FROM s{k}")
     counts = ", ".join(f"count(*) FILTER (k = {k}) AS n_{RULES[k][0]}" for k in range(BASE))
     return f"""
