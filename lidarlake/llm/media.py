@@ -199,7 +199,7 @@ def padded(text: str | None) -> tuple[int, bytes]:
 
 
 _MEDIA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
-_DECODED = pa.schema([("doc_id", pa.int64()), ("payload", pa.binary()), ("pts", pa.list_(pa.int64())), ("random_access", pa.list_(pa.int32())), ("packets", pa.int32()), ("continuity_errors", pa.int32())])
+_DECODED = pa.schema([("doc_id", pa.int64()), ("payload", pa.binary()), ("pts", pa.list_(pa.int64())), ("random_access", pa.list_(pa.int32())), ("packets", pa.int32()), ("continuity_errors", pa.int32()), ("error", pa.string())])
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
 
@@ -215,14 +215,25 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit
 
 
 def decode(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """(doc_id, payload, pts, random_access, packets, continuity_errors) of stored streams; a null stream gives nulls."""
+    """(doc_id, payload, pts, random_access, packets, continuity_errors, error) of stored streams. A null stream gives
+    nulls; of one that cannot be read, one without a byte included, `error` tells why and the rest is null."""
+
+    def read(media: bytes | None) -> tuple:
+        if media is None:
+            return (None,) * 6
+        try:
+            if not media:
+                raise ValueError("no packet")
+            return (*demux(media)[:5], None)
+        except (ValueError, struct.error, IndexError) as e:
+            return (*(None,) * 5, str(e) or type(e).__name__)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "media"):
-            read = [m and demux(m) for m in b.column("media").to_pylist()]
-            yield batch_of(_DECODED, [b.column("doc_id"), *([r and r[k] for r in read] for k in range(5))])
+            rows = [read(m) for m in b.column("media").to_pylist()]
+            yield batch_of(_DECODED, [b.column("doc_id"), *zip(*rows, strict=True)])
 
-    return narrow(media, doc_id=(id_col, "long"), media=(media_col, "binary")).mapInArrow(lean(run), "doc_id long, payload binary, pts array<long>, random_access array<int>, packets int, continuity_errors int")
+    return narrow(media, doc_id=(id_col, "long"), media=(media_col, "binary")).mapInArrow(lean(run), "doc_id long, payload binary, pts array<long>, random_access array<int>, packets int, continuity_errors int, error string")
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
