@@ -10,8 +10,10 @@ No pairs of a bucket are listed. First each node takes one partner, the least me
 that it meets most often; if the signatures allow it, the full sets decide. Components of these links (large stars and
 small stars) settle nearly all buckets. Buckets that still hold members of different components are then searched: the
 members outside of the component of the bucket's least one are compared with all others of another component, signature
-by signature, in chunks of CHUNK members. What passes is confirmed on full sets, at first the best partner of each node,
-then all that are still apart. A hot bucket is a sum, a join that adaptive execution splits, and its chunks.
+by signature, in chunks of CHUNK members. Of what passes, full sets decide first on as many pairs of a chunk as would make
+its components one, the most similar first; then the buckets are searched again, and all pairs that pass and are still of
+different components are decided. Two members are compared in the first of the buckets that they share. A hot bucket is a
+sum, a join that adaptive execution splits, and its chunks.
 
 Nothing is capped. Null and empty texts have empty sets and are linked with nothing: their component is their own id.
 Fewer than three words are one shingle. Texts of any length are one set. Nodes are sets, so repeated rows and ids and
@@ -202,57 +204,94 @@ def _rooted(rows: DataFrame, roots: DataFrame, key: str = "key", name: str = "co
     return rows.join(roots.select(F.col("u").alias(key), F.col("root").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
 
 
-_APART = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("same", pa.int32())])
+_APART = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
-def _apart(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b, same) of different components that share a bucket and whose signatures (equal in `same` minima) and
-    sizes allow a link."""
+class _Held:
+    """Members of a bucket that are asked: keys, components, sizes, bands and signatures."""
+
+    def __init__(self, rows: list[tuple], number: dict[bytes, int]) -> None:
+        self.minor = np.array([r[0] for r in rows], bool)
+        self.keys = [r[1] for r in rows]
+        self.comp = np.array([number.setdefault(r[2], len(number)) for r in rows], np.int64)
+        self.n = np.array([r[3] for r in rows], np.int64)
+        self.bands = np.frombuffer(b"".join(r[4] for r in rows), np.int64).reshape(-1, BANDS)
+        self.signatures = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(-1, BANDS * ROWS)
+        self.high = np.array([int.from_bytes(k[:8], "big") for k in self.keys], np.uint64)
+
+    def partners(self, other: _Held, k: int, band: int) -> tuple[np.ndarray, np.ndarray]:
+        """Members that may link with member k of `other`, which is of another component; how many minima they share. Of
+        the buckets that two members share the first one counts; two members outside of the main component ask each other,
+        and the greater key's question counts."""
+        at = np.flatnonzero((self.comp != other.comp[k]) & (~self.minor | (self.high <= other.high[k])) & may_link(self.n, other.n[k]))
+        at = at[other.bands[k][(self.bands[at] == other.bands[k]).argmax(1)] == band]
+        same = (self.signatures[at] == other.signatures[k]).sum(1)
+        ok = same >= LEAST
+        return at[ok], same[ok]
+
+
+def _apart(members: DataFrame, nodes: DataFrame, roots: DataFrame, forest: bool) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket and whose signatures and sizes allow a link. forest: of a
+    bucket's chunk only as many as would make its components one, the most similar ones first."""
     rooted = cut(_rooted(members, roots))
     mixed = rooted.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.max(F.when(F.col("key") == F.col("centre"), F.col("comp"))).alias("main")).filter("least <> most")
-    rows = rooted.join(mixed.select("band", "main"), "band").join(nodes.select("key", "n", "signature"), "key")
+    rows = rooted.join(mixed.select("band", "main"), "band").join(nodes.select("key", "n", "bands", "signature"), "key")
     chunks = F.ceil(F.col("members") / CHUNK).cast("int")
     own = F.pmod(F.xxhash64("key"), chunks).cast("int")
     minor = F.col("comp") != F.col("main")
-    columns = ("key", "comp", "n", "signature")
+    columns = ("key", "comp", "n", "bands", "signature")
     held = rows.select("band", own.alias("chunk"), F.lit(0).alias("kind"), minor.alias("minor"), *columns)
     asking = rows.filter(minor).select("band", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(1).alias("kind"), F.lit(True).alias("minor"), *columns)
 
-    def search(held: list, asked: Iterator) -> Iterator[pa.RecordBatch]:
+    def search(band: int, own: list[tuple], asked: Iterator[list[tuple]]) -> Iterator[pa.RecordBatch]:
         number: dict[bytes, int] = {}
-        names, minors, n = [r[1] for r in held], np.array([r[0] for r in held], bool), np.array([r[3] for r in held], np.int64)
-        comps = np.array([number.setdefault(r[2], len(number)) for r in held], np.int64)
-        high = np.array([int.from_bytes(k[:8], "big") for k in names], np.uint64)
-        signatures = np.frombuffer(b"".join(r[4] for r in held), np.uint8).reshape(-1, BANDS * ROWS)
-        for _, key, comp, size, signature in asked:
-            # members outside of the main component meet as asking and as asked: the greater key asks
-            once = ~minors | (high <= np.uint64(int.from_bytes(key[:8], "big")))
-            at = np.flatnonzero((comps != number.get(comp, -1)) & once & may_link(n, size))
-            same = (signatures[at] == np.frombuffer(signature, np.uint8)).sum(1)
-            ok = same >= LEAST
-            if ok.any():
-                got = at[ok].tolist()
-                yield batch_of(_APART, [[min(key, names[i]) for i in got], [max(key, names[i]) for i in got], same[ok].astype(np.int32)])
+        members = _Held(own, number)
+        joined: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while c in joined:
+                c = joined[c]
+            return c
+
+        for rows in asked:
+            others = _Held(rows, number)
+            met = [members.partners(others, k, band) for k in range(len(rows))]
+            for least in range(LEAST + LEAST // 5, LEAST - 1, -LEAST // 20) if forest else (LEAST,):
+                out = []
+                for k, key in enumerate(others.keys):
+                    at, same = met[k]
+                    for i in at[np.argsort(-same, kind="stable")][: int((same >= least).sum())].tolist():
+                        if forest:
+                            x, y = top(int(members.comp[i])), top(int(others.comp[k]))
+                            if x == y:
+                                continue
+                            joined[x] = y
+                        out.append((min(key, members.keys[i]), max(key, members.keys[i])))
+                if out:
+                    yield batch_of(_APART, [*zip(*out, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((x[:2], x[2], x[3:]) for b in batches for x in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True))
+        rows = ((x[:2], x[2], x[3:]) for b in batches for x in zip(*(b.column(i).to_pylist() for i in range(9)), strict=True))
         row = next(rows, None)
         while row is not None:
-            now, held = row[0], []
+            now, own = row[0], []
             while row is not None and row[0] == now and row[1] == 0:
-                held.append(row[2])
+                own.append(row[2])
                 row = next(rows, None)
 
-            def asked() -> Iterator[tuple]:
+            def asked() -> Iterator[list[tuple]]:
                 nonlocal row
                 while row is not None and row[0] == now:  # noqa: B023
-                    yield row[2]
-                    row = next(rows, None)
+                    some = []
+                    while row is not None and row[0] == now and len(some) < CHUNK:  # noqa: B023
+                        some.append(row[2])
+                        row = next(rows, None)
+                    yield some
 
-            yield from search(held, asked())
+            yield from search(now[0], own, asked())
 
     dealt = held.unionByName(asking).repartition(partitions(nodes.sparkSession), "band", "chunk").sortWithinPartitions("band", "chunk", "kind")
-    out = cut(dealt.mapInArrow(lean(run), "a binary, b binary, same int").groupBy("a", "b").agg(F.max("same").alias("same")))
+    out = cut(dealt.mapInArrow(lean(run), "a binary, b binary"))
     discard(rooted)
     return out
 
@@ -276,17 +315,18 @@ class _Linked:
         stars = often.groupBy("key").agg(F.max_by("centre", F.struct("times", "centre")).alias("b")).withColumnRenamed("key", "a")
         links = _confirmed(table, nodes, cut(_alike(stars, nodes)))
         roots = components(links)
-        apart = _apart(members, nodes, roots)
-        if not apart.isEmpty():
-            best = cut(apart.groupBy("a").agg(F.max_by("b", F.struct("same", "b")).alias("b")))
-            links = cut(links.unionByName(_confirmed(table, nodes, best)))
+        # then links that make components one, and last whatever is still apart and may link
+        some = _apart(members, nodes, roots, True)
+        if not some.isEmpty():
+            links = cut(links.unionByName(_confirmed(table, nodes, some)))
             roots = components(links)
-            left = _rooted(_rooted(apart, roots, "a", "of_a"), roots, "b", "of_b").filter("of_a <> of_b").select("a", "b")
-            rest_ = cut(left.join(best, ["a", "b"], "left_anti"))
+            rest_ = cut(_apart(members, nodes, roots, False).join(some, ["a", "b"], "left_anti"))
             if not rest_.isEmpty():
-                roots = components(links.unionByName(_confirmed(table, nodes, rest_)))
-            discard(best, rest_)
-        discard(members, apart)
+                more = _confirmed(table, nodes, rest_)
+                if not more.isEmpty():
+                    roots = components(links.unionByName(more))
+            discard(rest_)
+        discard(members, some)
         self.nodes = cut(_rooted(nodes.select("key", "least", "best"), roots))
         discard(nodes)
 
