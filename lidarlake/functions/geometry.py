@@ -20,9 +20,10 @@ def ring_edges(rings: list[Ring]) -> list[tuple[float, float, float, float]]:
     return out
 
 
-def inside(x: Column, y: Column, edges: Column) -> Column:
+def inside(x: Column, y: Column, edges: Column, odd: Column | None = None) -> Column:
     """Is the point in the polygon, its boundary included? Even-odd parity over all rings, so holes are outside. One fold
-    tells both: its lowest bit is the parity, the next one that an edge holds the point."""
+    tells both: its lowest bit is the parity, the next one that an edge holds the point. odd: edges that are not in the
+    array lie beyond the point, an odd number of them."""
 
     def crosses(e: Column) -> Column:
         at = F.try_divide((e["x2"] - e["x1"]) * (y - e["y1"]), e["y2"] - e["y1"]) + e["x1"]
@@ -33,7 +34,7 @@ def inside(x: Column, y: Column, edges: Column) -> Column:
         return y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])) & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])) & on_line
 
     bit = lambda c, n: F.when(c, n).otherwise(0)
-    return F.aggregate(edges, F.lit(0), lambda acc, e: acc.bitwiseXOR(bit(crosses(e), 1)).bitwiseOR(bit(touches(e), 2))) > 0
+    return F.aggregate(edges, F.lit(0) if odd is None else bit(odd, 1), lambda acc, e: acc.bitwiseXOR(bit(crosses(e), 1)).bitwiseOR(bit(touches(e), 2))) > 0
 
 
 def inside_literal(x: Column, y: Column, edges: list[tuple[float, float, float, float]]) -> Column:

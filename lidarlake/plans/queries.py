@@ -203,6 +203,23 @@ def clip_poly_counts(spark, d):
     return spatial.polygon_counts(spatial.clip_polygons(views.heights(spark, d), HEIGHTS, shapes), shapes)
 
 
+@query(f"SELECT shot_number, poly_id FROM shots, ({views.sql_edges(views.REPAIRED)}) AS e(poly_id, x1, y1, x2, y2) GROUP BY shot_number, poly_id, lon, lat HAVING {views.SQL_INSIDE}")
+def clip_poly_invalid(spark, d):
+    return spatial.clip_polygons(views.heights(spark, d), HEIGHTS, views.layer(spark, views.INVALID)).select("shot_number", "poly_id")
+
+
+_LINES = "SELECT shot_number, (shot_number * 37) % 4093 / 4096e0 AS lon, (shot_number * 53) % 4091 / 4096e0 AS lat FROM (SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS shot_number FROM lineitem)"
+
+
+@query(f"""SELECT shot_number, 8 AS samples, poly_id FROM (
+  SELECT shot_number, CAST(0 AS BIGINT) AS poly_id, row_number() OVER () AS r FROM (SELECT row_number() OVER () AS n, * FROM ({_LINES})), ({views.sql_edges([(0, [views.WIDE])])}) AS e(k, x1, y1, x2, y2) GROUP BY n, shot_number, lon, lat HAVING {views.SQL_INSIDE}
+  UNION ALL SELECT shot_number, CAST(1 + j * {views.PER_ROW} + i AS BIGINT), 0 FROM ({_LINES}) JOIN (SELECT unnest(range({views.PER_ROW})) AS i) a ON lon BETWEEN i / {views.PER_ROW}e0 AND i / {views.PER_ROW}e0 + {views.SIDE}e0
+    JOIN (SELECT unnest(range({views.SMALL // views.PER_ROW})) AS j) b ON lat BETWEEN j / {views.PER_ROW}e0 AND j / {views.PER_ROW}e0 + {views.SIDE}e0)""")
+def clip_poly_covering(spark, d):
+    rows = spatial.clip_polygons(views.line_footprints(spark, d), HEIGHTS, views.many_polygons(spark))
+    return rows.select("shot_number", F.size("rxwaveform").alias("samples"), "poly_id")
+
+
 # --- whole products -----------------------------------------------------------------------------------------------
 
 

@@ -55,6 +55,36 @@ def heights(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def line_footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Footprints from the largest table: shot_number, lon_lowestmode, lat_lowestmode, and a waveform beside them."""
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    shot = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long")
+    return t.select(shot.alias("shot_number"), ((shot * 37) % 4093 / F.lit(4096.0)).alias("lon_lowestmode"), ((shot * 53) % 4091 / F.lit(4096.0)).alias("lat_lowestmode"), F.array_repeat(F.col("l_quantity").cast("float"), 8).alias("rxwaveform"))
+
+
+#: What is not valid: parts that overlap, a ring that crosses itself, a hole that leaves its shell, and holes that overlap.
+INVALID = [
+    (1, [[[(0.125, 0.125), (0.5, 0.125), (0.5, 0.5), (0.125, 0.5)]], [[(0.375, 0.375), (0.75, 0.375), (0.75, 0.75), (0.375, 0.75)]]]),
+    (2, [[(0.25, 0.25), (0.75, 0.75), (0.75, 0.25), (0.25, 0.75)]]),
+    (3, [[(0.0, 0.5), (0.5, 0.5), (0.5, 0.875), (0.0, 0.875)], [(0.375, 0.625), (0.625, 0.625), (0.625, 0.75), (0.375, 0.75)], [(0.125, 0.5625), (0.25, 0.5625), (0.25, 0.75), (0.125, 0.75)], [(0.1875, 0.625), (0.3125, 0.625), (0.3125, 0.8125), (0.1875, 0.8125)]]),
+]
+#: The same as rings that are.
+REPAIRED = [
+    (1, [[(0.125, 0.125), (0.5, 0.125), (0.5, 0.375), (0.75, 0.375), (0.75, 0.75), (0.375, 0.75), (0.375, 0.5), (0.125, 0.5)]]),
+    (2, [[(0.25, 0.25), (0.5, 0.5), (0.25, 0.75)], [(0.75, 0.75), (0.75, 0.25), (0.5, 0.5)]]),
+    (3, [[(0.0, 0.5), (0.5, 0.5), (0.5, 0.625), (0.375, 0.625), (0.375, 0.75), (0.5, 0.75), (0.5, 0.875), (0.0, 0.875)], [(0.125, 0.5625), (0.25, 0.5625), (0.25, 0.625), (0.3125, 0.625), (0.3125, 0.8125), (0.1875, 0.8125), (0.1875, 0.75), (0.125, 0.75)]]),
+]
+#: One wide polygon with a notch, and many small squares in rows of 32.
+WIDE = [(0.0625, 0.03125), (0.9375, 0.03125), (0.9375, 0.96875), (0.5, 0.5), (0.0625, 0.96875)]
+SMALL, PER_ROW, SIDE = 1024, 32, 1 / 64
+
+
+def many_polygons(spark: SparkSession) -> DataFrame:
+    square = lambda x, y: [(x, y), (x + SIDE, y), (x + SIDE, y + SIDE), (x, y + SIDE)]
+    small = [(k + 1, [square(k % PER_ROW / PER_ROW, k // PER_ROW / PER_ROW)]) for k in range(SMALL)]
+    return layer(spark, [(0, [WIDE]), *small])
+
+
 def canopy(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = shots(spark, sf_dir)
     geo = F.struct(F.col("lat").alias("latitude_bin0"), F.col("lat").alias("latitude_lastbin"), F.col("lon").alias("longitude_bin0"), F.col("lon_last").alias("longitude_lastbin"), (F.col("k") + 200).alias("elev_highestreturn"), (F.col("k") / 2 + 100).alias("elev_lowestmode"), (F.col("k") - 20).alias("solar_elevation"))
@@ -93,7 +123,16 @@ def _sql_dyadic(id_: str, factor: int, modulus: int, scale: int) -> str:
     return f"CAST(({id_} * {factor}) % {modulus} AS DOUBLE) / {scale}e0"
 
 
-_EDGES = [(k, *e) for k, rings in POLYGONS for r in rings for e in [(*a, *b) for a, b in zip(r, [*r[1:], r[0]], strict=True)]]
+def sql_edges(polygons: list) -> str:
+    """Rows (poly_id, x1, y1, x2, y2) of valid polygons that are given by their rings."""
+    edges = [(k, *e) for k, rings in polygons for r in rings for e in [(*a, *b) for a, b in zip(r, [*r[1:], r[0]], strict=True)]]
+    return "VALUES " + ", ".join(f"(CAST({k} AS BIGINT), {a}e0, {b}e0, {c}e0, {d}e0)" for k, a, b, c, d in edges)
+
+
+#: Is a point (lon, lat) that is grouped with a polygon's edges in it?
+SQL_INSIDE = """sum(CASE WHEN (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / nullif(y2 - y1, 0) + x1 THEN 1 ELSE 0 END) % 2 = 1
+    OR bool_or((lon - x1) * (y2 - y1) = (lat - y1) * (x2 - x1) AND lon BETWEEN least(x1, x2) AND greatest(x1, x2) AND lat BETWEEN least(y1, y2) AND greatest(y1, y2))"""
+
 
 SQL = f"""WITH RECURSIVE shots AS (
   SELECT event_id AS shot_number, {_sql_beam("event_id")} AS beam, {_sql_dyadic("event_id", 37, 1009, 1024)} AS lon, {_sql_dyadic("event_id", 53, 997, 1024)} AS lat,
@@ -110,11 +149,7 @@ levels AS (SELECT vec_id AS shot_number, CAST(label + 170 AS DOUBLE) AS ground_z
 profile AS (SELECT {_sql_beam("vec_id")} AS beam, vec_id AS shot_number, CAST(1 AS SMALLINT) AS algorithmrun_flag, CAST(vec_id % 2 AS SMALLINT) AS l2b_quality_flag, CAST(label AS DOUBLE) AS delta_time, {_sql_dyadic("vec_id", 53, 997, 1024)} AS lat_lowestmode,
     {_sql_dyadic("vec_id", 37, 1009, 1024)} AS lon_lowestmode, CAST(label + 130 AS DOUBLE) AS elev_highestreturn, label + 100 + (vec_id % 2) / 2e0 AS elev_lowestmode, 0e0 AS height_lastbin, CAST(vec_id % 40 - 2 AS DOUBLE) AS height_bin0,
     embedding[1:30] AS pai_z, embedding[31:60] AS pavd_z FROM embeddings),
-edges(poly_id, x1, y1, x2, y2) AS (VALUES {", ".join(f"(CAST({k} AS BIGINT), {a}e0, {b}e0, {c}e0, {d}e0)" for k, a, b, c, d in _EDGES)}),
-hits AS (SELECT shot_number, poly_id FROM shots, edges GROUP BY shot_number, poly_id, lon, lat HAVING
-    sum(CASE WHEN (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / nullif(y2 - y1, 0) + x1 THEN 1 ELSE 0 END) % 2 = 1
-    OR bool_or((lon - x1) * (y2 - y1) = (lat - y1) * (x2 - x1) AND lon BETWEEN least(x1, x2) AND greatest(x1, x2) AND lat BETWEEN least(y1, y2) AND greatest(y1, y2))),
-hits2 AS (SELECT vec_id AS shot_number, poly_id FROM (SELECT vec_id, {_sql_dyadic("vec_id", 37, 1009, 1024)} AS lon, {_sql_dyadic("vec_id", 53, 997, 1024)} AS lat FROM embeddings), edges GROUP BY vec_id, poly_id, lon, lat HAVING
-    sum(CASE WHEN (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / nullif(y2 - y1, 0) + x1 THEN 1 ELSE 0 END) % 2 = 1
-    OR bool_or((lon - x1) * (y2 - y1) = (lat - y1) * (x2 - x1) AND lon BETWEEN least(x1, x2) AND greatest(x1, x2) AND lat BETWEEN least(y1, y2) AND greatest(y1, y2)))
+edges(poly_id, x1, y1, x2, y2) AS ({sql_edges(POLYGONS)}),
+hits AS (SELECT shot_number, poly_id FROM shots, edges GROUP BY shot_number, poly_id, lon, lat HAVING {SQL_INSIDE}),
+hits2 AS (SELECT vec_id AS shot_number, poly_id FROM (SELECT vec_id, {_sql_dyadic("vec_id", 37, 1009, 1024)} AS lon, {_sql_dyadic("vec_id", 53, 997, 1024)} AS lat FROM embeddings), edges GROUP BY vec_id, poly_id, lon, lat HAVING {SQL_INSIDE})
 """
