@@ -79,15 +79,22 @@ METADATA = "_granule_metadata"
 def write_clip(rows: DataFrame, output: str, by: tuple[str, ...] = ("poly_id", "beam"), mode: str = "error", metadata: DataFrame | None = None) -> list[str]:
     """Parquet partitioned by polygon and beam, as far as the rows have them; empty ones are not written. Each
     partition's rows are dealt by key and a salt, so that a hot polygon has several writers. The granules' metadata, if
-    given, goes with the clip."""
+    given, goes with the clip; where the rows tell their granule, that of granules which have rows left."""
     keys = [c for c in by if c in rows.columns]
     spread = rows.repartition(*keys, F.pmod(F.xxhash64("shot_number"), F.lit(16))) if keys else rows
     (spread.write.partitionBy(*keys) if keys else spread.write).mode(mode).parquet(output)
     if metadata is not None:
+        if "granule" in rows.columns:
+            metadata = of_granules(metadata, rows.sparkSession.read.schema(rows.select("granule").schema).parquet(output))
         metadata.write.mode(mode).parquet(f"{output.rstrip('/')}/{METADATA}")
     return keys
 
 
+def of_granules(metadata: DataFrame, rows: DataFrame) -> DataFrame:
+    """The metadata (granule, name, value) of the granules that rows are from."""
+    return metadata.join(rows.select("granule").distinct(), "granule", "left_semi")
+
+
 def read_metadata(spark: SparkSession, output: str) -> DataFrame:
     """The metadata that write_clip kept."""
     return spark.read.parquet(f"{output.rstrip('/')}/{METADATA}")
@@ -127,4 +134,4 @@ def total_samples(rows: DataFrame, by: str = "beam") -> DataFrame:
     return rows.groupBy(by).agg(F.sum("rx_sample_count").alias("rx"), F.sum("tx_sample_count").alias("tx"))
 
 
-__all__ = ["NothingLeft", "clip_granule", "clip_granule_polygons", "clip_heights", "clip_heights_polygons", "clip_variants", "clip_variants_polygons", "flat_index", "gather", "height_variants", "normalised_start", "read_metadata", "total_samples", "write_clip"]
+__all__ = ["NothingLeft", "clip_granule", "clip_granule_polygons", "clip_heights", "clip_heights_polygons", "clip_variants", "clip_variants_polygons", "flat_index", "gather", "height_variants", "normalised_start", "of_granules", "read_metadata", "total_samples", "write_clip"]

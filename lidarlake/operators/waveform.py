@@ -1,13 +1,18 @@
 """Full waveforms: reconstruction, cumulative energy, and relative-height marks.
 
 A shot's samples stay an array as long as what is asked of them can be told from the array; they are exploded last.
-Where a running sum needs them in order, rows are joined and dealt by shot before that, so that samples never move.
+Running sums and nearest samples are found in Arrow batches, where waveforms are rows of a matrix: samples never move and
+are never sorted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import warnings
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,28 +81,94 @@ def _band(levels: DataFrame) -> DataFrame:
     return levels.groupBy("shot_number").agg(F.min("z").alias("zmin"), F.max("z").alias("zmax"))
 
 
+#: Waveforms that are worked on together, as rows of a matrix.
+_TOGETHER = 512
+_CURVE = pa.schema([("shot_number", pa.int64()), ("bin", pa.int32()), ("elevation", pa.float64()), ("energy", pa.float64())])
+_MARK = pa.schema([("shot_number", pa.int64()), ("rh", pa.int32()), ("z", pa.float64()), ("bin", pa.int32()), ("elevation", pa.float64()), ("energy", pa.float64()), ("label_z", pa.float64())])
+
+
+class Curves:
+    """Energy curves of some waveforms, in rows, from the last bin upward: what lies outside of a shot's band, or beyond
+    its last sample, is not held."""
+
+    def __init__(self, b: pa.RecordBatch) -> None:
+        lists = b.column("rxwaveform")
+        n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        top, bottom, zmin, zmax = (b.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("elevation_bin0", "elevation_lastbin", "zmin", "zmax"))
+        shape = (b.num_rows, int(n.max(initial=0)))
+        there = np.arange(shape[1]) < n[:, None]
+        amp = np.full(shape, np.nan)
+        amp[there] = lists.flatten().to_numpy(zero_copy_only=False)
+        # upward: column 0 is each waveform's last bin
+        self.bin = np.where(there, n[:, None] - np.arange(shape[1]), 0)
+        at = np.maximum(self.bin - 1, 0)
+        amp = np.take_along_axis(amp, at, 1) if shape[1] else amp
+        with np.errstate(divide="ignore", invalid="ignore"):
+            step = (top - bottom) / n
+            self.elevation = top[:, None] - self.bin * step[:, None]
+            low, high = (np.array(f(np.where(there, amp, other), axis=1, initial=other)) for f, other in ((np.nanmin, np.inf), (np.nanmax, -np.inf)))
+            self.held = there & (self.elevation >= zmin[:, None]) & (self.elevation <= zmax[:, None])
+            total = np.cumsum(np.where(self.held, amp - low[:, None], 0.0), axis=1)
+            spread = np.max(np.where(self.held, total, -np.inf), axis=1, initial=-np.inf) - np.min(np.where(self.held, total, np.inf), axis=1, initial=np.inf)
+            factor = spread / (high - low)
+            self.energy = np.where((high > low)[:, None] & (factor != 0)[:, None], total / factor[:, None] + low[:, None], np.nan)
+
+
+def _with_levels(product: DataFrame, levels: DataFrame) -> DataFrame:
+    per = levels.groupBy("shot_number").agg(F.min("z").alias("zmin"), F.max("z").alias("zmax"), F.collect_list(F.struct(F.col("rh").cast("int").alias("rh"), "z")).alias("levels"))
+    wave = F.transform("rxwaveform", lambda v: v.cast("double")).alias("rxwaveform")
+    return product.select("shot_number", "elevation_bin0", "elevation_lastbin", wave).join(per, "shot_number").select("shot_number", "elevation_bin0", "elevation_lastbin", "rxwaveform", "zmin", "zmax", "levels")
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, _TOGETHER):
+            yield b.slice(at, _TOGETHER)
+
+
+def _numbers(x: np.ndarray) -> pa.Array:
+    return pa.array(x, pa.float64(), from_pandas=True)
+
+
 def cumulative_energy(product: DataFrame, levels: DataFrame) -> DataFrame:
     """(shot_number, bin, elevation, energy): energy added up from the ground within [rh0, rh100], scaled to the range
-    of the whole waveform. Shots whose band holds fewer than two different sums have null energy."""
-    shot = Window.partitionBy("shot_number")
-    up = shot.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
-    low, high = F.array_min("rxwaveform").cast("double"), F.array_max("rxwaveform").cast("double")
-    # a merge join deals whole rows by shot; their samples then stay where they are
-    rows = product.hint("merge").join(_band(levels), "shot_number")
-    s = rows.select("shot_number", "zmin", "zmax", low.alias("low"), (high - low).alias("span"), F.posexplode(F.arrays_zip("rxwaveform", _elevations().alias("elevation"))).alias("at", "s"))
-    kept = s.select("shot_number", (F.col("at") + 1).alias("bin"), "low", "span", "zmin", "zmax", F.col("s.rxwaveform").cast("double").alias("amp"), "s.elevation").filter(F.col("elevation").between(F.col("zmin"), F.col("zmax")))
-    summed = kept.withColumn("total", F.sum(F.col("amp") - F.col("low")).over(up))
-    spread = F.max("total").over(shot) - F.min("total").over(shot)
-    return summed.select("shot_number", "bin", "elevation", (F.try_divide(F.col("total"), F.try_divide(spread, F.col("span"))) + F.col("low")).alias("energy"))
-
-
-def marks(curve: DataFrame, levels: DataFrame) -> DataFrame:
-    """(shot_number, rh, z, bin, elevation, energy, label_z): per height the nearest samples of the curve, ties kept, and
-    the middle between the height and the lowest level, where its label stands."""
-    low = F.min("z").over(Window.partitionBy("shot_number"))
-    near = F.rank().over(Window.partitionBy("shot_number", "rh").orderBy("gap"))
-    paired = curve.join(levels.withColumn("zmin", low), "shot_number").withColumn("gap", F.abs(F.col("elevation") - F.col("z")))
-    return paired.withColumn("near", near).filter("near = 1").select("shot_number", "rh", "z", "bin", "elevation", "energy", (F.col("z") - (F.col("z") - F.col("zmin")) / 2).alias("label_z"))
+    of the whole waveform. Shots whose band holds fewer than two different sums have null energy. A waveform's samples
+    stay together: sums run along rows of a matrix, in the task that has the row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _parts(batches):
+            c = Curves(b)
+            row, at = np.nonzero(c.held)
+            if len(row):
+                yield pa.RecordBatch.from_arrays([b.column("shot_number").take(pa.array(row)), pa.array(c.bin[row, at], pa.int32()), pa.array(c.elevation[row, at]), _numbers(c.energy[row, at])], schema=_CURVE)
+
+    return _with_levels(product, levels).drop("levels").mapInArrow(run, "shot_number long, bin int, elevation double, energy double")
+
+
+def energy_marks(product: DataFrame, levels: DataFrame) -> DataFrame:
+    """(shot_number, rh, z, bin, elevation, energy, label_z): per height the nearest samples of the energy curve, ties
+    kept, and the middle between the height and the lowest level, where its label stands. Found where the waveform is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _parts(batches):
+            c = Curves(b)
+            lists = b.column("levels")
+            shot = np.repeat(np.arange(b.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            flat = lists.flatten()
+            rh, z = flat.field("rh"), flat.field("z").to_numpy(zero_copy_only=False)
+            low = b.column("zmin").to_numpy(zero_copy_only=False)
+            if not c.held.size:
+                continue
+            gap = np.where(c.held[shot], np.abs(c.elevation[shot] - z[:, None]), np.nan)
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")  # a level of a shot without a curve
+                nearest = np.nanmin(gap, axis=1)
+            level, at = np.nonzero(gap == nearest[:, None])
+            if len(level):
+                row, own = shot[level], z[level]
+                yield pa.RecordBatch.from_arrays([b.column("shot_number").take(pa.array(row)), rh.take(pa.array(level)), _numbers(own), pa.array(c.bin[row, at], pa.int32()), pa.array(c.elevation[row, at]), _numbers(c.energy[row, at]), _numbers(own - (own - low[row]) / 2)], schema=_MARK)
+
+    return _with_levels(product, levels).mapInArrow(run, "shot_number long, rh int, z double, bin int, elevation double, energy double, label_z double")
 
 
 def amplitude_limits(product: DataFrame, levels: DataFrame, share: float = 0.2) -> DataFrame:
@@ -124,5 +195,4 @@ def metrics_view(waveform_product: DataFrame, height_product: DataFrame, shot_nu
     """Everything that a picture of one shot's waveform with its relative heights shows."""
     one = of_shot(waveform_product, shot_number)
     levels = height_levels(height_product.filter(F.col("shot_number") == shot_number), rh)
-    curve = cumulative_energy(one, levels)
-    return {"outline": outline(one), "curve": curve, "marks": marks(curve, levels), "limits": amplitude_limits(one, levels), "ticks": ticks(levels)}
+    return {"outline": outline(one), "curve": cumulative_energy(one, levels), "marks": energy_marks(one, levels), "limits": amplitude_limits(one, levels), "ticks": ticks(levels)}

@@ -254,6 +254,16 @@ def clip_product_split(spark, d):
     return spark.read.parquet(path).select("beam", "poly_id", "shot_number", "rx_sample_count")
 
 
+@query(f"SELECT 'g' || n_nationkey AS granule, n_name AS name, CAST(n_regionkey AS VARCHAR) AS value FROM nation WHERE n_nationkey IN (SELECT shot_number % 1009 FROM geo WHERE {_BOTH})")
+def clip_metadata(spark, d):
+    granule = lambda c: F.concat(F.lit("g"), c.cast("string")).alias("granule")
+    rows = views.geolocation(spark, d).select("*", granule(F.col("shot_number") % 1009))
+    metadata = spark.read.parquet(f"{d}/nation.parquet").select(granule(F.col("n_nationkey")), F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("value"))
+    path = scratch(spark)
+    granules.write_clip(granules.clip_granule(rows, WAVEFORM_GEO, *BOX), path, metadata=metadata)
+    return granules.read_metadata(spark, path)
+
+
 @query("SELECT beam, shot_number, rx_sample_count, CAST(1 + coalesce(sum(rx_sample_count) OVER (PARTITION BY beam ORDER BY shot_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_index FROM geo")
 def csr_rebase(spark, d):
     return granules.flat_index(views.geolocation(spark, d))
@@ -404,6 +414,17 @@ def stats_custom_udaf(spark, d):
     return stats.summarise_custom(views.shots(spark, d), "k", lambda s: s.max() - s.min(), "spread", "beam")
 
 
+#: The root mean square and the range, in parts.
+_RMS = stats.Statistic(lambda: (0, 0.0), lambda s, v: (s[0] + len(v), s[1] + float((v * v).sum())), lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda s: (s[1] / s[0]) ** 0.5 if s[0] else None)
+_SPREAD = stats.Statistic(lambda: (float("inf"), float("-inf")), lambda s, v: (min(s[0], float(v.min())), max(s[1], float(v.max()))), lambda a, b: (min(a[0], b[0]), max(a[1], b[1])), lambda s: s[1] - s[0])
+
+
+@query("SELECT CASE WHEN shot_number % 10 = 0 THEN beam END AS key, round(sqrt(avg(k * k)), 9) AS rms, CAST(max(k) - min(k) AS DOUBLE) AS spread FROM shots GROUP BY 1")
+def stats_mergeable(spark, d):
+    rows = views.shots(spark, d).withColumn("key", F.when(F.col("shot_number") % 10 == 0, F.col("beam")))
+    return stats.summarise_mergeable(rows, {"rms": ("k", _RMS), "spread": ("k", _SPREAD)}, "key").withColumn("rms", F.round("rms", 9))
+
+
 _RES = 0.125
 _CELLS = """, g AS (SELECT min({x}) AS x0, min({y}) AS y0, CAST(greatest(1, floor((max({x}) - min({x})) / 0.125e0 + 0.5e0)) AS BIGINT) AS nc, CAST(greatest(1, floor((max({y}) - min({y})) / 0.125e0 + 0.5e0)) AS BIGINT) AS nr FROM shots),
 placed AS (SELECT *, CASE WHEN {y} = y0 THEN nr - 1 ELSE CAST(floor((y0 + nr * 0.125e0 - {y}) / 0.125e0) AS BIGINT) END AS r0, CASE WHEN {x} = x0 + nc * 0.125e0 THEN nc - 1 ELSE CAST(floor(({x} - x0) / 0.125e0) AS BIGINT) END AS c0
@@ -482,7 +503,7 @@ def wf_cum_energy(spark, d):
   SELECT c.*, rh, z, zmin, rank() OVER (PARTITION BY shot_number, rh ORDER BY abs(elevation - z)) AS near FROM curve c JOIN levels USING (shot_number) JOIN band USING (shot_number)) WHERE near = 1""")
 def wf_rh_marks(spark, d):
     waves, levels = _waves(spark, d)
-    return waveform.marks(waveform.cumulative_energy(waves, levels), levels).withColumn("energy", F.round("energy", 9))
+    return waveform.energy_marks(waves, levels).withColumn("energy", F.round("energy", 9))
 
 
 @query("""SELECT shot_number, ymin, ymax, quantile_disc(CAST(rxwaveform AS DOUBLE), 0.05) AS q05, quantile_disc(CAST(rxwaveform AS DOUBLE), 1.0) AS q100
@@ -525,6 +546,12 @@ def profile_lines(spark, d):
     return profiles.track_lines(profiles.track_profile(views.profiles(spark, d), "pai", BEAM).withColumn("y", F.col("y").cast("double")))
 
 
+@query(_track("pai_z", True).replace("OVER (ORDER BY", "OVER (PARTITION BY shot_number % 3 ORDER BY").replace("SELECT shot_number, CAST(rowid", "SELECT 'g' || shot_number % 3 AS granule, shot_number, CAST(rowid") + "SELECT * FROM track")
+def pai_profile_granules(spark, d):
+    rows = views.profiles(spark, d).withColumn("granule", F.concat(F.lit("g"), (F.col("shot_number") % 3).cast("string")))
+    return profiles.track_profile(rows, "pai", BEAM).withColumn("y", F.col("y").cast("double"))
+
+
 # --- catalogue ----------------------------------------------------------------------------------------------------
 
 
