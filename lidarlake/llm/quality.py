@@ -42,7 +42,7 @@ LEAST = 50
 #: Text characters that are worked on at a time.
 PIECE = 1 << 20
 #: Groups of blocks that are scored one after the other, so that only one group's answers of bytes travel at a time.
-ROUNDS = 2
+ROUNDS = 4
 #: Text bytes whose n-grams a shard answers for.
 SHARD_BYTES = 32 << 20
 
@@ -78,24 +78,32 @@ def _shard(x: np.ndarray, n: int) -> np.ndarray:
     return ((_spread(x) >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
 
 
-def ordered(texts: list[str | None], known: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Piece by piece: where among the block's distinct n-grams the one at each byte stands; each text's bytes. Places
-    ride in the low bits of a plain sort."""
+def ordered(texts: list[str | None]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """A block's distinct n-grams, ascending; and piece by piece where among them the piece's distinct ones stand, which
+    of these is at each byte, and each text's bytes. Places ride in the low bits of a plain sort."""
+    own, at, sizes = [], [], []
     for _, part in pieces(texts, PIECE):
         g, size = grams(part)
         bits = max(1, len(g).bit_length())
         if 8 * ORDER + bits > 63:  # a very long text: places don't fit beside the n-grams
-            yield np.searchsorted(known, g), size
-            continue
-        g <<= bits
-        g |= np.arange(len(g))
-        g.sort()
-        order = g & ((1 << bits) - 1)
-        g >>= bits
-        first = tokens64.firsts(g)
-        back = np.empty(len(g), np.int32)
-        back[order] = np.searchsorted(known, g[first])[np.cumsum(first) - 1]
-        yield back, size
+            g, back = np.unique(g, return_inverse=True)
+            own.append(g)
+            at.append(back.reshape(-1))
+        else:
+            g <<= bits
+            g |= np.arange(len(g))
+            g.sort()
+            order = g & ((1 << bits) - 1)
+            g >>= bits
+            first = tokens64.firsts(g)
+            back = np.empty(len(g), np.int32)
+            back[order] = np.cumsum(first, dtype=np.int32) - np.int32(1)
+            own.append(g[first])
+            at.append(back)
+        sizes.append(size)
+    known = np.sort(np.concatenate([np.zeros(0, np.int64), *own]))
+    known = known[tokens64.firsts(known)]
+    return known, [(np.searchsorted(known, g), back, size) for g, back, size in zip(own, at, sizes, strict=True)]
 
 
 def _by_shard_and_value(g: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -295,14 +303,14 @@ class Judged:
                     texts = t.column("_text").to_pylist()
                     above, below, words_of = words.mixture(model, texts, says, spoke)
                     del says, spoke
-                    g, _ = _distinct(texts, set())
+                    g, found = ordered(texts)
                     order, _ = _by_shard_and_value(g, shards)
                     logp = np.empty(len(g), np.float32)
                     logp[order] = np.concatenate([np.zeros(0, np.float32), *(expand(a["values"], np.float32) for a in sorted(got, key=lambda a: a["shard"]))])
                     counts, losses, means, worst = [], [], [], []
                     at = 0
-                    for (begin, part), (back, n) in zip(pieces(texts, PIECE), ordered(texts, g), strict=True):
-                        each, end = logp[back], at + int(words_of[begin : begin + len(part)].sum())
+                    for (begin, part), (place, back, n) in zip(pieces(texts, PIECE), found, strict=True):
+                        each, end = logp[place][back], at + int(words_of[begin : begin + len(part)].sum())
                         more, most = words.losses(part, n, each, lambda spelling: words.log_probabilities(above[at:end], below[at:end], spelling))  # noqa: B023
                         at = end
                         means += more
@@ -316,7 +324,7 @@ class Judged:
         parts = []
         for k in range(ROUNDS):
             some = self.blocks.filter(F.pmod(F.xxhash64("block"), F.lit(ROUNDS)) == k)
-            asked = _requests(some, marks.select("block", "fit"), shards)
+            asked = _requests(some, marks.select("block", F.array().cast("array<int>").alias("fit")), shards)
             answers = blocked.gathered(_answers(asked, model_table, shards), "answers", "shard", "values")
             every = words.joined(some, told).join(spoken.hint("shuffle_hash"), "block", "left").join(answers.hint("shuffle_hash"), "block", "left").join(blocked.dealt(marks.select("block", "test")).hint("shuffle_hash"), "block", "left")
             parts.append(cut(every.select("block", "blob", "answers", "told", "spoken", "test").mapInArrow(lean(run), "block long, pos int, doc_id long, lang string, n_bytes long, loss double, word_loss double, worst double, calibrates boolean").hint("rebalance"), large=True))

@@ -380,7 +380,7 @@ def losses(texts: list[str | None], size: np.ndarray, byte_logp: np.ndarray, wor
     data, _ = tokens64.joined(texts)
     begins, ends = tokens64.spans(data)
     # places in the texts' bytes, without the space after each text
-    text = np.searchsorted(np.cumsum(size + 1), begins, "right")
+    text = np.repeat(np.arange(len(size)), np.diff(np.searchsorted(begins, np.append(0, np.cumsum(size + 1)))))
     begins, ends = begins - text, ends - text
     ends = ends + (ends < np.cumsum(size)[text])
     each = byte_logp.astype(np.float64)
@@ -388,8 +388,11 @@ def losses(texts: list[str | None], size: np.ndarray, byte_logp: np.ndarray, wor
         total = np.concatenate(([0.0], np.cumsum(each)))
         p = word_logp(total[ends] - total[begins])
         n = ends - begins
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begins, n)
-        each[at] = np.repeat(p / n, n)
+        # bytes outside of words and bytes of words by turns
+        turns = np.empty(2 * len(n) + 1, np.int64)
+        turns[1::2] = n
+        turns[::2] = np.append(begins, len(each)) - np.append(0, ends)
+        each[np.repeat(np.arange(len(turns)) % 2 == 1, turns)] = np.repeat(p / n, n)
     total = np.concatenate(([0.0], np.cumsum(each)))
     means, worst, end = [], [], 0
     for n in size.tolist():
