@@ -10,7 +10,8 @@ No pairs of a bucket are listed. First each node takes one partner, the least me
 that it meets most often; if the signatures allow it, the full sets decide. Components of these links (large stars and
 small stars) settle nearly all buckets. Buckets that still hold members of different components are then searched: the
 members outside of the component of the bucket's least one are compared with all others of another component, signature
-by signature, in chunks of CHUNK members. Of what passes, full sets decide first on as many pairs of a chunk as would make
+by signature and then by parity sketch, which bounds the difference of two sets from below, in chunks of CHUNK members. Of
+what passes, full sets decide first on as many pairs of a chunk as would make
 its components one, the most similar first; then the buckets are searched again, and all pairs that pass and are still of
 different components are decided. Two members are compared in the first of the buckets that they share. A hot bucket is a
 sum, a join that adaptive execution splits, and its chunks.
@@ -36,7 +37,7 @@ from . import blocks as blocked
 from .blocks import expand_ascending, pieces, squeeze_ascending
 from .common import batch_of, lean
 from .components import components
-from .jaccard import shingle_sets
+from .jaccard import folded, shingle_sets, sketch
 
 WORDS = 3
 BANDS, ROWS = 40, 8
@@ -59,6 +60,17 @@ def may_link(a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray | bool:
     return 100 * np.minimum(a, b) >= 85 * np.maximum(a, b)
 
 
+def most_apart(a: int, b: int) -> int:
+    """Shingles that only one of two linked sets of these sizes has, at most."""
+    return a + b + 2 * (-85 * (a + b) // 185)
+
+
+def differ(a: np.ndarray, b: np.ndarray) -> int:
+    """Bits in which two sketches differ: no more than there are shingles that only one of the sets has."""
+    size = min(a.shape[1], b.shape[1])
+    return int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum())
+
+
 def minima(sets: list[np.ndarray]) -> np.ndarray:
     """The minima (32 bits) of sets, none of them empty, in rows."""
     out = np.empty((len(sets), BANDS * ROWS), np.uint32)
@@ -93,13 +105,13 @@ def band_keys(m: np.ndarray) -> np.ndarray:
 
 # --- rows and their signatures ------------------------------------------------------------------------------------
 
-_MADE = pa.schema([("block", pa.int64()), ("pos", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("bands", pa.binary()), ("signature", pa.binary())])
-_MADE_SQL = "block long, pos int, doc_id long, n long, key binary, bands binary, signature binary"
+_MADE = pa.schema([("block", pa.int64()), ("pos", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("bands", pa.binary()), ("signature", pa.binary()), ("sketch", pa.binary())])
+_MADE_SQL = "block long, pos int, doc_id long, n long, key binary, bands binary, signature binary, sketch binary"
 
 
 def _made(table: DataFrame) -> DataFrame:
     """A row for each document: its place, the size and key of its set, and, for the first row of a block that has the
-    set, its bands and its signature (the low byte of each minimum)."""
+    set, its bands, its signature (the low byte of each minimum) and its parity sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -116,8 +128,9 @@ def _made(table: DataFrame) -> DataFrame:
                     bands, low = band_keys(m), m.astype(np.uint8)
                     bands_of = {i: r.tobytes() for i, r in zip(first, bands, strict=True)}
                     low_of = {i: r.tobytes() for i, r in zip(first, low, strict=True)}
+                    sketch_of = {i: sketch(sets[i]) for i in first}
                     n = range(len(part))
-                    yield batch_of(_MADE, [[block] * len(part), np.arange(begin, begin + len(part), dtype=np.int32), ids.slice(begin, len(part)), [len(s) for s in sets], keys, [bands_of.get(i) for i in n], [low_of.get(i) for i in n]])
+                    yield batch_of(_MADE, [[block] * len(part), np.arange(begin, begin + len(part), dtype=np.int32), ids.slice(begin, len(part)), [len(s) for s in sets], keys, [bands_of.get(i) for i in n], [low_of.get(i) for i in n], [sketch_of.get(i) for i in n]])
 
     return table.select("block", "blob").mapInArrow(lean(run), _MADE_SQL)
 
@@ -208,7 +221,7 @@ _APART = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
 class _Held:
-    """Members of a bucket that are asked: keys, components, sizes, bands and signatures."""
+    """Members of a bucket that are asked: keys, components, sizes, bands, signatures and sketches."""
 
     def __init__(self, rows: list[tuple], number: dict[bytes, int]) -> None:
         self.minor = np.array([r[0] for r in rows], bool)
@@ -217,6 +230,7 @@ class _Held:
         self.n = np.array([r[3] for r in rows], np.int64)
         self.bands = np.frombuffer(b"".join(r[4] for r in rows), np.int64).reshape(-1, BANDS)
         self.signatures = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(-1, BANDS * ROWS)
+        self.sketches = [np.frombuffer(r[6], np.uint64)[None] for r in rows]
         self.high = np.array([int.from_bytes(k[:8], "big") for k in self.keys], np.uint64)
 
     def partners(self, other: _Held, k: int, band: int) -> tuple[np.ndarray, np.ndarray]:
@@ -227,6 +241,8 @@ class _Held:
         at = at[other.bands[k][(self.bands[at] == other.bands[k]).argmax(1)] == band]
         same = (self.signatures[at] == other.signatures[k]).sum(1)
         ok = same >= LEAST
+        at, same = at[ok], same[ok]
+        ok = np.fromiter((differ(self.sketches[i], other.sketches[k]) <= most_apart(int(self.n[i]), int(other.n[k])) for i in at.tolist()), bool, len(at))
         return at[ok], same[ok]
 
 
@@ -235,11 +251,11 @@ def _apart(members: DataFrame, nodes: DataFrame, roots: DataFrame, forest: bool)
     bucket's chunk only as many as would make its components one, the most similar ones first."""
     rooted = cut(_rooted(members, roots))
     mixed = rooted.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.max(F.when(F.col("key") == F.col("centre"), F.col("comp"))).alias("main")).filter("least <> most")
-    rows = rooted.join(mixed.select("band", "main"), "band").join(nodes.select("key", "n", "bands", "signature"), "key")
+    rows = rooted.join(mixed.select("band", "main"), "band").join(nodes.select("key", "n", "bands", "signature", "sketch"), "key")
     chunks = F.ceil(F.col("members") / CHUNK).cast("int")
     own = F.pmod(F.xxhash64("key"), chunks).cast("int")
     minor = F.col("comp") != F.col("main")
-    columns = ("key", "comp", "n", "bands", "signature")
+    columns = ("key", "comp", "n", "bands", "signature", "sketch")
     held = rows.select("band", own.alias("chunk"), F.lit(0).alias("kind"), minor.alias("minor"), *columns)
     asking = rows.filter(minor).select("band", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(1).alias("kind"), F.lit(True).alias("minor"), *columns)
 
@@ -271,7 +287,7 @@ def _apart(members: DataFrame, nodes: DataFrame, roots: DataFrame, forest: bool)
                     yield batch_of(_APART, [*zip(*out, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((x[:2], x[2], x[3:]) for b in batches for x in zip(*(b.column(i).to_pylist() for i in range(9)), strict=True))
+        rows = ((x[:2], x[2], x[3:]) for b in batches for x in zip(*(b.column(i).to_pylist() for i in range(10)), strict=True))
         row = next(rows, None)
         while row is not None:
             now, own = row[0], []
@@ -306,7 +322,7 @@ class _Linked:
         self.base = made.select("block", "pos", "doc_id", "n", "key")
         place = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "block", "pos")
         own = made.filter("key is not null").groupBy("key")
-        nodes = cut(own.agg(F.min("doc_id").alias("least"), F.min(place).alias("best"), F.first("n").alias("n"), F.max("bands").alias("bands"), F.max("signature").alias("signature")))
+        nodes = cut(own.agg(F.min("doc_id").alias("least"), F.min(place).alias("best"), F.first("n").alias("n"), F.max("bands").alias("bands"), F.max("signature").alias("signature"), F.max("sketch").alias("sketch")))
         buckets = _buckets(nodes)
         shared = buckets.groupBy("band").agg(F.min("key").alias("centre"), F.count("*").alias("members")).filter("members > 1")
         members = cut(buckets.join(shared, "band"))

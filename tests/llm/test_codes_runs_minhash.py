@@ -250,6 +250,18 @@ def test_minhash_keeps_one_row_of_each_component(spark):
     assert minhash.dedup(docs(spark, [])).count() == 0
 
 
+def test_sketches_bound_links():
+    r = np.random.default_rng(5)
+    for a, b in ((1, 1), (100, 118), (117, 100), (1000, 900), (40, 34)):
+        least = -(-85 * (a + b) // 185)
+        assert minhash.most_apart(a, b) == a + b - 2 * least
+        for shared in (min(a, b, least), max(0, least - 1)):
+            pool = r.integers(0, 1 << 64, a + b - shared, np.uint64)
+            x, y = (np.frombuffer(minhash.sketch(v), np.uint64)[None] for v in (pool[:a], pool[a - shared :]))
+            assert minhash.differ(x, y) <= a + b - 2 * shared
+            assert minhash.linked(shared, a, b) == (a + b - 2 * shared <= minhash.most_apart(a, b))
+
+
 def test_signatures_estimate_similarity():
     r = np.random.default_rng(0)
     pool = r.integers(0, 1 << 64, 1300, np.uint64)
