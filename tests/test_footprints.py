@@ -403,9 +403,12 @@ def test_one_polygon_over_all_tiles(spark):
     assert near(0.25) == near(None) and len(near(None)) > 1000
 
 
-def test_running_numbers_in_any_group(spark):
+@pytest.mark.parametrize("most", [100, 2_000_000])
+def test_running_numbers_in_any_group(spark, monkeypatch, most):
+    from lidarlake.operators import ordering
     from lidarlake.operators.ordering import running
 
+    monkeypatch.setattr(ordering, "WINDOW_ROWS", most)
     rows = [(g, i, v) for g, n in (("a", 500), ("b", 3), (None, 40)) for i, v in ((k, k % 5) for k in range(n))]
     got = {(r["g"], r["i"]): r["before"] for r in running(spark.createDataFrame(rows, "g string, i long, v int").repartition(7), ("g",), "i", "before", "v").collect()}
     assert len(got) == 543 and all(got[g, i] == sum(k % 5 for k in range(i)) for g, i, _ in rows)
