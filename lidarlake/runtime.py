@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from dataclasses import dataclass, field
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
-#: Names of tables that operators registered in the session's catalogue; `release` drops them.
+#: Names of tables that operators registered in the session's catalogue, in a database of their own, and the paths that
+#: were written for this application; `release` drops them.
 TABLES: list[str] = []
+PATHS: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -78,6 +82,8 @@ def discard(*frames: DataFrame) -> None:
     """Delete cut frames that nothing will read again."""
     for df in frames:
         _delete(df.sparkSession, df.cut_path)
+        if df.cut_path in PATHS:
+            PATHS.remove(df.cut_path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -87,13 +93,55 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def scratch(spark: SparkSession) -> str:
     """A new path in this application's part of the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/cut-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    PATHS.append(f"{shared_dir(spark).rstrip('/')}/cut-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}")
+    return PATHS[-1]
+
+
+def scratch_table(spark: SparkSession) -> str:
+    """A new name in this application's own database, which lasts as long as it has tables."""
+    database = f"scratch_{re.sub(r'[^a-z0-9]', '_', spark.sparkContext.applicationId.lower())}"
+    if not spark.catalog.databaseExists(database):
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{scratch(spark)}'")
+    TABLES.append(f"{database}.t_{uuid.uuid4().hex}")
+    return TABLES[-1]
+
+
+@dataclass
+class Made:
+    """Paths and tables that were cut meanwhile."""
+
+    paths: list[str] = field(default_factory=list)
+    tables: list[str] = field(default_factory=list)
+
+    def drop(self, spark: SparkSession) -> None:
+        """Delete them; frames that read them can no longer be read."""
+        for t in self.tables:
+            if spark.catalog.databaseExists(t.split(".")[0]):
+                spark.sql(f"DROP TABLE IF EXISTS {t}")
+            if t in TABLES:
+                TABLES.remove(t)
+        if self.tables and not TABLES:
+            spark.sql(f"DROP DATABASE IF EXISTS {self.tables[0].split('.')[0]} CASCADE")
+        for p in self.paths:
+            _delete(spark, p)
+            if p in PATHS:
+                PATHS.remove(p)
+        self.paths, self.tables = [], []
+
+
+@contextmanager
+def recorded() -> Iterator[Made]:
+    """What is cut inside."""
+    made, paths, tables = Made(), len(PATHS), len(TABLES)
+    try:
+        yield made
+    finally:
+        made.paths, made.tables = PATHS[paths:], TABLES[tables:]
 
 
 def release(spark: SparkSession) -> None:
     """Delete all that this application has cut; frames that were not written before can no longer be read."""
-    while TABLES:
-        spark.sql(f"DROP TABLE IF EXISTS {TABLES.pop()}")
+    Made(list(PATHS), list(TABLES)).drop(spark)
     _delete(spark, f"{shared_dir(spark).rstrip('/')}/cut-{spark.sparkContext.applicationId}")
 
 
