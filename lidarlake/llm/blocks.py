@@ -6,7 +6,6 @@ table holds. What a block needs from elsewhere comes to it by its number; texts
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import TABLES, partitions, scratch, writing
+from ..runtime import partitions, scratch, scratch_table, writing
 from .common import PIECE_BYTES, batch_of, col, lean
 
 #: A block closes at so many bytes, all columns counted, or rows.
@@ -59,8 +58,7 @@ def bucket_of(number: int, n: int) -> int:
 def _saved(df: DataFrame, large: bool = True) -> DataFrame:
     """df as a table that is bucketed by block; tables of one session meet by block without a shuffle."""
     spark = df.sparkSession
-    name, path = f"blocks_{uuid.uuid4().hex}", scratch(spark)
-    TABLES.append(name)
+    name, path = scratch_table(spark), scratch(spark)
     with writing(spark, large):
         df.write.bucketBy(buckets(spark), "block").option("path", path).option("compression", "uncompressed").saveAsTable(name)
     out = spark.read.table(name)

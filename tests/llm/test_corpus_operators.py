@@ -1,6 +1,7 @@
 """Operators over all documents against brute force: the n-gram model, the Jaccard join, and the pipeline."""
 
 import math
+import os
 import random
 import re
 import zlib
@@ -443,6 +444,21 @@ def test_pipeline_is_that_of_plain_python(spark, tmp_path):
     assert max(ends.values()) <= packing.CAPACITY
 
 
+def test_pipeline_leaves_its_last_input_only(spark, sf_dir):
+    import corpus_pipeline
+    from lidarlake import runtime
+
+    runtime.release(spark)
+    before = {d.name for d in spark.catalog.listDatabases()}, len(spark.catalog.listTables())
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert out.count() > 0
+    kept = [p for p in runtime.PATHS if os.path.exists(p.removeprefix("file:"))]
+    assert len(kept) == 1 and not runtime.TABLES
+    assert ({d.name for d in spark.catalog.listDatabases()}, len(spark.catalog.listTables())) == before
+    runtime.release(spark)
+    assert not os.path.exists(kept[0].removeprefix("file:"))
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
