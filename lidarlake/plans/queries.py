@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.missing import metric_set, nullify
-from ..operators import clip, extract, granules, grid, profiles, spatial, stats, waveform
+from ..operators import clip, extract, granules, grid, profiles, raster, spatial, stats, waveform
 from ..runtime import scratch, ship
 from ..sources import catalog, vector, views
 from ..sources import granules as source
@@ -457,6 +457,23 @@ def grid_dense(spark, d):
     return grid.densify(grid.grid_stats(s, "lon", "lat", _FINE, {"n": F.count("*")}, grid=g), g).select("cell", "n")
 
 
+@query(_CELLS.replace("0.125e0", f"{_FINE}e0") + "SELECT CAST(i AS BIGINT) AS cell, CAST((i - 1) // nc AS BIGINT) AS row, CAST((i - 1) % nc AS BIGINT) AS col, n FROM (SELECT unnest(range(1, nc * nr + 1)) AS i, nc FROM g) LEFT JOIN (SELECT cell, count(*) AS n FROM cells GROUP BY 1) ON cell = i")
+def grid_tiles(spark, d):
+    s = views.shots(spark, d)
+    g = grid.grid_of(s, "lon", "lat", _FINE)
+    return raster.unpack(raster.tiles(grid.grid_stats(s, "lon", "lat", _FINE, {"n": F.count("*")}, grid=g), ["n"]), g, ["n"], dense=True)
+
+
+@query(_CELLS.replace("0.125e0", f"{_FINE}e0") + """, c AS (SELECT row, col, count(*) AS n, max(k) AS top FROM cells GROUP BY 1, 2),
+v AS (SELECT l, row >> l AS row, col >> l AS col, sum(n) AS n, max(top) AS top FROM c, (SELECT unnest(range(4)) AS l) GROUP BY 1, 2, 3)
+SELECT CAST(l AS INTEGER) AS level, CAST(row // 64 AS BIGINT) AS tile_row, CAST(col // 64 AS BIGINT) AS tile_col, count(*) AS cells, CAST(sum(n) AS BIGINT) AS n, max(top) AS top FROM v GROUP BY ALL""")
+def grid_overviews(spark, d):
+    s = views.shots(spark, d)
+    t = raster.overviews(grid.grid_stats(s, "lon", "lat", _FINE, {"n": F.count("*"), "top": F.max("k")}), {"n": "sum", "top": "max"}, 3)
+    cells = F.aggregate("runs", F.lit(0), lambda a, r: a + r["length"]).cast("long")
+    return t.select("level", "tile_row", "tile_col", cells.alias("cells"), F.aggregate("n", F.lit(0).cast("long"), lambda a, v: a + v).alias("n"), F.array_max("top").alias("top"))
+
+
 _BULK = ", bulk AS (SELECT CAST((l_partkey * 37) % 1009 AS DOUBLE) / 1024e0 AS lon, CAST((l_suppkey * 53) % 997 AS DOUBLE) / 1024e0 AS lat, l_quantity AS value, 0 AS k FROM lineitem)"
 
 

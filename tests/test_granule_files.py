@@ -226,3 +226,38 @@ def test_curves_of_odd_waveforms(spark):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "Window" not in plan and "Generate explode(rxwaveform" not in plan
     assert waveform.energy_marks(product.limit(0), levels).count() == 0
+
+
+# --- rasters
+
+
+@pytest.mark.parametrize("side", [4, 64])
+def test_tiles_hold_the_cells(spark, side):
+    from lidarlake.operators import grid, raster
+
+    r = random.Random(side)
+    g = grid.Grid(0.0, 0.0, 1.0, 21, 13)
+    cells = {(a, b): (r.randrange(9), r.random()) for a in range(13) for b in range(21) if r.random() < 0.4 or a == 5}
+    stats_ = spark.createDataFrame([(a, b, *v) for (a, b), v in cells.items()], "row long, col long, n long, x double")
+    tiled = raster.tiles(stats_, ["n", "x"], side)
+    assert tiled.count() == len({(a // side, b // side) for a, b in cells})
+    for t in tiled.collect():
+        places = [p for run in t["runs"] for p in range(run["start"], run["start"] + run["length"])]
+        assert places == sorted(places) and len(places) == len(t["n"]) == len(t["x"])
+        assert all(b["start"] > a["start"] + a["length"] for a, b in zip(t["runs"], t["runs"][1:]))
+    back = {(x["row"], x["col"]): (x["n"], x["x"]) for x in raster.unpack(tiled, g, ["n", "x"], side).collect()}
+    assert back == cells
+    dense = raster.unpack(tiled, g, ["n", "x"], side, dense=True).collect()
+    assert sorted(x["cell"] for x in dense) == list(range(1, 13 * 21 + 1))
+    assert all((x["n"], x["x"]) == cells.get((x["row"], x["col"]), (None, None)) for x in dense)
+    assert raster.tiles(stats_.limit(0), ["n"]).count() == 0
+
+
+def test_overviews_halve(spark):
+    from lidarlake.operators import raster
+
+    cells = spark.createDataFrame([(0, 0, 1), (0, 1, 2), (1, 0, 4), (3, 3, 8), (5, 2, 16)], "row long, col long, n long")
+    got = {(t["level"], t["tile_row"], t["tile_col"]): (t["n"], [tuple(x) for x in t["runs"]]) for t in raster.overviews(cells, {"n": "sum"}, 2, 2).collect()}
+    assert got[1, 0, 0] == ([7, 8], [(0, 1), (3, 1)]) and got[1, 1, 0] == ([16], [(1, 1)]) and got[2, 0, 0] == ([15, 16], [(0, 1), (2, 1)])
+    with pytest.raises(ValueError, match="mean"):
+        raster.overviews(cells, {"n": "mean"}, 1)
