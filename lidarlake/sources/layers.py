@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 from collections.abc import Iterator
@@ -161,36 +162,91 @@ def assembled(rings: list[Ring]) -> list[list[Ring]]:
     return list(parts.values())
 
 
+def _rings(body: bytes) -> list[Ring]:
+    """The rings of a polygon record (types 5, 15 and 25); none of any other."""
+    if len(body) < 44 or struct.unpack("<i", body[:4])[0] not in (5, 15, 25):
+        return []
+    parts, points = struct.unpack("<2i", body[36:44])
+    starts = [*struct.unpack(f"<{parts}i", body[44 : 44 + 4 * parts]), points]
+    xy = struct.unpack(f"<{2 * points}d", body[44 + 4 * parts : 44 + 4 * parts + 16 * points])
+    return [[(xy[2 * i], xy[2 * i + 1]) for i in range(a, b)] for a, b in zip(starts, starts[1:], strict=False)]
+
+
 def _shapes(data: bytes) -> Iterator[list[Ring]]:
-    """Polygon records of a .shp file (types 5, 15 and 25)."""
+    """The polygons of a .shp file, in order."""
     if struct.unpack(">i", data[:4])[0] != 9994:
         raise ValueError("not a shapefile")
     at = 100
     while at + 8 <= len(data):
         size = struct.unpack(">i", data[at + 4 : at + 8])[0] * 2
-        body = data[at + 8 : at + 8 + size]
+        yield _rings(data[at + 8 : at + 8 + size])
         at += 8 + size
-        if struct.unpack("<i", body[:4])[0] in (5, 15, 25):
-            parts, points = struct.unpack("<2i", body[36:44])
-            starts = [*struct.unpack(f"<{parts}i", body[44 : 44 + 4 * parts]), points]
-            xy = struct.unpack(f"<{2 * points}d", body[44 + 4 * parts : 44 + 4 * parts + 16 * points])
-            yield [[(xy[2 * i], xy[2 * i + 1]) for i in range(a, b)] for a, b in zip(starts, starts[1:], strict=False)]
-        else:
-            yield []
 
 
-def _attributes(data: bytes) -> list[dict[str, str]]:
-    """Rows of a .dbf table, as text."""
-    rows, head, width = struct.unpack("<IHH", data[4:12])
-    fields = [(data[i : i + 11].split(b"\0")[0].decode(), data[i + 16]) for i in range(32, head - 1, 32)]
-    out = []
-    for n in range(rows):
-        at, own = head + n * width + 1, {}
-        for name, size in fields:
+class _Table:
+    """A .dbf table, its rows as text; any range of them can be read."""
+
+    def __init__(self, head: bytes) -> None:
+        self.rows, self.head, self.width = struct.unpack("<IHH", head[4:12])
+        self.fields = [(head[i : i + 11].split(b"\0")[0].decode(), head[i + 16]) for i in range(32, self.head - 1, 32)]
+
+    def row(self, data: bytes, at: int) -> dict[str, str]:
+        at, own = at + 1, {}
+        for name, size in self.fields:
             own[name] = data[at : at + size].decode("latin-1").strip()
             at += size
-        out.append(own)
-    return out
+        return own
+
+
+def _attributes(data: bytes) -> list[dict[str, str]]:
+    """All rows of a .dbf table."""
+    t = _Table(data)
+    return [t.row(data, t.head + n * t.width) for n in range(t.rows)]
+
+
+def read_shapefile(spark: SparkSession, path: str, id_field: str = "id", records: int = 2_000) -> DataFrame:
+    """A layer of a shapefile that every executor can open by its path (.shp, with .shx, .dbf and .prj beside it), read and
+    made valid by tasks. The driver reads the length of the index and the coordinate system; a task reads a range of the
+    index, and the records and table rows of that range. Records that are no polygons are left out."""
+    stem = path.removeprefix("file:").removesuffix(".shp")
+    n = (os.path.getsize(f"{stem}.shx") - 100) // 8
+    prj = None
+    if os.path.exists(f"{stem}.prj"):
+        with open(f"{stem}.prj") as f:
+            prj = f.read()
+    srid, has_table = srid_of_prj(prj), os.path.exists(f"{stem}.dbf")
+    target = to_arrow_schema(spark.createDataFrame([], RAW).schema)
+
+    def some(begin: int) -> list[dict]:
+        count = min(records, n - begin)
+        with open(f"{stem}.shx", "rb") as f:
+            f.seek(100 + 8 * begin)
+            index = struct.unpack(f">{2 * count}i", f.read(8 * count))
+        rows = [{}] * count
+        if has_table:
+            with open(f"{stem}.dbf", "rb") as f:
+                head = f.read(32)
+                table = _Table(head + f.read(struct.unpack("<H", head[8:10])[0] - 32))
+                f.seek(table.head + begin * table.width)
+                data = f.read(count * table.width)
+                rows = [table.row(data, k * table.width) for k in range(count)]
+        out = []
+        with open(f"{stem}.shp", "rb") as f:
+            for k, own in enumerate(rows):
+                f.seek(2 * index[2 * k] + 8)
+                if rings := _rings(f.read(2 * index[2 * k + 1])):
+                    key = int(float(own[id_field])) if own.get(id_field) else begin + k + 1
+                    out.append({"id": key, "parts": [[[float(c) for p in ring for c in p] for ring in part] for part in assembled(rings)], "srid": srid, "attributes": own})
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for begin in b.column(0).to_pylist():
+                if got := some(begin):
+                    yield pa.RecordBatch.from_pylist(got, target)
+
+    ranges = -(-n // records)
+    return valid(spark.range(0, max(n, 0), records, max(1, ranges)).mapInArrow(run, RAW))
 
 
 def srid_of_prj(text: str | None) -> int:

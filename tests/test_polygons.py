@@ -2,6 +2,7 @@
 
 import json
 import random
+import struct
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from lidarlake.functions.validity import valid_edges
 from lidarlake.operators import covering, spatial
 from lidarlake.plans.products import HEIGHTS
 from lidarlake.sources import layers
+from lidarlake.sources import shapes as shapes_module
 
 SQUARE = lambda a, b, c, d: [(a, b), (c, b), (c, d), (a, d)]
 
@@ -179,3 +181,63 @@ def test_rings_of_shapefiles():
     assert parity(edges, 0.5, 0.5) and not parity(edges, 1.5, 1.5) and parity(edges, 4, 4) and parity(edges, 20.5, 20.5)
     turned = valid_edges(layers.assembled([outer, clockwise(hole)]))  # shells are told from holes by the first sign there is
     assert parity(turned, 0.5, 0.5)
+
+
+# --- shapefiles
+
+
+def shapefile(path, shapes, table):
+    """A polygon shapefile with a .shx and a .dbf of text columns."""
+    body, index = b"", b""
+    for n, rings in enumerate(shapes, 1):
+        if rings is None:
+            record = struct.pack("<i", 0)
+        else:
+            points = [p for r in rings for p in r]
+            starts = np.cumsum([0, *map(len, rings)])[:-1].tolist()
+            record = struct.pack("<i4d2i", 5, 0, 0, 0, 0, len(rings), len(points)) + struct.pack(f"<{len(rings)}i", *starts) + b"".join(struct.pack("<2d", *p) for p in points)
+        index += struct.pack(">2i", (100 + len(body)) // 2, len(record) // 2)
+        body += struct.pack(">2i", n, len(record) // 2) + record
+    head = lambda n: struct.pack(">7i", 9994, 0, 0, 0, 0, 0, n // 2) + struct.pack("<2i8d", 1000, 5, *[0.0] * 8)
+    path.with_suffix(".shp").write_bytes(head(100 + len(body)) + body)
+    path.with_suffix(".shx").write_bytes(head(100 + len(index)) + index)
+    path.with_suffix(".dbf").write_bytes(shapes_module.table(list(table), ["C"] * len(table), list(table.values())))
+
+
+def test_a_shapefile_is_read_by_ranges(spark, tmp_path):
+    r = random.Random(6)
+    shapes = [None if k == 17 else [SQUARE(k, 0, k + 2, 2)[::-1], SQUARE(k + 0.5, 0.5, k + 1, 1)] if k % 3 else [[(float(x), float(y)) for x, y in star(r, k, 1, 1, 9)]] for k in range(103)]
+    shapefile(tmp_path / "layer.shp", shapes, {"id": [k + 1000 for k in range(103)], "name": [f"n{k}" for k in range(103)]})
+    far = layers.read_shapefile(spark, f"{tmp_path}/layer.shp", records=10)
+    here = layers.from_shapefile(spark, (tmp_path / "layer.shp").read_bytes(), (tmp_path / "layer.dbf").read_bytes())
+    rows = lambda t: {x["id"]: x.asDict(True) for x in t.collect()}
+    assert rows(far) == rows(here) and len(rows(far)) == 102 and far.rdd.getNumPartitions() == 11
+    assert rows(far)[1005]["attributes"]["name"] == "n5"
+    shapefile(tmp_path / "none.shp", [], {"id": []})
+    assert layers.read_shapefile(spark, f"{tmp_path}/none.shp").count() == 0
+
+
+def test_points_are_written_as_shapefiles(spark, tmp_path):
+    rows = [(2**53 + k, -44.0 - k / 8, -13.0 + k / 16, k, None if k == 3 else k / 3, "é" * 50 if k == 2 else f"n{k}", k) for k in range(25)] + [(1, None, 1.0, 1, 1.0, "x", 1), (2, float("nan"), 1.0, 1, float("nan"), None, 1)]
+    t = spark.createDataFrame(rows, "shot_number long, lon double, lat double, small int, rh100 double, note string, shot_number_again int")
+    out = tmp_path / "o"
+    shapes_module.write_points(t.repartition(2), "lon", "lat", str(out), file_rows=10)
+    stems = sorted(p.with_suffix("") for p in out.glob("*.shp"))
+    assert len(stems) >= 3 and not list(out.glob("_temporary*")) and all(p.with_suffix(e).exists() for p in stems for e in (".shx", ".dbf", ".prj"))
+    back = []
+    for stem in stems:
+        shp, shx, attributes = stem.with_suffix(".shp").read_bytes(), stem.with_suffix(".shx").read_bytes(), layers._attributes(stem.with_suffix(".dbf").read_bytes())
+        assert struct.unpack(">i", shp[24:28])[0] * 2 == len(shp) and len(shx) == 100 + 8 * len(attributes)
+        for k, own in enumerate(attributes):
+            at, words = struct.unpack(">2i", shx[100 + 8 * k : 108 + 8 * k])
+            assert struct.unpack(">2i", shp[2 * at : 2 * at + 8]) == (k + 1, words)
+            kind = struct.unpack("<i", shp[2 * at + 8 : 2 * at + 12])[0]
+            xy = struct.unpack("<2d", shp[2 * at + 12 : 2 * at + 28]) if kind == 1 else None
+            back.append((int(own["shot_numbe"]), xy, own))
+    assert len(back) == 27 and {k for k, xy, _ in back if xy is None} == {1, 2}
+    for shot, lon, lat, small, rh, _, again in rows[:25]:
+        (found,) = [b for b in back if b[0] == shot]
+        assert found[1] == (lon, lat) and int(found[2]["small"]) == small and int(found[2]["shot_num_1"]) == again
+        assert found[2]["rh100"] == "" if rh is None else abs(float(found[2]["rh100"]) - rh) < 1e-9
+    with pytest.raises(Exception, match="nowhere"):
+        shapes_module.write_points(t, "nowhere", "lat", str(tmp_path / "p"))
