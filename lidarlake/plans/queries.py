@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -572,10 +573,12 @@ def pai_profile_granules(spark, d):
 # --- catalogue ----------------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT '{catalog.SEARCH}&concept_id=' || id || '&bounding_box=-44.2,-13.8,-44.1,-13.7&temporal=2019-07-01,2020-05-22&pageNum=1' AS url FROM (VALUES {', '.join(f'({v!r})' for k, v in catalog.COLLECTIONS.items() if k.endswith('.002'))}) AS t(id)")
+@query(f"""SELECT c_custkey, '{catalog.SEARCH}&concept_id=' || id || '&bounding_box=' || (c_custkey % 359 - 180) || ',' || (c_custkey % 100 - 52) || ',' || (c_custkey % 359 - 179) || ',' || (c_custkey % 100 - 51) || '&temporal=2019-07-01,2020-05-22&pageNum=1' AS url
+  FROM customer, (VALUES {', '.join(f'({v!r})' for k, v in catalog.COLLECTIONS.items() if k.endswith('.002'))}) AS t(id)""")
 def catalog_urls(spark, d):
-    urls = [(catalog.search_url(k[:-4], -13.7, -44.2, -13.8, -44.1, daterange=("2019-07-01", "2020-05-22")),) for k in catalog.COLLECTIONS if k.endswith(".002")]
-    return spark.createDataFrame(urls, "url string")
+    west, south = F.col("c_custkey") % 359 - 180, F.col("c_custkey") % 100 - 52
+    boxes = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", west.alias("west"), south.alias("south"), (west + 1).alias("east"), (south + 1).alias("north"))
+    return reduce(DataFrame.unionByName, (catalog.search_urls(boxes, k[:-4], daterange=("2019-07-01", "2020-05-22")).select("c_custkey", "url") for k in catalog.COLLECTIONS if k.endswith(".002")))
 
 
 @query("SELECT CAST(floor(nation.n_nationkey / 10) AS INTEGER) + 1 AS page, CAST(n_nationkey % 10 AS INTEGER) AS position, 'https://daac.ornl.gov/daacdata/g' || n_nationkey || '.h5' AS href FROM nation")

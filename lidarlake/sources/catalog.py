@@ -37,6 +37,16 @@ def search_url(product: str, ul_lat: float, ul_lon: float, lr_lat: float, lr_lon
     return f"{SEARCH}&concept_id={COLLECTIONS[key]}&bounding_box={ul_lon},{lr_lat},{lr_lon},{ul_lat}{temporal}&pageNum={page}"
 
 
+def search_urls(boxes: DataFrame, product: str, version: str = "002", daterange: tuple[str, str] | None = None) -> DataFrame:
+    """The first request for each box of a table (west, south, east, north), beside its columns as `url`."""
+    key = f"{product}.{version}"
+    if key not in COLLECTIONS:
+        raise ValueError(f"no collection of {key}")
+    temporal = f"&temporal={daterange[0]},{daterange[1]}" if daterange else ""
+    box = F.concat_ws(",", *(F.col(c).cast("string") for c in ("west", "south", "east", "north")))
+    return boxes.withColumn("url", F.concat(F.lit(f"{SEARCH}&concept_id={COLLECTIONS[key]}&bounding_box="), box, F.lit(f"{temporal}&pageNum=1")))
+
+
 def first_links(answers: DataFrame, product: str, body: str = "body") -> DataFrame:
     """(page, position, href): the first link of every granule of answers (page, body)."""
     parsed = answers.select("page", F.from_json(body, ANSWER).alias("a")).select("page", F.posexplode("a.feed.entry").alias("position", "e"))
