@@ -2,7 +2,8 @@
 
 Words are runs of bytes other than ASCII white space. Rolling hashes (64 bit) of the windows of every n-gram length come
 from one array of running sums of a polynomial over the words' codes, in numpy; windows whose hash occurs twice or more in a text mark their words, and the coverage
-is the share of the words' characters that is marked. Windows of repeated 8 words that the base rules count are compared
+is the share of the words' characters that is marked, first occurrences included. The coverage of lines counts the later
+copies of a line only, as the base count of duplicate lines does: what stays if they go is whole. Windows of repeated 8 words that the base rules count are compared
 exactly, by ranks of pairs that double in length, so no hash collision can change them. Lines are compared as text.
 
 Null text has no words: all counts are 0 and the base rules fail it. Repeated rows are judged alike, whatever their ids;
