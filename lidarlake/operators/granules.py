@@ -121,17 +121,45 @@ def normalised_start(rows: DataFrame, start: str = "rx_sample_start_index", by:
     return joined.select(*(F.col(f"r.{c}") for c in rows.columns), (F.col(f"r.{start}") - F.col("_least") + 1).alias("start_index"))
 
 
-def gather(flat: DataFrame, rows: DataFrame, by: str | tuple[str, ...] = "beam", start: str = "start_index", count: str = "rx_sample_count") -> DataFrame:
-    """Ragged arrays from flat buffers: flat has one row (by, values) per beam (of a granule). A beam's shots come to
-    its values as one array, so that every sample is copied once, into its shot."""
+#: Samples of a page of a flat array.
+PAGE = 1 << 16
+
+
+def pages(rows: DataFrame, by: str | tuple[str, ...] = "beam", start: str = "start_index", wave: str = "rxwaveform", size: int = PAGE) -> DataFrame:
+    """(by, page, values): shots' samples laid out as one flat array for each beam (of a granule), in pages: every shot
+    gives each page that it reaches its part. No row holds more than a page."""
+    keys = _keys(by)
+    end = F.col(start) - 1 + F.size(wave)
+    reached = rows.filter(F.size(wave) > 0).select(*keys, start, wave, F.explode(F.sequence(F.floor((F.col(start) - 1) / size), F.floor((end - 1) / size))).alias("page"))
+    low, high = F.greatest(F.col(start) - 1, F.col("page") * size), F.least(end, (F.col("page") + 1) * size)
+    part = F.slice(wave, (low - F.col(start) + 2).cast("int"), (high - low).cast("int"))
+    held = reached.groupBy(*keys, "page").agg(F.array_sort(F.collect_list(F.struct(low.alias("at"), part.alias("part")))).alias("parts"))
+    return held.select(*keys, "page", F.flatten(F.col("parts").getField("part")).alias("values"))
+
+
+def gather(flat: DataFrame, rows: DataFrame, by: str | tuple[str, ...] = "beam", start: str = "start_index", count: str = "rx_sample_count", size: int = PAGE) -> DataFrame:
+    """Ragged arrays from flat buffers: flat has rows (by, page, values) of `size` samples each, or one row (by, values)
+    for each beam (of a granule), which is cut into pages first. A shot takes its samples from the pages that it reaches;
+    one without samples has an empty array, one that reaches beyond the buffer is cut there."""
     keys = _keys(by)
-    wanted = rows.groupBy(*keys).agg(F.collect_list(F.struct(*rows.columns)).alias("_rows"))
-    held = flat.join(wanted, list(keys)).select(F.explode(F.transform("_rows", lambda r: F.struct(r.alias("r"), F.slice("values", r[start].cast("int"), r[count].cast("int")).alias("w")))).alias("x"))
-    return held.select(*(F.col(f"x.r.{c}") for c in rows.columns), F.col("x.w").alias("rxwaveform"))
+    if "page" not in flat.columns:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("values") - 1) / size).cast("int")), lambda p: F.slice("values", p * size + 1, F.lit(size)))
+        flat = flat.filter(F.size("values") > 0).select(*keys, F.posexplode(parts).alias("page", "values"))
+    numbered = rows.withColumn("_first", (F.col(start) - 1).cast("long")).withColumn("_end", F.col("_first") + F.greatest(F.col(count), F.lit(0)))
+    reached = numbered.select(*keys, "shot_number", "_first", "_end", F.explode(F.sequence(F.floor(F.col("_first") / size), F.floor((F.col("_end") - 1) / size))).alias("page"))
+    reached = reached.filter(F.col("_end") > F.col("_first"))
+    low, high = F.greatest(F.col("_first"), F.col("page") * size) - F.col("page") * size, F.least(F.col("_end"), (F.col("page") + 1) * size) - F.col("page") * size
+    met = reached.join(flat.select(*keys, F.col("page").cast("long").alias("page"), "values"), [*keys, "page"])
+    some = met.select(*keys, "shot_number", "_first", "_end", "page", F.slice("values", (low + 1).cast("int"), (high - low).cast("int")).alias("part"))
+    # a set, since rows may be repeated
+    waves = some.groupBy(*keys, "shot_number", "_first", "_end").agg(F.array_sort(F.collect_set(F.struct("page", "part"))).alias("parts"))
+    joined = numbered.join(waves, [*keys, "shot_number", "_first", "_end"], "left")
+    none = F.array().cast(flat.schema["values"].dataType)
+    return joined.select(*rows.columns, F.coalesce(F.flatten(F.col("parts").getField("part")), none).alias("rxwaveform"))
 
 
 def total_samples(rows: DataFrame, by: str = "beam") -> DataFrame:
     return rows.groupBy(by).agg(F.sum("rx_sample_count").alias("rx"), F.sum("tx_sample_count").alias("tx"))
 
 
-__all__ = ["NothingLeft", "clip_granule", "clip_granule_polygons", "clip_heights", "clip_heights_polygons", "clip_variants", "clip_variants_polygons", "flat_index", "gather", "height_variants", "normalised_start", "of_granules", "read_metadata", "total_samples", "write_clip"]
+__all__ = ["NothingLeft", "clip_granule", "clip_granule_polygons", "clip_heights", "clip_heights_polygons", "clip_variants", "clip_variants_polygons", "flat_index", "gather", "height_variants", "normalised_start", "of_granules", "pages", "read_metadata", "total_samples", "write_clip"]

@@ -339,10 +339,11 @@ def clip_2b_polygons(spark, d):
 
 @query("SELECT beam, count(*) AS shots, CAST(0 AS BIGINT) AS gaps FROM geo GROUP BY 1")
 def csr_gather(spark, d):
-    # flat buffers of every beam hold the shots' samples one after the other, and give each shot its own again
+    # pages of each beam's flat array hold the shots' samples one after the other, and give each shot its own again
     rows = _with_arrays(spark, d).drop("own_flag")
-    flat = rows.groupBy("beam").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("shot_number", "rxwaveform"))), lambda s: s["rxwaveform"])).alias("values"))
-    back = granules.gather(flat, granules.flat_index(rows)).withColumnRenamed("rxwaveform", "again")
+    placed = granules.flat_index(rows)
+    flat = granules.pages(rows.select("beam", "shot_number", "rxwaveform").join(placed, ["beam", "shot_number"]), size=1024)
+    back = granules.gather(flat, placed, size=1024).withColumnRenamed("rxwaveform", "again")
     same = rows.join(back.select("beam", "shot_number", "again"), ["beam", "shot_number"])
     return same.groupBy("beam").agg(F.count("*").alias("shots"), F.sum(F.when(F.col("again") == F.col("rxwaveform"), 0).otherwise(1)).alias("gaps"))
 

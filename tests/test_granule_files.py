@@ -261,3 +261,24 @@ def test_overviews_halve(spark):
     assert got[1, 0, 0] == ([7, 8], [(0, 1), (3, 1)]) and got[1, 1, 0] == ([16], [(1, 1)]) and got[2, 0, 0] == ([15, 16], [(0, 1), (2, 1)])
     with pytest.raises(ValueError, match="mean"):
         raster.overviews(cells, {"n": "mean"}, 1)
+
+
+# --- flat arrays in pages
+
+
+def test_flat_arrays_in_pages(spark):
+    r = random.Random(8)
+    rows = [("A" if k % 3 else "B", k, [float(r.randrange(99)) for _ in range(r.choice([0, 1, 2, 7, 40]))]) for k in range(80)]
+    t = spark.createDataFrame(rows, "beam string, shot_number long, rxwaveform array<float>").withColumn("rx_sample_count", F.size("rxwaveform"))
+    placed = granules.flat_index(t)
+    flat = granules.pages(t.join(placed, ["beam", "shot_number", "rx_sample_count"]), size=16)
+    held = {(x["beam"], x["page"]): x["values"] for x in flat.collect()}
+    for beam in "AB":
+        want = [v for b, _, w in rows if b == beam for v in w]
+        assert [v for p in range(-(-len(want) // 16)) for v in held[beam, p]] == want and max(len(v) for v in held.values()) == 16
+    whole = spark.createDataFrame([(b, [v for c, _, w in rows if c == b for v in w]) for b in "AB"], "beam string, values array<float>")
+    for buffers in (flat, whole):
+        back = {x["shot_number"]: x["rxwaveform"] for x in granules.gather(buffers, placed, size=16).collect()}
+        assert back == {k: w for _, k, w in rows}
+    twice = granules.gather(flat, placed.unionByName(placed), size=16).collect()
+    assert len(twice) == 160 and all(x["rxwaveform"] == rows[x["shot_number"]][2] for x in twice)
