@@ -205,7 +205,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch
 def bigrams(table: DataFrame, marks: DataFrame) -> tuple[list[DataFrame], list[int]]:
     """For each range of bigrams (block, told), told an array of (part, numbers, owner, trigrams); and the stats."""
     spark = table.sparkSession
-    shards = max(partitions(spark), blocked.shards_for(table, PASSES * (16 << 20)) // 2)
+    shards = blocked.shards_for(table, PASSES * (16 << 20))
 
     stats = [0] * 8
 
@@ -280,7 +280,7 @@ def unigrams(table: DataFrame, told: list[DataFrame]) -> tuple[DataFrame, list[i
     """(block, spoken), an array of (part, numbers): for each block's words how many words they follow, and, as contexts,
     their weight and how many bigrams of one, two, more continuations they begin; and the stats."""
     spark = table.sparkSession
-    shards = max(partitions(spark), blocked.shards_for(table, 64 << 20))
+    shards = blocked.shards_for(table, 64 << 20)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
