@@ -327,7 +327,7 @@ class Judged:
             asked = _requests(some, marks.select("block", F.array().cast("array<int>").alias("fit")), shards)
             answers = blocked.gathered(_answers(asked, model_table, shards), "answers", "shard", "values")
             every = words.joined(some, told).join(spoken.hint("shuffle_hash"), "block", "left").join(answers.hint("shuffle_hash"), "block", "left").join(blocked.dealt(marks.select("block", "test")).hint("shuffle_hash"), "block", "left")
-            parts.append(cut(every.select("block", "blob", "answers", "told", "spoken", "test").mapInArrow(lean(run), "block long, pos int, doc_id long, lang string, n_bytes long, loss double, word_loss double, worst double, calibrates boolean").hint("rebalance"), large=True))
+            parts.append(cut(words.with_blobs(some, every).select("block", "blob", "answers", "told", "spoken", "test").mapInArrow(lean(run), "block long, pos int, doc_id long, lang string, n_bytes long, loss double, word_loss double, worst double, calibrates boolean").hint("rebalance"), large=True))
         scored = parts[0]
         for more in parts[1:]:
             scored = scored.unionByName(more)

@@ -244,12 +244,17 @@ def bigrams(table: DataFrame, marks: DataFrame) -> tuple[list[DataFrame], list[i
 
 
 def joined(table: DataFrame, told: list[DataFrame]) -> DataFrame:
-    """The blocks with `told`, the answers of all ranges."""
-    out = table.select("block", "blob")
+    """(block, told) of every block, told being the answers of all ranges."""
+    out = table.select("block")
     for t in told:
         out = out.join(t.hint("shuffle_hash"), "block", "left")
     none = F.array().cast(told[0].schema["told0"].dataType)
-    return out.select("block", "blob", F.concat(*(F.coalesce(f"told{k}", none) for k in range(len(told)))).alias("told"))
+    return out.select("block", F.concat(*(F.coalesce(f"told{k}", none) for k in range(len(told)))).alias("told"))
+
+
+def with_blobs(table: DataFrame, beside: DataFrame) -> DataFrame:
+    """The blocks with what is beside them: joined last, so that the large rows pass through one join only."""
+    return table.select("block", "blob").join(beside.hint("shuffle_hash"), "block", "left")
 
 
 def numbers_of(answers: list) -> np.ndarray:
@@ -321,7 +326,7 @@ def unigrams(table: DataFrame, told: list[DataFrame]) -> tuple[DataFrame, list[i
         rows.append((None, part, None, [*_levels_of(sums[0]), int((sums[0] > 0).sum()), int(sums[0].sum())]))
         return batch_of(_SPOKEN, [*zip(*rows, strict=True)])
 
-    asked = joined(table, told).mapInArrow(lean(ask), "part int, block long, words binary, given binary")
+    asked = with_blobs(table, joined(table, told)).select("block", "blob", "told").mapInArrow(lean(ask), "part int, block long, words binary, given binary")
     dealt = asked.repartition(partitions(spark), "part").sortWithinPartitions("part", "block")
     out = blocked.by_block(dealt.mapInArrow(lean(lambda batches: _grouped(batches, spoken)), "block long, part int, numbers binary, stats array<long>"), "spoken", "part", "numbers", "stats")
     return out, sums(out, "spoken", 6)
