@@ -15,7 +15,8 @@ rejected. So is one above the threshold of its word loss or of its worst passage
 length, where that class has LEAST calibrating documents. A language without calibrating documents (the null language is one of its own) takes the quantile of all.
 Without any trusted text there is no judgement, and every document with text is kept.
 
-Null and empty texts have no loss and are rejected. Repeated rows are judged alike; a repeated id is trusted in all its
+Null and empty texts have no loss and are rejected. Texts of any length are counted and scored whole: several short ones
+share a piece of PIECE characters, a longer one is a piece of its own, and its worst passage may be any of its passages. Repeated rows are judged alike; a repeated id is trusted in all its
 rows. Rows keep their extra columns in `keep`. Empty tables give empty tables.
 """
 
