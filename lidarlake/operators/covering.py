@@ -188,6 +188,9 @@ def join(points: DataFrame, x: Column, y: Column, shapes: DataFrame, frame: Fram
         own = F.broadcast(held.filter(F.col("block") == block).drop("block"))
         here = (F.shiftright(F.col("code"), shift) == F.col("bucket")) & F.col("code").between(F.col("first"), F.col("last"))
         whole = F.col("odd") & (F.size("edges") == 0)
-        out.append(near.join(own, here & (whole | inside(x, y, F.col("edges"), F.col("odd")))).select("row", "poly_id"))
+        held_by = F.when(whole | inside(x, y, F.col("edges"), F.col("odd")), F.array("poly_id"))
+        # after the join: of a fold in its condition Spark 4.1.2 infers, in the first plan of a session, a filter of the
+        # cells, where the point is missing
+        out.append(near.join(own, here).select("row", F.explode(held_by).alias("poly_id")))
     empty = points.limit(0).select("row", F.lit(None).cast(shapes.schema["poly_id"].dataType).alias("poly_id"))
     return reduce(DataFrame.unionByName, out) if out else empty

@@ -3,6 +3,9 @@
 import json
 import random
 import struct
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -134,6 +137,23 @@ def test_covering_join(spark, footprints, monkeypatch, way):
         assert plan.count("BroadcastHashJoin") > 3
 
 
+def test_covering_join_is_the_first_plan(sf_dir, tmp_path):
+    run = """
+import sys
+from pyspark.sql import SparkSession
+sys.path.insert(0, sys.argv[1])
+from lidarlake.plans.queries import QUERIES
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+found = QUERIES["clip_poly_covering"](spark, sys.argv[2])
+plan = found._jdf.queryExecution().optimizedPlan()
+assert "!Filter" not in plan.toString(), "a filter of what is missing"
+print(len(found.collect()), "rows")
+"""
+    root = str(Path(__file__).resolve().parents[1])
+    done = subprocess.run([sys.executable, "-c", run, root, sf_dir], capture_output=True, text=True, timeout=300, cwd=tmp_path)
+    assert done.returncode == 0 and "5251 rows" in done.stdout, done.stderr[-2000:]
+
+
 def test_covering_of_no_points_or_edges(spark, footprints):
     layer = layers.layer(spark, [(1, [SQUARE(0, 0, 1, 1)]), (2, [[(0, 0), (1, 1), (2, 2)]])])
     got = spatial.clip_polygons(footprints, HEIGHTS, layer, tile=0.5)
