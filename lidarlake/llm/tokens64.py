@@ -11,8 +11,8 @@ import numpy as np
 import xxhash
 
 LONG = 256
-#: Bytes that are hashed at a time.
-SEGMENT = 4 << 20
+#: Bytes that are hashed at a time: some arrays of 8 bytes for each, and powers that a worker keeps.
+SEGMENT = 128 << 10
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _CODE = np.random.default_rng(20_240_229).integers(0, 1 << 64, 256, np.uint64)

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -14,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lidarlake.llm import language_id, media, mixing, packing, pii, repetition, secret_scan, sharding, tokens
+from lidarlake.llm import language_id, media, mixing, packing, pii, repetition, secret_scan, sharding, tokens, tokens64
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, hash string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -530,3 +531,14 @@ def test_languages_of_odd_rows(spark):
     got = language_id.predict(d, net).collect()
     assert len(got) == 3 and len({(r["lang_pred"], r["score"]) for r in got if r["lang_pred"] != "und"}) == 1
     assert not any(r["held_out"] for r in got if r["doc_id"] is None)
+
+
+def test_hashing_words_takes_little_room(monkeypatch):
+    text = "a word and others of some length " * 60_000
+    monkeypatch.setattr(tokens64, "_POWERS", {})
+    tracemalloc.start()
+    found, counts = tokens64.words([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counts.tolist() == [420_000] and peak < 14 * len(text)
+    assert (found.reshape(-1, 7) == tokens64.words([text[:33]])[0]).all()
