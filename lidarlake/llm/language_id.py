@@ -43,6 +43,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def _logistic(x: np.ndarray, top: np.float32) -> None:
+    """top / (1 + exp(x)), in place; what overflows is 0."""
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += np.float32(1)
+    np.divide(top, x, out=x)
+
+
 def padded(words: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     """(time, word) byte values, and lengths; 0 beyond a word's end."""
     data = np.zeros((len(words), width), np.uint8)
@@ -98,25 +106,25 @@ class Network:
         """States (time, window, h) as _pass has them, without what training needs. Bytes beyond a window's end come
         last: the backward state is zero until its first byte, the forward one is of no use from there on."""
         h = HIDDEN
-        half = np.repeat(np.array([0.5, 1], np.float32), (2 * h, h))  # sigmoid(x) = tanh(x / 2) / 2 + 1 / 2
-        table, u = (self.w["E"] @ self.w["W" + d] + self.w["b" + d]) * half, self.w["U" + d] * half
+        # sigmoid(x) = 1 / (1 + exp(-x)) and tanh(x) = 2 / (1 + exp(-2 x)) - 1: numpy's exp takes half the time of its tanh
+        scale = np.repeat(np.array([-1, -2], np.float32), (2 * h, h))
+        table, u = (self.w["E"] @ self.w["W" + d] + self.w["b" + d]) * scale, self.w["U" + d] * scale
         gates_u, own_u = np.ascontiguousarray(u[:, : 2 * h]), np.ascontiguousarray(u[:, 2 * h :])
         n = x.shape[1]
         out = np.empty((len(x), n, h), np.float32)
         state, a, gates, new, reset = np.zeros((n, h), np.float32), *(np.empty((n, k * h), np.float32) for k in (3, 2, 1, 1))
-        half_one = np.float32(0.5)
+        one, two = np.float32(1), np.float32(2)
         for t in range(len(x)) if d == "f" else reversed(range(len(x))):
             np.take(table, x[t], axis=0, out=a, mode="clip")
             np.matmul(state, gates_u, out=gates)
             gates += a[:, : 2 * h]
-            np.tanh(gates, out=gates)
-            gates *= half_one
-            gates += half_one
+            _logistic(gates, one)
             z = gates[:, :h]
             np.multiply(gates[:, h:], state, out=reset)
             np.matmul(reset, own_u, out=new)
             new += a[:, 2 * h :]
-            np.tanh(new, out=new)
+            _logistic(new, two)
+            new -= one
             now = out[t]
             np.subtract(state, new, out=now)
             now *= z

@@ -542,3 +542,15 @@ def test_hashing_words_takes_little_room(monkeypatch):
     tracemalloc.stop()
     assert counts.tolist() == [420_000] and peak < 14 * len(text)
     assert (found.reshape(-1, 7) == tokens64.words([text[:33]])[0]).all()
+
+
+def test_network_reads_as_it_learns(monkeypatch):
+    r, net = np.random.default_rng(0), language_id.Network(["a", "b"])
+    for d in "fb":
+        net.w[f"b{d}"] = net.w[f"b{d}"] + (r.standard_normal(3 * language_id.HIDDEN) * 60).astype(np.float32)
+    x, live = r.integers(0, 256, (50, 40)).astype(np.uint8), np.ones((50, 40), bool)
+    expected = [net._pass(d, x, live, False)[0] for d in "fb"]
+    monkeypatch.setattr(language_id.np, "tanh", None)  # twice as slow as exp; only training takes it
+    with np.errstate(all="raise", under="ignore"):
+        for d, states in zip("fb", expected, strict=True):
+            assert np.abs(net._states(d, x, None) - states).max() < 1e-5
