@@ -554,3 +554,30 @@ def test_network_reads_as_it_learns(monkeypatch):
     with np.errstate(all="raise", under="ignore"):
         for d, states in zip("fb", expected, strict=True):
             assert np.abs(net._states(d, x, None) - states).max() < 1e-5
+
+
+def test_network_reads_no_byte_in_vain_and_takes_no_exp_for_its_gates(monkeypatch):
+    net, read, taken = language_id.Network(["a", "b"], 2), [], []
+    texts = [b"some words " * 200, b"short", b"x" * 513]
+    labels = [net.probabilities([t])[0] for t in texts]
+    reader, exp = language_id.Network._reader, np.exp
+
+    def counted(self, d, n):
+        step = reader(self, d, n)
+        return lambda codes: read.append(len(codes)) or step(codes)
+
+    monkeypatch.setattr(language_id.Network, "_reader", counted)
+    monkeypatch.setattr(language_id.np, "exp", lambda x, **k: taken.append(x.size) or exp(x, **k))
+    assert np.abs(net.probabilities(texts) - np.array(labels)).max() < 1e-6
+    size, cores = sum(map(len, texts)), sum(-(-len(t) // language_id.CORE) for t in texts)
+    # a byte is read once in each direction, and so is the context of a core; exp is left for the labels of the cores' bytes
+    assert sum(read) <= 2 * (size + cores * 2 * language_id.WARM) and sum(taken) <= 2 * len(net.labels) * language_id.CORE * cores
+
+
+@pytest.mark.parametrize("most", [1.0, 30.0, 200.0, 3000.0])
+def test_gates_by_squares(most):
+    t = np.linspace(-most, most, 4001)
+    squares = max(language_id.HALVINGS, int(np.ceil(np.log2(most / language_id.FRACTION))))
+    x = (t / (6 * 2**squares)).astype(np.float32)
+    language_id._logistic(x, np.float32(2), squares, np.empty_like(x))
+    assert np.abs(x - (1 - np.tanh(t / 2))).max() < 2e-6 * max(1, 2**squares / 32)
