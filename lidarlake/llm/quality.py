@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut, discard
+from ..runtime import cut, discard, tidy
 from . import blocks as blocked
 from . import tokens64, words
 from .blocks import expand, expand_ascending, pieces, squeeze, squeeze_ascending
@@ -329,6 +329,7 @@ class Judged:
             answers = blocked.gathered(_answers(asked, model_table, shards), "answers", "shard", "values")
             every = words.joined(some, told).join(spoken.hint("shuffle_hash"), "block", "left").join(answers.hint("shuffle_hash"), "block", "left").join(blocked.dealt(marks.select("block", "test")).hint("shuffle_hash"), "block", "left")
             parts.append(cut(words.with_blobs(some, every).select("block", "blob", "answers", "told", "spoken", "test").mapInArrow(lean(run), "block long, pos int, doc_id long, lang string, n_bytes long, loss double, word_loss double, worst double, calibrates boolean").hint("rebalance"), large=True))
+            tidy(spark)
         scored = parts[0]
         for more in parts[1:]:
             scored = scored.unionByName(more)

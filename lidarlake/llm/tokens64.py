@@ -86,8 +86,12 @@ def by_hash(h: np.ndarray) -> np.ndarray:
     """Stable argsort of 64-bit hashes: places ride in the low bits of a plain sort; where those bits would have told
     hashes apart, an ordinary argsort."""
     bits = np.uint64(max(1, len(h).bit_length()))
-    order = ((h >> bits << bits) | np.arange(len(h), dtype=np.uint64)) if len(h) else h
-    order = (np.sort(order) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    order = h >> bits
+    order <<= bits
+    order |= np.arange(len(h), dtype=np.uint64)
+    order.sort()
+    order &= (np.uint64(1) << bits) - np.uint64(1)
+    order = order.view(np.int64)
     s = h[order]
     return order if (s[1:] >= s[:-1]).all() else np.argsort(h, kind="stable")
 
@@ -106,6 +110,8 @@ def places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     s = h[order]
     first = firsts(s)
     back = np.empty(len(h), np.int64)
-    back[order] = np.cumsum(first) - 1
+    rank = np.cumsum(first)
+    rank -= 1
+    back[order] = rank
     starts = np.flatnonzero(first)
     return s[starts], order[starts], np.diff(np.append(starts, len(h))), back

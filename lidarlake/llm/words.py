@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import partitions
+from ..runtime import partitions, tidy
 from . import blocks as blocked
 from . import tokens64
 from .blocks import expand, expand_ascending, expand_counts, pieces, range_shard, squeeze, squeeze_ascending, squeeze_counts
@@ -98,13 +98,15 @@ class Asked:
     def __init__(self, t: Tokens, fit: np.ndarray, inside) -> None:
         trained = np.repeat(fit, t.counts)
         at = np.flatnonzero(inside(t.own))
+        at = at if len(at) < len(t.own) else slice(None)  # all of them: no copies
         k, w, n, self.trigram = self._distinct(t.own[at], near(t.a[at]), trained[at])
         at = np.flatnonzero(trained)
-        context = t.contexts()[at]
         if len(at):
+            context = t.contexts()[at]
             some = inside(context)
-            context, at = context[some], at[some]
-        rk, rw, rn, _ = self._distinct(context, near(t.c[at]), None)
+            rk, rw, rn, _ = self._distinct(context[some], near(t.c[at[some]]), None)
+        else:
+            rk, rw, rn = (np.zeros(0, kind) for kind in (np.uint64, np.uint64, np.uint32))
         first = tokens64.firsts(k)
         self.keys, place = k[first], np.cumsum(first) - 1
         self.start = -1
@@ -120,7 +122,7 @@ class Asked:
     @staticmethod
     def _distinct(k: np.ndarray, w: np.ndarray, weight: np.ndarray | None) -> tuple[np.ndarray, ...]:
         """Distinct (k, w), by k and then by their hash, with their sums of weights; and where each pair stands."""
-        _, first, n, back = tokens64.places(_mix(k, w))
+        first, n, back = tokens64.places(_mix(k, w))[1:]
         n = (n if weight is None else np.bincount(back, weight, len(first))).astype(np.uint32)
         k, w = k[first], w[first]
         by = tokens64.by_hash(k << np.uint64(64 - BITS))
@@ -238,6 +240,7 @@ def bigrams(table: DataFrame, marks: DataFrame) -> tuple[list[DataFrame], list[i
         dealt = asked.repartition(partitions(spark), "part").sortWithinPartitions("part", "block")
         out = blocked.by_block(dealt.mapInArrow(lean(lambda batches: _grouped(batches, _told)), _TOLD_SQL), f"told{number}", "part", "numbers", "owner", "trigrams", "stats")
         stats[:] = map(sum, zip(stats, sums(out, f"told{number}", 8), strict=True))
+        tidy(spark)
         return out
 
     return [one(k) for k in range(PASSES)], stats
@@ -352,13 +355,14 @@ def mixture(model: Model, texts: list[str | None], told: list, spoken: list) ->
     tokens = Tokens(texts)
     if not len(tokens.c):
         return np.zeros(0), np.ones(0), tokens.counts
+    word = distinct(tokens)[1].astype(np.int32)
+    del tokens.c  # what is left asks for its bigrams only
     asked = Asked(tokens, np.zeros(len(tokens.counts), bool), _everything)
     told = by_part(told)
     bigrams_, unigrams_ = numbers_of(told), numbers_of(by_part(spoken))
     trigrams = np.zeros(len(asked.before[0]), np.int64)
     trigrams[bigrams_[0, asked.before[0]] > 0] = np.concatenate([np.zeros(0, np.uint32), *(expand_counts(a["trigrams"]) for a in told)])
     m, first, counts = model, tokens.first, tokens.counts
-    _, word = distinct(tokens)
     place, trigram, start = asked.place, asked.trigram, asked.start
     del tokens, asked
     a, b = np.zeros(len(word)), np.ones(len(word))

@@ -481,3 +481,12 @@ def test_blocks_are_bounded_in_rows_and_bytes(spark):
     assert max(r["n"] for r in table.select(F.size("ids").alias("n")).collect()) < 600
     back = blocks.taken(table, table.select("block", F.posexplode("ids").alias("pos", "i")).filter("i = 17").withColumn("n", F.lit(3)), wide, "text")
     assert [(r["doc_id"], len(r["extra"])) for r in back.collect()] == [(17, 10_000)] * 3
+
+
+def test_the_driver_keeps_no_garbage(spark, monkeypatch):
+    tidied = []
+    for module in (quality, quality.words):
+        monkeypatch.setattr(module, "tidy", lambda s: tidied.append(s))
+    d = frame(spark, [(i, "en", f"some words of text {i} and {i % 7} more") for i in range(120)])
+    assert quality.Judged(d, d.select("doc_id")).losses.count() == 120
+    assert len(tidied) == quality.words.PASSES + quality.ROUNDS

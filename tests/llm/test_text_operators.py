@@ -581,3 +581,14 @@ def test_gates_by_squares(most):
     x = (t / (6 * 2**squares)).astype(np.float32)
     language_id._logistic(x, np.float32(2), squares, np.empty_like(x))
     assert np.abs(x - (1 - np.tanh(t / 2))).max() < 2e-6 * max(1, 2**squares / 32)
+
+
+def test_sorting_hashes_takes_little_room():
+    h = np.random.default_rng(0).integers(0, 1 << 64, 500_000, np.uint64)
+    h[::3] = h[0]
+    tracemalloc.start()
+    order = tokens64.by_hash(h)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (order == np.argsort(h, kind="stable")).all() and peak < 2.7 * h.nbytes
+    assert not len(tokens64.by_hash(h[:0]))
