@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut, discard, tidy
+from ..runtime import cut, discard, recorded, tidy
 from . import blocks as blocked
 from . import tokens64, words
 from .blocks import expand, expand_ascending, pieces, squeeze, squeeze_ascending
@@ -293,7 +293,11 @@ class Judged:
         # requests are made once for the counts and once for the answers, and never kept on disk
         requests = _requests(self.blocks, marks.select("block", "fit"), shards)
         counted = cut(_counted(requests), large=True)
-        model_table = cut(probabilities(counted))
+        with recorded() as made:
+            model_frame = probabilities(counted)
+        model_table = cut(model_frame)
+        made.drop(spark)
+        discard(counted)
         schema = pa.schema([("block", pa.int64()), ("pos", pa.int32()), ("doc_id", pa.int64()), ("lang", pa.string()), ("n_bytes", pa.int64()), ("loss", pa.float64()), ("word_loss", pa.float64()), ("worst", pa.float64()), ("calibrates", pa.bool_())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +337,7 @@ class Judged:
         scored = parts[0]
         for more in parts[1:]:
             scored = scored.unionByName(more)
-        discard(*told, spoken, counted, model_table)
+        discard(*told, spoken, model_table)
         sample = scored.filter("calibrates and loss is not null")
         per = sample.groupBy("lang").agg(F.percentile_approx("loss", quantile, 10_000).alias("q"))
         everything = sample.agg(F.percentile_approx("loss", quantile, 10_000).alias("q")).first()["q"]

@@ -1,5 +1,6 @@
 """Operators over all documents against brute force: the n-gram model, the Jaccard join, and the pipeline."""
 
+import glob
 import math
 import os
 import random
@@ -11,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lidarlake import runtime
 from lidarlake.llm import components, jaccard, quality, secret_scan, tokens64
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, block string, key string"
@@ -487,6 +489,22 @@ def test_the_driver_keeps_no_garbage(spark, monkeypatch):
     tidied = []
     for module in (quality, quality.words):
         monkeypatch.setattr(module, "tidy", lambda s: tidied.append(s))
-    d = frame(spark, [(i, "en", f"some words of text {i} and {i % 7} more") for i in range(120)])
+    d = frame(spark, [(i, f"some words of text {i} and {i % 7} more", "en") for i in range(120)])
     assert quality.Judged(d, d.select("doc_id")).losses.count() == 120
     assert len(tidied) == quality.words.PASSES + quality.ROUNDS
+
+
+def test_scoring_keeps_no_counts(spark, monkeypatch):
+    rows = [(i, f"some words of text {i} and {i % 7} more", "en") for i in range(120)]
+    joined, left = quality.words.joined, []
+
+    def seen(*a):
+        left.append([spark.read.parquet(p).columns for p in runtime.PATHS[before:] if os.path.exists(p.removeprefix("file:")) and glob.glob(f"{p.removeprefix('file:')}/*.parquet")])
+        return joined(*a)
+
+    before = len(runtime.PATHS)
+    monkeypatch.setattr(quality.words, "joined", seen)
+    d = frame(spark, rows)
+    assert quality.Judged(d, d.select("doc_id")).losses.count() == 120
+    # of the byte model nothing but its table is left when blocks are scored
+    assert [c for c in left[-1] if "g" in c] == [["g", "logp"]]
